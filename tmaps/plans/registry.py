@@ -292,3 +292,364 @@ def q_neighborhood_preservation_avg(spark, sf):
     tq = metrics.topk_by_q(inp.state1(), 1, n=inp.n)
     npr = metrics.neighborhood_preservation(inp.joint(), tq, 1)
     return metrics.neighborhood_preservation_avg(npr, inp.n).select(rnd("preservation", 9).alias("preservation"))
+
+
+# ------------------------------------------------------------------ single-map steps and frames
+
+def _step_sql(k: int) -> list[str]:
+    """CTEs computing state s{k} from s{k-1} (exact t-SNE step at iteration k, exaggerated ×4,
+    momentum 0.5, eta 250, gains)."""
+    a, b = f"s{k - 1}", f"s{k}"
+    pr = f"pr{k}"
+    return [
+        f"{pr} AS (SELECT x.id AS i, y.id AS j, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, "
+        f"1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num "
+        f"FROM {a} x JOIN {a} y ON x.id <> y.id)",
+        f"z{k} AS (SELECT sum(num) AS z FROM {pr})",
+        f"rr{k} AS (SELECT i AS id, sum(num * num * d1) AS r1, sum(num * num * d2_) AS r2 FROM {pr} GROUP BY i)",
+        f"ea{k} AS (SELECT p.i AS id, sum(p.p * 4.0 * q.num * q.d1) AS a1, sum(p.p * 4.0 * q.num * q.d2_) AS a2 "
+        f"FROM joint p JOIN {pr} q ON p.i = q.i AND p.j = q.j GROUP BY p.i)",
+        f"gr{k} AS (SELECT r.id, 4.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM z{k})) AS dy1, "
+        f"4.0 * (coalesce(e.a2, 0) - r.r2 / (SELECT z FROM z{k})) AS dy2 FROM rr{k} r LEFT JOIN ea{k} e ON r.id = e.id)",
+        f"ng{k} AS (SELECT s.id, s.y1, s.y2, s.iy1, s.iy2, g.dy1, g.dy2, "
+        f"greatest(0.01, CASE WHEN (g.dy1 > 0) <> (s.iy1 > 0) THEN s.g1 + 0.2 ELSE s.g1 * 0.8 END) AS g1, "
+        f"greatest(0.01, CASE WHEN (g.dy2 > 0) <> (s.iy2 > 0) THEN s.g2 + 0.2 ELSE s.g2 * 0.8 END) AS g2 "
+        f"FROM {a} s JOIN gr{k} g ON s.id = g.id)",
+        f"mv{k} AS (SELECT id, g1, g2, 0.5 * iy1 - 250.0 * g1 * dy1 AS iy1, 0.5 * iy2 - 250.0 * g2 * dy2 AS iy2, "
+        f"y1 + (0.5 * iy1 - 250.0 * g1 * dy1) AS y1, y2 + (0.5 * iy2 - 250.0 * g2 * dy2) AS y2 FROM ng{k})",
+        f"{b} AS (SELECT id, y1 - avg(y1) OVER () AS y1, y2 - avg(y2) OVER () AS y2, iy1, iy2, g1, g2 FROM mv{k})",
+    ]
+
+
+_S0 = "s0 AS (SELECT id, y1, y2, 0.0 AS iy1, 0.0 AS iy2, 1.0 AS g1, 1.0 AS g2 FROM st1)"
+_STEPS2 = [_S0] + _step_sql(1) + _step_sql(2)
+
+
+def _steps2_state(spark, sf, iterations=2, trajectory_path=None):
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.tsne_exact(inp.vectors(), max_iterations=iterations, loss_every=0, report_every=0,
+                          start=inp.state1(), joint=inp.joint(), n=inp.n,
+                          trajectory_path=trajectory_path, trajectory_every=1 if trajectory_path else 0,
+                          run_id="steps")
+    return res
+
+
+@register("tsne_steps2", O.with_("joint", "st1", extra=_STEPS2) +
+          f"SELECT id, {O.rnd('y1', 6)} AS y1, {O.rnd('y2', 6)} AS y2, {O.rnd('g1', 6)} AS g1, {O.rnd('g2', 6)} AS g2 FROM s2")
+def q_tsne_steps2(spark, sf):
+    st = _steps2_state(spark, sf).state
+    return st.select("id", rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"),
+                     rnd("g1", 6).alias("g1"), rnd("g2", 6).alias("g2"))
+
+
+@register("gain_update", O.with_("joint", "st1", extra=_STEPS2[:1] + _step_sql(1)) +
+          f"SELECT id, {O.rnd('y1', 6)} AS y1, {O.rnd('y2', 6)} AS y2, {O.rnd('iy1', 6)} AS iy1, "
+          f"{O.rnd('iy2', 6)} AS iy2, {O.rnd('g1', 6)} AS g1, {O.rnd('g2', 6)} AS g2 FROM s1")
+def q_gain_update(spark, sf):
+    inp = Inputs(spark, sf)
+    st = inp.state1()
+    state = st.select("id", "map", "y1", "y2", F.lit(0.0).alias("iy1"), F.lit(0.0).alias("iy2"),
+                      F.lit(1.0).alias("g1"), F.lit(1.0).alias("g2"))
+    grad, _ = kernel.tsne_gradient(inp.joint(), st, iteration=1, n=inp.n)
+    new = update.gain_update(state, grad, 1)
+    return new.select("id", *[rnd(c, 6).alias(c) for c in ("y1", "y2", "iy1", "iy2", "g1", "g2")])
+
+
+_VIEW_SQL = (O.with_("joint", "st1", extra=_STEPS2) +
+             "SELECT iteration, key, label, x, y FROM ("
+             "SELECT 0 AS iteration, id AS key, y1 AS x, y2 AS y FROM s0 UNION ALL "
+             "SELECT 1, id, y1, y2 FROM s1 UNION ALL SELECT 2, id, y1, y2 FROM s2) t "
+             "JOIN (SELECT id, label FROM vec) l ON l.id = t.key")
+
+
+def _viewer_records(spark, sf):
+    from tmaps.session import scratch_path
+    from tmaps.streaming import frames
+    inp = Inputs(spark, sf)
+    path = scratch_path(spark, "trajectory")
+    frames.append_trajectory(frames.trajectory_frame(inp.state1(), "steps", 0), path)
+    _steps2_state(spark, sf, trajectory_path=path)
+    traj = spark.read.parquet(path).where(F.col("run_id") == "steps")
+    return frames.viewer_export(traj, inp.vectors().select("id", "label"))
+
+
+@register("viewer_export", f"SELECT CAST(iteration AS INTEGER) AS iteration, key, label, {O.rnd('x', 6)} AS x, "
+          f"{O.rnd('y', 6)} AS y FROM ({_VIEW_SQL})")
+def q_viewer_export(spark, sf):
+    r = _viewer_records(spark, sf)
+    return r.select(F.col("iteration").cast("int"), "key", "label", rnd("x", 6).alias("x"), rnd("y", 6).alias("y"))
+
+
+@register("frame_limits", f"SELECT CAST(iteration AS INTEGER) AS iteration, {O.rnd('max(abs(x))', 6)} AS x_lim, "
+          f"{O.rnd('max(abs(y))', 6)} AS y_lim FROM ({_VIEW_SQL}) GROUP BY iteration")
+def q_frame_limits(spark, sf):
+    from tmaps.streaming import frames
+    lim = frames.frame_limits(_viewer_records(spark, sf))
+    return lim.select(F.col("iteration").cast("int"), rnd("x_lim", 6).alias("x_lim"), rnd("y_lim", 6).alias("y_lim"))
+
+
+@register("init_map")
+def q_init_map(spark, sf):
+    from tmaps.plans import jobs
+    return jobs.init_map(Inputs(spark, sf).vectors(), dims=2, maps=1, seed=7)
+
+
+@register("tsne_exact")
+def q_tsne_exact(spark, sf):
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.tsne_exact(inp.vectors(), max_iterations=10, seed=7, loss_every=5, report_every=10,
+                          joint=inp.joint(), n=inp.n)
+    return res.state.select("id", "map", "y1", "y2")
+
+
+@register("trajectory")
+def q_trajectory(spark, sf):
+    from tmaps.session import scratch_path
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    path = scratch_path(spark, "trajectory")
+    jobs.tsne_exact(inp.vectors(), max_iterations=3, seed=7, loss_every=0, report_every=0,
+                    joint=inp.joint(), n=inp.n, trajectory_path=path, trajectory_every=1, run_id="traj")
+    return spark.read.parquet(path)
+
+
+@register("metrics_report")
+def q_metrics_report(spark, sf):
+    from tmaps.session import scratch_path
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    path = scratch_path(spark, "metrics")
+    jobs.tsne_exact(inp.vectors(), max_iterations=4, seed=7, loss_every=1, report_every=2,
+                    joint=inp.joint(), n=inp.n, metrics_path=path, run_id="metrics")
+    return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------------ multiple maps
+
+_EM = ("em AS (SELECT p.i, p.j, p.p, q.map, q.qq, q.qz, q.num, q.pi_i, q.pi_j, q.y1_i, q.y2_i, q.y1_j, q.y2_j "
+       "FROM joint p JOIN mpq q ON p.i = q.i AND p.j = q.j)")
+_MMG = ("mmg AS (SELECT r.id, r.map, 2.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM zm)) AS dy1, "
+        "2.0 * (coalesce(e.a2, 0) - r.r2 / (SELECT z FROM zm)) AS dy2, "
+        "2.0 * (r.s / (SELECT z FROM zm) - coalesce(e.t, 0)) AS dp, r.pi FROM "
+        "(SELECT i AS id, map, any_value(pi_i) AS pi, sum(qq * num * (y1_i - y1_j)) AS r1, "
+        "sum(qq * num * (y2_i - y2_j)) AS r2, sum(pi_j * num) AS s FROM mpq GROUP BY i, map) r LEFT JOIN "
+        "(SELECT i AS id, map, sum(qq * num * (p * 1.0 / qz) * (y1_i - y1_j)) AS a1, "
+        "sum(qq * num * (p * 1.0 / qz) * (y2_i - y2_j)) AS a2, sum(pi_j * num * (p * 1.0 / qz)) AS t "
+        "FROM em GROUP BY i, map) e ON r.id = e.id AND r.map = e.map)")
+_MMW = "mmw AS (SELECT id, map, dy1, dy2, dp, pi * (sum(dp * pi) OVER (PARTITION BY id) - dp) AS dw FROM mmg)"
+_LPI = ("lpi AS (SELECT s.id, s.map, coalesce(d.deg, 0) * s.pi - coalesce(nb.pn, 0) AS lpi FROM pim s "
+        "LEFT JOIN (SELECT i, sum(p) AS deg FROM joint GROUP BY i) d ON d.i = s.id "
+        "LEFT JOIN (SELECT p.i, t.map, sum(p.p * t.pi) AS pn FROM joint p JOIN pim t ON t.id = p.j GROUP BY p.i, t.map) nb "
+        "ON nb.i = s.id AND nb.map = s.map)")
+
+
+class _MM:
+    """Spark side of the deterministic 3-map inputs."""
+
+    def __init__(self, spark, sf, maps=ORACLE_MAPS):
+        self.inp = Inputs(spark, sf)
+        self.maps = maps
+        self.state = self.inp.state_mm(maps)
+        self.sp = multimap.with_proportions(self.state)
+        self.n = self.inp.n
+        self.sums = multimap.mm_all_pairs(self.sp, 2, self.n, maps)
+        self.z = multimap.mm_total(self.sums, self.n).scalar()
+        self.joint = self.inp.joint()
+        self.edges = multimap.mm_edge_frame(self.joint, self.sp)
+        self.esums = multimap.mm_edge_sums(self.edges)
+
+
+def _mm_tables():
+    return ["joint", "pim", "mpq", "zm"]
+
+
+@register("map_proportions", O.with_("pim") + f"SELECT id, map, {O.rnd('pi', 9)} AS pi FROM pim")
+def q_map_proportions(spark, sf):
+    st = Inputs(spark, sf).state_mm()
+    return multimap.map_proportions(st.select("id", "map", "w")).select("id", "map", rnd("pi", 9).alias("pi"))
+
+
+@register("mm_kernel", O.with_("mpq") +
+          f"SELECT i AS id, map, {O.rnd('sum(qq)', 6)} AS qq_sum, {O.rnd('sum(pi_j * num)', 6)} AS s FROM mpq GROUP BY i, map")
+def q_mm_kernel(spark, sf):
+    m = _MM(spark, sf)
+    return m.sums.select("id", "map", rnd("a", 6).alias("qq_sum"), rnd("s", 6).alias("s"))
+
+
+@register("mm_kernel_total", O.with_("zm") + f"SELECT {O.rnd('z', 4)} AS z FROM zm")
+def q_mm_kernel_total(spark, sf):
+    m = _MM(spark, sf)
+    return multimap.mm_total(m.sums, m.n).select(rnd("z", 4).alias("z"))
+
+
+@register("mm_residual", O.with_(*_mm_tables(), extra=[_EM]) +
+          f"SELECT i, j, {O.rnd('qz / (SELECT z FROM zm) - p', 4, 1e6)} AS pq FROM em WHERE map = 0")
+def q_mm_residual(spark, sf):
+    m = _MM(spark, sf)
+    return multimap.mm_residual(m.edges, m.z).select("i", "j", rnd("pq", 4, 1e6).alias("pq"))
+
+
+@register("mm_position_gradient", O.with_(*_mm_tables(), extra=[_EM, _MMG]) +
+          f"SELECT id, map, {O.rnd('dy1', 4, 1e6)} AS dy1, {O.rnd('dy2', 4, 1e6)} AS dy2 FROM mmg")
+def q_mm_position_gradient(spark, sf):
+    m = _MM(spark, sf)
+    g = multimap.mm_position_gradient(m.sums, m.esums, m.z)
+    return g.select("id", "map", rnd("dy1", 4, 1e6).alias("dy1"), rnd("dy2", 4, 1e6).alias("dy2"))
+
+
+@register("mm_weight_gradient", O.with_(*_mm_tables(), extra=[_EM, _MMG, _MMW]) +
+          f"SELECT id, map, {O.rnd('dp', 4, 1e6)} AS dp, {O.rnd('dw', 4, 1e6)} AS dw FROM mmw")
+def q_mm_weight_gradient(spark, sf):
+    m = _MM(spark, sf)
+    g = multimap.mm_weight_gradient(m.sums, m.esums, m.sp, m.z)
+    return g.select("id", "map", rnd("dp", 4, 1e6).alias("dp"), rnd("dw", 4, 1e6).alias("dw"))
+
+
+@register("mm_block_gradient", O.with_(*_mm_tables(), extra=[_EM, _MMG, _MMW]) +
+          f"SELECT id, map, {O.rnd('dy1', 4, 1e6)} AS dy1, {O.rnd('dy2', 4, 1e6)} AS dy2, {O.rnd('dw', 4, 1e6)} AS dw FROM mmw")
+def q_mm_block_gradient(spark, sf):
+    m = _MM(spark, sf)
+    dy = multimap.mm_position_gradient(m.sums, m.esums, m.z)
+    dw = multimap.mm_weight_gradient(m.sums, m.esums, m.sp, m.z).select("id", "map", "dw")
+    return dy.join(dw, ["id", "map"]).select("id", "map", rnd("dy1", 4, 1e6).alias("dy1"),
+                                             rnd("dy2", 4, 1e6).alias("dy2"), rnd("dw", 4, 1e6).alias("dw"))
+
+
+@register("laplacian_smooth", O.with_("joint", "pim", extra=[_LPI]) + f"SELECT id, map, {O.rnd('lpi', 4, 1e6)} AS lpi FROM lpi")
+def q_laplacian_smooth(spark, sf):
+    inp = Inputs(spark, sf)
+    sp = multimap.with_proportions(inp.state_mm())
+    return multimap.laplacian_smooth(inp.joint(), sp).select("id", "map", rnd("lpi", 4, 1e6).alias("lpi"))
+
+
+@register("mm_loss", O.with_(*_mm_tables(), extra=[_EM, _LPI]) +
+          "SELECT " + O.rnd("(SELECT sum(CASE WHEN isnan(t) THEN 0.0 ELSE t END) FROM (SELECT p * ln(greatest(p, 1e-12) / "
+                            "greatest(qz / (SELECT z FROM zm), 1e-12)) AS t FROM em WHERE map = 0)) + "
+                            "0.1 * (SELECT sum(s.pi * l.lpi) FROM pim s JOIN lpi l ON s.id = l.id AND s.map = l.map)", 9)
+          + " AS loss")
+def q_mm_loss(spark, sf):
+    m = _MM(spark, sf)
+    lpi = multimap.laplacian_smooth(m.joint, m.sp)
+    return multimap.mm_loss(m.edges, m.z, 1.0, 1e-12, lpi, m.sp, 0.1).select(rnd("loss", 9).alias("loss"))
+
+
+@register("mm_update", O.with_(*_mm_tables(), extra=[_EM, _MMG, _MMW,
+          "mmv AS (SELECT s.id, s.map, s.y1 + (0.5 * 0.0 - 250.0 * g.dy1) AS y1, s.y2 + (0.5 * 0.0 - 250.0 * g.dy2) AS y2, "
+          "s.w - 100.0 * g.dw AS w FROM stm s JOIN mmw g ON s.id = g.id AND s.map = g.map)"]) +
+          f"SELECT id, map, {O.rnd('y1 - avg(y1) OVER (PARTITION BY map)', 6)} AS y1, "
+          f"{O.rnd('y2 - avg(y2) OVER (PARTITION BY map)', 6)} AS y2, {O.rnd('w', 9)} AS w FROM mmv")
+def q_mm_update(spark, sf):
+    m = _MM(spark, sf)
+    dy = multimap.mm_position_gradient(m.sums, m.esums, m.z)
+    dw = multimap.mm_weight_gradient(m.sums, m.esums, m.sp, m.z).select("id", "map", "dw")
+    state = m.state.select("id", "map", "y1", "y2", F.lit(0.0).alias("iy1"), F.lit(0.0).alias("iy2"), "w")
+    new = update.mm_update(state, dy, dw, 1)
+    return new.select("id", "map", rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"), rnd("w", 9).alias("w"))
+
+
+@register("rms_step", O.with_(*_mm_tables(), extra=[_EM, _MMG]) +
+          f"SELECT id, map, {O.rnd('0.1 * 0.0 + 0.9 * (dy1 * dy1)', 4, 1e12)} AS e, "
+          f"{O.rnd('0.1 * dy1 / sqrt(0.1 * 0.0 + 0.9 * (dy1 * dy1) + 1e-12)', 9)} AS step FROM mmg")
+def q_rms_step(spark, sf):
+    m = _MM(spark, sf)
+    g = multimap.mm_position_gradient(m.sums, m.esums, m.z).select("id", "map", F.col("dy1").alias("g"))
+    e0 = g.select("id", "map", F.lit(0.0).alias("e"))
+    r = update.rms_step(g, e0, lr=0.1)
+    return r.select("id", "map", rnd("e", 4, 1e12).alias("e"), rnd("step", 9).alias("step"))
+
+
+_MNP = ("mnp AS (SELECT s.i, CASE WHEN s.m >= 1 THEN coalesce(h.hits, 0) / 1.0 END AS preservation FROM "
+        "(SELECT i, count(*) AS m FROM joint GROUP BY i) s LEFT JOIN "
+        "(SELECT tp.i, count(*) AS hits FROM "
+        "(SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY p DESC, j) AS r FROM joint) WHERE r <= 1) tp "
+        "JOIN (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY qz DESC, j) AS r FROM "
+        "(SELECT DISTINCT i, j, qz FROM mpq)) WHERE r <= 1) tq "
+        "ON tp.i = tq.i AND tp.j = tq.j GROUP BY tp.i) h ON s.i = h.i)")
+
+
+@register("mm_neighborhood_preservation", O.with_("joint", "mpq", extra=[_MNP]) +
+          f"SELECT i, {O.rnd('preservation', 9)} AS preservation FROM mnp")
+def q_mm_neighborhood_preservation(spark, sf):
+    m = _MM(spark, sf)
+    tq = metrics.topk_by_q(m.sp, 1, 2, m.n, n_maps=m.maps)
+    return metrics.neighborhood_preservation(m.joint, tq, 1).select("i", rnd("preservation", 9).alias("preservation"))
+
+
+@register("mm_steps2")
+def q_mm_steps2(spark, sf):
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.mm_tsne(inp.vectors(), no_maps=ORACLE_MAPS, max_iterations=2, loss_every=0, report_every=0,
+                       start=inp.state_mm(), joint=inp.joint(), n=inp.n)
+    return res.state.select("id", "map", "y1", "y2", "w")
+
+
+@register("mm_tsne")
+def q_mm_tsne(spark, sf):
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.mm_tsne(inp.vectors(), no_maps=ORACLE_MAPS, max_iterations=10, seed=7, loss_every=5,
+                       report_every=10, joint=inp.joint(), n=inp.n)
+    return res.state.select("id", "map", "y1", "y2", "w")
+
+
+# ------------------------------------------------------------------ cells / Barnes-Hut
+
+_CELL_LEVELS = 6
+
+
+@register("cell_pyramid", O.with_("st1", extra=[
+    "bb AS (SELECT map, min(y1) AS lo1, max(y1) AS hi1, min(y2) AS lo2, max(y2) AS hi2 FROM st1 GROUP BY map)",
+    "tt AS (SELECT s.map, s.y1, s.y2, CASE WHEN hi1 - lo1 > 0 THEN (s.y1 - lo1) / (hi1 - lo1) ELSE 0.0 END AS t1, "
+    "CASE WHEN hi2 - lo2 > 0 THEN (s.y2 - lo2) / (hi2 - lo2) ELSE 0.0 END AS t2 FROM st1 s JOIN bb b ON s.map = b.map)",
+    f"lv AS (SELECT map, y1, y2, CAST(l AS INTEGER) AS level, "
+    "CAST(least(greatest(ceil(t1 * pow(2, l)) - 1, 0), pow(2, l) - 1) AS BIGINT) AS c1, "
+    "CAST(least(greatest(ceil(t2 * pow(2, l)) - 1, 0), pow(2, l) - 1) AS BIGINT) AS c2 "
+    f"FROM tt, range(0, {_CELL_LEVELS + 1}) r(l))"]) +
+    f"SELECT map, level, c1, c2, CAST(count(*) AS BIGINT) AS cnt, {O.rnd('avg(y1)', 9)} AS m1, {O.rnd('avg(y2)', 9)} AS m2, "
+    "(min(y1) = max(y1) AND min(y2) = max(y2)) AS leaf FROM lv GROUP BY map, level, c1, c2")
+def q_cell_pyramid(spark, sf):
+    from tmaps.operators import cells
+    c = cells.cell_pyramid(Inputs(spark, sf).state1(), _CELL_LEVELS)
+    return c.select("map", F.col("level").cast("int"), "c1", "c2", "cnt", rnd("m1", 9).alias("m1"),
+                    rnd("m2", 9).alias("m2"), "leaf")
+
+
+@register("bh_repulsion")
+def q_bh_repulsion(spark, sf):
+    from tmaps.operators import cells
+    return cells.bh_repulsion(Inputs(spark, sf).state1(), 0.5)
+
+
+@register("bh_gradient")
+def q_bh_gradient(spark, sf):
+    from tmaps.operators import cells
+    inp = Inputs(spark, sf)
+    st = inp.state1()
+    g, _ = cells.bh_gradient(inp.joint(), st, cells.bh_repulsion(st, 0.5))
+    return g
+
+
+@register("bh_vs_exact")
+def q_bh_vs_exact(spark, sf):
+    from tmaps.operators import cells
+    inp = Inputs(spark, sf)
+    st = inp.state1()
+    rep = cells.bh_repulsion(st, 0.5)
+    ex = kernel.map_pass(st, n=inp.n)
+    j = rep.join(ex, ["id", "map"])
+    return j.agg(
+        (F.abs(F.sum("sum_q") - F.sum("a")) / F.sum("a")).alias("rel_err_z"),
+        (F.sqrt(F.sum((F.col("n1") - F.col("r1")) ** 2 + (F.col("n2") - F.col("r2")) ** 2))
+         / F.sqrt(F.sum(F.col("r1") ** 2 + F.col("r2") ** 2))).alias("rel_err_force"),
+        F.count("*").alias("n"))
+
+
+@register("tsne_bh")
+def q_tsne_bh(spark, sf):
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.tsne_bh(inp.vectors(), max_iterations=5, seed=7, joint=inp.joint(), n=inp.n)
+    return res.state.select("id", "map", "y1", "y2")
