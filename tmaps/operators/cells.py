@@ -20,11 +20,17 @@ AQE splitting skewed keys.
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tmaps.session import checkpoint
+
 BROADCAST_CELLS = 200_000
+_DEBUG = bool(os.environ.get("TMAPS_DEBUG"))
 
 
 def _d(prefix, dims):
@@ -48,17 +54,18 @@ def _with_unit_coords(state: DataFrame, dims: int) -> DataFrame:
 
 def cell_index(t, level):
     """Cell index along one axis: clip(ceil(t·2^level) − 1, 0, 2^level − 1)."""
-    scale = F.shiftleft(F.lit(1).cast("bigint"), level)
-    return F.least(F.greatest(F.ceil(t * scale.cast("double")) - 1, F.lit(0).cast("bigint")), scale - 1)
+    scale = F.pow(F.lit(2.0), level)
+    return F.least(F.greatest(F.ceil(t * scale) - 1, F.lit(0).cast("bigint")),
+                   (scale - 1).cast("bigint")).cast("bigint")
 
 
-def cell_pyramid(state: DataFrame, levels: int, dims: int = 2) -> DataFrame:
+def cell_pyramid(state: DataFrame, levels: int, dims: int = 2, first_level: int = 0) -> DataFrame:
     """``cells(map, level, c*, cnt, s*, m*, leaf, r2)`` for levels 0..levels.
 
     ``s`` = coordinate sums, ``m`` = centre of mass, ``r2`` = Σ (cell width)²."""
     u = _with_unit_coords(state, dims)
     lv = u.select("map", *_d("y", dims), *_d("t", dims), *_d("w", dims),
-                  F.explode(F.sequence(F.lit(0), F.lit(int(levels)))).alias("level"))
+                  F.explode(F.sequence(F.lit(int(first_level)), F.lit(int(levels)))).alias("level"))
     lv = lv.select("map", "level", *_d("y", dims), *_d("w", dims),
                    *[cell_index(F.col(f"t{k}"), F.col("level")).alias(f"c{k}") for k in range(1, dims + 1)])
     aggs = [F.count("*").alias("cnt")]
@@ -71,7 +78,7 @@ def cell_pyramid(state: DataFrame, levels: int, dims: int = 2) -> DataFrame:
     for k in range(1, dims + 1):
         same = F.col(f"_lo{k}") == F.col(f"_hi{k}")
         leaf = same if leaf is None else (leaf & same)
-        cw = F.col(f"_w{k}") / F.shiftleft(F.lit(1).cast("bigint"), F.col("level")).cast("double")
+        cw = F.col(f"_w{k}") / F.pow(F.lit(2.0), F.col("level"))
         r2 = cw * cw if r2 is None else r2 + cw * cw
     return g.select("map", "level", *_d("c", dims), F.col("cnt").cast("bigint").alias("cnt"), *_d("s", dims),
                     *[(F.col(f"s{k}") / F.col("cnt")).alias(f"m{k}") for k in range(1, dims + 1)],
@@ -92,14 +99,31 @@ def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_lev
     Persisted intermediates are appended to ``persisted`` so the caller can
     release them once the result is materialised."""
     st = state if "map" in state.columns else state.withColumn("map", F.lit(0))
-    cells = cell_pyramid(st, max_levels, dims).persist(StorageLevel.MEMORY_AND_DISK)
-    depth = min(depth_needed(cells), max_levels)
+    cached = persisted if persisted is not None else []
+    # build the pyramid in chunks of levels until a chunk ends with leaves only
+    chunk, top = 8, -1
+    pieces = []
+    depth = 0
+    while True:
+        lo, hi = top + 1, min(top + chunk, max_levels)
+        piece = cell_pyramid(st, hi, dims, first_level=lo).persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(piece)
+        pieces.append(piece)
+        _t = time.time()
+        need = depth_needed(piece)
+        if _DEBUG:
+            print(f"bh pyramid {lo}..{hi}: depth {need} in {time.time() - _t:.2f}s", flush=True)
+        top = hi
+        if need <= hi or hi >= max_levels:
+            depth = min(max(need, 0), max_levels)
+            break
+    cells = pieces[0]
+    for p_ in pieces[1:]:
+        cells = cells.unionByName(p_)
     per_level = {r["level"]: r["n"] for r in cells.groupBy("level").agg(F.count("*").alias("n")).collect()}
     pts = _with_unit_coords(st, dims).select("id", "map", *_d("y", dims), *_d("t", dims))
     frontier = pts.select("*", *[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(1, dims + 1)])
     partials = []
-    cached = persisted if persisted is not None else []
-    cached.append(cells)
     for level in range(0, depth + 1):
         cl = cells.where(F.col("level") == level).drop("level")
         if per_level.get(level, 0) <= broadcast_cells:
@@ -118,20 +142,26 @@ def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_lev
             mk = F.when(F.col("_own"), F.when(F.col("_cnt") > 0, (F.col(f"s{k}") - F.col(f"y{k}")) / F.col("_cnt")))
             f = f.withColumn(f"_m{k}", mk.otherwise(F.col(f"m{k}")))
             diff = F.col(f"y{k}") - F.col(f"_m{k}")
-            f = f.withColumn(f"_d{k}", diff)
+            f = f.withColumn(f"_df{k}", diff)
             d2 = diff * diff if d2 is None else d2 + diff * diff
-        f = f.withColumn("_d2", d2)
+        f = f.withColumn("_dsq", d2)
         last = level >= depth
-        accept = F.col("leaf") | (~F.col("_own") & (F.col("r2") < F.lit(theta_sq) * F.col("_d2")))
+        accept = F.col("leaf") | (~F.col("_own") & (F.col("r2") < F.lit(theta_sq) * F.col("_dsq")))
         if last:
             accept = F.lit(True)
-        f = f.withColumn("_acc", accept).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(f)
-        q = F.lit(1.0) / (F.lit(1.0) + F.col("_d2"))
+        keep = ["id", "map", *_d("y", dims), *_d("t", dims), *_d("c", dims), "_acc", "_cnt", "_dsq",
+                *[f"_df{k}" for k in range(1, dims + 1)]]
+        _t = time.time()
+        # reliable checkpoint: the next level starts from a short plan, and a
+        # lost executor does not send the recompute back through all levels
+        f = checkpoint(f.withColumn("_acc", accept).select(*keep))
+        if _DEBUG:
+            print(f"bh level {level}: {time.time() - _t:.2f}s", flush=True)
+        q = F.lit(1.0) / (F.lit(1.0) + F.col("_dsq"))
         acc = f.where(F.col("_acc") & (F.col("_cnt") > 0))
         partials.append(acc.groupBy("id", "map").agg(
             F.sum(F.col("_cnt") * q).alias("sum_q"),
-            *[F.sum(F.col("_cnt") * q * q * F.col(f"_d{k}")).alias(f"n{k}") for k in range(1, dims + 1)]))
+            *[F.sum(F.col("_cnt") * q * q * F.col(f"_df{k}")).alias(f"n{k}") for k in range(1, dims + 1)]))
         if last:
             break
         opened = f.where(~F.col("_acc")).select("id", "map", *_d("y", dims), *_d("t", dims), *_d("c", dims))
