@@ -577,13 +577,45 @@ def q_mm_neighborhood_preservation(spark, sf):
     return metrics.neighborhood_preservation(m.joint, tq, 1).select("i", rnd("preservation", 9).alias("preservation"))
 
 
-@register("mm_steps2")
+def _mm_step_sql(k: int) -> list[str]:
+    """CTEs computing multi-map state m{k} from m{k-1}: iteration k (P × 4, momentum 0.5,
+    eta 250, etw 100, λ = 0, stored look-ahead)."""
+    a, b = f"m{k - 1}", f"m{k}"
+    return [
+        f"pp{k} AS (SELECT id, map, y1, y2, iy1, iy2, w, exp(-1.0 * w) / sum(exp(-1.0 * w)) OVER (PARTITION BY id) AS pi FROM {a})",
+        f"qa{k} AS (SELECT x.id AS i, y.id AS j, x.map, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, x.pi AS pi_i, y.pi AS pi_j, "
+        f"1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num "
+        f"FROM pp{k} x JOIN pp{k} y ON x.id <> y.id AND x.map = y.map)",
+        f"qb{k} AS (SELECT *, pi_i * pi_j * num AS qq, {O.REALMIN} + sum(pi_i * pi_j * num) OVER (PARTITION BY i, j) AS qz FROM qa{k})",
+        f"zz{k} AS (SELECT sum(qq) + (SELECT n FROM nrows) * (SELECT n FROM nrows) * {O.REALMIN} AS z FROM qb{k})",
+        f"rs{k} AS (SELECT i AS id, map, sum(qq * num * d1) AS r1, sum(qq * num * d2_) AS r2, sum(pi_j * num) AS s FROM qb{k} GROUP BY i, map)",
+        f"es{k} AS (SELECT q.i AS id, q.map, sum(q.qq * q.num * (p.p * 4.0 / q.qz) * q.d1) AS a1, "
+        f"sum(q.qq * q.num * (p.p * 4.0 / q.qz) * q.d2_) AS a2, sum(q.pi_j * q.num * (p.p * 4.0 / q.qz)) AS t "
+        f"FROM joint p JOIN qb{k} q ON p.i = q.i AND p.j = q.j GROUP BY q.i, q.map)",
+        f"gd{k} AS (SELECT r.id, r.map, 2.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM zz{k})) AS dy1, "
+        f"2.0 * (coalesce(e.a2, 0) - r.r2 / (SELECT z FROM zz{k})) AS dy2, "
+        f"2.0 * (r.s / (SELECT z FROM zz{k}) - coalesce(e.t, 0)) AS dp FROM rs{k} r LEFT JOIN es{k} e ON r.id = e.id AND r.map = e.map)",
+        f"gw{k} AS (SELECT g.id, g.map, g.dy1, g.dy2, s.pi * (sum(g.dp * s.pi) OVER (PARTITION BY g.id) - g.dp) AS dw "
+        f"FROM gd{k} g JOIN pp{k} s ON s.id = g.id AND s.map = g.map)",
+        f"mo{k} AS (SELECT s.id, s.map, s.y1 + (0.5 * s.iy1 - 250.0 * g.dy1) AS y1, s.y2 + (0.5 * s.iy2 - 250.0 * g.dy2) AS y2, "
+        f"0.5 * s.iy1 - 250.0 * g.dy1 AS iy1, 0.5 * s.iy2 - 250.0 * g.dy2 AS iy2, s.iy1 AS o1, s.iy2 AS o2, "
+        f"s.w - 100.0 * g.dw AS w FROM {a} s JOIN gw{k} g ON s.id = g.id AND s.map = g.map)",
+        f"{b} AS (SELECT id, map, y1 - avg(y1) OVER (PARTITION BY map) + 0.5 * o1 AS y1, "
+        f"y2 - avg(y2) OVER (PARTITION BY map) + 0.5 * o2 AS y2, iy1, iy2, w FROM mo{k})",
+    ]
+
+
+_M0 = "m0 AS (SELECT id, map, y1, y2, 0.0 AS iy1, 0.0 AS iy2, w FROM stm)"
+
+
+@register("mm_steps2", O.with_("joint", "stm", "nrows", extra=[_M0] + _mm_step_sql(1) + _mm_step_sql(2)) +
+          f"SELECT id, map, {O.rnd('y1', 6)} AS y1, {O.rnd('y2', 6)} AS y2, {O.rnd('w', 9)} AS w FROM m2")
 def q_mm_steps2(spark, sf):
     from tmaps.plans import jobs
     inp = Inputs(spark, sf)
     res = jobs.mm_tsne(inp.vectors(), no_maps=ORACLE_MAPS, max_iterations=2, loss_every=0, report_every=0,
                        start=inp.state_mm(), joint=inp.joint(), n=inp.n)
-    return res.state.select("id", "map", "y1", "y2", "w")
+    return res.state.select("id", "map", rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"), rnd("w", 9).alias("w"))
 
 
 @register("mm_tsne")
