@@ -39,3 +39,16 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_lbfgs_loss_never_increases(spark):
+    from tmaps.operators import affinity, neighbors
+    from tmaps.plans import lbfgs
+    v = load_vectors(spark, SF)
+    knn = neighbors.knn_join(v, 90)
+    joint = affinity.joint_affinity(affinity.cond_affinity(knn, 30.0), 500, floor=None)
+    res = lbfgs.tsne_lbfgs(v, max_iterations=3, seed=2, joint=joint, n=500)
+    kl = [val for it, nm, val in res.metrics if nm == "kl"]
+    phase1, phase2 = kl[:3], kl[3:]
+    assert all(b <= a + 1e-12 for a, b in zip(phase1, phase1[1:]))
+    assert all(b <= a + 1e-12 for a, b in zip(phase2, phase2[1:]))

@@ -213,7 +213,7 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
         sums = multimap.mm_all_pairs(sp, dims, n, no_maps).persist(StorageLevel.MEMORY_AND_DISK)
         z = float(multimap.mm_total(sums, n, params.realmin).first()["z"])
         edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-        esums = multimap.mm_edge_sums(edges, dims, scale)
+        esums = multimap.mm_edge_sums(edges, dims, scale).persist(StorageLevel.MEMORY_AND_DISK)
         lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
@@ -227,8 +227,8 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
         dy = multimap.mm_position_gradient(sums, esums, z, dims, lam, position_scale)
         dw = multimap.mm_weight_gradient(sums, esums, sp, z, lpi, lam).select("id", "map", "dw")
         state = step.commit(update.mm_update(state, dy, dw, it, params, dims, lookahead), it)
-        sums.unpersist()
-        sp.unpersist()
+        for held in (sums, sp, esums):
+            held.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
     result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
     result.state = state

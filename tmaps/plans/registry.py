@@ -685,3 +685,13 @@ def q_tsne_bh(spark, sf):
     inp = Inputs(spark, sf)
     res = jobs.tsne_bh(inp.vectors(), max_iterations=5, seed=7, joint=inp.joint(), n=inp.n)
     return res.state.select("id", "map", "y1", "y2")
+
+
+@register("tsne_lbfgs")
+def q_tsne_lbfgs(spark, sf):
+    from tmaps.plans import lbfgs
+    inp = Inputs(spark, sf)
+    cond, _ = inp.cond_and_betas()
+    joint = affinity.joint_affinity(cond, inp.n, floor=None)
+    res = lbfgs.tsne_lbfgs(inp.vectors(), max_iterations=3, seed=7, joint=joint, n=inp.n)
+    return res.state
