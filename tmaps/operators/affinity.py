@@ -184,8 +184,10 @@ def joint_affinity(cond_p: DataFrame, n: int, floor: float | None = JOINT_FLOOR)
 
     ``floor=None`` gives the variant without the 1e-12 floor.
     """
-    both = cond_p.select("i", "j", "p").unionByName(
-        cond_p.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
+    # one pass emits both directions (no self-union, so the k-NN plan is evaluated once)
+    both = cond_p.select(F.inline(F.array(
+        F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.col("p").alias("p")),
+        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("p").alias("p")))))
     summed = both.groupBy("i", "j").agg(F.sum("p").alias("_s"))
     p = F.col("_s") / F.lit(2.0) / F.lit(float(n))
     if floor is not None:

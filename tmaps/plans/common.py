@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmaps.operators import affinity, neighbors
+from tmaps.session import checkpoint
 from tmaps.sources import load_vectors
 
 PERPLEXITY = 30.0
@@ -35,6 +36,7 @@ class Inputs:
         self.spark = spark
         self.sf_dir = sf_dir
         self._n = None
+        self._joint = None
 
     def vectors(self) -> DataFrame:
         return load_vectors(self.spark, self.sf_dir)
@@ -52,8 +54,12 @@ class Inputs:
         return affinity.cond_affinity(self.knn(), PERPLEXITY, with_betas=True)
 
     def joint(self) -> DataFrame:
-        cond, _ = self.cond_and_betas()
-        return affinity.joint_affinity(cond, self.n)
+        """Joint P, materialised once per query with a reliable checkpoint: it is the
+        static input of every kernel/gradient plan and is read several times."""
+        if self._joint is None:
+            cond, _ = self.cond_and_betas()
+            self._joint = checkpoint(affinity.joint_affinity(cond, self.n))
+        return self._joint
 
     def state1(self) -> DataFrame:
         """``(id, map, y1, y2)`` — single deterministic map."""

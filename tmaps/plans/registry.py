@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tmaps.operators import affinity, kernel, metrics, multimap, neighbors, update
 from tmaps.plans import oracle as O
 from tmaps.plans.common import Inputs, rnd, K_NEIGHBOURS, PERPLEXITY, ORACLE_MAPS
+from tmaps.session import checkpoint
 from tmaps.sources import vectors as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,9 +453,9 @@ class _MM:
         self.inp = Inputs(spark, sf)
         self.maps = maps
         self.state = self.inp.state_mm(maps)
-        self.sp = multimap.with_proportions(self.state)
+        self.sp = checkpoint(multimap.with_proportions(self.state))
         self.n = self.inp.n
-        self.sums = multimap.mm_all_pairs(self.sp, 2, self.n, maps)
+        self.sums = checkpoint(multimap.mm_all_pairs(self.sp, 2, self.n, maps))
         self.z = multimap.mm_total(self.sums, self.n).scalar()
         self.joint = self.inp.joint()
         self.edges = multimap.mm_edge_frame(self.joint, self.sp)
