@@ -296,3 +296,105 @@ def topq_kernel(dims: int, k: int, realmin: float = REALMIN):
                          "qz": np.concatenate(oq).astype(np.float64)})
 
     return run
+
+
+# ---------------------------------------------------------------- fused iteration kernel
+# Left input: replicated map rows (_lo, _hi, _b, id, map, y1..yd, pi)
+# Right input: P edges keyed by the block pair of their endpoints (_lo, _hi, i, j, p)
+
+def fused_schema(dims: int) -> str:
+    return (map_sums_schema(dims) + ", " + ", ".join(f"e{k} double" for k in range(1, dims + 1)) + ", t double")
+
+
+def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALMIN):
+    """All-pairs sums (a, s, r*) plus the P-edge sums of one block pair in one task.
+
+    single map:  e = Σ_{j∈P} p'·num·(y_i − y_j)
+    maps:        e = Σ_{j∈P} QQ_m·num_m·p'/QZ·(y_i − y_j),  t = Σ_{j∈P} π_jm·num_m·p'/QZ
+    with p' = p·p_scale and QZ = realmin + Σ_m QQ_m at the edge."""
+    sums = map_sums_kernel(dims)
+    ecols = [f"e{k}" for k in range(1, dims + 1)]
+
+    def run(rows: pa.Table, edges: pa.Table) -> pa.Table:
+        if rows.num_rows == 0:
+            return _empty_fused(dims)
+        base = sums(rows)
+        n0 = base.num_rows
+        cols = {c: base.column(c).to_numpy() for c in base.column_names}
+        for c in ecols + ["t"]:
+            cols[c] = np.zeros(n0)
+        if edges.num_rows:
+            maps, ids, y, pi = _map_groups(rows, dims)
+            ei = _np(edges, "i", np.int64)
+            ej = _np(edges, "j", np.int64)
+            p = _np(edges, "p", np.float64) * p_scale
+            umaps = np.unique(maps)
+            per = []
+            for m in umaps:
+                sel = maps == m
+                idm = ids[sel]
+                order = np.argsort(idm, kind="stable")
+                sid = idm[order]
+                pos_i = order[np.searchsorted(sid, ei)]
+                pos_j = order[np.searchsorted(sid, ej)]
+                ym, pim = y[sel], pi[sel]
+                diff = ym[pos_i] - ym[pos_j]
+                num = 1.0 / (1.0 + np.einsum("ij,ij->i", diff, diff))
+                per.append((m, diff, num, pim[pos_i], pim[pos_j]))
+            qz = np.full(len(ei), realmin)
+            if not single:
+                for _, _, num, pii, pij in per:
+                    qz += pii * pij * num
+            out_id, out_map, out_e, out_t = [], [], [], []
+            for m, diff, num, pii, pij in per:
+                if single:
+                    w = p * num
+                    t = np.zeros(len(ei))
+                else:
+                    w = pii * pij * num * num * (p / qz)
+                    t = pij * num * (p / qz)
+                out_id.append(ei)
+                out_map.append(np.full(len(ei), m, dtype=np.int32))
+                out_e.append(w[:, None] * diff)
+                out_t.append(t)
+            ne = sum(len(x) for x in out_id)
+            cols["id"] = np.concatenate([cols["id"]] + out_id)
+            cols["map"] = np.concatenate([cols["map"]] + out_map).astype(np.int32)
+            for c in ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)]:
+                cols[c] = np.concatenate([cols[c], np.zeros(ne)])
+            e_all = np.concatenate(out_e)
+            for k, c in enumerate(ecols):
+                cols[c] = np.concatenate([cols[c], e_all[:, k]])
+            cols["t"] = np.concatenate([cols["t"], np.concatenate(out_t)])
+        return pa.table({c: cols[c] for c in ["id", "map", "a", "s"] + [f"r{k}" for k in range(1, dims + 1)]
+                         + ecols + ["t"]})
+
+    return run
+
+
+def _empty_fused(dims: int) -> pa.Table:
+    cols = {"id": pa.array([], pa.int64()), "map": pa.array([], pa.int32())}
+    for c in ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t"]:
+        cols[c] = pa.array([], pa.float64())
+    return pa.table(cols)
+
+
+def key_edges(joint_p: DataFrame, n_blocks: int) -> DataFrame:
+    """P edges tagged with the block pair of their endpoints (same hashing as ``with_block``)."""
+    bi = F.pmod(F.xxhash64(F.col("i")), F.lit(n_blocks)).cast("int")
+    bj = F.pmod(F.xxhash64(F.col("j")), F.lit(n_blocks)).cast("int")
+    return joint_p.select(F.least(bi, bj).alias("_lo"), F.greatest(bi, bj).alias("_hi"), "i", "j", "p")
+
+
+def fused_pass(state_pi: DataFrame, keyed_edges: DataFrame, n_blocks: int, dims: int, single: bool,
+               p_scale: float, realmin: float = REALMIN) -> DataFrame:
+    """One shuffle of replicated map rows co-grouped with the keyed P edges →
+    per (id, map): a, s, r*, e*, t."""
+    st = state_pi.select("id", F.col("map").cast("int").alias("map"),
+                         *[f"y{k}" for k in range(1, dims + 1)], F.col("pi").cast("double"))
+    rep = replicate_pairs(with_block(st, n_blocks), n_blocks)
+    part = (rep.groupBy("_lo", "_hi")
+            .cogroup(keyed_edges.groupBy("_lo", "_hi"))
+            .applyInArrow(fused_kernel(dims, single, p_scale, realmin), fused_schema(dims)))
+    names = ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t"]
+    return part.groupBy("id", "map").agg(*[F.sum(c).alias(c) for c in names])

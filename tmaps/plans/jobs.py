@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmaps.functions.columns import gaussian_col
-from tmaps.operators import affinity, cells, kernel, metrics, multimap, neighbors, update
+from tmaps.operators import affinity, blocks, cells, kernel, metrics, multimap, neighbors, update
 from tmaps.params import TSNEParams
 from tmaps.session import checkpoint as reliable_checkpoint
 from tmaps.streaming import frames
@@ -61,6 +61,14 @@ def affinities(vectors: DataFrame, perplexity: float = 30.0, n: int | None = Non
     return joint, betas, n
 
 
+def _keyed_edges(spark, joint: DataFrame, n: int, n_maps: int, block_rows: int = 1024):
+    """Block count for the fused per-iteration pass and the P edges keyed by block pair
+    (static for the whole run, so written once)."""
+    per_block = max(16, block_rows // max(1, n_maps))
+    nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(spark))
+    return nb, reliable_checkpoint(blocks.key_edges(joint, nb))
+
+
 class _Stepper:
     """Alternates persist / reliable checkpoint of the evolving state."""
 
@@ -108,10 +116,12 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
                       *[F.lit(1.0).alias(f"g{k}") for k in range(1, dims + 1)])
     step = _Stepper(checkpoint_every)
     state = step.commit(state, 0)
+    nb, kedges = _keyed_edges(spark, joint, n, 1)
     for it in range(1, max_iterations + 1):
         scale = params.exaggeration_factor if it <= params.early_exaggeration else 1.0
         ys = state.select("id", "map", *_d("y", dims))
-        sums = kernel.map_pass(ys, dims, n).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = blocks.fused_pass(ys.withColumn("pi", F.lit(1.0)), kedges, nb, dims, True, scale
+                                 ).persist(StorageLevel.MEMORY_AND_DISK)
         z = float(kernel.kernel_total(sums).first()["z"])
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
@@ -122,7 +132,8 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
             pres = metrics.neighborhood_preservation_avg(
                 metrics.neighborhood_preservation(joint, tq, params.K), n).first()["preservation"]
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
-        grad = kernel.gradient_from_parts(sums, kernel.edge_pass(joint, ys, dims, scale), z, dims)
+        grad = sums.select("id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"dy{k}")
+                                   for k in range(1, dims + 1)])
         state = step.commit(update.gain_update(state, grad, it, params, dims), it)
         sums.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
@@ -206,17 +217,18 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
                          *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)], F.col("w").cast("double"))
     step = _Stepper(checkpoint_every)
     state = step.commit(state, 0)
+    nb, kedges = _keyed_edges(spark, joint, n, no_maps)
     lam = params.laplace
     for it in range(1, max_iterations + 1):
         scale = params.zoom_value if it <= params.early_exaggeration else 1.0
         sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
-        sums = multimap.mm_all_pairs(sp, dims, n, no_maps).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin
+                                 ).persist(StorageLevel.MEMORY_AND_DISK)
         z = float(multimap.mm_total(sums, n, params.realmin).first()["z"])
-        edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-        esums = multimap.mm_edge_sums(edges, dims, scale).persist(StorageLevel.MEMORY_AND_DISK)
         lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
+            edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
             loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"])
             result.metrics.append((it, "loss", loss))
         if report_every and it % report_every == 0:
@@ -224,10 +236,12 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
             pres = metrics.neighborhood_preservation_avg(
                 metrics.neighborhood_preservation(joint, tq, params.K), n).first()["preservation"]
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
-        dy = multimap.mm_position_gradient(sums, esums, z, dims, lam, position_scale)
-        dw = multimap.mm_weight_gradient(sums, esums, sp, z, lpi, lam).select("id", "map", "dw")
+        dy = multimap.mm_position_gradient(sums.select("id", "map", *_d("r", dims)),
+                                           sums.select("id", "map", *_d("e", dims)), z, dims, lam, position_scale)
+        dw = multimap.mm_weight_gradient(sums.select("id", "map", "s"), sums.select("id", "map", "t"),
+                                         sp, z, lpi, lam).select("id", "map", "dw")
         state = step.commit(update.mm_update(state, dy, dw, it, params, dims, lookahead), it)
-        for held in (sums, sp, esums):
+        for held in (sums, sp):
             held.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
     result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
