@@ -140,6 +140,37 @@ def knn_kernel(k: int):
     return run
 
 
+def directed_knn_kernel(k: int):
+    """Per directed block pair (row block, column block): top-k candidates among the
+    column block for every row of the row block (self excluded on the diagonal)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        role = t.column("_row").to_numpy(zero_copy_only=False).astype(bool)
+        ids = _np(t, "id", np.int64)
+        x = _matrix(t.column("v"))
+        ir, ic = ids[role], ids[~role]
+        if len(ir) == 0 or len(ic) == 0:
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()),
+                             "d2": pa.array([], pa.float64())})
+        d = sq_dist(x[role], x[~role])
+        d[ir[:, None] == ic[None, :]] = np.inf
+        r, c = _topk_rows(d, k)
+        return pa.table({"i": ir[r].astype(np.int64), "j": ic[c].astype(np.int64), "d2": d[r, c]})
+
+    return run
+
+
+def replicate_directed(df: DataFrame, n_blocks: int) -> DataFrame:
+    """Each row twice per block: as a query row of (its block, o) and as a
+    candidate of (o, its block), for o in 0..B-1 (2·B copies)."""
+    o = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o")
+    rep = df.select("*", o)
+    roles = F.inline(F.array(
+        F.struct(F.col("_b").alias("_br"), F.col("_o").alias("_bc"), F.lit(True).alias("_row")),
+        F.struct(F.col("_o").alias("_br"), F.col("_b").alias("_bc"), F.lit(False).alias("_row"))))
+    return rep.select(*[c for c in df.columns if c != "_b"], roles)
+
+
 def dist_summary_kernel(t: pa.Table) -> pa.Table:
     """Per block pair: count / min / max / sum of squared distances per row."""
     lo, hi, in_lo, in_hi = _split(t)

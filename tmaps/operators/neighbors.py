@@ -6,6 +6,8 @@ neighbours of every row, nearest first, ties broken by ``j``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +52,23 @@ def pair_distances(vectors: DataFrame, n: int | None = None, block_rows: int = 2
 def knn_join(vectors: DataFrame, k: int, n: int | None = None, block_rows: int = 2048) -> DataFrame:
     """Exact k nearest neighbours ``knn(i, j, d2, r)``, r = 1 for the nearest.
 
-    Each block pair yields at most k candidates per row and direction (plus
-    boundary ties); the final ``row_number`` over ``(d2, j)`` is planned as a
-    partial + final ``WindowGroupLimit``, so at most ``k * B`` candidates per
-    row ever shuffle.
+    Directed block pairs (row block, column block) are grouped after a
+    repartition on the *row block*, so every candidate of a row is produced in
+    one partition: the partial ``WindowGroupLimit`` in front of the final
+    shuffle cuts them to k per row there, and only k rows per point cross the
+    network (instead of k per row and block pair).  The price is computing each
+    distance twice.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "i bigint, j bigint, d2 double, r int")
-    grouped, _ = _blocked(vectors, n, block_rows)
-    cand = grouped.applyInArrow(blocks.knn_kernel(k), blocks.KNN_SCHEMA)
+    spark = vectors.sparkSession
+    if n is None:
+        n = vectors.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = max(1, min(int(n), max(math.ceil(n / block_rows), spark.sparkContext.defaultParallelism)))
+    rep = blocks.replicate_directed(blocks.with_block(vectors.select("id", "v"), nb), nb)
+    rep = rep.repartition(max(parts, 1), "_br")
+    cand = rep.groupBy("_br", "_bc").applyInArrow(blocks.directed_knn_kernel(k), blocks.KNN_SCHEMA)
     w = Window.partitionBy("i").orderBy("d2", "j")
     return (cand.withColumn("r", F.row_number().over(w))
             .where(F.col("r") <= k)
