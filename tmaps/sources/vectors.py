@@ -51,11 +51,13 @@ def read_csv_vectors(spark: SparkSession, path: str, min_partitions: int | None
     such lines go to the reject table.  ``id`` is the 0-based line position over
     the files in name order (the positional key of the text format).
     """
-    # Positional ids for a text source: per-file line order is what the format
-    # defines, so number lines with zipWithIndex over the ordered scan.
-    ordered = spark.read.text(path).withColumn("_f", F.input_file_name())
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["value"]))
-    numbered = spark.createDataFrame(rdd, "id bigint, line string")
+    # Positional ids of a text source: (file, split start, order inside the split)
+    # ranks lines in file order; ``row_index`` turns that into dense 0-based ids
+    # without a single-partition window or any per-row Python.
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    numbered = row_index(lines, ["_f", "_s", "_m"]).select(F.col("row_idx").alias("id"), "line")
     if min_partitions:
         numbered = numbered.repartition(min_partitions)
     parsed = numbered.select(
