@@ -58,3 +58,11 @@ def test_duplicates_count_without_self(f4):
     ex = {r.id: r.a for r in kernel.map_pass(f4, n=8).collect()}
     for i in bh:
         assert bh[i] == pytest.approx(ex[i], rel=1e-12)
+
+
+def test_broadcast_walk_equals_frontier_join(spark):
+    st = load_vectors(spark, SF).select("id", F.lit(0).alias("map"), (F.get("v", 2) * 10).alias("y1"),
+                                         (F.get("v", 3) * 10).alias("y2")).where("id < 150")
+    a = cells.bh_repulsion(st, 0.5, method="broadcast").toPandas().set_index("id").sort_index()
+    b = cells.bh_repulsion(st, 0.5, method="frontier").toPandas().set_index("id").sort_index()
+    assert ((a - b).abs().max().max()) < 1e-9

@@ -91,36 +91,61 @@ def depth_needed(cells: DataFrame) -> int:
     return 0 if r is None or r["l"] is None else int(r["l"]) + 1
 
 
-def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_levels: int = 24,
-                 broadcast_cells: int = BROADCAST_CELLS, persisted: list | None = None) -> DataFrame:
-    """``(id, map, sum_q, n1..nd)``: Barnes-Hut estimate of Σ_j q_ij and of the
-    repulsive force Σ_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i.
-
-    Persisted intermediates are appended to ``persisted`` so the caller can
-    release them once the result is materialised."""
-    st = state if "map" in state.columns else state.withColumn("map", F.lit(0))
-    cached = persisted if persisted is not None else []
-    # build the pyramid in chunks of levels until a chunk ends with leaves only
+def _pyramid(st: DataFrame, dims: int, max_levels: int, cached: list):
+    """Cells of all levels that are needed (chunks of 8 levels until a chunk ends
+    with leaves only); returns ``(cells, depth, rows per level)`` where depth is
+    the first level holding leaves only (capped at ``max_levels``)."""
     chunk, top = 8, -1
-    pieces = []
-    depth = 0
+    pieces, per_level = [], {}
+    need = 0
     while True:
         lo, hi = top + 1, min(top + chunk, max_levels)
         piece = cell_pyramid(st, hi, dims, first_level=lo).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(piece)
         pieces.append(piece)
         _t = time.time()
-        need = depth_needed(piece)
+        stats = piece.groupBy("level").agg(F.count("*").alias("n"),
+                                           F.sum((~F.col("leaf")).cast("int")).alias("inner")).collect()
+        for r in stats:
+            per_level[int(r["level"])] = int(r["n"])
+            if r["inner"]:
+                need = max(need, int(r["level"]) + 1)
         if _DEBUG:
             print(f"bh pyramid {lo}..{hi}: depth {need} in {time.time() - _t:.2f}s", flush=True)
         top = hi
         if need <= hi or hi >= max_levels:
-            depth = min(max(need, 0), max_levels)
             break
     cells = pieces[0]
     for p_ in pieces[1:]:
         cells = cells.unionByName(p_)
-    per_level = {r["level"]: r["n"] for r in cells.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    return cells, min(need, max_levels), per_level
+
+
+def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_levels: int = 24,
+                 broadcast_cells: int = BROADCAST_CELLS, persisted: list | None = None,
+                 method: str = "auto") -> DataFrame:
+    """``(id, map, sum_q, n1..nd)``: Barnes-Hut estimate of Σ_j q_ij and of the
+    repulsive force Σ_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i.
+
+    ``method='broadcast'`` ships the whole cell pyramid to the tasks and walks
+    it for a batch of points at a time (vectorised); it is chosen by ``'auto'``
+    only when the pyramid's row count is at most ``broadcast_cells`` (checked
+    before collecting it) and ``dims == 2``.  Otherwise ``'frontier'`` walks the
+    levels as joins.  Both give the same result.
+
+    Persisted intermediates are appended to ``persisted`` so the caller can
+    release them once the result is materialised."""
+    st = state if "map" in state.columns else state.withColumn("map", F.lit(0))
+    cached = persisted if persisted is not None else []
+    cells, depth, per_level = _pyramid(st, dims, max_levels, cached)
+    total = sum(per_level.get(lv, 0) for lv in range(depth + 1))
+    small = dims == 2 and depth <= 24 and total <= broadcast_cells
+    if method == "broadcast" or (method == "auto" and small):
+        return _bh_broadcast(st, cells.where(F.col("level") <= depth), depth, theta_sq, dims)
+    return _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells)
+
+
+def _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells):
     pts = _with_unit_coords(st, dims).select("id", "map", *_d("y", dims), *_d("t", dims))
     frontier = pts.select("*", *[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(1, dims + 1)])
     partials = []
@@ -191,3 +216,78 @@ def bh_gradient(joint_p: DataFrame, state: DataFrame, repulsion: DataFrame, dims
     g = j.select("id", *[(F.lit(scale) * (F.coalesce(F.col(f"e{k}"), F.lit(0.0)) - F.col(f"n{k}") / sum_q)).alias(f"dy{k}")
                          for k in range(1, dims + 1)])
     return g, sum_q
+
+
+def _bh_broadcast(st: DataFrame, cells: DataFrame, depth: int, theta_sq: float, dims: int) -> DataFrame:
+    """Vectorised walk of a broadcast cell pyramid (bounded size, checked by the caller)."""
+    import numpy as np
+    import pyarrow as pa
+
+    cp = cells.select("map", "level", "c1", "c2", "cnt", "s1", "s2", "m1", "m2", "leaf", "r2").toPandas()
+    key = _cell_key(cp["level"].to_numpy(np.int64), cp["map"].to_numpy(np.int64),
+                    cp["c1"].to_numpy(np.int64), cp["c2"].to_numpy(np.int64))
+    order = np.argsort(key)
+    tab = {c: cp[c].to_numpy()[order] for c in ("cnt", "s1", "s2", "m1", "m2", "leaf", "r2")}
+    tab["key"] = key[order]
+    bc = st.sparkSession.sparkContext.broadcast(tab)
+
+    def run(batches):
+        tb = bc.value
+        keys = tb["key"]
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            ids = t.column("id").to_numpy()
+            mp = t.column("map").to_numpy().astype(np.int64)
+            y = np.column_stack([t.column("y1").to_numpy(), t.column("y2").to_numpy()]).astype(np.float64)
+            tt = np.column_stack([t.column("t1").to_numpy(), t.column("t2").to_numpy()]).astype(np.float64)
+            m = len(ids)
+            sum_q = np.zeros(m)
+            force = np.zeros((m, 2))
+            fp = np.arange(m)
+            fc = np.zeros((m, 2), dtype=np.int64)
+            for level in range(depth + 1):
+                if len(fp) == 0:
+                    break
+                k = _cell_key(np.full(len(fp), level, np.int64), mp[fp], fc[:, 0], fc[:, 1])
+                pos = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                hit = keys[pos] == k
+                fp, fc, pos = fp[hit], fc[hit], pos[hit]
+                scale = 2.0 ** level
+                own_idx = np.clip(np.ceil(tt[fp] * scale) - 1, 0, scale - 1).astype(np.int64)
+                own = (fc == own_idx).all(axis=1)
+                cnt = tb["cnt"][pos].astype(np.float64)
+                ccnt = np.where(own, cnt - 1, cnt)
+                sums = np.column_stack([tb["s1"][pos], tb["s2"][pos]])
+                cen = np.column_stack([tb["m1"][pos], tb["m2"][pos]])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    own_cen = (sums - y[fp]) / ccnt[:, None]
+                cen = np.where(own[:, None], own_cen, cen)
+                diff = y[fp] - cen
+                dsq = (diff * diff).sum(axis=1)
+                leaf = tb["leaf"][pos].astype(bool)
+                acc = leaf | (~own & (tb["r2"][pos] < theta_sq * dsq))
+                if level >= depth:
+                    acc[:] = True
+                use = acc & (ccnt > 0)
+                q = 1.0 / (1.0 + dsq[use])
+                w = ccnt[use] * q
+                np.add.at(sum_q, fp[use], w)
+                np.add.at(force, fp[use], (w * q)[:, None] * diff[use])
+                op = ~acc
+                fp, fc = fp[op], fc[op]
+                # open: the 2^d children (empty ones are dropped at the next lookup)
+                fp = np.repeat(fp, 4)
+                child = np.tile(np.array([[0, 0], [0, 1], [1, 0], [1, 1]], dtype=np.int64), (len(fc), 1))
+                fc = np.repeat(fc, 4, axis=0) * 2 + child
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(mp.astype(np.int32), pa.int32()), pa.array(sum_q),
+                 pa.array(force[:, 0]), pa.array(force[:, 1])],
+                names=["id", "map", "sum_q", "n1", "n2"])
+
+    pts = _with_unit_coords(st, dims).select("id", F.col("map").cast("int").alias("map"), "y1", "y2", "t1", "t2")
+    return pts.mapInArrow(run, "id bigint, map int, sum_q double, n1 double, n2 double")
+
+
+def _cell_key(level, mp, c1, c2):
+    """One int64 per (level, map, c1, c2) for levels ≤ 24 and maps < 2^8 (d = 2)."""
+    return (level << 56) | (mp << 48) | (c1 << 24) | c2
