@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 REALMIN = 1e-12
 
 
+MIN_BLOCK_ROWS = 64
+
+
 def choose_blocks(n: int, block_rows: int, min_groups: int = 8) -> int:
     """Number of blocks: groups stay below ``2 * block_rows`` rows, and there
-    are at least ``min_groups`` block pairs to keep all cores busy."""
+    are at least ``min_groups`` block pairs to keep all cores busy — but blocks
+    never shrink below ``MIN_BLOCK_ROWS`` rows (the copies grow as n·B)."""
     n = max(int(n), 1)
     b = max(1, math.ceil(n / block_rows))
-    while b * (b + 1) // 2 < min_groups and b < n:
+    cap = max(b, math.ceil(n / MIN_BLOCK_ROWS))
+    while b * (b + 1) // 2 < min_groups and b < cap:
         b += 1
     return b
 

@@ -65,7 +65,9 @@ def knn_join(vectors: DataFrame, k: int, n: int | None = None, block_rows: int =
     if n is None:
         n = vectors.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nb = max(1, min(int(n), max(math.ceil(n / block_rows), spark.sparkContext.defaultParallelism)))
+    # enough row blocks for every core, but never blocks below MIN_BLOCK_ROWS rows
+    nb = max(math.ceil(n / block_rows),
+             min(spark.sparkContext.defaultParallelism, math.ceil(n / blocks.MIN_BLOCK_ROWS)), 1)
     rep = blocks.replicate_directed(blocks.with_block(vectors.select("id", "v"), nb), nb)
     rep = rep.repartition(max(parts, 1), "_br")
     cand = rep.groupBy("_br", "_bc").applyInArrow(blocks.directed_knn_kernel(k), blocks.KNN_SCHEMA)
