@@ -36,3 +36,24 @@ def test_pair_distance_summary(spark):
 def test_single_row_has_no_pairs(spark):
     v = load_vectors(spark, SF).where("id = 3")
     assert neighbors.knn_join(v, 5).count() == 0
+
+
+def test_knn_with_a_third_of_rows_identical(spark):
+    """Hot group: 100 of 300 rows are copies of one vector — exactly k rows per
+    point, ties at distance 0 broken by j, as brute force."""
+    from pyspark.sql import functions as F
+    base = load_vectors(spark, SF).where("id < 300")
+    v0 = base.where("id = 0").first()["v"]  # one fixture vector
+    v = base.select("id", F.when(F.col("id") < 100, F.array(*[F.lit(float(x)) for x in v0]))
+                    .otherwise(F.col("v")).alias("v"))
+    got = neighbors.knn_join(v, 7, block_rows=64).toPandas()
+    assert (got.groupby("i").size() == 7).all()
+    pdf = v.orderBy("id").toPandas()
+    X = np.stack(pdf["v"].to_numpy())
+    ids = pdf["id"].to_numpy()
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    for row, i in enumerate(ids):
+        want = ids[np.lexsort((ids, D[row]))[:7]]
+        have = got[got.i == i].sort_values("r")["j"].to_numpy()
+        assert list(have) == list(want)

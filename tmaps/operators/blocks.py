@@ -85,23 +85,33 @@ def sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _topk_rows(d: np.ndarray, k: int, largest: bool = False):
-    """(row, col) of the k smallest (largest) entries per row; ties at the
-    boundary are all kept so a final exact ``(value, j)`` ranking can break them."""
+def _topk_rows(d: np.ndarray, k: int, largest: bool = False, col_ids: np.ndarray | None = None):
+    """(row, col) of the k smallest (largest) entries per row, ties broken by the
+    column's id — exactly k per row (fewer if the row is shorter), so a block of
+    equal distances (copies of one point) never floods the output."""
     nr, nc = d.shape
     if nc == 0 or nr == 0 or k <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     if nc <= k:
-        rows, cols = np.nonzero(np.isfinite(d))
-        return rows, cols
-    if largest:
-        kth = -np.partition(-d, k - 1, axis=1)[:, k - 1]
-        mask = d >= kth[:, None]
+        mask = np.isfinite(d)
     else:
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        mask = d <= kth[:, None]
-    mask &= np.isfinite(d)
-    return np.nonzero(mask)
+        if largest:
+            kth = -np.partition(-d, k - 1, axis=1)[:, k - 1]
+            mask = d >= kth[:, None]
+        else:
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+            mask = d <= kth[:, None]
+        mask &= np.isfinite(d)
+    rows, cols = np.nonzero(mask)
+    if len(rows) <= nr * k and (mask.sum(axis=1) <= k).all():
+        return rows, cols
+    cid = col_ids[cols] if col_ids is not None else cols
+    val = -d[rows, cols] if largest else d[rows, cols]
+    order = np.lexsort((cid, val, rows))
+    rows, cols = rows[order], cols[order]
+    start = np.searchsorted(rows, rows, side="left")
+    keep = (np.arange(len(rows)) - start) < k
+    return rows[keep], cols[keep]
 
 
 def _split(t: pa.Table):
@@ -128,15 +138,15 @@ def knn_kernel(k: int):
         if lo == hi:
             d = sq_dist(x, x)
             np.fill_diagonal(d, np.inf)
-            r, c = _topk_rows(d, k)
+            r, c = _topk_rows(d, k, col_ids=ids)
             out_i.append(ids[r]); out_j.append(ids[c]); out_d.append(d[r, c])
         else:
             ia, ib = ids[in_lo], ids[in_hi]
             d = sq_dist(x[in_lo], x[in_hi])
-            r, c = _topk_rows(d, k)
+            r, c = _topk_rows(d, k, col_ids=ib)
             out_i.append(ia[r]); out_j.append(ib[c]); out_d.append(d[r, c])
             dt = d.T
-            r, c = _topk_rows(dt, k)
+            r, c = _topk_rows(dt, k, col_ids=ia)
             out_i.append(ib[r]); out_j.append(ia[c]); out_d.append(dt[r, c])
         return pa.table({"i": np.concatenate(out_i).astype(np.int64),
                          "j": np.concatenate(out_j).astype(np.int64),
@@ -159,7 +169,7 @@ def directed_knn_kernel(k: int):
                              "d2": pa.array([], pa.float64())})
         d = sq_dist(x[role], x[~role])
         d[ir[:, None] == ic[None, :]] = np.inf
-        r, c = _topk_rows(d, k)
+        r, c = _topk_rows(d, k, col_ids=ic)
         return pa.table({"i": ir[r].astype(np.int64), "j": ic[c].astype(np.int64), "d2": d[r, c]})
 
     return run
@@ -319,13 +329,13 @@ def topq_kernel(dims: int, k: int, realmin: float = REALMIN):
         oi, oj, oq = [], [], []
         if lo == hi:
             np.fill_diagonal(qz, -np.inf)
-            r, c = _topk_rows(qz, k, largest=True)
+            r, c = _topk_rows(qz, k, largest=True, col_ids=idb)
             oi.append(ida[r]); oj.append(idb[c]); oq.append(qz[r, c])
         else:
-            r, c = _topk_rows(qz, k, largest=True)
+            r, c = _topk_rows(qz, k, largest=True, col_ids=idb)
             oi.append(ida[r]); oj.append(idb[c]); oq.append(qz[r, c])
             qt = qz.T
-            r, c = _topk_rows(qt, k, largest=True)
+            r, c = _topk_rows(qt, k, largest=True, col_ids=ida)
             oi.append(idb[r]); oj.append(ida[c]); oq.append(qt[r, c])
         return pa.table({"i": np.concatenate(oi).astype(np.int64),
                          "j": np.concatenate(oj).astype(np.int64),
