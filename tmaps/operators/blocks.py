@@ -349,7 +349,11 @@ def topq_kernel(dims: int, k: int, realmin: float = REALMIN):
 # Right input: P edges keyed by the block pair of their endpoints (_lo, _hi, i, j, p)
 
 def fused_schema(dims: int) -> str:
-    return (map_sums_schema(dims) + ", " + ", ".join(f"e{k} double" for k in range(1, dims + 1)) + ", t double")
+    return (map_sums_schema(dims) + ", " + ", ".join(f"e{k} double" for k in range(1, dims + 1))
+            + ", t double, lp double, ps double, qmin double")
+
+
+LOSS_COLS = ["lp", "ps", "qmin"]
 
 
 def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALMIN):
@@ -357,7 +361,11 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
 
     single map:  e = Σ_{j∈P} p'·num·(y_i − y_j)
     maps:        e = Σ_{j∈P} QQ_m·num_m·p'/QZ·(y_i − y_j),  t = Σ_{j∈P} π_jm·num_m·p'/QZ
-    with p' = p·p_scale and QZ = realmin + Σ_m QQ_m at the edge."""
+    with p' = p·p_scale and QZ = realmin + Σ_m QQ_m at the edge.
+
+    Loss parts (once per edge): ``lp = Σ p'·ln(p'/num)`` (maps: ``p'·ln(max(p', realmin)/QZ)``),
+    ``ps = Σ p'`` and ``qmin = min num`` (maps: ``min QZ``), so that
+    KL = Σ lp + Σ ps · ln Z exactly whenever ``qmin / Z`` is above the floor."""
     sums = map_sums_kernel(dims)
     ecols = [f"e{k}" for k in range(1, dims + 1)]
 
@@ -367,8 +375,9 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
         base = sums(rows)
         n0 = base.num_rows
         cols = {c: base.column(c).to_numpy() for c in base.column_names}
-        for c in ecols + ["t"]:
+        for c in ecols + ["t", "lp", "ps"]:
             cols[c] = np.zeros(n0)
+        cols["qmin"] = np.full(n0, np.inf)
         if edges.num_rows:
             maps, ids, y, pi = _map_groups(rows, dims)
             ei = _np(edges, "i", np.int64)
@@ -392,7 +401,22 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
                 for _, _, num, pii, pij in per:
                     qz += pii * pij * num
             out_id, out_map, out_e, out_t = [], [], [], []
+            out_lp, out_ps, out_qm = [], [], []
             for m, diff, num, pii, pij in per:
+                first = m == umaps[0]
+                if first and single:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        out_lp.append(np.where(p > 0, p * np.log(p / num), 0.0))
+                    out_ps.append(p)
+                    out_qm.append(num)
+                elif first:
+                    out_lp.append(p * np.log(np.maximum(p, realmin) / qz))
+                    out_ps.append(p)
+                    out_qm.append(qz)
+                else:
+                    out_lp.append(np.zeros(len(ei)))
+                    out_ps.append(np.zeros(len(ei)))
+                    out_qm.append(np.full(len(ei), np.inf))
                 if single:
                     w = p * num
                     t = np.zeros(len(ei))
@@ -412,15 +436,19 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
             for k, c in enumerate(ecols):
                 cols[c] = np.concatenate([cols[c], e_all[:, k]])
             cols["t"] = np.concatenate([cols["t"], np.concatenate(out_t)])
+            cols["lp"] = np.concatenate([cols["lp"]] + out_lp)
+            cols["ps"] = np.concatenate([cols["ps"]] + out_ps)
+            cols["qmin"] = np.concatenate([cols["qmin"]] + out_qm)
         return pa.table({c: cols[c] for c in ["id", "map", "a", "s"] + [f"r{k}" for k in range(1, dims + 1)]
-                         + ecols + ["t"]})
+                         + ecols + ["t"] + LOSS_COLS})
 
     return run
 
 
 def _empty_fused(dims: int) -> pa.Table:
     cols = {"id": pa.array([], pa.int64()), "map": pa.array([], pa.int32())}
-    for c in ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t"]:
+    for c in (["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)]
+              + ["t"] + LOSS_COLS):
         cols[c] = pa.array([], pa.float64())
     return pa.table(cols)
 
@@ -442,5 +470,21 @@ def fused_pass(state_pi: DataFrame, keyed_edges: DataFrame, n_blocks: int, dims:
     part = (rep.groupBy("_lo", "_hi")
             .cogroup(keyed_edges.groupBy("_lo", "_hi"))
             .applyInArrow(fused_kernel(dims, single, p_scale, realmin), fused_schema(dims)))
-    names = ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t"]
-    return part.groupBy("id", "map").agg(*[F.sum(c).alias(c) for c in names])
+    names = ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t", "lp", "ps"]
+    return part.groupBy("id", "map").agg(*[F.sum(c).alias(c) for c in names], F.min("qmin").alias("qmin"))
+
+
+def fused_scalars(sums: DataFrame, n: int, single: bool, realmin: float = REALMIN, floor: float = 1e-12):
+    """One aggregate over the fused sums → ``(Z, loss or None)``.
+
+    Z = Σ a (maps: + n²·realmin).  The KL loss Σ lp + Σ ps·ln Z is returned only
+    when no edge hits the floor (``qmin / Z ≥ floor``); otherwise None and the
+    caller evaluates the floored loss with a join."""
+    import math
+    r = sums.agg(F.sum("a").alias("a"), F.sum("lp").alias("lp"), F.sum("ps").alias("ps"),
+                 F.min("qmin").alias("qmin")).first()
+    z = float(r["a"] or 0.0) + (0.0 if single else float(n) * float(n) * realmin)
+    loss = None
+    if r["qmin"] is not None and z > 0 and float(r["qmin"]) / z >= floor:
+        loss = float(r["lp"]) + float(r["ps"]) * math.log(z)
+    return z, loss

@@ -124,10 +124,11 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
         ys = state.select("id", "map", *_d("y", dims))
         sums = blocks.fused_pass(ys.withColumn("pi", F.lit(1.0)), kedges, nb, dims, True, scale
                                  ).persist(StorageLevel.MEMORY_AND_DISK)
-        z = float(kernel.kernel_total(sums).first()["z"])
+        z, fused_loss = blocks.fused_scalars(sums, n, True)
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
-            loss = float(kernel.kl_loss(joint, ys, z, dims, scale).first()["loss"])
+            loss = fused_loss if fused_loss is not None else \
+                float(kernel.kl_loss(joint, ys, z, dims, scale).first()["loss"])
             result.metrics.append((it, "kl", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(ys, params.K, dims, n)
@@ -226,12 +227,15 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
         sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
         sums = blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin
                                  ).persist(StorageLevel.MEMORY_AND_DISK)
-        z = float(multimap.mm_total(sums, n, params.realmin).first()["z"])
+        z, fused_loss = blocks.fused_scalars(sums, n, False, params.realmin, params.realmin)
         lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
-            edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-            loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"])
+            if fused_loss is not None and lam == 0.0:
+                loss = fused_loss
+            else:
+                edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
+                loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"])
             result.metrics.append((it, "loss", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(sp, params.K, dims, n, n_maps=no_maps)
