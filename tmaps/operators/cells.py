@@ -92,10 +92,10 @@ def depth_needed(cells: DataFrame) -> int:
 
 
 def _pyramid(st: DataFrame, dims: int, max_levels: int, cached: list):
-    """Cells of all levels that are needed (chunks of 8 levels until a chunk ends
+    """Cells of all levels that are needed (chunks of 16 levels until a chunk ends
     with leaves only); returns ``(cells, depth, rows per level)`` where depth is
     the first level holding leaves only (capped at ``max_levels``)."""
-    chunk, top = 8, -1
+    chunk, top = 16, -1
     pieces, per_level = [], {}
     need = 0
     while True:

@@ -128,7 +128,7 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
             loss = fused_loss if fused_loss is not None else \
-                float(kernel.kl_loss(joint, ys, z, dims, scale).first()["loss"])
+                float(kernel.kl_loss(joint, ys, z, dims, scale, state_rows=n).first()["loss"])
             result.metrics.append((it, "kl", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(ys, params.K, dims, n)
@@ -180,10 +180,11 @@ def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perpl
         loss = None
         if report_loss is not None and report_loss(it):
             loss = float(kernel.bh_kl_loss(affinity.exaggerate(joint, it, params.early_exaggeration,
-                                                               params.exaggeration_factor), ys, sum_q, dims)
+                                                               params.exaggeration_factor), ys, sum_q, dims,
+                                             state_rows=n)
                          .first()["loss"])
             result.metrics.append((it, "kl", loss))
-        pos = kernel.edge_pass(joint, ys, dims, scale)
+        pos = kernel.edge_pass(joint, ys, dims, scale, state_rows=n)
         grad = rep.join(pos, "id", "left").select(
             "id", *[(F.coalesce(F.col(f"e{k}"), F.lit(0.0)) - F.col(f"n{k}") / F.lit(sum_q)).alias(f"dy{k}")
                     for k in range(1, dims + 1)])
