@@ -141,8 +141,15 @@ def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_lev
     total = sum(per_level.get(lv, 0) for lv in range(depth + 1))
     small = dims == 2 and depth <= 24 and total <= broadcast_cells
     if method == "broadcast" or (method == "auto" and small):
-        return _bh_broadcast(st, cells.where(F.col("level") <= depth), depth, theta_sq, dims)
-    return _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells)
+        out = _bh_broadcast(st, cells.where(F.col("level") <= depth), depth, theta_sq, dims)
+    else:
+        out = _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells)
+    if persisted is None:
+        # both paths have consumed the pyramid eagerly (collected, or joined into
+        # checkpointed frontier levels), so its cached pieces can go now
+        for c in cached:
+            c.unpersist()
+    return out
 
 
 def _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells):
