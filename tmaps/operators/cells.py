@@ -39,12 +39,19 @@ def _d(prefix, dims):
 
 def _with_unit_coords(state: DataFrame, dims: int) -> DataFrame:
     """Adds ``t_k = (y_k − min_k) / width_k`` (0 on a zero-width axis) and ``w_k`` per map."""
-    st = state if "map" in state.columns else state.withColumn("map", F.lit(0))
     aggs = []
     for c in _d("y", dims):
         aggs += [F.min(c).alias("_min_" + c), F.max(c).alias("_max_" + c)]
-    bb = st.groupBy("map").agg(*aggs)  # one row per map
-    j = st.join(F.broadcast(bb), "map")
+    if "map" not in state.columns:
+        # one map: box corners as scalar subqueries (no join)
+        j = state
+        for c in _d("y", dims):
+            j = j.withColumn("_min_" + c, state.agg(F.min(c)).scalar()) \
+                 .withColumn("_max_" + c, state.agg(F.max(c)).scalar())
+        j = j.withColumn("map", F.lit(0))
+    else:
+        bb = state.groupBy("map").agg(*aggs)  # one row per map
+        j = state.join(F.broadcast(bb), "map")
     for k, c in enumerate(_d("y", dims), 1):
         width = F.col("_max_" + c) - F.col("_min_" + c)
         j = j.withColumn(f"w{k}", width).withColumn(
@@ -135,7 +142,7 @@ def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_lev
 
     Persisted intermediates are appended to ``persisted`` so the caller can
     release them once the result is materialised."""
-    st = state if "map" in state.columns else state.withColumn("map", F.lit(0))
+    st = state  # a missing map column is added (as map 0) after the per-map statistics
     cached = persisted if persisted is not None else []
     cells, depth, per_level = _pyramid(st, dims, max_levels, cached)
     total = sum(per_level.get(lv, 0) for lv in range(depth + 1))
@@ -208,7 +215,7 @@ def _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells):
     res = out.groupBy("id", "map").agg(F.sum("sum_q").alias("sum_q"),
                                        *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1, dims + 1)])
     # points with no accepted cell (n = 1) still get a row
-    return (st.select("id", "map").join(res, ["id", "map"], "left")
+    return (pts.select("id", "map").join(res, ["id", "map"], "left")
             .select("id", "map", F.coalesce("sum_q", F.lit(0.0)).alias("sum_q"),
                     *[F.coalesce(f"n{k}", F.lit(0.0)).alias(f"n{k}") for k in range(1, dims + 1)]))
 

@@ -26,14 +26,17 @@ def map_means(state: DataFrame, dims: int = 2) -> DataFrame:
 
 def center_map(state: DataFrame, dims: int = 2) -> DataFrame:
     """Subtract the per-map column mean of ``y``."""
-    had_map = "map" in state.columns
-    st = state if had_map else state.withColumn("map", F.lit(0))
-    means = map_means(st, dims)
-    out = st.join(F.broadcast(means), "map")
+    if "map" not in state.columns:
+        # one map: the means are scalar subqueries (no join at all)
+        out = state
+        for c in _d("y", dims):
+            out = out.withColumn(c, F.col(c) - state.agg(F.avg(c)).scalar())
+        return out
+    means = map_means(state, dims)  # one row per map
+    out = state.join(F.broadcast(means), "map")
     for c in _d("y", dims):
         out = out.withColumn(c, F.col(c) - F.col("mean_" + c))
-    out = out.select(*st.columns)
-    return out if had_map else out.drop("map")
+    return out.select(*state.columns)
 
 
 def gain_update(state: DataFrame, grad: DataFrame, iteration: int, params: TSNEParams = TSNEParams(),

@@ -63,8 +63,10 @@ class Inputs:
 
     def state1(self) -> DataFrame:
         """``(id, map, y1, y2)`` — single deterministic map."""
-        v = self.vectors()
-        return v.select("id", F.lit(0).alias("map"),
+        # the map key comes from a generator (as in ``state_mm``), not a literal, so
+        # per-map joins stay equi-joins instead of being folded into a cross join
+        v = self.vectors().select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(0))).alias("map"))
+        return v.select("id", F.col("map").cast("int").alias("map"),
                         (F.lit(10.0) * F.get("v", 0)).alias("y1"),
                         (F.lit(10.0) * F.get("v", 1)).alias("y2"))
 
