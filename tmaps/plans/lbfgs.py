@@ -13,6 +13,7 @@ phase 2 the plain P, starting from the phase-1 result (as the reference).
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
@@ -21,11 +22,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.operators import kernel
-from tmaps.plans.jobs import RunResult, affinities, init_map
+from tmaps.operators import blocks, kernel
+from tmaps.plans.jobs import RunResult, _keyed_edges, affinities, init_map
 from tmaps.session import checkpoint
 
-import os
 _DEBUG = bool(os.environ.get("TMAPS_DEBUG"))
 
 
@@ -33,13 +33,17 @@ def _d(prefix, dims):
     return [f"{prefix}{k}" for k in range(1, dims + 1)]
 
 
-def _value_and_grad(ys: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float):
-    """(loss, grad DataFrame (id, g*)) of KL(P'‖Q) at positions ``ys(id, map, y*)``."""
-    sums = kernel.map_pass(ys, dims, n).persist(StorageLevel.MEMORY_AND_DISK)
-    z = float(kernel.kernel_total(sums).first()["z"])
-    loss = float(kernel.kl_loss(joint, ys, z, dims, p_scale).first()["loss"])
-    g = kernel.gradient_from_parts(sums, kernel.edge_pass(joint, ys, dims, p_scale), z, dims)
-    g = g.select("id", *[F.col(f"dy{k}").alias(f"g{k}") for k in range(1, dims + 1)])
+def _value_and_grad(ys: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float, edges):
+    """(loss, grad DataFrame (id, g*)) of KL(P'‖Q) at positions ``ys(id, map, y*)``:
+    one co-grouped block pass gives Z, the loss parts and the gradient sums."""
+    nb, kedges = edges
+    sums = blocks.fused_pass(ys.withColumn("pi", F.lit(1.0)), kedges, nb, dims, True, p_scale
+                             ).persist(StorageLevel.MEMORY_AND_DISK)
+    z, loss = blocks.fused_scalars(sums, n, True)
+    if loss is None:  # an edge hits the 1e-12 floor: evaluate the floored loss exactly
+        loss = float(kernel.kl_loss(joint, ys, z, dims, p_scale, state_rows=n).first()["loss"])
+    g = sums.select("id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"g{k}")
+                            for k in range(1, dims + 1)])
     return loss, g, sums
 
 
@@ -84,9 +88,9 @@ def _direction(G: np.ndarray, m: int) -> np.ndarray:
 
 
 def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float, max_iterations: int,
-           m_max: int, tol: float, result: RunResult, it0: int, c1: float = 1e-4):
+           m_max: int, tol: float, result: RunResult, it0: int, edges, c1: float = 1e-4):
     ys = state.select("id", "map", *_d("y", dims))
-    f, g, sums = _value_and_grad(ys, joint, n, dims, p_scale)
+    f, g, sums = _value_and_grad(ys, joint, n, dims, p_scale, edges)
     state = checkpoint(ys.join(g, "id"))
     sums.unpersist()
     hist: list[int] = []  # slot numbers of stored pairs, oldest first
@@ -115,7 +119,7 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
             cand = base.select("id", "map", *[(F.col(f"y{k}") + F.lit(t) * F.col(f"_dir{k}")).alias(f"y{k}")
                                               for k in range(1, dims + 1)])
             cand = checkpoint(cand)
-            f_new, g_new, sums = _value_and_grad(cand, joint, n, dims, p_scale)
+            f_new, g_new, sums = _value_and_grad(cand, joint, n, dims, p_scale, edges)
             if _DEBUG:
                 print(f"lbfgs it {it} t={t:g} f={f:.6f} f_new={f_new:.6f} gd={gd:.3g}", flush=True)
             if f_new <= f + c1 * t * gd or t < 1e-10:
@@ -160,10 +164,11 @@ def tsne_lbfgs(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, nu
     n = n or vectors.count()
     y0 = start if start is not None else init_map(vectors, dims, 1, seed, 1.0)
     state = checkpoint(y0.select("id", F.lit(0).alias("map"), *_d("y", dims)))
+    edges = _keyed_edges(vectors.sparkSession, joint, n, 1)
     state, it = _phase(state, joint, n, dims, exaggeration, max_iterations, num_corrections,
-                       convergence_tol, result, 0)
+                       convergence_tol, result, 0, edges)
     state, it = _phase(state, joint, n, dims, 1.0, max_iterations, num_corrections,
-                       convergence_tol, result, it)
+                       convergence_tol, result, it, edges)
     result.metrics.append((it, "elapsed_sec", time.time() - t0))
     result.state = state.select("id", "map", *_d("y", dims))
     return result
