@@ -66,9 +66,19 @@ def _keyed_edges(spark, joint: DataFrame, n: int, n_maps: int, block_rows: int =
     (static for the whole run, so written once)."""
     per_block = max(16, block_rows // max(1, n_maps))
     nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(spark))
-    # (a checkpoint under AQE does not keep a hash partitioning, so the static
-    # edges are re-shuffled by the co-group each iteration; see README, open items)
-    return nb, reliable_checkpoint(blocks.key_edges(joint, nb))
+    # Hash-partition the static edges by block pair exactly as the co-group needs
+    # and checkpoint them with that partitioning recorded (AQE is paused for this
+    # one write: an adaptive plan reports no output partitioning).  Every
+    # iteration then shuffles only the replicated positions, never the edges.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = blocks.key_edges(joint, nb).repartition(parts, "_lo", "_hi")
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kedges = reliable_checkpoint(keyed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    return nb, kedges
 
 
 class _Stepper:
