@@ -511,11 +511,20 @@ def q_mm_weight_gradient(spark, sf):
 @register("mm_block_gradient", O.with_(*_mm_tables(), extra=[_EM, _MMG, _MMW]) +
           f"SELECT id, map, {O.rnd('dy1', 4, 1e6)} AS dy1, {O.rnd('dy2', 4, 1e6)} AS dy2, {O.rnd('dw', 4, 1e6)} AS dw FROM mmw")
 def q_mm_block_gradient(spark, sf):
-    m = _MM(spark, sf)
-    dy = multimap.mm_position_gradient(m.sums, m.esums, m.z)
-    dw = multimap.mm_weight_gradient(m.sums, m.esums, m.sp, m.z).select("id", "map", "dw")
-    return dy.join(dw, ["id", "map"]).select("id", "map", rnd("dy1", 4, 1e6).alias("dy1"),
-                                             rnd("dy2", 4, 1e6).alias("dy2"), rnd("dw", 4, 1e6).alias("dw"))
+    """The row-block execution used by the multi-map job: ONE co-grouped block pass
+    (replicated positions + block-keyed P edges) gives every sum of the gradient."""
+    from tmaps.operators import blocks
+    from tmaps.plans.jobs import _keyed_edges
+    inp = Inputs(spark, sf)
+    n = inp.n
+    sp = checkpoint(multimap.with_proportions(inp.state_mm()))
+    nb, kedges = _keyed_edges(spark, inp.joint(), n, ORACLE_MAPS)
+    sums = checkpoint(blocks.fused_pass(sp, kedges, nb, 2, False, 1.0))
+    z, _ = blocks.fused_scalars(sums, n, False)
+    dy = multimap.mm_position_gradient(sums.select("id", "map", "r1", "r2"), sums.select("id", "map", "e1", "e2"), z)
+    dw = multimap.mm_weight_gradient(sums.select("id", "map", "s"), sums.select("id", "map", "t"), sp, z)
+    return dy.join(dw.select("id", "map", "dw"), ["id", "map"]).select(
+        "id", "map", rnd("dy1", 4, 1e6).alias("dy1"), rnd("dy2", 4, 1e6).alias("dy2"), rnd("dw", 4, 1e6).alias("dw"))
 
 
 @register("laplacian_smooth", O.with_("joint", "pim", extra=[_LPI]) + f"SELECT id, map, {O.rnd('lpi', 4, 1e6)} AS lpi FROM lpi")
