@@ -52,3 +52,19 @@ def test_lbfgs_loss_never_increases(spark):
     phase1, phase2 = kl[:3], kl[3:]
     assert all(b <= a + 1e-12 for a, b in zip(phase1, phase1[1:]))
     assert all(b <= a + 1e-12 for a, b in zip(phase2, phase2[1:]))
+
+
+def test_same_seed_same_map_under_other_partitioning(spark):
+    v = load_vectors(spark, SF)
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for parts in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            res = jobs.tsne_exact(v.repartition(int(parts)), max_iterations=3, seed=11, loss_every=0, report_every=0)
+            out.append({r.id: (r.y1, r.y2) for r in res.state.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    a, b = out
+    assert a.keys() == b.keys()
+    assert max(max(abs(a[k][0] - b[k][0]), abs(a[k][1] - b[k][1])) for k in a) < 1e-9
