@@ -127,34 +127,6 @@ KNN_SCHEMA = "i bigint, j bigint, d2 double"
 DIST_SUMMARY_SCHEMA = "i bigint, n_pairs bigint, d2_min double, d2_max double, d2_sum double"
 
 
-def knn_kernel(k: int):
-    """Per block pair: top-k candidate neighbours of every row, both directions."""
-
-    def run(t: pa.Table) -> pa.Table:
-        lo, hi, in_lo, in_hi = _split(t)
-        ids = _np(t, "id", np.int64)
-        x = _matrix(t.column("v"))
-        out_i, out_j, out_d = [], [], []
-        if lo == hi:
-            d = sq_dist(x, x)
-            np.fill_diagonal(d, np.inf)
-            r, c = _topk_rows(d, k, col_ids=ids)
-            out_i.append(ids[r]); out_j.append(ids[c]); out_d.append(d[r, c])
-        else:
-            ia, ib = ids[in_lo], ids[in_hi]
-            d = sq_dist(x[in_lo], x[in_hi])
-            r, c = _topk_rows(d, k, col_ids=ib)
-            out_i.append(ia[r]); out_j.append(ib[c]); out_d.append(d[r, c])
-            dt = d.T
-            r, c = _topk_rows(dt, k, col_ids=ia)
-            out_i.append(ib[r]); out_j.append(ia[c]); out_d.append(dt[r, c])
-        return pa.table({"i": np.concatenate(out_i).astype(np.int64),
-                         "j": np.concatenate(out_j).astype(np.int64),
-                         "d2": np.concatenate(out_d).astype(np.float64)})
-
-    return run
-
-
 def directed_knn_kernel(k: int):
     """Per directed block pair (row block, column block): top-k candidates among the
     column block for every row of the row block (self excluded on the diagonal)."""

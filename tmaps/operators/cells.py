@@ -92,12 +92,6 @@ def cell_pyramid(state: DataFrame, levels: int, dims: int = 2, first_level: int
                     leaf.alias("leaf"), r2.alias("r2"))
 
 
-def depth_needed(cells: DataFrame) -> int:
-    """Deepest level that still has a non-leaf cell, plus one (a scalar)."""
-    r = cells.where(~F.col("leaf")).agg(F.max("level").alias("l")).first()
-    return 0 if r is None or r["l"] is None else int(r["l"]) + 1
-
-
 def _pyramid(st: DataFrame, dims: int, max_levels: int, cached: list):
     """Cells of all levels that are needed (chunks of 16 levels until a chunk ends
     with leaves only); returns ``(cells, depth, rows per level)`` where depth is

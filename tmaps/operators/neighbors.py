@@ -20,11 +20,6 @@ def row_norms(vectors: DataFrame) -> DataFrame:
         "id", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 
-def sq_distance_col(a: str, b: str):
-    """Column: Σ (a_k - b_k)² of two equal-length array columns."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def _blocked(vectors: DataFrame, n: int | None, block_rows: int):
     spark = vectors.sparkSession
     if n is None:

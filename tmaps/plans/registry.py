@@ -378,7 +378,11 @@ def _viewer_records(spark, sf):
 @register("viewer_export", f"SELECT CAST(iteration AS INTEGER) AS iteration, key, label, {O.rnd('x', 6)} AS x, "
           f"{O.rnd('y', 6)} AS y FROM ({_VIEW_SQL})")
 def q_viewer_export(spark, sf):
-    r = _viewer_records(spark, sf)
+    from tmaps.session import scratch_path
+    from tmaps.streaming import frames
+    path = scratch_path(spark, "viewer")
+    frames.write_viewer_json(_viewer_records(spark, sf), path)  # the viewer's JSON sink
+    r = spark.read.schema("key bigint, label int, x double, y double, iteration int").json(path)
     return r.select(F.col("iteration").cast("int"), "key", "label", rnd("x", 6).alias("x"), rnd("y", 6).alias("y"))
 
 
