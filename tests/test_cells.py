@@ -66,3 +66,12 @@ def test_broadcast_walk_equals_frontier_join(spark):
     a = cells.bh_repulsion(st, 0.5, method="broadcast").toPandas().set_index("id").sort_index()
     b = cells.bh_repulsion(st, 0.5, method="frontier").toPandas().set_index("id").sort_index()
     assert ((a - b).abs().max().max()) < 1e-9
+
+
+def test_frontier_without_any_broadcast(spark):
+    """Beyond the broadcast limit every level is a shuffled equi-join: same result."""
+    st = load_vectors(spark, SF).select("id", F.lit(0).alias("map"), (F.get("v", 4) * 10).alias("y1"),
+                                         (F.get("v", 5) * 10).alias("y2")).where("id < 120")
+    a = cells.bh_repulsion(st, 0.5, method="broadcast").toPandas().set_index("id").sort_index()
+    b = cells.bh_repulsion(st, 0.5, method="frontier", broadcast_cells=0).toPandas().set_index("id").sort_index()
+    assert ((a - b).abs().max().max()) < 1e-9
