@@ -68,3 +68,12 @@ def test_same_seed_same_map_under_other_partitioning(spark):
     a, b = out
     assert a.keys() == b.keys()
     assert max(max(abs(a[k][0] - b[k][0]), abs(a[k][1] - b[k][1])) for k in a) < 1e-9
+
+
+def test_checkpoint_interval_does_not_change_the_map(spark):
+    v = load_vectors(spark, SF)
+    a = jobs.tsne_exact(v, max_iterations=3, seed=4, loss_every=0, report_every=0, checkpoint_every=1)
+    b = jobs.tsne_exact(v, max_iterations=3, seed=4, loss_every=0, report_every=0, checkpoint_every=2)
+    sa = {r.id: (r.y1, r.y2) for r in a.state.collect()}
+    sb = {r.id: (r.y1, r.y2) for r in b.state.collect()}
+    assert max(max(abs(sa[k][0] - sb[k][0]), abs(sa[k][1] - sb[k][1])) for k in sa) < 1e-12
