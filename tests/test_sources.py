@@ -30,3 +30,15 @@ def test_row_index_dense(spark):
     df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS id")
     got = sorted((r.id, r.row_idx) for r in row_index(df, "id", n_parts=5).collect())
     assert got == [(i, i) for i in range(1000)]
+
+
+def test_csv_ids_follow_file_then_line_order(spark):
+    d = tempfile.mkdtemp(prefix="tmaps-csv2-")
+    with open(os.path.join(d, "part-00001.csv"), "w") as f:
+        f.write("".join(f"{k},{k}\n" for k in range(100, 150)))
+    with open(os.path.join(d, "part-00000.csv"), "w") as f:
+        f.write("".join(f"{k},{k}\n" for k in range(0, 100)))
+    good, rejects = read_csv_vectors(spark, d)
+    got = sorted((r.id, r.v[0]) for r in good.collect())
+    assert got == [(i, float(k)) for i, k in enumerate(list(range(0, 100)) + list(range(100, 150)))]
+    assert rejects.count() == 0
