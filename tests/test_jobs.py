@@ -77,3 +77,11 @@ def test_checkpoint_interval_does_not_change_the_map(spark):
     sa = {r.id: (r.y1, r.y2) for r in a.state.collect()}
     sb = {r.id: (r.y1, r.y2) for r in b.state.collect()}
     assert max(max(abs(sa[k][0] - sb[k][0]), abs(sa[k][1] - sb[k][1])) for k in sa) < 1e-12
+
+
+def test_barnes_hut_kl_falls(spark):
+    v = load_vectors(spark, SF)
+    res = jobs.tsne_bh(v, max_iterations=10, seed=3, params=TSNEParams(early_exaggeration=0),
+                       report_loss=lambda it: it in (1, 10))
+    kl = {it: val for it, nm, val in res.metrics if nm == "kl"}
+    assert kl[10] < kl[1]
