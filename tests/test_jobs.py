@@ -85,3 +85,14 @@ def test_barnes_hut_kl_falls(spark):
                        report_loss=lambda it: it in (1, 10))
     kl = {it: val for it, nm, val in res.metrics if nm == "kl"}
     assert kl[10] < kl[1]
+
+
+def test_multimap_with_laplacian_regulariser(spark):
+    import math
+    v = load_vectors(spark, SF)
+    res = jobs.mm_tsne(v, no_maps=2, max_iterations=2, seed=5, params=TSNEParams(laplace=0.1),
+                       loss_every=1, report_every=0)
+    losses = [val for it, nm, val in res.metrics if nm == "loss"]
+    assert len(losses) == 2 and all(math.isfinite(x) for x in losses)
+    s = res.state.agg(F.sum(F.col("y1") + F.col("y2") + F.col("w")).alias("s")).first()["s"]
+    assert math.isfinite(s)
