@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import exact_dedup
+from tmaps.llm import bpe, exact_dedup
 from tmaps.llm.common import table
 
 
@@ -12,8 +13,13 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_exact_dedup": _op2,
+    "op6_bpe": _op6,
 }
 
 SQL = {
