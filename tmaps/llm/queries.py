@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup
+from tmaps.llm import bpe, exact_dedup, packing
 from tmaps.llm.common import table
 
 
@@ -17,9 +17,14 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_exact_dedup": _op2,
     "op6_bpe": _op6,
+    "op9_best_fit_packing": _op9,
 }
 
 SQL = {
