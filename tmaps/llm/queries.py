@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, packing
+from tmaps.llm import bpe, exact_dedup, packing, toxicity
 from tmaps.llm.common import table
 
 
@@ -21,10 +21,15 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_exact_dedup": _op2,
     "op6_bpe": _op6,
     "op9_best_fit_packing": _op9,
+    "op10_toxicity": _op10,
 }
 
 SQL = {
