@@ -19,61 +19,35 @@ packs into no sequence; further columns are not read.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tmaps.llm.bpe import PATTERN, Vocabulary
 from tmaps.llm.common import pieces, stored
 
 CAPACITY = 2048
-MEMO = 300_000
 END = b"\0\0\0\0"  # id 0 closes every document
-_OPEN_SPACE = re.compile(r" (?=\s|\Z)")
-_WORD_SPACE = re.compile(r"(?<=.)(?= \S)", re.S)
 
 
 class Ids:
-    """Token ids by the tokenizers library, with a bounded memo of pieces that begin at
-    a space before a word: the byte-level pattern never reaches over such a place."""
-
-    def __init__(self, path: str, memo: int = MEMO) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo, self.limit = {}, memo
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        new = list({p for parts in cut if parts for p in parts} - self.memo.keys())
-        for at in range(0, len(new), 100_000):
-            some = new[at:at + 100_000]
-            self.memo.update(zip(some, self.raw(some)))
-        get = self.memo.__getitem__
-        return [self.raw([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if _OPEN_SPACE.search(text) is None and text[:1] != " ":
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]] if rest else [first] if first else []
-        return _WORD_SPACE.split(text)
+    """Ids of a byte-level BPE file, as the tokenizers library gives them, through
+    tiktoken's encoder on the file's own vocabulary: it needs a fifth of the time, and no
+    table of words. The strings of special tokens are those tokens."""
+
+    def __init__(self, path: str) -> None:
+        v = Vocabulary(path)
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens=v.special)
+
+    def of(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 _READY: dict[str, Ids] = {}
@@ -91,8 +65,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
         part, seen, ids = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), ids_of(path)
         for b in pieces(batches, "text"):
             row, no, start, length, crc, rank = [], [], [], [], [], []
-            for i, raw in enumerate(ids.of([t or "" for t in b.column("text").to_pylist()])):
-                raw += END
+            for i, text in enumerate(b.column("text").to_pylist()):
+                raw = ids.of(text or "") + END
                 at, total, k = 0, len(raw) // 4, 0
                 while at < total:
                     n = (total - at - 1) % capacity + 1 if at == 0 else capacity
