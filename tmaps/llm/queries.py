@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, extraction, language, packing, toxicity
+from tmaps.llm import bpe, exact_dedup, extraction, language, ngram_join, packing, toxicity
 from tmaps.llm.common import table
 
 
@@ -25,6 +25,10 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_exact_dedup": _op2,
     "op4_language_id": _op4,
     "op6_bpe": _op6,
+    "op7_ngram_jaccard_join": _op7,
     "op9_best_fit_packing": _op9,
     "op10_toxicity": _op10,
 }
