@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, extraction, language, ngram_join, packing, toxicity
+from tmaps.llm import bpe, exact_dedup, extraction, language, mtree, ngram_join, packing, toxicity
 from tmaps.llm.common import table
 
 
@@ -21,6 +21,11 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_html_extraction": _op1,
     "op2_exact_dedup": _op2,
     "op4_language_id": _op4,
+    "op5_mtree_search": _op5,
     "op6_bpe": _op6,
     "op7_ngram_jaccard_join": _op7,
     "op9_best_fit_packing": _op9,
@@ -48,6 +54,14 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_mtree_search": """
+with t as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select q.vec_id as query_id, c.vec_id,
+             list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+      from t q join t c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
     "op2_exact_dedup": r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
