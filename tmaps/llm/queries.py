@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, extraction, language, mtree, ngram_join, packing, toxicity
+from tmaps.llm import bpe, exact_dedup, extraction, language, line_dedup, mtree, ngram_join, packing, toxicity, url_filter
 from tmaps.llm.common import table
 
 
@@ -17,6 +17,14 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+# fixed values of the query: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,11 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site of a document is its source; its lines end at line feeds."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,10 +58,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": _op1,
     "op2_exact_dedup": _op2,
+    "op3_url_filter": _op3,
     "op4_language_id": _op4,
     "op5_mtree_search": _op5,
     "op6_bpe": _op6,
     "op7_ngram_jaccard_join": _op7,
+    "op8_line_dedup": _op8,
     "op9_best_fit_packing": _op9,
     "op10_toxicity": _op10,
 }
@@ -67,4 +82,16 @@ with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)""",
+    "op8_line_dedup": """
+with p as (select doc_id, source, case when coalesce(text, '') = '' then []::varchar[] else string_split(text, chr(10)) end as lines,
+                  row_number() over () as page from documents),
+t as (select source, count(*) as pages from p group by source),
+l as (select page, source, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line from p),
+c as (select source, trim(line, ' ') as line, count(distinct page) as n from l where trim(line, ' ') <> '' group by all),
+d as (select c.source, c.line from c join t on c.source is not distinct from t.source where n >= 3 and n > 0.3 * pages),
+k as (select l.page, string_agg(l.line, chr(10) order by pos) as text, count(*) as kept
+      from l left join d on l.source is not distinct from d.source and trim(l.line, ' ') = d.line
+      where d.line is null group by l.page)
+select p.doc_id, p.source, coalesce(k.text, '') as text, len(p.lines) as n_lines, len(p.lines) - coalesce(k.kept, 0) as n_dropped
+from p left join k using (page)""",
 }
