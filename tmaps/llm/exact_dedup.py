@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import WHITE, flat, stored
+from tmaps.llm.common import WHITE, flat, own, stored
 
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 PRIMES = (2147483647, 2147483629)
@@ -176,8 +176,9 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with their columns."""
+    number, digest = own("id", "sha")
     keep = exact_groups(docs).where("kept").select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"), F.col("text_sha256").alias("__sha"))
-    mine = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
-                             "__sha": F.sha2(_norm(F.coalesce("text", F.lit(""))), 256)})
-    return mine.join(keep, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias(number), F.col("text_sha256").alias(digest))
+    mine = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
+                             digest: F.sha2(_norm(F.coalesce("text", F.lit(""))), 256)})
+    return mine.join(keep, [number, digest], "left_semi").dropDuplicates([number, digest]).drop(number, digest)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import Powers, flat, mix64, pieces, span_hash, stored, word_spans
+from tmaps.llm.common import Powers, flat, mix64, own, pieces, span_hash, stored, word_spans
 from tmaps.llm.components import components
 
 WORDS = 3
@@ -252,6 +252,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component, with their columns."""
-    keep = jaccard_components(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__keep")).distinct()
-    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-            .join(keep, F.col("__id") == F.col("__keep"), "left_semi").drop("__id"))
+    number, kept = own("id", "keep")
+    keep = jaccard_components(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(kept)).distinct()
+    return (docs.withColumn(number, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+            .join(keep, F.col(number) == F.col(kept), "left_semi").drop(number))
