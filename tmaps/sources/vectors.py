@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tmaps.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,50 +45,54 @@ def write_csv_vectors(vectors: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def read_csv_vectors(spark: SparkSession, path: str, min_partitions: int | None = None
+def read_csv_vectors(spark: SparkSession, path: str, min_partitions: int | None = None, width: int | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """Numeric text lines → ``(vectors(id, v), rejects(id, line, reason))``.
 
     Every field is parsed with ``try_cast`` so a bad field does not fail the job:
-    such lines go to the reject table.  ``id`` is the 0-based line position over
-    the files in name order (the positional key of the text format).
+    such lines go to the reject table, as do lines with a field that is not finite
+    and lines of another width than ``width`` (by default that of the first good
+    line).  ``id`` is the 0-based line position over the files in name order (the
+    positional key of the text format).
     """
-    # Positional ids of a text source: (file, split start, order inside the split)
-    # ranks lines in file order; ``row_index`` turns that into dense 0-based ids
-    # without a single-partition window or any per-row Python.
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
-    numbered = row_index(lines, ["_f", "_s", "_m"]).select(F.col("row_idx").alias("id"), "line")
+    # A split's lines stand together, in order, so their running numbers less the
+    # split's first one are their places in it; the counts of the splits before it
+    # do the rest.  Both come from one written table: no sort, no second evaluation.
+    lines = stored(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+        F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line")), "csv-lines")
+    splits = lines.groupBy("_f", "_s").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    parsed = lines.join(splits, ["_f", "_s"]).select(
+        (F.col("_before") + F.col("_m") - F.col("_first")).alias("id"), "line",
+        F.transform(F.split(F.trim("line"), ","), lambda x: F.trim(x).try_cast("double")).alias("v"))
     if min_partitions:
-        numbered = numbered.repartition(min_partitions)
-    parsed = numbered.select(
-        "id", "line",
-        F.transform(F.split(F.trim("line"), ","), lambda x: x.try_cast("double")).alias("v"))
-    bad = F.exists("v", lambda x: x.isNull()) | (F.trim("line") == "")
-    rejects = parsed.where(bad).select("id", "line", F.lit("unparsable field").alias("reason"))
-    good = parsed.where(~bad).select("id", "v")
-    return good, rejects
+        parsed = parsed.repartition(min_partitions)
+    reason = (F.when((F.trim("line") == "") | F.exists("v", lambda x: x.isNull()), "unparsable field")
+              .when(F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "field is not finite"))
+    parsed = parsed.withColumn("reason", reason)
+    if width is None:
+        width = parsed.where("reason is null").agg(F.min_by(F.size("v"), "id")).first()[0]
+    parsed = parsed.withColumn("reason", F.coalesce("reason", F.when(F.size("v") != F.lit(width), "another width")))
+    return (parsed.where("reason is null").select("id", "v"),
+            parsed.where("reason is not null").select("id", "line", "reason"))
 
 
 def row_index(df: DataFrame, order_col: str | list[str] = "id", n_parts: int | None = None) -> DataFrame:
     """Dense 0-based ``row_idx`` in ``order_col`` order without a single-partition window.
 
-    Range-partition on the key, number rows inside each partition, and add the
-    running count of earlier partitions (a table of one row per partition).
+    The rows are range-partitioned on the key and written once with their partition's
+    number; that table is numbered inside each partition, and the rows of the
+    partitions before it are added (a table of one row per partition).
     """
     spark = df.sparkSession
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
+    ranged = stored(df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()), "row-index")
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_cnt"))
-    # one row per partition: bounded by n_parts, so the broadcast is size-checked
-    offsets = counts.select(
-        "_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .select(*[c for c in df.columns],
-                    (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("bigint").alias("row_idx")))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
+    return (ranged.withColumn("_local", local).join(offsets, "_pid")
+            .select(*df.columns, (F.col("_off") + F.col("_local")).cast("bigint").alias("row_idx")))
