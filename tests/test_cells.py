@@ -60,18 +60,42 @@ def test_duplicates_count_without_self(f4):
         assert bh[i] == pytest.approx(ex[i], rel=1e-12)
 
 
-def test_broadcast_walk_equals_frontier_join(spark):
-    st = load_vectors(spark, SF).select("id", F.lit(0).alias("map"), (F.get("v", 2) * 10).alias("y1"),
-                                         (F.get("v", 3) * 10).alias("y2")).where("id < 150")
-    a = cells.bh_repulsion(st, 0.5, method="broadcast").toPandas().set_index("id").sort_index()
-    b = cells.bh_repulsion(st, 0.5, method="frontier").toPandas().set_index("id").sort_index()
-    assert ((a - b).abs().max().max()) < 1e-9
-
-
-def test_frontier_without_any_broadcast(spark):
-    """Beyond the broadcast limit every level is a shuffled equi-join: same result."""
-    st = load_vectors(spark, SF).select("id", F.lit(0).alias("map"), (F.get("v", 4) * 10).alias("y1"),
-                                         (F.get("v", 5) * 10).alias("y2")).where("id < 120")
-    a = cells.bh_repulsion(st, 0.5, method="broadcast").toPandas().set_index("id").sort_index()
-    b = cells.bh_repulsion(st, 0.5, method="frontier", broadcast_cells=0).toPandas().set_index("id").sort_index()
-    assert ((a - b).abs().max().max()) < 1e-9
+def _against_exact(spark, rows, n, n_maps=1):
+    st = spark.createDataFrame(rows, "id bigint, map int, y1 double, y2 double")
+    ex = kernel.map_pass(st, n=n, n_maps=n_maps).toPandas().set_index(["map", "id"]).sort_index()
+    bh = cells.bh_repulsion(st, 1e-12).toPandas().set_index(["map", "id"]).sort_index()
+    for a, b in (("sum_q", "a"), ("n1", "r1"), ("n2", "r2")):
+        assert (bh[a] - ex[b]).abs().max() <= 1e-9 * ex[b].abs().max()
+
+
+def _square(n, seed=0):
+    import numpy as np
+    return np.random.default_rng(seed).uniform(0, 50, (n, 2)).tolist()
+
+
+def test_outlier_far_away(spark):
+    """Cells are opened as deep as it takes to part the points of a tiny corner."""
+    rows = [(i, 0, *p) for i, p in enumerate(_square(40))] + [(99, 0, 1e9, 1e9)]
+    _against_exact(spark, rows, 41)
+
+
+def test_maps_of_any_number(spark):
+    rows = [(i, m, p[0] * (1 + m / 64), p[1]) for m in (0, 256) for i, p in enumerate(_square(40))]
+    _against_exact(spark, rows, 40, 2)
+
+
+def test_blocks_of_points_do_not_change_the_result(spark, monkeypatch):
+    rows = [(i, 0, *p) for i, p in enumerate(_square(150))] + [(200 + i, 0, 7.0, 7.0) for i in range(60)]
+    st = spark.createDataFrame(rows, "id bigint, map int, y1 double, y2 double")
+    whole = cells.bh_repulsion(st, 0.5).toPandas().set_index("id").sort_index()
+    monkeypatch.setattr(cells, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(cells, "WALK_PAIRS", 500)
+    parts = cells.bh_repulsion(st, 0.5).toPandas().set_index("id").sort_index()
+    assert (whole - parts).abs().max().max() < 1e-9
+
+
+def test_one_point_and_equal_points(spark):
+    one = spark.createDataFrame([(0, 0, 1.0, 2.0)], "id bigint, map int, y1 double, y2 double")
+    assert [tuple(r) for r in cells.bh_repulsion(one).collect()] == [(0, 0, 0.0, 0.0, 0.0)]
+    same = spark.createDataFrame([(i, 0, 1.0, 2.0) for i in range(5)], "id bigint, map int, y1 double, y2 double")
+    assert [r.sum_q for r in cells.bh_repulsion(same).collect()] == [4.0] * 5

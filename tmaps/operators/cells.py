@@ -1,4 +1,4 @@
-"""Cell hierarchy and Barnes-Hut repulsion as a level-by-level frontier join.
+"""Cell hierarchy and Barnes-Hut repulsion.
 
 ``cell_pyramid`` replaces a driver-side space-partitioning tree by one keyed
 aggregate: every point emits its cell index at each level (the box halved per
@@ -6,31 +6,37 @@ axis and level; a point on a mid-line goes to the lower child), and
 ``groupBy(map, level, c*)`` yields count, centre of mass and extent per cell.
 A cell is a leaf when it holds one point or only copies of one position.
 
-``bh_repulsion`` walks the hierarchy top-down: a frontier of (point, cell)
-pairs is joined with the cells of the next level; a cell is *accepted* when it
-is a leaf or ``radius² < θ·d²`` (the reference compares squares with θ), its
-summary then contributes ``cnt·q`` to sumQ and ``cnt·q²·(y − centre)`` to the
-repulsive force; otherwise its non-empty children enter the next frontier.
-The point's own cell is always opened and, once reached as a leaf (or at the
-deepest level), counted without the point itself.  Per-level cell tables are
-small near the root (≤ 4^level rows) and are broadcast only while their row
-count is below a checked limit; deeper levels use a shuffled equi-join, with
-AQE splitting skewed keys.
+``bh_repulsion`` deepens only cells that are no leaves, until every cell is one
+(or its points have equal unit coordinates: no further halving can part them).
+A cell is *accepted* for a point when it is a leaf or ``radius² < θ·d²`` (the
+reference compares squares with θ); its summary then contributes ``cnt·q`` to
+sumQ and ``cnt·q²·(y − centre)`` to the repulsive force; otherwise its children
+are visited.  The point's own cell is always opened and, as a leaf, counted
+without the point itself.
+
+Points are grouped into blocks of neighbours (a coarse cell, split by a hash
+where it holds more than ``BLOCK_POINTS``).  Level by level, the cells that some
+point of a block might open are followed by an equi-join of (block, cell) with
+the cells below: rows per block, not per point.  Each block is then co-grouped
+with the cells it can reach and walked there, so nothing depends on the size of
+the whole hierarchy, and there is one path for every size.
 """
 
 from __future__ import annotations
 
-import os
-import time
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmaps.session import checkpoint
 
-BROADCAST_CELLS = 200_000
-_DEBUG = bool(os.environ.get("TMAPS_DEBUG"))
+BLOCK_POINTS = 1024
+DEEPEN_LEVELS = 8
+WALK_PAIRS = 4_000_000  # (point, cell) pairs that a walk holds at once
 
 
 def _d(prefix, dims):
@@ -70,15 +76,19 @@ def cell_pyramid(state: DataFrame, levels: int, dims: int = 2, first_level: int
     """``cells(map, level, c*, cnt, s*, m*, leaf, r2)`` for levels 0..levels.
 
     ``s`` = coordinate sums, ``m`` = centre of mass, ``r2`` = Σ (cell width)²."""
-    u = _with_unit_coords(state, dims)
-    lv = u.select("map", *_d("y", dims), *_d("t", dims), *_d("w", dims),
+    return _cells(_with_unit_coords(state, dims), first_level, levels, dims).drop("flat")
+
+
+def _cells(unit: DataFrame, first_level: int, levels: int, dims: int) -> DataFrame:
+    """Cells of points with unit coordinates; ``flat``: no halving can part its points."""
+    lv = unit.select("map", *_d("y", dims), *_d("t", dims), *_d("w", dims),
                   F.explode(F.sequence(F.lit(int(first_level)), F.lit(int(levels)))).alias("level"))
-    lv = lv.select("map", "level", *_d("y", dims), *_d("w", dims),
+    lv = lv.select("map", "level", *_d("y", dims), *_d("t", dims), *_d("w", dims),
                    *[cell_index(F.col(f"t{k}"), F.col("level")).alias(f"c{k}") for k in range(1, dims + 1)])
     aggs = [F.count("*").alias("cnt")]
     for k in range(1, dims + 1):
         aggs += [F.sum(f"y{k}").alias(f"s{k}"), F.min(f"y{k}").alias(f"_lo{k}"), F.max(f"y{k}").alias(f"_hi{k}"),
-                 F.first(f"w{k}").alias(f"_w{k}")]
+                 (F.min(f"t{k}") == F.max(f"t{k}")).alias(f"_flat{k}"), F.first(f"w{k}").alias(f"_w{k}")]
     g = lv.groupBy("map", "level", *_d("c", dims)).agg(*aggs)
     leaf = None
     r2 = None
@@ -89,131 +99,160 @@ def cell_pyramid(state: DataFrame, levels: int, dims: int = 2, first_level: int
         r2 = cw * cw if r2 is None else r2 + cw * cw
     return g.select("map", "level", *_d("c", dims), F.col("cnt").cast("bigint").alias("cnt"), *_d("s", dims),
                     *[(F.col(f"s{k}") / F.col("cnt")).alias(f"m{k}") for k in range(1, dims + 1)],
-                    leaf.alias("leaf"), r2.alias("r2"))
+                    leaf.alias("leaf"), r2.alias("r2"),
+                    F.expr(" AND ".join(_d("_flat", dims))).alias("flat"))
 
 
-def _pyramid(st: DataFrame, dims: int, max_levels: int, cached: list):
-    """Cells of all levels that are needed (chunks of 16 levels until a chunk ends
-    with leaves only); returns ``(cells, depth, rows per level)`` where depth is
-    the first level holding leaves only (capped at ``max_levels``)."""
-    chunk, top = 16, -1
-    pieces, per_level = [], {}
-    need = 0
+def _deep_cells(points: DataFrame, n: int, dims: int, cached: list) -> tuple[DataFrame, int]:
+    """Cells of every level down to leaves, and the deepest level; only points in
+    cells that can still be parted go deeper."""
+    lo, hi = 0, max(2, math.ceil(math.log(max(n, 2)) / math.log(2 ** dims))) + 1
+    todo, pieces = points, []
     while True:
-        lo, hi = top + 1, min(top + chunk, max_levels)
-        piece = cell_pyramid(st, hi, dims, first_level=lo).persist(StorageLevel.MEMORY_AND_DISK)
+        piece = _cells(todo, lo, hi, dims).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(piece)
         pieces.append(piece)
-        _t = time.time()
-        stats = piece.groupBy("level").agg(F.count("*").alias("n"),
-                                           F.sum((~F.col("leaf")).cast("int")).alias("inner")).collect()
-        for r in stats:
-            per_level[int(r["level"])] = int(r["n"])
-            if r["inner"]:
-                need = max(need, int(r["level"]) + 1)
-        if _DEBUG:
-            print(f"bh pyramid {lo}..{hi}: depth {need} in {time.time() - _t:.2f}s", flush=True)
-        top = hi
-        if need <= hi or hi >= max_levels:
+        still = piece.where((F.col("level") == hi) & ~F.col("flat")).select("map", *_d("c", dims))
+        if still.isEmpty():
             break
+        here = [cell_index(F.col(f"t{k}"), F.lit(hi)).alias(f"c{k}") for k in range(1, dims + 1)]
+        todo = points.select("*", *here).join(still, ["map", *_d("c", dims)], "left_semi").drop(*_d("c", dims))
+        lo, hi = hi + 1, hi + DEEPEN_LEVELS
     cells = pieces[0]
-    for p_ in pieces[1:]:
-        cells = cells.unionByName(p_)
-    return cells, min(need, max_levels), per_level
-
-
-def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, max_levels: int = 24,
-                 broadcast_cells: int = BROADCAST_CELLS, persisted: list | None = None,
-                 method: str = "auto") -> DataFrame:
+    for p in pieces[1:]:
+        cells = cells.unionByName(p)
+    last = cells.where(~F.col("flat")).agg(F.max("level")).first()[0]
+    depth = 0 if last is None else last + 1
+    return cells.where(F.col("level") <= depth), depth
+
+
+def _blocks(points: DataFrame, n: int, dims: int) -> DataFrame:
+    """Points with ``blk``: a coarse cell, split by a hash where it holds many."""
+    level = max(0, math.ceil(math.log(max(1.0, n / BLOCK_POINTS)) / math.log(2 ** dims))) + 1
+    coarse = points.select("*", *[cell_index(F.col(f"t{k}"), F.lit(level)).alias(f"b{k}") for k in range(1, dims + 1)])
+    held = coarse.groupBy("map", *_d("b", dims)).agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("_parts"))
+    return (coarse.join(held, ["map", *_d("b", dims)])
+            .withColumn("blk", F.xxhash64(*_d("b", dims), F.pmod(F.xxhash64("id"), F.col("_parts"))))
+            .drop("_parts", *_d("b", dims)))
+
+
+def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, dims: int) -> DataFrame:
+    """``(map, blk, level, c*, …)``: every cell that a point of the block may visit.  A cell
+    is followed when the block's box may hold one of its own points or may come
+    near enough to its centre; the walk itself decides point by point."""
+    corner = [f(c).alias(f"_{n}{c}") for c in _d("y", dims) + _d("t", dims) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    box = blocked.groupBy("map", "blk").agg(*corner)
+    edge = [f"_{n}{c}" for c in _d("y", dims) + _d("t", dims) for n in ("lo", "hi")]
+    names = ["level", *_d("c", dims), *[c for c in cells.columns if c not in ("map", "level", *_d("c", dims))]]
+    below = cells.select("*", *[F.expr(f"c{k} div 2").alias(f"p{k}") for k in range(1, dims + 1)])
+    # the topmost cells are few: every block may visit them
+    top = min(depth, max(1, 6 // dims))
+    here = box.join(cells.where(F.col("level") <= top), "map").select("map", "blk", *edge, *names)
+    found = None
+    while True:
+        here = checkpoint(here)  # a short plan for the next level
+        mine = here.drop(*edge)
+        found = mine if found is None else found.unionByName(mine)
+        if top == depth:
+            return found
+        near, own = None, None
+        for k in range(1, dims + 1):
+            away = F.greatest(F.col(f"_loy{k}") - F.col(f"m{k}"), F.col(f"m{k}") - F.col(f"_hiy{k}"), F.lit(0.0))
+            near = away * away if near is None else near + away * away
+            inside = F.col(f"c{k}").between(cell_index(F.col(f"_lot{k}"), F.col("level")), cell_index(F.col(f"_hit{k}"), F.col("level")))
+            own = inside if own is None else own & inside
+        opened = here.where((F.col("level") == top) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
+        opened = opened.select("map", "blk", *edge, *[F.col(f"c{k}").alias(f"p{k}") for k in range(1, dims + 1)])
+        top += 1
+        here = (opened.join(below.where(F.col("level") == top), ["map", *_d("p", dims)])
+                .select("map", "blk", *edge, *names))
+
+
+def _walk(theta_sq: float, dims: int):
+    """Kernel of one block: its points walk the cells that it can reach."""
+    names = ["id", "map", "sum_q", *_d("n", dims)]
+
+    def run(points: pa.Table, cells: pa.Table) -> pa.Table:
+        m = points.num_rows
+        ids, maps = points.column("id"), points.column("map")
+        y, t = (np.column_stack([points.column(c).to_numpy() for c in _d(x, dims)]).astype(np.float64).reshape(m, dims) for x in "yt")
+        sum_q, force = np.zeros(m), np.zeros((m, dims))
+        if m and cells.num_rows:
+            level = cells.column("level").to_numpy().astype(np.int64)
+            order = np.argsort(level, kind="stable")
+            level = level[order]
+            col = lambda c: cells.column(c).to_numpy(zero_copy_only=False)[order]
+            c, s, cen = (np.column_stack([col(x) for x in _d(p, dims)]).astype(k).reshape(-1, dims)
+                         for p, k in (("c", np.int64), ("s", np.float64), ("m", np.float64)))
+            cnt, r2 = col("cnt").astype(np.float64), col("r2")
+            final = (col("leaf") | col("flat")).astype(bool)
+            first, count, child = _children(level, c)
+            step = max(1, WALK_PAIRS // len(level))
+            for lo in range(0, m, step):
+                at, cell = np.arange(lo, min(lo + step, m)), np.zeros(min(step, m - lo), dtype=np.int64)
+                while len(at):
+                    scale = 2.0 ** level[cell[0]]  # all pairs of a round are of one level
+                    own = (np.clip(np.ceil(t[at] * scale) - 1, 0, scale - 1) == c[cell]).all(axis=1)
+                    others = np.where(own, cnt[cell] - 1, cnt[cell])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        centre = np.where(own[:, None], (s[cell] - y[at]) / others[:, None], cen[cell])
+                    diff = y[at] - centre
+                    dsq = (diff * diff).sum(axis=1)
+                    take = final[cell] | (~own & (r2[cell] < theta_sq * dsq)) | (count[cell] == 0)
+                    use = take & (others > 0)
+                    q = 1.0 / (1.0 + dsq[use])
+                    w = others[use] * q
+                    sum_q += np.bincount(at[use], w, minlength=m)
+                    for k in range(dims):
+                        force[:, k] += np.bincount(at[use], w * q * diff[use, k], minlength=m)
+                    more = count[cell[~take]]
+                    ends = np.cumsum(more)
+                    place = np.repeat(first[cell[~take]] - (ends - more), more) + np.arange(int(more.sum()))
+                    at, cell = np.repeat(at[~take], more), child[place]
+        return pa.table([ids, maps, pa.array(sum_q), *[pa.array(force[:, k].copy()) for k in range(dims)]], names=names)
+    return run
+
+
+def _children(level: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where a cell's children begin, their number, the children): rows ascend by level."""
+    parent = np.full(len(level), -1, dtype=np.int64)
+    cuts = np.searchsorted(level, np.arange(level[-1] + 2))
+    for k in range(1, len(cuts) - 1):
+        a, b, e = cuts[k - 1], cuts[k], cuts[k + 1]
+        if b < e:
+            _, code = np.unique(np.concatenate([c[a:b], c[b:e] // 2]), axis=0, return_inverse=True)
+            code = code.ravel()
+            back = np.full(int(code.max()) + 1, -1, dtype=np.int64)
+            back[code[:b - a]] = np.arange(a, b)
+            parent[b:e] = back[code[b - a:]]
+    child = np.argsort(parent, kind="stable")
+    child = child[np.searchsorted(parent[child], 0):]
+    count = np.bincount(parent[child], minlength=len(level))
+    return np.cumsum(count) - count, count, child
+
+
+def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2) -> DataFrame:
     """``(id, map, sum_q, n1..nd)``: Barnes-Hut estimate of Σ_j q_ij and of the
-    repulsive force Σ_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i.
-
-    ``method='broadcast'`` ships the whole cell pyramid to the tasks and walks
-    it for a batch of points at a time (vectorised); it is chosen by ``'auto'``
-    only when the pyramid's row count is at most ``broadcast_cells`` (checked
-    before collecting it) and ``dims == 2``.  Otherwise ``'frontier'`` walks the
-    levels as joins.  Both give the same result.
-
-    Persisted intermediates are appended to ``persisted`` so the caller can
-    release them once the result is materialised."""
-    st = state  # a missing map column is added (as map 0) after the per-map statistics
-    cached = persisted if persisted is not None else []
-    cells, depth, per_level = _pyramid(st, dims, max_levels, cached)
-    total = sum(per_level.get(lv, 0) for lv in range(depth + 1))
-    small = dims == 2 and depth <= 24 and total <= broadcast_cells
-    if method == "broadcast" or (method == "auto" and small):
-        out = _bh_broadcast(st, cells.where(F.col("level") <= depth), depth, theta_sq, dims)
-    else:
-        out = _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells)
-    if persisted is None:
-        # both paths have consumed the pyramid eagerly (collected, or joined into
-        # checkpointed frontier levels), so its cached pieces can go now
-        for c in cached:
-            c.unpersist()
+    repulsive force Σ_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i.  The result is
+    checkpointed, so its intermediates are released at once."""
+    cached: list[DataFrame] = []
+    points = _with_unit_coords(state, dims).select("id", F.col("map").cast("int").alias("map"), *_d("y", dims), *_d("t", dims), *_d("w", dims))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(points)
+    n = points.count()
+    cells, depth = _deep_cells(points, n, dims, cached)
+    blocked = _blocks(points, n, dims).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(blocked)
+    reach = _reach(blocked, checkpoint(cells), depth, theta_sq, dims)
+    out = (blocked.select("map", "blk", "id", *_d("y", dims), *_d("t", dims)).groupBy("map", "blk")
+           .cogroup(reach.groupBy("map", "blk"))
+           .applyInArrow(_walk(theta_sq, dims), "id bigint, map int, sum_q double, " + ", ".join(f"n{k} double" for k in range(1, dims + 1))))
+    out = checkpoint(out)
+    for df in cached:
+        df.unpersist()
     return out
 
 
-def _bh_frontier(st, cells, depth, per_level, theta_sq, dims, broadcast_cells):
-    pts = _with_unit_coords(st, dims).select("id", "map", *_d("y", dims), *_d("t", dims))
-    frontier = pts.select("*", *[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(1, dims + 1)])
-    partials = []
-    for level in range(0, depth + 1):
-        cl = cells.where(F.col("level") == level).drop("level")
-        if per_level.get(level, 0) <= broadcast_cells:
-            cl = F.broadcast(cl)
-        f = frontier.join(cl, ["map", *_d("c", dims)])
-        own = None
-        d2 = None
-        for k in range(1, dims + 1):
-            o = F.col(f"c{k}") == cell_index(F.col(f"t{k}"), F.lit(level))
-            own = o if own is None else (own & o)
-        f = f.withColumn("_own", own)
-        # statistics without the point itself for its own cell
-        cnt = F.when(F.col("_own"), F.col("cnt") - 1).otherwise(F.col("cnt"))
-        f = f.withColumn("_cnt", cnt)
-        for k in range(1, dims + 1):
-            mk = F.when(F.col("_own"), F.when(F.col("_cnt") > 0, (F.col(f"s{k}") - F.col(f"y{k}")) / F.col("_cnt")))
-            f = f.withColumn(f"_m{k}", mk.otherwise(F.col(f"m{k}")))
-            diff = F.col(f"y{k}") - F.col(f"_m{k}")
-            f = f.withColumn(f"_df{k}", diff)
-            d2 = diff * diff if d2 is None else d2 + diff * diff
-        f = f.withColumn("_dsq", d2)
-        last = level >= depth
-        accept = F.col("leaf") | (~F.col("_own") & (F.col("r2") < F.lit(theta_sq) * F.col("_dsq")))
-        if last:
-            accept = F.lit(True)
-        keep = ["id", "map", *_d("y", dims), *_d("t", dims), *_d("c", dims), "_acc", "_cnt", "_dsq",
-                *[f"_df{k}" for k in range(1, dims + 1)]]
-        _t = time.time()
-        # reliable checkpoint: the next level starts from a short plan, and a
-        # lost executor does not send the recompute back through all levels
-        f = checkpoint(f.withColumn("_acc", accept).select(*keep))
-        if _DEBUG:
-            print(f"bh level {level}: {time.time() - _t:.2f}s", flush=True)
-        q = F.lit(1.0) / (F.lit(1.0) + F.col("_dsq"))
-        acc = f.where(F.col("_acc") & (F.col("_cnt") > 0))
-        partials.append(acc.groupBy("id", "map").agg(
-            F.sum(F.col("_cnt") * q).alias("sum_q"),
-            *[F.sum(F.col("_cnt") * q * q * F.col(f"_df{k}")).alias(f"n{k}") for k in range(1, dims + 1)]))
-        if last:
-            break
-        opened = f.where(~F.col("_acc")).select("id", "map", *_d("y", dims), *_d("t", dims), *_d("c", dims))
-        bits = F.explode(F.sequence(F.lit(0), F.lit(2 ** dims - 1))).alias("_child")
-        ch = opened.select("*", bits)
-        frontier = ch.select("id", "map", *_d("y", dims), *_d("t", dims),
-                             *[(F.col(f"c{k}") * 2 + F.shiftright("_child", dims - k).bitwiseAND(1)).alias(f"c{k}")
-                               for k in range(1, dims + 1)])
-    out = partials[0]
-    for p in partials[1:]:
-        out = out.unionByName(p)
-    res = out.groupBy("id", "map").agg(F.sum("sum_q").alias("sum_q"),
-                                       *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1, dims + 1)])
-    # points with no accepted cell (n = 1) still get a row
-    return (pts.select("id", "map").join(res, ["id", "map"], "left")
-            .select("id", "map", F.coalesce("sum_q", F.lit(0.0)).alias("sum_q"),
-                    *[F.coalesce(f"n{k}", F.lit(0.0)).alias(f"n{k}") for k in range(1, dims + 1)]))
-
-
 def bh_gradient(joint_p: DataFrame, state: DataFrame, repulsion: DataFrame, dims: int = 2,
                 p_scale=1.0, scale: float = 1.0) -> tuple[DataFrame, object]:
     """``dY = scale·(posF − negF / sumQ)`` with sumQ = Σ_i sum_q_i; returns ``(grad, sumQ column)``."""
@@ -224,78 +263,3 @@ def bh_gradient(joint_p: DataFrame, state: DataFrame, repulsion: DataFrame, dims
     g = j.select("id", *[(F.lit(scale) * (F.coalesce(F.col(f"e{k}"), F.lit(0.0)) - F.col(f"n{k}") / sum_q)).alias(f"dy{k}")
                          for k in range(1, dims + 1)])
     return g, sum_q
-
-
-def _bh_broadcast(st: DataFrame, cells: DataFrame, depth: int, theta_sq: float, dims: int) -> DataFrame:
-    """Vectorised walk of a broadcast cell pyramid (bounded size, checked by the caller)."""
-    import numpy as np
-    import pyarrow as pa
-
-    cp = cells.select("map", "level", "c1", "c2", "cnt", "s1", "s2", "m1", "m2", "leaf", "r2").toPandas()
-    key = _cell_key(cp["level"].to_numpy(np.int64), cp["map"].to_numpy(np.int64),
-                    cp["c1"].to_numpy(np.int64), cp["c2"].to_numpy(np.int64))
-    order = np.argsort(key)
-    tab = {c: cp[c].to_numpy()[order] for c in ("cnt", "s1", "s2", "m1", "m2", "leaf", "r2")}
-    tab["key"] = key[order]
-    bc = st.sparkSession.sparkContext.broadcast(tab)
-
-    def run(batches):
-        tb = bc.value
-        keys = tb["key"]
-        for rb in batches:
-            t = pa.Table.from_batches([rb])
-            ids = t.column("id").to_numpy()
-            mp = t.column("map").to_numpy().astype(np.int64)
-            y = np.column_stack([t.column("y1").to_numpy(), t.column("y2").to_numpy()]).astype(np.float64)
-            tt = np.column_stack([t.column("t1").to_numpy(), t.column("t2").to_numpy()]).astype(np.float64)
-            m = len(ids)
-            sum_q = np.zeros(m)
-            force = np.zeros((m, 2))
-            fp = np.arange(m)
-            fc = np.zeros((m, 2), dtype=np.int64)
-            for level in range(depth + 1):
-                if len(fp) == 0:
-                    break
-                k = _cell_key(np.full(len(fp), level, np.int64), mp[fp], fc[:, 0], fc[:, 1])
-                pos = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                hit = keys[pos] == k
-                fp, fc, pos = fp[hit], fc[hit], pos[hit]
-                scale = 2.0 ** level
-                own_idx = np.clip(np.ceil(tt[fp] * scale) - 1, 0, scale - 1).astype(np.int64)
-                own = (fc == own_idx).all(axis=1)
-                cnt = tb["cnt"][pos].astype(np.float64)
-                ccnt = np.where(own, cnt - 1, cnt)
-                sums = np.column_stack([tb["s1"][pos], tb["s2"][pos]])
-                cen = np.column_stack([tb["m1"][pos], tb["m2"][pos]])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    own_cen = (sums - y[fp]) / ccnt[:, None]
-                cen = np.where(own[:, None], own_cen, cen)
-                diff = y[fp] - cen
-                dsq = (diff * diff).sum(axis=1)
-                leaf = tb["leaf"][pos].astype(bool)
-                acc = leaf | (~own & (tb["r2"][pos] < theta_sq * dsq))
-                if level >= depth:
-                    acc[:] = True
-                use = acc & (ccnt > 0)
-                q = 1.0 / (1.0 + dsq[use])
-                w = ccnt[use] * q
-                np.add.at(sum_q, fp[use], w)
-                np.add.at(force, fp[use], (w * q)[:, None] * diff[use])
-                op = ~acc
-                fp, fc = fp[op], fc[op]
-                # open: the 2^d children (empty ones are dropped at the next lookup)
-                fp = np.repeat(fp, 4)
-                child = np.tile(np.array([[0, 0], [0, 1], [1, 0], [1, 1]], dtype=np.int64), (len(fc), 1))
-                fc = np.repeat(fc, 4, axis=0) * 2 + child
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(mp.astype(np.int32), pa.int32()), pa.array(sum_q),
-                 pa.array(force[:, 0]), pa.array(force[:, 1])],
-                names=["id", "map", "sum_q", "n1", "n2"])
-
-    pts = _with_unit_coords(st, dims).select("id", F.col("map").cast("int").alias("map"), "y1", "y2", "t1", "t2")
-    return pts.mapInArrow(run, "id bigint, map int, sum_q double, n1 double, n2 double")
-
-
-def _cell_key(level, mp, c1, c2):
-    """One int64 per (level, map, c1, c2) for levels ≤ 24 and maps < 2^8 (d = 2)."""
-    return (level << 56) | (mp << 48) | (c1 << 24) | c2
