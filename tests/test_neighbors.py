@@ -57,3 +57,32 @@ def test_knn_with_a_third_of_rows_identical(spark):
         want = ids[np.lexsort((ids, D[row]))[:7]]
         have = got[got.i == i].sort_values("r")["j"].to_numpy()
         assert list(have) == list(want)
+
+
+def test_offset_data_and_ragged_vectors(spark):
+    """A constant far from the origin changes no neighbour; widths must agree."""
+    import numpy as np
+    import pytest
+    x = np.random.default_rng(3).normal(size=(200, 64)) + 1e7
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in neighbors.knn_join(df, 10, n=200).collect():
+        got.setdefault(r.i, {})[r.r] = r.j
+        assert abs(r.d2 - d[r.i, r.j]) <= 1e-9 * d[r.i, r.j]
+    for i in range(200):
+        assert [got[i][k] for k in range(1, 11)] == np.lexsort((np.arange(200), d[i]))[:10].tolist()
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0])], "id bigint, v array<double>")
+    with pytest.raises(Exception, match="different widths"):
+        neighbors.knn_join(ragged, 1, n=2).collect()
+
+
+def test_super_blocks_merge_to_the_same_neighbours(spark, monkeypatch):
+    import numpy as np
+    from tmaps.operators import blocks
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+    one = sorted((r.i, r.r, r.j) for r in neighbors.knn_join(df, 7, n=300).collect())
+    monkeypatch.setattr(blocks, "COLUMN_BLOCKS", 2)
+    assert sorted((r.i, r.r, r.j) for r in neighbors.knn_join(df, 7, n=300, block_rows=20).collect()) == one

@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REALMIN = 1e-12
+DISTANCE_TOLERANCE = 1e-10  # relative error that the norm-assisted form may have
+DIRECT_PAIRS = 100_000
+COLUMN_BLOCKS = 64  # blocks of candidates that meet a block of rows in one group
 
 
 MIN_BLOCK_ROWS = 64
@@ -67,6 +70,9 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     n = len(arr)
     if n == 0:
         return np.zeros((0, 0))
+    size = arr.value_lengths().to_numpy(zero_copy_only=False)
+    if not (size == size[0]).all():
+        raise ValueError(f"vectors of different widths: {np.unique(size).tolist()}")
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(n, -1)
 
@@ -77,11 +83,24 @@ def _np(t: pa.Table, name: str, dtype=None) -> np.ndarray:
 
 
 def sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances, norm-assisted (one GEMM)."""
-    na = np.einsum("ij,ij->i", a, a)
-    nb = np.einsum("ij,ij->i", b, b)
-    d = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
-    np.maximum(d, 0.0, out=d)
+    """Squared Euclidean distances, norm-assisted (one GEMM) about a common centre;
+    entries that the expansion may have cancelled are computed again directly."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    with np.errstate(invalid="ignore", over="ignore"):
+        centre = a.mean(axis=0)
+        a, b = a - centre, b - centre
+        na = np.einsum("ij,ij->i", a, a)
+        nb = np.einsum("ij,ij->i", b, b)
+        d = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+        np.maximum(d, 0.0, out=d)
+        # rounding of the expansion against what is left of it
+        doubt = (na[:, None] + nb[None, :]) * (4 * a.shape[1] * np.finfo(float).eps) > d * DISTANCE_TOLERANCE
+    i, j = np.nonzero(doubt)
+    for lo in range(0, len(i), DIRECT_PAIRS):
+        x, y = i[lo:lo + DIRECT_PAIRS], j[lo:lo + DIRECT_PAIRS]
+        diff = a[x] - b[y]
+        d[x, y] = np.einsum("ij,ij->i", diff, diff)
     return d
 
 
@@ -127,35 +146,45 @@ KNN_SCHEMA = "i bigint, j bigint, d2 double"
 DIST_SUMMARY_SCHEMA = "i bigint, n_pairs bigint, d2_min double, d2_max double, d2_sum double"
 
 
-def directed_knn_kernel(k: int):
-    """Per directed block pair (row block, column block): top-k candidates among the
-    column block for every row of the row block (self excluded on the diagonal)."""
+def directed_knn_kernel(k: int, tile: int = 2048):
+    """Per group (row block, super-block of columns): the k nearest of the columns for
+    every row of the row block, found tile by tile (self excluded by id)."""
 
     def run(t: pa.Table) -> pa.Table:
         role = t.column("_row").to_numpy(zero_copy_only=False).astype(bool)
         ids = _np(t, "id", np.int64)
         x = _matrix(t.column("v"))
-        ir, ic = ids[role], ids[~role]
-        if len(ir) == 0 or len(ic) == 0:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()),
-                             "d2": pa.array([], pa.float64())})
-        d = sq_dist(x[role], x[~role])
-        d[ir[:, None] == ic[None, :]] = np.inf
-        r, c = _topk_rows(d, k, col_ids=ic)
-        return pa.table({"i": ir[r].astype(np.int64), "j": ic[c].astype(np.int64), "d2": d[r, c]})
+        rows, others = np.flatnonzero(role), np.flatnonzero(~role)
+        out = []
+        for lo in range(0, len(rows), tile):
+            at = rows[lo:lo + tile]
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row in the tile, column, distance
+            for first in range(0, len(others), tile):
+                cols = others[first:first + tile]
+                d = sq_dist(x[at], x[cols])
+                d[ids[at][:, None] == ids[cols][None, :]] = np.inf
+                r, c = _topk_rows(d, k, col_ids=ids[cols])
+                best = [np.concatenate(p) for p in zip(best, (r, cols[c], d[r, c]))]
+                order = np.lexsort((ids[best[1]], best[2], best[0]))
+                best = [p[order] for p in best]
+                place = np.arange(len(order)) - np.searchsorted(best[0], best[0], side="left")
+                best = [p[place < k] for p in best]
+            out.append((ids[at[best[0]]], ids[best[1]], best[2]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"i": cols[0].astype(np.int64), "j": cols[1].astype(np.int64), "d2": cols[2].astype(np.float64)})
 
     return run
 
 
-def replicate_directed(df: DataFrame, n_blocks: int) -> DataFrame:
-    """Each row twice per block: as a query row of (its block, o) and as a
-    candidate of (o, its block), for o in 0..B-1 (2·B copies)."""
-    o = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o")
-    rep = df.select("*", o)
-    roles = F.inline(F.array(
-        F.struct(F.col("_b").alias("_br"), F.col("_o").alias("_bc"), F.lit(True).alias("_row")),
-        F.struct(F.col("_o").alias("_br"), F.col("_b").alias("_bc"), F.lit(False).alias("_row"))))
-    return rep.select(*[c for c in df.columns if c != "_b"], roles)
+def replicate_directed(df: DataFrame, n_blocks: int, n_columns: int) -> DataFrame:
+    """Each row once for each super-block of columns, as a row of its block, and once
+    for each block, as a candidate of its super-block: groups ``(_br, _sc)``."""
+    own = F.pmod(F.col("_b"), F.lit(n_columns))
+    as_row = F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda c: F.struct(
+        F.col("_b").alias("_br"), c.alias("_sc"), F.lit(True).alias("_row")))
+    as_candidate = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda r: F.struct(
+        r.alias("_br"), own.alias("_sc"), F.lit(False).alias("_row")))
+    return df.select(*[c for c in df.columns if c != "_b"], F.inline(F.concat(as_row, as_candidate)))
 
 
 def dist_summary_kernel(t: pa.Table) -> pa.Table:
@@ -322,7 +351,16 @@ def topq_kernel(dims: int, k: int, realmin: float = REALMIN):
 
 def fused_schema(dims: int) -> str:
     return (map_sums_schema(dims) + ", " + ", ".join(f"e{k} double" for k in range(1, dims + 1))
-            + ", t double, lp double, ps double, qmin double")
+            + ", t double, pn double, lp double, ps double, qmin double")
+
+
+def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in ascending ``ids``; an edge to a point without a position is an error."""
+    at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
+    if not len(ids) or (ids[at] != wanted).any():
+        gone = wanted[:1] if not len(ids) else wanted[ids[at] != wanted][:5]
+        raise ValueError(f"affinities name points that have no position: {gone.tolist()}")
+    return at
 
 
 LOSS_COLS = ["lp", "ps", "qmin"]
@@ -332,7 +370,8 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
     """All-pairs sums (a, s, r*) plus the P-edge sums of one block pair in one task.
 
     single map:  e = Σ_{j∈P} p'·num·(y_i − y_j)
-    maps:        e = Σ_{j∈P} QQ_m·num_m·p'/QZ·(y_i − y_j),  t = Σ_{j∈P} π_jm·num_m·p'/QZ
+    maps:        e = Σ_{j∈P} QQ_m·num_m·p'/QZ·(y_i − y_j),  t = Σ_{j∈P} π_jm·num_m·p'/QZ,
+                 pn = Σ_{j∈P} p'·π_jm
     with p' = p·p_scale and QZ = realmin + Σ_m QQ_m at the edge.
 
     Loss parts (once per edge): ``lp = Σ p'·ln(p'/num)`` (maps: ``p'·ln(max(p', realmin)/QZ)``),
@@ -343,11 +382,13 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
 
     def run(rows: pa.Table, edges: pa.Table) -> pa.Table:
         if rows.num_rows == 0:
+            if edges.num_rows:
+                _places(np.zeros(0, np.int64), _np(edges, "i", np.int64))
             return _empty_fused(dims)
         base = sums(rows)
         n0 = base.num_rows
         cols = {c: base.column(c).to_numpy() for c in base.column_names}
-        for c in ecols + ["t", "lp", "ps"]:
+        for c in ecols + ["t", "pn", "lp", "ps"]:
             cols[c] = np.zeros(n0)
         cols["qmin"] = np.full(n0, np.inf)
         if edges.num_rows:
@@ -361,9 +402,7 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
                 sel = maps == m
                 idm = ids[sel]
                 order = np.argsort(idm, kind="stable")
-                sid = idm[order]
-                pos_i = order[np.searchsorted(sid, ei)]
-                pos_j = order[np.searchsorted(sid, ej)]
+                pos_i, pos_j = (order[_places(idm[order], e)] for e in (ei, ej))
                 ym, pim = y[sel], pi[sel]
                 diff = ym[pos_i] - ym[pos_j]
                 num = 1.0 / (1.0 + np.einsum("ij,ij->i", diff, diff))
@@ -372,7 +411,7 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
             if not single:
                 for _, _, num, pii, pij in per:
                     qz += pii * pij * num
-            out_id, out_map, out_e, out_t = [], [], [], []
+            out_id, out_map, out_e, out_t, out_pn = [], [], [], [], []
             out_lp, out_ps, out_qm = [], [], []
             for m, diff, num, pii, pij in per:
                 first = m == umaps[0]
@@ -399,6 +438,7 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
                 out_map.append(np.full(len(ei), m, dtype=np.int32))
                 out_e.append(w[:, None] * diff)
                 out_t.append(t)
+                out_pn.append(np.zeros(len(ei)) if single else p * pij)
             ne = sum(len(x) for x in out_id)
             cols["id"] = np.concatenate([cols["id"]] + out_id)
             cols["map"] = np.concatenate([cols["map"]] + out_map).astype(np.int32)
@@ -408,11 +448,12 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
             for k, c in enumerate(ecols):
                 cols[c] = np.concatenate([cols[c], e_all[:, k]])
             cols["t"] = np.concatenate([cols["t"], np.concatenate(out_t)])
+            cols["pn"] = np.concatenate([cols["pn"]] + out_pn)
             cols["lp"] = np.concatenate([cols["lp"]] + out_lp)
             cols["ps"] = np.concatenate([cols["ps"]] + out_ps)
             cols["qmin"] = np.concatenate([cols["qmin"]] + out_qm)
         return pa.table({c: cols[c] for c in ["id", "map", "a", "s"] + [f"r{k}" for k in range(1, dims + 1)]
-                         + ecols + ["t"] + LOSS_COLS})
+                         + ecols + ["t", "pn"] + LOSS_COLS})
 
     return run
 
@@ -420,7 +461,7 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
 def _empty_fused(dims: int) -> pa.Table:
     cols = {"id": pa.array([], pa.int64()), "map": pa.array([], pa.int32())}
     for c in (["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)]
-              + ["t"] + LOSS_COLS):
+              + ["t", "pn"] + LOSS_COLS):
         cols[c] = pa.array([], pa.float64())
     return pa.table(cols)
 
@@ -435,14 +476,14 @@ def key_edges(joint_p: DataFrame, n_blocks: int) -> DataFrame:
 def fused_pass(state_pi: DataFrame, keyed_edges: DataFrame, n_blocks: int, dims: int, single: bool,
                p_scale: float, realmin: float = REALMIN) -> DataFrame:
     """One shuffle of replicated map rows co-grouped with the keyed P edges →
-    per (id, map): a, s, r*, e*, t."""
+    per (id, map): a, s, r*, e*, t, pn."""
     st = state_pi.select("id", F.col("map").cast("int").alias("map"),
                          *[f"y{k}" for k in range(1, dims + 1)], F.col("pi").cast("double"))
     rep = replicate_pairs(with_block(st, n_blocks), n_blocks)
     part = (rep.groupBy("_lo", "_hi")
             .cogroup(keyed_edges.groupBy("_lo", "_hi"))
             .applyInArrow(fused_kernel(dims, single, p_scale, realmin), fused_schema(dims)))
-    names = ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t", "lp", "ps"]
+    names = ["a", "s"] + [f"r{k}" for k in range(1, dims + 1)] + [f"e{k}" for k in range(1, dims + 1)] + ["t", "pn", "lp", "ps"]
     return part.groupBy("id", "map").agg(*[F.sum(c).alias(c) for c in names], F.min("qmin").alias("qmin"))
 
 

@@ -47,25 +47,21 @@ def pair_distances(vectors: DataFrame, n: int | None = None, block_rows: int = 2
 def knn_join(vectors: DataFrame, k: int, n: int | None = None, block_rows: int = 2048) -> DataFrame:
     """Exact k nearest neighbours ``knn(i, j, d2, r)``, r = 1 for the nearest.
 
-    Directed block pairs (row block, column block) are grouped after a
-    repartition on the *row block*, so every candidate of a row is produced in
-    one partition: the partial ``WindowGroupLimit`` in front of the final
-    shuffle cuts them to k per row there, and only k rows per point cross the
-    network (instead of k per row and block pair).  The price is computing each
-    distance twice.
+    Groups are (row block, super-block of ``COLUMN_BLOCKS`` column blocks): one task
+    reads one block of rows and one super-block of candidates at any n, keeps k
+    of them for each row, and only those partial lists are merged by row.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "i bigint, j bigint, d2 double, r int")
     spark = vectors.sparkSession
     if n is None:
         n = vectors.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # enough row blocks for every core, but never blocks below MIN_BLOCK_ROWS rows
     nb = max(math.ceil(n / block_rows),
              min(spark.sparkContext.defaultParallelism, math.ceil(n / blocks.MIN_BLOCK_ROWS)), 1)
-    rep = blocks.replicate_directed(blocks.with_block(vectors.select("id", "v"), nb), nb)
-    rep = rep.repartition(max(parts, 1), "_br")
-    cand = rep.groupBy("_br", "_bc").applyInArrow(blocks.directed_knn_kernel(k), blocks.KNN_SCHEMA)
+    columns = max(1, math.ceil(n / (block_rows * blocks.COLUMN_BLOCKS)))
+    rep = blocks.replicate_directed(blocks.with_block(vectors.select("id", "v"), nb), nb, columns)
+    cand = rep.groupBy("_br", "_sc").applyInArrow(blocks.directed_knn_kernel(k), blocks.KNN_SCHEMA)
     w = Window.partitionBy("i").orderBy("d2", "j")
     return (cand.withColumn("r", F.row_number().over(w))
             .where(F.col("r") <= k)
