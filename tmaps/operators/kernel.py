@@ -63,19 +63,13 @@ def kernel_total(row_sums: DataFrame, col: str = "a") -> DataFrame:
     return row_sums.agg(F.sum(col).alias("z"))
 
 
-STATE_BROADCAST_ROWS = 1_000_000
-
-
-def edge_frame(joint_p: DataFrame, state: DataFrame, dims: int = 2, state_rows: int | None = None) -> DataFrame:
+def edge_frame(joint_p: DataFrame, state: DataFrame, dims: int = 2) -> DataFrame:
     """P edges with both endpoints: ``(i, j, p, y?_i, y?_j, d2, num)`` — two equi-joins.
 
-    When the caller knows the state has at most ``STATE_BROADCAST_ROWS`` rows
-    (``state_rows``), the positions are broadcast and the edges never shuffle;
-    otherwise both joins shuffle and a hot j (hub) is split by AQE's skew join."""
+    Catalyst broadcasts positions whose measured size is small; otherwise both joins
+    shuffle and a hot j (hub) is split by AQE's skew join."""
     yi = state.select(F.col("id").alias("i"), *[F.col(c).alias(c + "_i") for c in dim_cols("y", dims)])
     yj = state.select(F.col("id").alias("j"), *[F.col(c).alias(c + "_j") for c in dim_cols("y", dims)])
-    if state_rows is not None and state_rows <= STATE_BROADCAST_ROWS:
-        yi, yj = F.broadcast(yi), F.broadcast(yj)
     e = joint_p.select("i", "j", "p").join(yi, "i").join(yj, "j")
     d2 = None
     for c in dim_cols("y", dims):
@@ -98,10 +92,9 @@ def attractive_forces(joint_p: DataFrame, state: DataFrame, dims: int = 2) -> Da
     return e.groupBy(F.col("i").alias("id")).agg(*aggs)
 
 
-def edge_pass(joint_p: DataFrame, state: DataFrame, dims: int = 2, p_scale=1.0,
-              state_rows: int | None = None) -> DataFrame:
+def edge_pass(joint_p: DataFrame, state: DataFrame, dims: int = 2, p_scale=1.0) -> DataFrame:
     """``A_i = Σ_{j∈P} (p·scale)·num·(y_i − y_j)`` → ``(id, e1..ed)``."""
-    e = edge_frame(joint_p, state, dims, state_rows)
+    e = edge_frame(joint_p, state, dims)
     w = F.col("p") * _lit(p_scale) * F.col("num")
     aggs = [F.sum(w * (F.col(c + "_i") - F.col(c + "_j"))).alias(f"e{k}")
             for k, c in enumerate(dim_cols("y", dims), 1)]
@@ -128,20 +121,18 @@ def tsne_gradient(joint_p: DataFrame, state: DataFrame, iteration: int = 1, dims
     return gradient_from_parts(sums, edges, z, dims), z
 
 
-def kl_loss(joint_p: DataFrame, state: DataFrame, z, dims: int = 2, p_scale=1.0,
-            state_rows: int | None = None) -> DataFrame:
+def kl_loss(joint_p: DataFrame, state: DataFrame, z, dims: int = 2, p_scale=1.0) -> DataFrame:
     """One row ``loss = Σ_P p' ln(p' / max(num/Z, 1e-12))`` with p' = p·scale (NaN terms → 0)."""
-    e = edge_frame(joint_p, state, dims, state_rows)
+    e = edge_frame(joint_p, state, dims)
     p = F.col("p") * _lit(p_scale)
     q = F.greatest(F.col("num") / _lit(z), F.lit(Q_FLOOR))
     term = p * F.log(p / q)
     return e.agg(F.sum(F.nanvl(term, F.lit(0.0))).alias("loss"))
 
 
-def bh_kl_loss(joint_p: DataFrame, state: DataFrame, sum_q, dims: int = 2,
-               state_rows: int | None = None) -> DataFrame:
+def bh_kl_loss(joint_p: DataFrame, state: DataFrame, sum_q, dims: int = 2) -> DataFrame:
     """One row ``loss = Σ_P p ln(max(p,1e-12) / max(num/sumQ, 1e-12))`` over all edges."""
-    e = edge_frame(joint_p, state, dims, state_rows)
+    e = edge_frame(joint_p, state, dims)
     q = F.greatest(F.col("num") / _lit(sum_q), F.lit(Q_FLOOR))
     term = F.col("p") * F.log(F.greatest(F.col("p"), F.lit(Q_FLOOR)) / q)
     return e.agg(F.sum(term).alias("loss"))

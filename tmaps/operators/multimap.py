@@ -37,14 +37,15 @@ def _lit(x):
 def map_proportions(weights: DataFrame) -> DataFrame:
     """``weights(id, map, w)`` → ``(id, map, pi)``, π = exp(−w) / Σ_m exp(−w)
     (window over the maps of one id: bounded by the number of maps)."""
-    e = F.exp(F.lit(-1.0) * F.col("w"))
-    return weights.select("id", "map", (e / F.sum(e).over(Window.partitionBy("id"))).alias("pi"))
+    return with_proportions(weights.select("id", "map", "w")).select("id", "map", "pi")
 
 
 def with_proportions(state: DataFrame) -> DataFrame:
-    """Adds ``pi`` to ``state(id, map, …, w)``."""
-    pi = map_proportions(state.select("id", "map", "w"))
-    return state.join(pi, ["id", "map"])
+    """Adds ``pi`` to ``state(id, map, …, w)``; the exponents are shifted by the row's
+    smallest weight, so large weights neither overflow nor vanish together."""
+    mine = Window.partitionBy("id")
+    return (state.withColumn("_e", F.exp(F.min("w").over(mine) - F.col("w")))
+            .withColumn("pi", F.col("_e") / F.sum("_e").over(mine)).drop("_e"))
 
 
 def mm_all_pairs(state_pi: DataFrame, dims: int, n: int, n_maps: int) -> DataFrame:
@@ -58,19 +59,27 @@ def mm_total(sums: DataFrame, n: int, realmin: float = REALMIN) -> DataFrame:
 
 
 def mm_edge_frame(joint_p: DataFrame, state_pi: DataFrame, dims: int = 2, realmin: float = REALMIN) -> DataFrame:
-    """P edges × maps: ``(i, j, map, p, num, qq, qz, pi_i, pi_j, y?_i, y?_j)``."""
-    si = state_pi.select(F.col("id").alias("i"), "map", F.col("pi").alias("pi_i"),
-                         *[F.col(c).alias(c + "_i") for c in _d("y", dims)])
-    sj = state_pi.select(F.col("id").alias("j"), "map", F.col("pi").alias("pi_j"),
-                         *[F.col(c).alias(c + "_j") for c in _d("y", dims)])
-    e = joint_p.select("i", "j", "p").join(si, "i").join(sj, ["j", "map"])
-    d2 = None
-    for c in _d("y", dims):
-        t = (F.col(c + "_i") - F.col(c + "_j")) * (F.col(c + "_i") - F.col(c + "_j"))
-        d2 = t if d2 is None else d2 + t
-    e = e.withColumn("num", F.lit(1.0) / (F.lit(1.0) + d2))
-    e = e.withColumn("qq", F.col("pi_i") * F.col("pi_j") * F.col("num"))
-    return e.withColumn("qz", F.lit(realmin) + F.sum("qq").over(Window.partitionBy("i", "j")))
+    """P edges × maps: ``(i, j, map, p, num, qq, qz, pi_i, pi_j, y?_i, y?_j)``.
+
+    A point is one row with an array over its maps, so an edge meets its ends in
+    two joins, and QZ is a sum inside the row: nothing is shuffled by (edge, map)."""
+    names = ["map", "pi", *_d("y", dims)]
+    point = state_pi.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("at"))
+    e = (joint_p.select("i", "j", "p").join(point.select(F.col("id").alias("i"), F.col("at").alias("at_i")), "i")
+         .join(point.select(F.col("id").alias("j"), F.col("at").alias("at_j")), "j"))
+
+    def both(a, b):
+        d2 = None
+        for c in _d("y", dims):
+            t = (a[c] - b[c]) * (a[c] - b[c])
+            d2 = t if d2 is None else d2 + t
+        num = F.lit(1.0) / (F.lit(1.0) + d2)
+        return F.struct(a["map"].alias("map"), num.alias("num"), (a["pi"] * b["pi"] * num).alias("qq"), a["pi"].alias("pi_i"), b["pi"].alias("pi_j"),
+                        *[x[c].alias(c + s) for x, s in ((a, "_i"), (b, "_j")) for c in _d("y", dims)])
+
+    e = e.select("i", "j", "p", F.zip_with("at_i", "at_j", both).alias("m"))
+    qz = F.lit(realmin) + F.aggregate("m", F.lit(0.0), lambda s, x: s + x["qq"])
+    return e.select("i", "j", "p", qz.alias("qz"), F.inline("m"))
 
 
 def mm_edge_sums(edges: DataFrame, dims: int = 2, p_scale=1.0) -> DataFrame:
@@ -82,9 +91,14 @@ def mm_edge_sums(edges: DataFrame, dims: int = 2, p_scale=1.0) -> DataFrame:
           for k, c in enumerate(_d("y", dims), 1)])
 
 
+def _edge_once(edges: DataFrame) -> DataFrame:
+    """One row of every edge, whatever its maps are numbered from."""
+    return edges.groupBy("i", "j").agg(F.first("p").alias("p"), F.first("qz").alias("qz"))
+
+
 def mm_residual(edges: DataFrame, z, p_scale=1.0) -> DataFrame:
     """``(i, j, pq)`` with PQ = QZ/Z − P at the P edges (elsewhere PQ = Q)."""
-    one = edges.where(F.col("map") == 0) if "map" in edges.columns else edges
+    one = _edge_once(edges)
     return one.select("i", "j", (F.col("qz") / _lit(z) - F.col("p") * _lit(p_scale)).alias("pq"))
 
 
@@ -122,11 +136,29 @@ def mm_weight_gradient(sums: DataFrame, esums: DataFrame, state_pi: DataFrame, z
     return j.select("id", "map", "dp", (F.col("pi") * (tot - F.col("dp"))).alias("dw"))
 
 
+def mm_gradients(sums: DataFrame, state_pi: DataFrame, z, dims: int = 2, laplace: float = 0.0, scale: float = 2.0,
+                 degree: DataFrame | None = None, p_scale=1.0) -> DataFrame:
+    """``state_pi`` with ``dy*`` and ``dw``: every sum of the fused pass stands on one row,
+    so one join with the state and one window over a point's maps give both gradients.
+    With λ, (Lπ)_im = degree_i π_im − Σ_{j∈P} p_ij π_jm; the pass has that sum as ``pn``."""
+    j = state_pi.join(sums, ["id", "map"])
+    if laplace != 0.0:
+        j = j.join(degree.select(F.col("i").alias("id"), "degree"), "id", "left")
+    dp = F.lit(2.0) * (F.col("s") / _lit(z) - F.col("t"))
+    if laplace != 0.0:
+        dp = dp + F.lit(laplace) * (F.coalesce("degree", F.lit(0.0)) * _lit(p_scale) * F.col("pi") - F.col("pn"))
+    j = j.withColumn("_dp", dp)
+    total = F.sum(F.col("_dp") * F.col("pi")).over(Window.partitionBy("id"))
+    f = F.lit(scale * (1.0 - laplace))
+    return j.select(*state_pi.columns, *[(f * (F.col(f"e{k}") - F.col(f"r{k}") / _lit(z))).alias(f"dy{k}") for k in range(1, dims + 1)],
+                    (F.col("pi") * (total - F.col("_dp"))).alias("dw"))
+
+
 def mm_loss(edges: DataFrame, z, p_scale=1.0, realmin: float = REALMIN,
             lpi: DataFrame | None = None, pi: DataFrame | None = None, laplace: float = 0.0) -> DataFrame:
     """One row: Σ_P p ln(max(p, realmin) / max(QZ/Z, realmin)) (NaN terms → 0)
     + λ Σ_i Σ_m π_im (Lπ)_im."""
-    one = edges.where(F.col("map") == 0)
+    one = _edge_once(edges)
     p = F.col("p") * _lit(p_scale)
     term = p * F.log(F.greatest(p, F.lit(realmin)) / F.greatest(F.col("qz") / _lit(z), F.lit(realmin)))
     kl = one.agg(F.sum(F.nanvl(term, F.lit(0.0))).alias("kl"))

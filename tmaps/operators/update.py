@@ -64,29 +64,33 @@ def gain_update(state: DataFrame, grad: DataFrame, iteration: int, params: TSNEP
 
 def mm_update(state: DataFrame, dy: DataFrame, dw: DataFrame, iteration: int,
               params: TSNEParams = TSNEParams(), dims: int = 2, lookahead: str = "stored") -> DataFrame:
-    """Multi-map step on ``state(id, map, y*, iy*, w)`` with ``dy(id, map, dy*)``, ``dw(id, map, dw)``.
-
-    iy' = momentum·iy − eta·dY; y += iy'; centre per map; then (look-ahead
-    ``'stored'``) y += momentum·iy_old, not re-centred; w −= etw·dW.  No gains.
-    """
-    mom = params.momentum(iteration)
+    """Multi-map step on ``state(id, map, y*, iy*, w)`` with ``dy(id, map, dy*)``, ``dw(id, map, dw)``:
+    :func:`mm_move`, then :func:`mm_center`."""
     j = state.join(dy, ["id", "map"]).join(dw, ["id", "map"])
-    keep = [c for c in state.columns if c not in _d("y", dims) + _d("iy", dims) + ["w"]]
-    moved = j.select(*keep,
-                     *[(F.col(f"y{k}") + (F.lit(mom) * F.col(f"iy{k}") - F.lit(params.eta) * F.col(f"dy{k}"))).alias(f"y{k}")
-                       for k in range(1, dims + 1)],
-                     *[(F.lit(mom) * F.col(f"iy{k}") - F.lit(params.eta) * F.col(f"dy{k}")).alias(f"iy{k}")
-                       for k in range(1, dims + 1)],
-                     *[F.col(f"iy{k}").alias(f"_old{k}") for k in range(1, dims + 1)],
-                     (F.col("w") - F.lit(params.etw) * F.col("dw")).alias("w"))
-    means = map_means(moved, dims)
-    out = moved.join(F.broadcast(means), "map")
+    return mm_center(mm_move(j, iteration, params, dims), iteration, params, dims, lookahead).select(*state.columns)
+
+
+def mm_move(j: DataFrame, iteration: int, params: TSNEParams = TSNEParams(), dims: int = 2) -> DataFrame:
+    """iy' = momentum·iy − eta·dY; y += iy'; w −= etw·dW (no gains) on rows that carry
+    ``dy*`` and ``dw``; the old velocity stays as ``_old*`` for the look-ahead."""
+    mom = F.lit(params.momentum(iteration))
+    iy = {k: mom * F.col(f"iy{k}") - F.lit(params.eta) * F.col(f"dy{k}") for k in range(1, dims + 1)}
+    return j.select("id", "map", *[(F.col(f"y{k}") + v).alias(f"y{k}") for k, v in iy.items()],
+                    *[v.alias(f"iy{k}") for k, v in iy.items()], *[F.col(f"iy{k}").alias(f"_old{k}") for k in iy],
+                    (F.col("w") - F.lit(params.etw) * F.col("dw")).alias("w"))
+
+
+def mm_center(moved: DataFrame, iteration: int, params: TSNEParams = TSNEParams(), dims: int = 2,
+              lookahead: str = "stored") -> DataFrame:
+    """Centre per map; then (look-ahead ``'stored'``) y += momentum·iy_old, not re-centred.
+    ``moved`` is read twice (its means, then its rows): persist it in a loop."""
+    out = moved.join(F.broadcast(map_means(moved, dims)), "map")  # one row per map
     for k in range(1, dims + 1):
         y = F.col(f"y{k}") - F.col(f"mean_y{k}")
         if lookahead == "stored":
-            y = y + F.lit(mom) * F.col(f"_old{k}")
+            y = y + F.lit(params.momentum(iteration)) * F.col(f"_old{k}")
         out = out.withColumn(f"y{k}", y)
-    return out.select(*state.columns)
+    return out.select("id", "map", *_d("y", dims), *_d("iy", dims), "w")
 
 
 def rms_step(grad: DataFrame, state_e: DataFrame, lr: float, realmin: float = 1e-12,

@@ -66,18 +66,10 @@ def _keyed_edges(spark, joint: DataFrame, n: int, n_maps: int, block_rows: int =
     (static for the whole run, so written once)."""
     per_block = max(16, block_rows // max(1, n_maps))
     nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(spark))
-    # Hash-partition the static edges by block pair exactly as the co-group needs
-    # and checkpoint them with that partitioning recorded (AQE is paused for this
-    # one write: an adaptive plan reports no output partitioning).  Every
-    # iteration then shuffles only the replicated positions, never the edges.
+    # a numbered repartition is not adaptive: the checkpoint keeps the co-group's
+    # partitioning, so an iteration shuffles only the replicated positions
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = blocks.key_edges(joint, nb).repartition(parts, "_lo", "_hi")
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        kedges = reliable_checkpoint(keyed)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    kedges = reliable_checkpoint(blocks.key_edges(joint, nb).repartition(parts, "_lo", "_hi"))
     return nb, kedges
 
 
@@ -100,6 +92,24 @@ class _Stepper:
         return out
 
 
+    def commit_centered(self, moved: DataFrame, iteration: int, dims: int) -> DataFrame:
+        """Commit a moved single map, centred; the step is evaluated once."""
+        moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
+        out = self.commit(update.center_map(moved, dims), iteration)
+        moved.unpersist()
+        return out
+
+
+def _start(given: DataFrame | None, vectors: DataFrame, make) -> DataFrame:
+    """The start given by the caller, which must place every vector, or a random one."""
+    if given is None:
+        return make()
+    gone = vectors.select("id").join(given.select("id"), "id", "left_anti").limit(5).collect()
+    if gone:
+        raise ValueError(f"the start has no position for {[r['id'] for r in gone]}")
+    return given
+
+
 def _report(result: RunResult, callback, iteration, state, loss, trajectory_path, trajectory_every, dims):
     if trajectory_path and trajectory_every and iteration % trajectory_every == 0:
         frames.append_trajectory(frames.trajectory_frame(state, result.run_id, iteration, dims), trajectory_path)
@@ -122,7 +132,7 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
     else:
         joint = reliable_checkpoint(joint)
     n = n or vectors.count()
-    y0 = start if start is not None else init_map(vectors, dims, 1, seed, 1.0)
+    y0 = _start(start, vectors, lambda: init_map(vectors, dims, 1, seed, 1.0))
     state = y0.select("id", F.lit(0).alias("map"), *_d("y", dims),
                       *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)],
                       *[F.lit(1.0).alias(f"g{k}") for k in range(1, dims + 1)])
@@ -135,10 +145,11 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
         sums = blocks.fused_pass(ys.withColumn("pi", F.lit(1.0)), kedges, nb, dims, True, scale
                                  ).persist(StorageLevel.MEMORY_AND_DISK)
         z, fused_loss = blocks.fused_scalars(sums, n, True)
+        z = z or 1.0  # one point: no pairs, no force
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
             loss = fused_loss if fused_loss is not None else \
-                float(kernel.kl_loss(joint, ys, z, dims, scale, state_rows=n).first()["loss"])
+                float(kernel.kl_loss(joint, ys, z, dims, scale).first()["loss"] or 0.0)
             result.metrics.append((it, "kl", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(ys, params.K, dims, n)
@@ -147,7 +158,7 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
         grad = sums.select("id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"dy{k}")
                                    for k in range(1, dims + 1)])
-        state = step.commit(update.gain_update(state, grad, it, params, dims), it)
+        state = step.commit_centered(update.gain_update(state, grad, it, params, dims, center=False), it, dims)
         sums.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
     result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
@@ -161,7 +172,7 @@ def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perpl
             theta: float = 0.5, seed: int = 0, params: TSNEParams = TSNEParams(), callback=None,
             report_loss=lambda it: it % 10 == 0, checkpoint_every: int = 1, trajectory_path: str | None = None,
             trajectory_every: int = 0, metrics_path: str | None = None, run_id: str | None = None,
-            max_levels: int = 24, joint: DataFrame | None = None, n: int | None = None,
+            joint: DataFrame | None = None, n: int | None = None,
             start: DataFrame | None = None) -> RunResult:
     """Barnes-Hut t-SNE: dY = posF − negF/sumQ (no factor 4, as the reference),
     P × exaggeration while iteration ≤ early_exaggeration, start N(0,1)·1e-4.
@@ -174,7 +185,7 @@ def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perpl
     else:
         joint = reliable_checkpoint(joint)
     n = n or vectors.count()
-    y0 = start if start is not None else init_map(vectors, dims, 1, seed, 1e-4)
+    y0 = _start(start, vectors, lambda: init_map(vectors, dims, 1, seed, 1e-4))
     state = y0.select("id", F.lit(0).alias("map"), *_d("y", dims),
                       *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)],
                       *[F.lit(1.0).alias(f"g{k}") for k in range(1, dims + 1)])
@@ -183,24 +194,19 @@ def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perpl
     for it in range(1, max_iterations + 1):
         scale = params.exaggeration_factor if it <= params.early_exaggeration else 1.0
         ys = state.select("id", "map", *_d("y", dims))
-        held: list = []
-        rep = cells.bh_repulsion(ys, theta, dims, max_levels, persisted=held).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(rep)
-        sum_q = float(rep.agg(F.sum("sum_q").alias("s")).first()["s"])
+        rep = cells.bh_repulsion(ys, theta, dims)
+        sum_q = float(rep.agg(F.sum("sum_q").alias("s")).first()["s"] or 0.0) or 1.0
         loss = None
         if report_loss is not None and report_loss(it):
             loss = float(kernel.bh_kl_loss(affinity.exaggerate(joint, it, params.early_exaggeration,
-                                                               params.exaggeration_factor), ys, sum_q, dims,
-                                             state_rows=n)
-                         .first()["loss"])
+                                                               params.exaggeration_factor), ys, sum_q, dims)
+                         .first()["loss"] or 0.0)
             result.metrics.append((it, "kl", loss))
-        pos = kernel.edge_pass(joint, ys, dims, scale, state_rows=n)
+        pos = kernel.edge_pass(joint, ys, dims, scale)
         grad = rep.join(pos, "id", "left").select(
             "id", *[(F.coalesce(F.col(f"e{k}"), F.lit(0.0)) - F.col(f"n{k}") / F.lit(sum_q)).alias(f"dy{k}")
                     for k in range(1, dims + 1)])
-        state = step.commit(update.gain_update(state, grad, it, params, dims), it)
-        for h in held:
-            h.unpersist()
+        state = step.commit_centered(update.gain_update(state, grad, it, params, dims, center=False), it, dims)
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
     result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
     result.state = state
@@ -225,39 +231,38 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
     else:
         joint = reliable_checkpoint(joint)
     n = n or vectors.count()
-    if start is None:
-        start = init_map(vectors, dims, no_maps, seed, 1.0).withColumn("w", F.lit(1.0 / no_maps))
+    start = _start(start, vectors, lambda: init_map(vectors, dims, no_maps, seed, 1.0).withColumn("w", F.lit(1.0 / no_maps)))
     state = start.select("id", F.col("map").cast("int").alias("map"), *_d("y", dims),
                          *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)], F.col("w").cast("double"))
     step = _Stepper(checkpoint_every)
     state = step.commit(state, 0)
     nb, kedges = _keyed_edges(spark, joint, n, no_maps)
     lam = params.laplace
+    degree = reliable_checkpoint(affinity.affinity_degree(joint)) if lam != 0.0 else None
     for it in range(1, max_iterations + 1):
         scale = params.zoom_value if it <= params.early_exaggeration else 1.0
-        sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
+        sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), *_d("iy", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
         sums = blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin
                                  ).persist(StorageLevel.MEMORY_AND_DISK)
         z, fused_loss = blocks.fused_scalars(sums, n, False, params.realmin, params.realmin)
-        lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
             if fused_loss is not None and lam == 0.0:
                 loss = fused_loss
             else:
+                lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
                 edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-                loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"])
+                loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"] or 0.0)
             result.metrics.append((it, "loss", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(sp, params.K, dims, n, n_maps=no_maps)
             pres = metrics.neighborhood_preservation_avg(
                 metrics.neighborhood_preservation(joint, tq, params.K), n).first()["preservation"]
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
-        dy = multimap.mm_position_gradient(sums.select("id", "map", *_d("r", dims)),
-                                           sums.select("id", "map", *_d("e", dims)), z, dims, lam, position_scale)
-        dw = multimap.mm_weight_gradient(sums.select("id", "map", "s"), sums.select("id", "map", "t"),
-                                         sp, z, lpi, lam).select("id", "map", "dw")
-        state = step.commit(update.mm_update(state, dy, dw, it, params, dims, lookahead), it)
+        moved = update.mm_move(multimap.mm_gradients(sums, sp, z, dims, lam, position_scale, degree, scale), it, params, dims
+                               ).persist(StorageLevel.MEMORY_AND_DISK)
+        state = step.commit(update.mm_center(moved, it, params, dims, lookahead), it)
+        moved.unpersist()
         for held in (sums, sp):
             held.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
