@@ -7,13 +7,13 @@ two-loop recursion needs are entries of the Gram matrix of
 the recursion then runs on those (2m+1)² scalars on the driver and yields the
 search direction as coefficients of a linear combination of state columns
 (Chen, Wang, Zhou — "Large-scale L-BFGS using MapReduce", NIPS 2014).
-Line search is backtracking (Armijo) on the exact KL cost; phase 1 uses P × 4,
+Line search is backtracking (Armijo) on the exact KL cost; a step that does not
+lower it is never taken (steepest descent is tried, then the phase ends); phase 1 uses P × 4,
 phase 2 the plain P, starting from the phase-1 result (as the reference).
 """
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmaps.operators import blocks, kernel
-from tmaps.plans.jobs import RunResult, _keyed_edges, affinities, init_map
+from tmaps.plans.jobs import RunResult, _keyed_edges, _start, affinities, init_map
 from tmaps.session import checkpoint
 
-_DEBUG = bool(os.environ.get("TMAPS_DEBUG"))
-
+CURVATURE = 1e-10
+LINE_TRIES = 40
 
 def _d(prefix, dims):
     return [f"{prefix}{k}" for k in range(1, dims + 1)]
@@ -41,7 +41,8 @@ def _value_and_grad(ys: DataFrame, joint: DataFrame, n: int, dims: int, p_scale:
                              ).persist(StorageLevel.MEMORY_AND_DISK)
     z, loss = blocks.fused_scalars(sums, n, True)
     if loss is None:  # an edge hits the 1e-12 floor: evaluate the floored loss exactly
-        loss = float(kernel.kl_loss(joint, ys, z, dims, p_scale, state_rows=n).first()["loss"])
+        loss = float(kernel.kl_loss(joint, ys, z or 1.0, dims, p_scale).first()["loss"] or 0.0)
+    z = z or 1.0  # one point: no pairs, no force
     g = sums.select("id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"g{k}")
                             for k in range(1, dims + 1)])
     return loss, g, sums
@@ -72,7 +73,7 @@ def _direction(G: np.ndarray, m: int) -> np.ndarray:
     q = np.zeros(k)
     q[-1] = 1.0  # q = g
     alpha = np.zeros(m)
-    rho = np.array([1.0 / G[i, m + i] for i in range(m)])
+    rho = np.array([1.0 / G[i, m + i] for i in range(m)])  # positive: see _usable
     for i in range(m - 1, -1, -1):
         alpha[i] = rho[i] * (G[i] @ q)           # s_i · q
         q[m + i] -= alpha[i]                      # q -= alpha_i r_i
@@ -87,6 +88,27 @@ def _direction(G: np.ndarray, m: int) -> np.ndarray:
     return -r
 
 
+def _usable(G: np.ndarray, m: int) -> list[int]:
+    """Pairs of positive curvature: s·r must stand clear of rounding, or dividing by it
+    gives no direction at all."""
+    return [i for i in range(m) if np.isfinite(G[i, m + i])
+            and G[i, m + i] > CURVATURE * np.sqrt(G[i, i] * G[m + i, m + i]) and G[m + i, m + i] > 0]
+
+
+def line_search(evaluate, f: float, slope: float, c1: float = 1e-4, tries: int = LINE_TRIES):
+    """Armijo backtracking along a descent direction: ``(t, result)`` of the first step
+    that lowers the loss enough, halving from t = 1, or ``(None, None)``.  ``evaluate(t)``
+    returns ``(loss, release, …)``; rejected steps are released."""
+    t = 1.0
+    for _ in range(tries):
+        found = evaluate(t)
+        if np.isfinite(found[0]) and found[0] <= f + c1 * t * slope:
+            return t, found
+        found[1]()
+        t *= 0.5
+    return None, None
+
+
 def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float, max_iterations: int,
            m_max: int, tol: float, result: RunResult, it0: int, edges, c1: float = 1e-4):
     ys = state.select("id", "map", *_d("y", dims))
@@ -98,50 +120,54 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
     it = it0
     for _ in range(max_iterations):
         it += 1
-        m = len(hist)
         names = [f"s{h}_" for h in hist] + [f"r{h}_" for h in hist] + ["g"]
         G = _gram(state, names, dims)
-        coef = _direction(G, m)
-        gd = float(coef @ G[-1])  # g · d
-        if gd >= 0:  # not a descent direction: restart from steepest descent
-            hist, m = [], 0
-            names = ["g"]
-            coef = np.array([-1.0 / np.sqrt(max(G[-1, -1], 1e-300))])
-            gd = float(coef[0] * G[-1, -1])
-        dcol = [sum((F.lit(float(c)) * F.col(f"{nm}{k}") for c, nm in zip(coef, names)), F.lit(0.0))
-                for k in range(1, dims + 1)]
-        base = state.select("id", "map", *_d("y", dims), *_d("g", dims),
-                            *[F.col(c) for c in state.columns if c.startswith(("s", "r")) and "_" in c],
-                            *[d.alias(f"_dir{k}") for k, d in enumerate(dcol, 1)])
-        base = checkpoint(base)
-        t = 1.0
-        for _ls in range(20):
-            cand = base.select("id", "map", *[(F.col(f"y{k}") + F.lit(t) * F.col(f"_dir{k}")).alias(f"y{k}")
-                                              for k in range(1, dims + 1)])
-            cand = checkpoint(cand)
-            f_new, g_new, sums = _value_and_grad(cand, joint, n, dims, p_scale, edges)
-            if _DEBUG:
-                print(f"lbfgs it {it} t={t:g} f={f:.6f} f_new={f_new:.6f} gd={gd:.3g}", flush=True)
-            if f_new <= f + c1 * t * gd or t < 1e-10:
+        if G[-1, -1] == 0.0:
+            break  # the gradient is zero
+        good = _usable(G, len(hist))
+        rows = good + [len(hist) + i for i in good] + [2 * len(hist)]
+        hist, names, G = [hist[i] for i in good], [names[i] for i in rows], G[np.ix_(rows, rows)]
+        coef = _direction(G, len(hist))
+        slope = float(coef @ G[-1])  # g · d
+        steepest = np.zeros(len(names))
+        steepest[-1] = -1.0 / np.sqrt(G[-1, -1])
+        tries = [(coef, slope)] if hist and np.isfinite(slope) and slope < 0 else []
+        tries.append((steepest, float(steepest[-1] * G[-1, -1])))
+        t = None
+        for coef, slope in tries:  # where the history leads nowhere, steepest descent
+            dcol = [sum((F.lit(float(c)) * F.col(f"{nm}{k}") for c, nm in zip(coef, names) if c), F.lit(0.0))
+                    for k in range(1, dims + 1)]
+            base = checkpoint(state.select("id", "map", *_d("y", dims), *_d("g", dims),
+                                           *[f"{x}{h}_{k}" for h in hist for x in "sr" for k in range(1, dims + 1)],
+                                           *[d.alias(f"_dir{k}") for k, d in enumerate(dcol, 1)]))
+
+            def evaluate(t):
+                cand = checkpoint(base.select("id", "map", *[(F.col(f"y{k}") + F.lit(t) * F.col(f"_dir{k}")).alias(f"y{k}")
+                                                             for k in range(1, dims + 1)]))
+                f_new, g_new, held = _value_and_grad(cand, joint, n, dims, p_scale, edges)
+                return f_new, held.unpersist, cand, g_new
+
+            t, found = line_search(evaluate, f, slope, c1)
+            if t is not None:
                 break
-            sums.unpersist()
-            t *= 0.5
-        slot = next_slot
-        next_slot += 1
+            hist = []
+        if t is None:
+            break  # no step lowers the loss: the point stays
+        f_new, release, cand, g_new = found
+        slot, next_slot = next_slot, next_slot + 1
         keep = hist[-(m_max - 1):] if m_max > 1 else []
         cols = [F.col("id"), F.col("map")]
         cols += [F.col(f"c.y{k}").alias(f"y{k}") for k in range(1, dims + 1)]
         cols += [F.col(f"n.g{k}").alias(f"g{k}") for k in range(1, dims + 1)]
-        for h in keep:
-            cols += [F.col(f"b.s{h}_{k}").alias(f"s{h}_{k}") for k in range(1, dims + 1)]
-            cols += [F.col(f"b.r{h}_{k}").alias(f"r{h}_{k}") for k in range(1, dims + 1)]
+        cols += [F.col(f"b.{x}{h}_{k}").alias(f"{x}{h}_{k}") for h in keep for x in "sr" for k in range(1, dims + 1)]
         cols += [(F.lit(t) * F.col(f"b._dir{k}")).alias(f"s{slot}_{k}") for k in range(1, dims + 1)]
         cols += [(F.col(f"n.g{k}") - F.col(f"b.g{k}")).alias(f"r{slot}_{k}") for k in range(1, dims + 1)]
         joined = (base.alias("b").join(cand.alias("c"), ["id", "map"]).join(g_new.alias("n"), "id"))
         state = checkpoint(joined.select(*cols))
-        sums.unpersist()
+        release()
         hist = keep + [slot]
         result.metrics.append((it, "kl", f_new))
+        result.metrics.append((it, "grad_norm", float(np.sqrt(G[-1, -1]))))
         converged = abs(f - f_new) <= tol * max(abs(f), 1.0)
         f = f_new
         if converged:
@@ -162,7 +188,7 @@ def tsne_lbfgs(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, nu
     else:
         joint = checkpoint(joint)
     n = n or vectors.count()
-    y0 = start if start is not None else init_map(vectors, dims, 1, seed, 1.0)
+    y0 = _start(start, vectors, lambda: init_map(vectors, dims, 1, seed, 1.0))
     state = checkpoint(y0.select("id", F.lit(0).alias("map"), *_d("y", dims)))
     edges = _keyed_edges(vectors.sparkSession, joint, n, 1)
     state, it = _phase(state, joint, n, dims, exaggeration, max_iterations, num_corrections,
