@@ -76,3 +76,11 @@ def test_bad_parameters(f1):
         affinity.calibrate_beta(knn, perplexity=0.0)
     with pytest.raises(ValueError):
         affinity.calibrate_beta(knn, tol=-1.0)
+
+
+def test_sql_calibration_equals_the_arrow_one(f1):
+    knn = neighbors.knn_join(f1, 6, n=4)
+    a, b = ({r.i: r for r in affinity.calibrate_beta(knn, 2.0, method=m).collect()} for m in ("arrow", "sql"))
+    for i in a:
+        assert (a[i].tries, a[i].converged) == (b[i].tries, b[i].converged)
+        assert a[i].beta == pytest.approx(b[i].beta, rel=1e-12)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO53 = float(2 ** 53)
+_TWO52 = float(2 ** 52)
 
 
 def norm_col(arr: str) -> Column:
@@ -21,9 +21,10 @@ def sq_distance_col(a: str, b: str) -> Column:
 
 
 def _unit(*cols) -> Column:
-    """Uniform (0, 1) from a 64-bit hash: top 53 bits, shifted by half a step."""
-    h = F.xxhash64(*cols)
-    return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(_TWO53)
+    """Uniform (0, 1) from the first 13 hex digits of an md5 of the keys' text, shifted
+    by half a step: any engine with md5 can repeat it."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(_TWO52)
 
 
 def gaussian_col(seed: int, *keys) -> Column:

@@ -1,8 +1,7 @@
 """Perplexity-calibrated affinities.
 
-* ``calibrate_beta`` — per-row bisection on the precision β, written as one
-  JVM-side ``aggregate`` over ``sequence(1, max_tries)`` whose state is a struct
-  (β, bounds, entropy, tries, done); no Python in the hot path.
+* ``calibrate_beta`` — per-row bisection on the precision β, vectorised over Arrow
+  batches; also as one JVM-side ``aggregate`` over ``sequence(1, max_tries)``.
 * ``cond_affinity`` — conditional p_{j|i} on the k-NN lists.
 * ``joint_affinity`` — symmetric p_ij = max((p_{j|i} + p_{i|j}) / 2 / n, 1e-12).
 
@@ -137,7 +136,7 @@ def calibrate_lists(lists: DataFrame, perplexity: float = 30.0, tol: float = DEF
     ``method='arrow'`` runs the bisection vectorised over Arrow batches
     (``mapInArrow``, no shuffle); ``method='sql'`` evaluates it as one
     higher-order SQL expression inside the JVM (about two orders of magnitude
-    more time per row, identical results)."""
+    more time per row, the same β up to rounding)."""
     if tol < 0:
         raise ValueError("Tolerance must be non-negative")
     if perplexity <= 0:

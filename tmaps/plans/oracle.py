@@ -85,7 +85,7 @@ DEPS = {
 }
 
 
-def with_(*names: str, extra: list[str] | None = None) -> str:
+def with_(*names: str, extra: list[str] | None = None, recursive: bool = False) -> str:
     need: set[str] = set()
 
     def add(x):
@@ -98,5 +98,39 @@ def with_(*names: str, extra: list[str] | None = None) -> str:
         add(nm)
     add("vec")
     parts = [CTE[x] for x in ORDER if x in need]
-    rec = "RECURSIVE " if "cal" in need else ""
+    rec = "RECURSIVE " if recursive or "cal" in need else ""
     return "WITH " + rec + ", ".join(parts + (extra or [])) + " "
+
+
+def gaussian(seed: int, map_: str, k: int) -> str:
+    """The hashed N(0, 1) start of point ``id``: Box-Muller on two md5 uniforms."""
+    u = [f"((CAST('0x' || substr(md5('{seed}:{tag}:' || id || ':' || {map_} || ':{k}'), 1, 13) AS BIGINT) + 0.5) / {2.0 ** 52!r})"
+         for tag in (1, 2)]
+    return f"(sqrt(-2.0 * ln({u[0]})) * cos({2.0 * math.pi!r} * {u[1]}))"
+
+
+def tree_walk(x: str, state: str, theta: float, levels: int = 48) -> list[str]:
+    """CTEs of the Barnes-Hut walk over the points of ``state(id, y1, y2)``: ``{x}rep(id,
+    sum_q, n1, n2)``.  Cells of every level by brute force, then a recursive descent."""
+    index = lambda t: f"CAST(least(greatest(ceil({t} * pow(2.0, l)) - 1, 0), pow(2.0, l) - 1) AS BIGINT)"
+    test = (f"SELECT id, y1, y2, t1, t2, l, c1, c2, cnt, leaf, own, y1 - k1 AS d1, y2 - k2 AS d2, "
+            f"leaf OR (NOT own AND r2 < {theta!r} * ((y1 - k1) * (y1 - k1) + (y2 - k2) * (y2 - k2))) AS acc FROM ("
+            f"SELECT p.id, p.y1, p.y2, p.t1, p.t2, c.l, c.c1, c.c2, c.leaf, c.r2, o.own, c.cnt - CAST(o.own AS INTEGER) AS cnt, "
+            f"CASE WHEN o.own THEN CASE WHEN c.cnt > 1 THEN (c.s1 - p.y1) / (c.cnt - 1) ELSE p.y1 END ELSE c.s1 / c.cnt END AS k1, "
+            f"CASE WHEN o.own THEN CASE WHEN c.cnt > 1 THEN (c.s2 - p.y2) / (c.cnt - 1) ELSE p.y2 END ELSE c.s2 / c.cnt END AS k2 ")
+    own = f"{index('p.t1')} = c.c1 AND {index('p.t2')} = c.c2"
+    return [
+        f"{x}bb AS MATERIALIZED (SELECT min(y1) AS lo1, max(y1) - min(y1) AS w1, min(y2) AS lo2, max(y2) - min(y2) AS w2 FROM {state})",
+        f"{x}pt AS MATERIALIZED (SELECT id, y1, y2, CASE WHEN w1 > 0 THEN (y1 - lo1) / w1 ELSE 0.0 END AS t1, "
+        f"CASE WHEN w2 > 0 THEN (y2 - lo2) / w2 ELSE 0.0 END AS t2, w1, w2 FROM {state}, {x}bb)",
+        f"{x}cell AS MATERIALIZED (SELECT l, {index('t1')} AS c1, {index('t2')} AS c2, count(*) AS cnt, sum(y1) AS s1, sum(y2) AS s2, "
+        f"min(y1) = max(y1) AND min(y2) = max(y2) AS leaf, any_value(w1 / pow(2.0, l) * (w1 / pow(2.0, l)) + w2 / pow(2.0, l) * (w2 / pow(2.0, l))) AS r2 "
+        f"FROM {x}pt, range({levels}) r(l) GROUP BY ALL)",
+        f"{x}walk AS ({test} FROM {x}pt p JOIN {x}cell c ON c.l = 0, LATERAL (SELECT {own.replace('l)', 'c.l)')} AS own) o) "
+        f"UNION ALL {test} FROM {x}walk f JOIN {x}cell c ON c.l = f.l + 1 AND c.c1 // 2 = f.c1 AND c.c2 // 2 = f.c2 "
+        f"JOIN {x}pt p ON p.id = f.id, LATERAL (SELECT {own.replace('l)', 'c.l)')} AS own) o WHERE NOT f.acc))",
+        f"{x}rep AS MATERIALIZED (SELECT id, coalesce(sum(cnt * q) FILTER (WHERE acc AND cnt > 0), 0.0) AS sum_q, "
+        f"coalesce(sum(cnt * q * q * d1) FILTER (WHERE acc AND cnt > 0), 0.0) AS n1, "
+        f"coalesce(sum(cnt * q * q * d2) FILTER (WHERE acc AND cnt > 0), 0.0) AS n2 "
+        f"FROM (SELECT *, 1.0 / (1.0 + d1 * d1 + d2 * d2) AS q FROM {x}walk) GROUP BY id)",
+    ]

@@ -8,11 +8,13 @@ full size; numbers are rounded identically on both sides for comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmaps.operators import affinity, kernel, metrics, multimap, neighbors, update
+from tmaps.params import TSNEParams
 from tmaps.plans import oracle as O
 from tmaps.plans.common import Inputs, rnd, K_NEIGHBOURS, PERPLEXITY, ORACLE_MAPS
 from tmaps.session import checkpoint
@@ -56,10 +58,10 @@ def q_src_csv_vectors(spark, sf):
 
 
 @register("row_index", O.with_() +
-          "SELECT id, label, CAST(row_number() OVER (ORDER BY label, id) - 1 AS BIGINT) AS row_idx FROM vec")
+          f"SELECT id, label, {O.rnd('v[1]', 9)} AS v_first, CAST(row_number() OVER (ORDER BY label, id) - 1 AS BIGINT) AS row_idx FROM vec")
 def q_row_index(spark, sf):
-    v = Inputs(spark, sf).vectors().select("id", "label")
-    return src.row_index(v, ["label", "id"])
+    v = Inputs(spark, sf).vectors().select("id", "label", "v")  # the vector is payload
+    return src.row_index(v, ["label", "id"]).select("id", "label", rnd(F.get("v", 0), 9).alias("v_first"), "row_idx")
 
 
 @register("packed_column_summary",
@@ -297,28 +299,28 @@ def q_neighborhood_preservation_avg(spark, sf):
 
 # ------------------------------------------------------------------ single-map steps and frames
 
-def _step_sql(k: int) -> list[str]:
-    """CTEs computing state s{k} from s{k-1} (exact t-SNE step at iteration k, exaggerated ×4,
-    momentum 0.5, eta 250, gains)."""
+def _step_sql(k: int, scale: float = 4.0, momentum: float = 0.5) -> list[str]:
+    """CTEs computing state s{k} from s{k-1} (exact t-SNE step at iteration k, P × ``scale``,
+    eta 250, gains)."""
     a, b = f"s{k - 1}", f"s{k}"
     pr = f"pr{k}"
     return [
-        f"{pr} AS (SELECT x.id AS i, y.id AS j, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, "
+        f"{pr} AS MATERIALIZED (SELECT x.id AS i, y.id AS j, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, "
         f"1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num "
         f"FROM {a} x JOIN {a} y ON x.id <> y.id)",
-        f"z{k} AS (SELECT sum(num) AS z FROM {pr})",
-        f"rr{k} AS (SELECT i AS id, sum(num * num * d1) AS r1, sum(num * num * d2_) AS r2 FROM {pr} GROUP BY i)",
-        f"ea{k} AS (SELECT p.i AS id, sum(p.p * 4.0 * q.num * q.d1) AS a1, sum(p.p * 4.0 * q.num * q.d2_) AS a2 "
+        f"z{k} AS MATERIALIZED (SELECT sum(num) AS z FROM {pr})",
+        f"rr{k} AS MATERIALIZED (SELECT i AS id, sum(num * num * d1) AS r1, sum(num * num * d2_) AS r2 FROM {pr} GROUP BY i)",
+        f"ea{k} AS MATERIALIZED (SELECT p.i AS id, sum(p.p * {scale} * q.num * q.d1) AS a1, sum(p.p * {scale} * q.num * q.d2_) AS a2 "
         f"FROM joint p JOIN {pr} q ON p.i = q.i AND p.j = q.j GROUP BY p.i)",
-        f"gr{k} AS (SELECT r.id, 4.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM z{k})) AS dy1, "
+        f"gr{k} AS MATERIALIZED (SELECT r.id, 4.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM z{k})) AS dy1, "
         f"4.0 * (coalesce(e.a2, 0) - r.r2 / (SELECT z FROM z{k})) AS dy2 FROM rr{k} r LEFT JOIN ea{k} e ON r.id = e.id)",
-        f"ng{k} AS (SELECT s.id, s.y1, s.y2, s.iy1, s.iy2, g.dy1, g.dy2, "
+        f"ng{k} AS MATERIALIZED (SELECT s.id, s.y1, s.y2, s.iy1, s.iy2, g.dy1, g.dy2, "
         f"greatest(0.01, CASE WHEN (g.dy1 > 0) <> (s.iy1 > 0) THEN s.g1 + 0.2 ELSE s.g1 * 0.8 END) AS g1, "
         f"greatest(0.01, CASE WHEN (g.dy2 > 0) <> (s.iy2 > 0) THEN s.g2 + 0.2 ELSE s.g2 * 0.8 END) AS g2 "
         f"FROM {a} s JOIN gr{k} g ON s.id = g.id)",
-        f"mv{k} AS (SELECT id, g1, g2, 0.5 * iy1 - 250.0 * g1 * dy1 AS iy1, 0.5 * iy2 - 250.0 * g2 * dy2 AS iy2, "
-        f"y1 + (0.5 * iy1 - 250.0 * g1 * dy1) AS y1, y2 + (0.5 * iy2 - 250.0 * g2 * dy2) AS y2 FROM ng{k})",
-        f"{b} AS (SELECT id, y1 - avg(y1) OVER () AS y1, y2 - avg(y2) OVER () AS y2, iy1, iy2, g1, g2 FROM mv{k})",
+        f"mv{k} AS MATERIALIZED (SELECT id, g1, g2, {momentum} * iy1 - 250.0 * g1 * dy1 AS iy1, {momentum} * iy2 - 250.0 * g2 * dy2 AS iy2, "
+        f"y1 + ({momentum} * iy1 - 250.0 * g1 * dy1) AS y1, y2 + ({momentum} * iy2 - 250.0 * g2 * dy2) AS y2 FROM ng{k})",
+        f"{b} AS MATERIALIZED (SELECT id, y1 - avg(y1) OVER () AS y1, y2 - avg(y2) OVER () AS y2, iy1, iy2, g1, g2 FROM mv{k})",
     ]
 
 
@@ -394,41 +396,95 @@ def q_frame_limits(spark, sf):
     return lim.select(F.col("iteration").cast("int"), rnd("x_lim", 6).alias("x_lim"), rnd("y_lim", 6).alias("y_lim"))
 
 
-@register("init_map")
+# a schedule that ends exaggeration and changes momentum within the run
+_SHORT = TSNEParams(early_exaggeration=2, t_momentum=3)
+_SHORT_STEPS = 4
+_START = (f"s0 AS MATERIALIZED (SELECT id, {O.gaussian(7, '0', 1)} AS y1, {O.gaussian(7, '0', 2)} AS y2, 0.0 AS iy1, 0.0 AS iy2, "
+          "1.0 AS g1, 1.0 AS g2 FROM vec)")
+_SHORT_SQL = [_START] + [c for k in range(1, _SHORT_STEPS + 1)
+                         for c in _step_sql(k, 4.0 if k <= 2 else 1.0, 0.5 if k <= 3 else 0.8)]
+
+
+@register("init_map", O.with_() + f"SELECT id, CAST(0 AS INTEGER) AS map, {O.rnd(O.gaussian(7, '0', 1), 9)} AS y1, "
+          f"{O.rnd(O.gaussian(7, '0', 2), 9)} AS y2 FROM vec")
 def q_init_map(spark, sf):
     from tmaps.plans import jobs
-    return jobs.init_map(Inputs(spark, sf).vectors(), dims=2, maps=1, seed=7)
+    y = jobs.init_map(Inputs(spark, sf).vectors(), dims=2, maps=1, seed=7)
+    return y.select("id", "map", rnd("y1", 9).alias("y1"), rnd("y2", 9).alias("y2"))
 
 
-@register("tsne_exact")
-def q_tsne_exact(spark, sf):
+def _short_run(spark, sf, **kw):
     from tmaps.plans import jobs
     inp = Inputs(spark, sf)
-    res = jobs.tsne_exact(inp.vectors(), max_iterations=10, seed=7, loss_every=5, report_every=10,
-                          joint=inp.joint(), n=inp.n)
-    return res.state.select("id", "map", "y1", "y2")
+    return jobs.tsne_exact(inp.vectors(), max_iterations=_SHORT_STEPS, seed=7, params=_SHORT, joint=inp.joint(), n=inp.n,
+                           **{"loss_every": 0, "report_every": 0, **kw})
+
+
+@register("tsne_exact", O.with_("joint", extra=_SHORT_SQL) + f"SELECT id, CAST(0 AS INTEGER) AS map, {O.rnd('y1', 5)} AS y1, {O.rnd('y2', 5)} AS y2 "
+          f"FROM s{_SHORT_STEPS}")
+def q_tsne_exact(spark, sf):
+    st = _short_run(spark, sf).state
+    return st.select("id", F.col("map").cast("int").alias("map"), rnd("y1", 5).alias("y1"), rnd("y2", 5).alias("y2"))
 
 
-@register("trajectory")
+@register("trajectory", O.with_("joint", extra=_SHORT_SQL) + " UNION ALL ".join(
+    f"SELECT 'traj' AS run_id, CAST({k} AS INTEGER) AS iteration, CAST(0 AS INTEGER) AS map, id, {O.rnd('y1', 5)} AS y1, {O.rnd('y2', 5)} AS y2 FROM s{k}"
+    for k in range(1, _SHORT_STEPS + 1)))
 def q_trajectory(spark, sf):
     from tmaps.session import scratch_path
-    from tmaps.plans import jobs
-    inp = Inputs(spark, sf)
     path = scratch_path(spark, "trajectory")
-    jobs.tsne_exact(inp.vectors(), max_iterations=3, seed=7, loss_every=0, report_every=0,
-                    joint=inp.joint(), n=inp.n, trajectory_path=path, trajectory_every=1, run_id="traj")
-    return spark.read.parquet(path)
-
-
-@register("metrics_report")
+    _short_run(spark, sf, trajectory_path=path, trajectory_every=1, run_id="traj")
+    return spark.read.parquet(path).select("run_id", F.col("iteration").cast("int").alias("iteration"), F.col("map").cast("int").alias("map"),
+                                           F.col("id").cast("bigint").alias("id"), rnd(F.get("y", 0), 5).alias("y1"), rnd(F.get("y", 1), 5).alias("y2"))
+
+
+def _report_sql() -> str:
+    """KL at every iteration (of the positions that the step starts from), preservation of
+    the nearest neighbour at every second one, and the presence of the elapsed time."""
+    rows = []
+    for k in range(1, _SHORT_STEPS + 1):
+        scale = 4.0 if k <= 2 else 1.0
+        rows.append(f"SELECT {k} AS iteration, 'kl' AS name, (SELECT sum(p.p * {scale} * ln(p.p * {scale} / greatest(q.num / (SELECT z FROM z{k}), 1e-12))) "
+                    f"FROM joint p JOIN pr{k} q ON p.i = q.i AND p.j = q.j) AS value")
+        if k % 2 == 0:
+            rows.append(f"SELECT {k}, 'preservation', (SELECT count(*) FROM "
+                        f"(SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY p DESC, j) AS r FROM joint) a JOIN "
+                        f"(SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY num DESC, j) AS r FROM pr{k}) b "
+                        f"ON a.i = b.i AND a.j = b.j AND a.r = 1 AND b.r = 1) * 1.0 / (SELECT n FROM nrows)")
+    rows.append(f"SELECT {_SHORT_STEPS}, 'elapsed_sec', 1.0")
+    return "SELECT CAST(iteration AS INTEGER) AS iteration, name, " + O.rnd("value", 6) + " AS value FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@register("metrics_report", O.with_("joint", "nrows", extra=_SHORT_SQL) + _report_sql())
 def q_metrics_report(spark, sf):
     from tmaps.session import scratch_path
+    path = scratch_path(spark, "metrics")
+    _short_run(spark, sf, loss_every=1, report_every=2, metrics_path=path, run_id="metrics")
+    value = F.when(F.col("name") == "elapsed_sec", (F.col("value") > 0).cast("double")).otherwise(F.col("value"))
+    return spark.read.parquet(path).select(F.col("iteration").cast("int").alias("iteration"), "name", rnd(value, 6).alias("value"))
+
+
+@register("csv_to_viewer", O.with_("joint", extra=["s0 AS MATERIALIZED (SELECT id, 10.0 * v[1] AS y1, 10.0 * v[2] AS y2, 0.0 AS iy1, 0.0 AS iy2, "
+          "1.0 AS g1, 1.0 AS g2 FROM vec)"] + _SHORT_SQL[1:]) + "SELECT CAST(iteration AS INTEGER) AS iteration, key, label, "
+          f"{O.rnd('x', 5)} AS x, {O.rnd('y', 5)} AS y FROM (" + " UNION ALL ".join(
+              f"SELECT {k} AS iteration, id AS key, y1 AS x, y2 AS y FROM s{k}" for k in range(1, _SHORT_STEPS + 1)) +
+          ") t JOIN (SELECT id, label FROM vec) l ON l.id = t.key")
+def q_csv_to_viewer(spark, sf):
+    """End to end: vectors written as CSV, read by position, embedded, exported for the viewer."""
     from tmaps.plans import jobs
+    from tmaps.session import scratch_path
+    from tmaps.streaming import frames
     inp = Inputs(spark, sf)
-    path = scratch_path(spark, "metrics")
-    jobs.tsne_exact(inp.vectors(), max_iterations=4, seed=7, loss_every=1, report_every=2,
-                    joint=inp.joint(), n=inp.n, metrics_path=path, run_id="metrics")
-    return spark.read.parquet(path)
+    csv, path = scratch_path(spark, "csv-vectors"), scratch_path(spark, "trajectory")
+    src.write_csv_vectors(inp.vectors().select("id", "v"), csv)
+    good, _ = src.read_csv_vectors(spark, csv)
+    order = src.row_index(inp.vectors().select(F.col("id").alias("key"), "label"), "key").withColumnRenamed("row_idx", "id")
+    vectors = checkpoint(good.join(order, "id").select(F.col("key").alias("id"), "v", "label"))
+    start = vectors.select("id", (F.lit(10.0) * F.get("v", 0)).alias("y1"), (F.lit(10.0) * F.get("v", 1)).alias("y2"))
+    jobs.tsne_exact(vectors, max_iterations=_SHORT_STEPS, perplexity=PERPLEXITY, params=_SHORT, start=start, loss_every=0, report_every=0,
+                    trajectory_path=path, trajectory_every=1, run_id="csv")
+    out = frames.viewer_export(spark.read.parquet(path), vectors.select("id", "label"))
+    return out.select(F.col("iteration").cast("int"), "key", "label", rnd("x", 5).alias("x"), rnd("y", 5).alias("y"))
 
 
 # ------------------------------------------------------------------ multiple maps
@@ -451,19 +507,40 @@ _LPI = ("lpi AS (SELECT s.id, s.map, coalesce(d.deg, 0) * s.pi - coalesce(nb.pn,
 
 
 class _MM:
-    """Spark side of the deterministic 3-map inputs."""
+    """Spark side of the deterministic 3-map inputs; each part is made when it is first asked for."""
 
     def __init__(self, spark, sf, maps=ORACLE_MAPS):
         self.inp = Inputs(spark, sf)
         self.maps = maps
         self.state = self.inp.state_mm(maps)
-        self.sp = checkpoint(multimap.with_proportions(self.state))
-        self.n = self.inp.n
-        self.sums = checkpoint(multimap.mm_all_pairs(self.sp, 2, self.n, maps))
-        self.z = multimap.mm_total(self.sums, self.n).scalar()
-        self.joint = self.inp.joint()
-        self.edges = multimap.mm_edge_frame(self.joint, self.sp)
-        self.esums = multimap.mm_edge_sums(self.edges)
+
+    @cached_property
+    def n(self):
+        return self.inp.n
+
+    @cached_property
+    def sp(self):
+        return checkpoint(multimap.with_proportions(self.state))
+
+    @cached_property
+    def sums(self):
+        return checkpoint(multimap.mm_all_pairs(self.sp, 2, self.n, self.maps))
+
+    @cached_property
+    def z(self):
+        return multimap.mm_total(self.sums, self.n).scalar()
+
+    @cached_property
+    def joint(self):
+        return self.inp.joint()
+
+    @cached_property
+    def edges(self):
+        return multimap.mm_edge_frame(self.joint, self.sp)
+
+    @cached_property
+    def esums(self):
+        return multimap.mm_edge_sums(self.edges)
 
 
 def _mm_tables():
@@ -525,10 +602,8 @@ def q_mm_block_gradient(spark, sf):
     nb, kedges = _keyed_edges(spark, inp.joint(), n, ORACLE_MAPS)
     sums = checkpoint(blocks.fused_pass(sp, kedges, nb, 2, False, 1.0))
     z, _ = blocks.fused_scalars(sums, n, False)
-    dy = multimap.mm_position_gradient(sums.select("id", "map", "r1", "r2"), sums.select("id", "map", "e1", "e2"), z)
-    dw = multimap.mm_weight_gradient(sums.select("id", "map", "s"), sums.select("id", "map", "t"), sp, z)
-    return dy.join(dw.select("id", "map", "dw"), ["id", "map"]).select(
-        "id", "map", rnd("dy1", 4, 1e6).alias("dy1"), rnd("dy2", 4, 1e6).alias("dy2"), rnd("dw", 4, 1e6).alias("dw"))
+    g = multimap.mm_gradients(sums, sp, z)
+    return g.select("id", "map", rnd("dy1", 4, 1e6).alias("dy1"), rnd("dy2", 4, 1e6).alias("dy2"), rnd("dw", 4, 1e6).alias("dw"))
 
 
 @register("laplacian_smooth", O.with_("joint", "pim", extra=[_LPI]) + f"SELECT id, map, {O.rnd('lpi', 4, 1e6)} AS lpi FROM lpi")
@@ -591,31 +666,31 @@ def q_mm_neighborhood_preservation(spark, sf):
     return metrics.neighborhood_preservation(m.joint, tq, 1).select("i", rnd("preservation", 9).alias("preservation"))
 
 
-def _mm_step_sql(k: int) -> list[str]:
-    """CTEs computing multi-map state m{k} from m{k-1}: iteration k (P × 4, momentum 0.5,
+def _mm_step_sql(k: int, scale: float = 4.0, momentum: float = 0.5) -> list[str]:
+    """CTEs computing multi-map state m{k} from m{k-1}: iteration k (P × ``scale``,
     eta 250, etw 100, λ = 0, stored look-ahead)."""
     a, b = f"m{k - 1}", f"m{k}"
     return [
-        f"pp{k} AS (SELECT id, map, y1, y2, iy1, iy2, w, exp(-1.0 * w) / sum(exp(-1.0 * w)) OVER (PARTITION BY id) AS pi FROM {a})",
-        f"qa{k} AS (SELECT x.id AS i, y.id AS j, x.map, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, x.pi AS pi_i, y.pi AS pi_j, "
+        f"pp{k} AS MATERIALIZED (SELECT id, map, y1, y2, iy1, iy2, w, exp(-1.0 * w) / sum(exp(-1.0 * w)) OVER (PARTITION BY id) AS pi FROM {a})",
+        f"qa{k} AS MATERIALIZED (SELECT x.id AS i, y.id AS j, x.map, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, x.pi AS pi_i, y.pi AS pi_j, "
         f"1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num "
         f"FROM pp{k} x JOIN pp{k} y ON x.id <> y.id AND x.map = y.map)",
-        f"qb{k} AS (SELECT *, pi_i * pi_j * num AS qq, {O.REALMIN} + sum(pi_i * pi_j * num) OVER (PARTITION BY i, j) AS qz FROM qa{k})",
-        f"zz{k} AS (SELECT sum(qq) + (SELECT n FROM nrows) * (SELECT n FROM nrows) * {O.REALMIN} AS z FROM qb{k})",
-        f"rs{k} AS (SELECT i AS id, map, sum(qq * num * d1) AS r1, sum(qq * num * d2_) AS r2, sum(pi_j * num) AS s FROM qb{k} GROUP BY i, map)",
-        f"es{k} AS (SELECT q.i AS id, q.map, sum(q.qq * q.num * (p.p * 4.0 / q.qz) * q.d1) AS a1, "
-        f"sum(q.qq * q.num * (p.p * 4.0 / q.qz) * q.d2_) AS a2, sum(q.pi_j * q.num * (p.p * 4.0 / q.qz)) AS t "
+        f"qb{k} AS MATERIALIZED (SELECT *, pi_i * pi_j * num AS qq, {O.REALMIN} + sum(pi_i * pi_j * num) OVER (PARTITION BY i, j) AS qz FROM qa{k})",
+        f"zz{k} AS MATERIALIZED (SELECT sum(qq) + (SELECT n FROM nrows) * (SELECT n FROM nrows) * {O.REALMIN} AS z FROM qb{k})",
+        f"rs{k} AS MATERIALIZED (SELECT i AS id, map, sum(qq * num * d1) AS r1, sum(qq * num * d2_) AS r2, sum(pi_j * num) AS s FROM qb{k} GROUP BY i, map)",
+        f"es{k} AS MATERIALIZED (SELECT q.i AS id, q.map, sum(q.qq * q.num * (p.p * {scale} / q.qz) * q.d1) AS a1, "
+        f"sum(q.qq * q.num * (p.p * {scale} / q.qz) * q.d2_) AS a2, sum(q.pi_j * q.num * (p.p * {scale} / q.qz)) AS t "
         f"FROM joint p JOIN qb{k} q ON p.i = q.i AND p.j = q.j GROUP BY q.i, q.map)",
-        f"gd{k} AS (SELECT r.id, r.map, 2.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM zz{k})) AS dy1, "
+        f"gd{k} AS MATERIALIZED (SELECT r.id, r.map, 2.0 * (coalesce(e.a1, 0) - r.r1 / (SELECT z FROM zz{k})) AS dy1, "
         f"2.0 * (coalesce(e.a2, 0) - r.r2 / (SELECT z FROM zz{k})) AS dy2, "
         f"2.0 * (r.s / (SELECT z FROM zz{k}) - coalesce(e.t, 0)) AS dp FROM rs{k} r LEFT JOIN es{k} e ON r.id = e.id AND r.map = e.map)",
-        f"gw{k} AS (SELECT g.id, g.map, g.dy1, g.dy2, s.pi * (sum(g.dp * s.pi) OVER (PARTITION BY g.id) - g.dp) AS dw "
+        f"gw{k} AS MATERIALIZED (SELECT g.id, g.map, g.dy1, g.dy2, s.pi * (sum(g.dp * s.pi) OVER (PARTITION BY g.id) - g.dp) AS dw "
         f"FROM gd{k} g JOIN pp{k} s ON s.id = g.id AND s.map = g.map)",
-        f"mo{k} AS (SELECT s.id, s.map, s.y1 + (0.5 * s.iy1 - 250.0 * g.dy1) AS y1, s.y2 + (0.5 * s.iy2 - 250.0 * g.dy2) AS y2, "
-        f"0.5 * s.iy1 - 250.0 * g.dy1 AS iy1, 0.5 * s.iy2 - 250.0 * g.dy2 AS iy2, s.iy1 AS o1, s.iy2 AS o2, "
+        f"mo{k} AS MATERIALIZED (SELECT s.id, s.map, s.y1 + ({momentum} * s.iy1 - 250.0 * g.dy1) AS y1, s.y2 + ({momentum} * s.iy2 - 250.0 * g.dy2) AS y2, "
+        f"{momentum} * s.iy1 - 250.0 * g.dy1 AS iy1, {momentum} * s.iy2 - 250.0 * g.dy2 AS iy2, s.iy1 AS o1, s.iy2 AS o2, "
         f"s.w - 100.0 * g.dw AS w FROM {a} s JOIN gw{k} g ON s.id = g.id AND s.map = g.map)",
-        f"{b} AS (SELECT id, map, y1 - avg(y1) OVER (PARTITION BY map) + 0.5 * o1 AS y1, "
-        f"y2 - avg(y2) OVER (PARTITION BY map) + 0.5 * o2 AS y2, iy1, iy2, w FROM mo{k})",
+        f"{b} AS MATERIALIZED (SELECT id, map, y1 - avg(y1) OVER (PARTITION BY map) + {momentum} * o1 AS y1, "
+        f"y2 - avg(y2) OVER (PARTITION BY map) + {momentum} * o2 AS y2, iy1, iy2, w FROM mo{k})",
     ]
 
 
@@ -632,13 +707,19 @@ def q_mm_steps2(spark, sf):
     return res.state.select("id", "map", rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"), rnd("w", 9).alias("w"))
 
 
-@register("mm_tsne")
+_MM_START = (f"m0 AS MATERIALIZED (SELECT id, CAST(m AS INTEGER) AS map, {O.gaussian(7, 'm', 1)} AS y1, {O.gaussian(7, 'm', 2)} AS y2, "
+             f"0.0 AS iy1, 0.0 AS iy2, {1.0 / ORACLE_MAPS!r} AS w FROM vec, range({ORACLE_MAPS}) t(m))")
+_MM_SHORT = TSNEParams(early_exaggeration=1, t_momentum=2)
+
+
+@register("mm_tsne", O.with_("joint", "nrows", extra=[_MM_START] + _mm_step_sql(1) + _mm_step_sql(2, 1.0) + _mm_step_sql(3, 1.0, 0.8)) +
+          f"SELECT id, map, {O.rnd('y1', 5)} AS y1, {O.rnd('y2', 5)} AS y2, {O.rnd('w', 7)} AS w FROM m3")
 def q_mm_tsne(spark, sf):
     from tmaps.plans import jobs
     inp = Inputs(spark, sf)
-    res = jobs.mm_tsne(inp.vectors(), no_maps=ORACLE_MAPS, max_iterations=10, seed=7, loss_every=5,
-                       report_every=10, joint=inp.joint(), n=inp.n)
-    return res.state.select("id", "map", "y1", "y2", "w")
+    res = jobs.mm_tsne(inp.vectors(), no_maps=ORACLE_MAPS, max_iterations=3, seed=7, params=_MM_SHORT, loss_every=0,
+                       report_every=0, joint=inp.joint(), n=inp.n)
+    return res.state.select("id", "map", rnd("y1", 5).alias("y1"), rnd("y2", 5).alias("y2"), rnd("w", 7).alias("w"))
 
 
 # ------------------------------------------------------------------ cells / Barnes-Hut
@@ -663,22 +744,39 @@ def q_cell_pyramid(spark, sf):
                     rnd("m2", 9).alias("m2"), "leaf")
 
 
-@register("bh_repulsion")
+_BH = O.tree_walk("b", "st1", 0.5)
+
+
+@register("bh_repulsion", O.with_("st1", extra=_BH, recursive=True) +
+          f"SELECT id, CAST(0 AS INTEGER) AS map, {O.rnd('sum_q', 6)} AS sum_q, {O.rnd('n1', 6)} AS n1, {O.rnd('n2', 6)} AS n2 FROM brep")
 def q_bh_repulsion(spark, sf):
     from tmaps.operators import cells
-    return cells.bh_repulsion(Inputs(spark, sf).state1(), 0.5)
+    rep = cells.bh_repulsion(Inputs(spark, sf).state1(), 0.5)
+    return rep.select("id", "map", *[rnd(c, 6).alias(c) for c in ("sum_q", "n1", "n2")])
+
 
+def _bh_gradient_sql(x: str, state: str, scale: float, out: str) -> str:
+    return (f"{out} AS MATERIALIZED (SELECT r.id, coalesce(a.a1, 0) - r.n1 / (SELECT sum(sum_q) FROM {x}rep) AS dy1, "
+            f"coalesce(a.a2, 0) - r.n2 / (SELECT sum(sum_q) FROM {x}rep) AS dy2 FROM {x}rep r LEFT JOIN "
+            f"(SELECT i, sum(p * {scale} * num * d1) AS a1, sum(p * {scale} * num * d2_) AS a2 FROM (SELECT p.i, p.p, x.y1 - y.y1 AS d1, x.y2 - y.y2 AS d2_, "
+            f"1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num "
+            f"FROM joint p JOIN {state} x ON x.id = p.i JOIN {state} y ON y.id = p.j) GROUP BY i) a ON a.i = r.id)")
 
-@register("bh_gradient")
+
+@register("bh_gradient", O.with_("joint", "st1", extra=_BH + [_bh_gradient_sql("b", "st1", 1.0, "bg")]) +
+          f"SELECT id, {O.rnd('dy1', 4, 1e6)} AS dy1, {O.rnd('dy2', 4, 1e6)} AS dy2 FROM bg")
 def q_bh_gradient(spark, sf):
     from tmaps.operators import cells
     inp = Inputs(spark, sf)
     st = inp.state1()
     g, _ = cells.bh_gradient(inp.joint(), st, cells.bh_repulsion(st, 0.5))
-    return g
+    return g.select("id", rnd("dy1", 4, 1e6).alias("dy1"), rnd("dy2", 4, 1e6).alias("dy2"))
 
 
-@register("bh_vs_exact")
+BH_TOLERANCE_Z, BH_TOLERANCE_FORCE = 0.02, 0.06
+
+
+@register("bh_vs_exact", O.with_() + "SELECT true AS z_close, true AS force_close, count(*) AS n FROM vec")
 def q_bh_vs_exact(spark, sf):
     from tmaps.operators import cells
     inp = Inputs(spark, sf)
@@ -686,26 +784,41 @@ def q_bh_vs_exact(spark, sf):
     rep = cells.bh_repulsion(st, 0.5)
     ex = kernel.map_pass(st, n=inp.n)
     j = rep.join(ex, ["id", "map"])
-    return j.agg(
-        (F.abs(F.sum("sum_q") - F.sum("a")) / F.sum("a")).alias("rel_err_z"),
-        (F.sqrt(F.sum((F.col("n1") - F.col("r1")) ** 2 + (F.col("n2") - F.col("r2")) ** 2))
-         / F.sqrt(F.sum(F.col("r1") ** 2 + F.col("r2") ** 2))).alias("rel_err_force"),
-        F.count("*").alias("n"))
+    off_z = F.abs(F.sum("sum_q") - F.sum("a")) / F.sum("a")
+    off_force = (F.sqrt(F.sum((F.col("n1") - F.col("r1")) ** 2 + (F.col("n2") - F.col("r2")) ** 2))
+                 / F.sqrt(F.sum(F.col("r1") ** 2 + F.col("r2") ** 2)))
+    return j.agg((off_z < BH_TOLERANCE_Z).alias("z_close"), (off_force < BH_TOLERANCE_FORCE).alias("force_close"), F.count("*").alias("n"))
+
+
+def _bh_steps_sql() -> list[str]:
+    """Two Barnes-Hut steps from the hashed start: exaggeration ends and momentum changes at the second."""
+    out = [f"s0 AS MATERIALIZED (SELECT id, 0.0001 * {O.gaussian(7, '0', 1)} AS y1, 0.0001 * {O.gaussian(7, '0', 2)} AS y2, 0.0 AS iy1, 0.0 AS iy2, "
+           "1.0 AS g1, 1.0 AS g2 FROM vec)"]
+    for k, scale, momentum in ((1, 4.0, 0.5), (2, 1.0, 0.8)):
+        tail = _step_sql(k, scale, momentum)[5:]  # gains, move and centring from gr{k}
+        out += O.tree_walk(f"t{k}", f"s{k - 1}", 0.5) + [_bh_gradient_sql(f"t{k}", f"s{k - 1}", scale, f"gr{k}")] + tail
+    return out
 
 
-@register("tsne_bh")
+@register("tsne_bh", O.with_("joint", extra=_bh_steps_sql()) + f"SELECT id, CAST(0 AS INTEGER) AS map, {O.rnd('y1', 6)} AS y1, {O.rnd('y2', 6)} AS y2 FROM s2")
 def q_tsne_bh(spark, sf):
     from tmaps.plans import jobs
     inp = Inputs(spark, sf)
-    res = jobs.tsne_bh(inp.vectors(), max_iterations=5, seed=7, joint=inp.joint(), n=inp.n)
-    return res.state.select("id", "map", "y1", "y2")
+    res = jobs.tsne_bh(inp.vectors(), max_iterations=2, seed=7, params=TSNEParams(early_exaggeration=1, t_momentum=1), report_loss=None,
+                       joint=inp.joint(), n=inp.n)
+    return res.state.select("id", F.col("map").cast("int").alias("map"), rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"))
 
 
-@register("tsne_lbfgs")
+@register("tsne_lbfgs", O.with_() + "SELECT count(*) AS n, true AS never_rises, true AS gradient_falls FROM vec")
 def q_tsne_lbfgs(spark, sf):
     from tmaps.plans import lbfgs
     inp = Inputs(spark, sf)
     cond, _ = inp.cond_and_betas()
     joint = affinity.joint_affinity(cond, inp.n, floor=None)
-    res = lbfgs.tsne_lbfgs(inp.vectors(), max_iterations=3, seed=7, joint=joint, n=inp.n)
-    return res.state
+    steps = 3
+    res = lbfgs.tsne_lbfgs(inp.vectors(), max_iterations=steps, seed=7, joint=joint, n=inp.n)
+    loss, norm = ([v for _, name, v in res.metrics if name == m] for m in ("kl", "grad_norm"))
+    phases = [loss[:steps], loss[steps:]]  # the loss of a phase is that of its own P
+    falls = all(b <= a for p in phases for a, b in zip(p, p[1:]))
+    return res.state.agg(F.count("*").alias("n"), F.lit(falls and all(phases)).alias("never_rises"),
+                         F.lit(min(norm[1:]) < norm[0]).alias("gradient_falls"))
