@@ -7,12 +7,12 @@ belong to links. Its composite density is C / T, adjusted for links:
 
 where a count of 0 is taken as 1. The element whose children's densities have the largest
 sum holds the article. The least density on the path from it to ``body`` is the threshold:
-going up that path, neighbours as dense as that and not made of links belong to the article
-too. An ``article`` or ``main`` element around the result is taken whole.
+going up that path, neighbours as dense as that, of at least ``LIKE`` of the article's own
+density and not made of links, belong to the article too. An ``article`` or ``main`` element around the result is taken whole.
 
 What is marked as something else is left out before the counts: scripts and styles, menus,
 page headers and footers, sidebars, forms, adverts, notices, comments (by element, role,
-or a whole word of its class or id).
+or a word of its class or id).
 
 Inside a block, white space is one space; blocks are joined by an empty line. ``br`` is
 white space. A tag cut off by the end of the page is no text.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,6 +51,9 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisement
                           " discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay"
                           " newsletter subscribe subscription signup login share sharing social related recommended"
                           " recommendations pagination pager toolbar widget form search copyright".split())
+DROPPED_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "popup",
+                  "promo", "sidebar", "sponsor")
+DROPPED_ENDS = ("ads", "banner", "comments", "footer", "menu", "nav", "sidebar")
 # a start tag of the first closes an open one of the second, up to the third
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -62,6 +66,7 @@ CLOSES = {
 }
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1"
                      " h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+LIKE = 0.25
 DEPTH = 512  # deeper elements are kept as neighbours, as browsers do
 P_SCOPE = frozenset("button table td th caption object applet html".split())
 NEEDED = frozenset(["article", "main"])
@@ -77,6 +82,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped = ["#page"], [-1], [False]
+        self.open = Counter()  # open elements by name
         self.items: list[tuple[int, str | None]] = []  # (element, text), or None for a block's edge
         self.parse(html)
 
@@ -107,15 +113,21 @@ class Page:
                 self.items.append((stack[-1], None))
             if name not in VOID and len(stack) < DEPTH:
                 stack.append(k)
+                self.open[name] += 1
         if at < page_end:
             self.items.append((stack[-1], unescape(html[at:])))
 
+    def leave(self, stack: list[int], depth: int) -> None:
+        for k in stack[depth:]:
+            self.open[self.tag[k]] -= 1
+        del stack[depth:]
+
     def close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if self.open[name] else ():
             if self.tag[stack[depth]] == name:
-                if name not in INLINE or depth < len(stack) - 1:
-                    self.items.append((stack[depth], None)) if any(self.tag[x] not in INLINE for x in stack[depth:]) else None
-                del stack[depth:]
+                if any(self.tag[x] not in INLINE for x in stack[depth:]):
+                    self.items.append((stack[depth], None))
+                self.leave(stack, depth)
                 return
             if name in INLINE and self.tag[stack[depth]] not in INLINE:
                 return  # a stray end tag does not close the blocks around it
@@ -123,10 +135,12 @@ class Page:
             self.items.append((stack[-1], None))
 
     def imply(self, stack: list[int], names, scope) -> None:
+        if not any(self.open[x] for x in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             name = self.tag[stack[depth]]
             if name in names:
-                del stack[depth:]
+                self.leave(stack, depth)
                 return
             if name in scope:
                 return
@@ -140,8 +154,9 @@ class Page:
         for m in _ATTR.finditer(attributes[:-1]):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key in ("class", "id"):
-                if not DROPPED_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-                    return True
+                for word in _WORD.findall(_CAMEL.sub(" ", value).lower()):
+                    if word in DROPPED_WORDS or word.startswith(DROPPED_STARTS) or word.endswith(DROPPED_ENDS):
+                        return True
             elif key == "role":
                 if value.strip().lower() in DROPPED_ROLES:
                     return True
@@ -219,7 +234,7 @@ class Page:
                 children.setdefault(parent[k], []).append(k)
             for k in up[1:]:
                 for x in children.get(k, ()):
-                    if not out[x] and dense[x] >= threshold and 2 * link_chars[x] < max(1, chars[x]) and tag[x] not in INLINE:
+                    if not out[x] and dense[x] >= max(threshold, LIKE * dense[best]) and 2 * link_chars[x] < max(1, chars[x]) and tag[x] not in INLINE:
                         taken[x] = True
             if not chars[best]:
                 taken[0] = True
