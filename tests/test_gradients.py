@@ -109,3 +109,16 @@ def test_proportions_sum_to_one(spark):
     st = spark.createDataFrame([(i, m, float(w[i, m])) for i in range(N) for m in range(MAPS)], "id bigint, map int, w double")
     s = multimap.map_proportions(st).groupBy("id").agg(F.sum("pi").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-12 for r in s)
+
+
+def test_laplacian_penalty_from_the_fused_pass(spark):
+    from pyspark.sql import functions as F
+    from tmaps.operators import affinity, blocks, multimap
+    rows = [(i, m, 0.3 * i - m, 0.1 * i * m, 0.2 * i + m) for i in range(6) for m in (0, 1)]
+    sp = multimap.with_proportions(spark.createDataFrame(rows, "id bigint, map int, y1 double, y2 double, w double"))
+    joint = spark.createDataFrame([(i, j, 0.01 * (i + j)) for i in range(6) for j in range(6) if i != j and (i + j) % 3], "i bigint, j bigint, p double")
+    sums = blocks.fused_pass(sp, blocks.key_edges(joint, 2), 2, 2, False, 4.0)
+    got = multimap.laplacian_penalty(sums, sp, affinity.affinity_degree(joint), 0.1, 4.0).first()["penalty"]
+    lpi = multimap.laplacian_smooth(joint, sp, 4.0)
+    want = lpi.join(sp, ["id", "map"]).agg(0.1 * F.sum(F.col("pi") * F.col("lpi"))).first()[0]
+    assert abs(got - want) < 1e-12

@@ -154,6 +154,14 @@ def mm_gradients(sums: DataFrame, state_pi: DataFrame, z, dims: int = 2, laplace
                     (F.col("pi") * (total - F.col("_dp"))).alias("dw"))
 
 
+def laplacian_penalty(sums: DataFrame, state_pi: DataFrame, degree: DataFrame, laplace: float, p_scale=1.0) -> DataFrame:
+    """One row ``penalty`` = λ Σ_i Σ_m π_im (Lπ)_im from the fused pass's ``pn``."""
+    j = (state_pi.select("id", "map", "pi").join(sums.select("id", "map", "pn"), ["id", "map"])
+         .join(degree.select(F.col("i").alias("id"), "degree"), "id", "left"))
+    lpi = F.coalesce("degree", F.lit(0.0)) * _lit(p_scale) * F.col("pi") - F.col("pn")
+    return j.agg((F.lit(laplace) * F.sum(F.col("pi") * lpi)).alias("penalty"))
+
+
 def mm_loss(edges: DataFrame, z, p_scale=1.0, realmin: float = REALMIN,
             lpi: DataFrame | None = None, pi: DataFrame | None = None, laplace: float = 0.0) -> DataFrame:
     """One row: Σ_P p ln(max(p, realmin) / max(QZ/Z, realmin)) (NaN terms → 0)

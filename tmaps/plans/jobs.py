@@ -247,12 +247,12 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
         z, fused_loss = blocks.fused_scalars(sums, n, False, params.realmin, params.realmin)
         loss = None
         if loss_every and (it % loss_every == 0 or it == max_iterations):
-            if fused_loss is not None and lam == 0.0:
-                loss = fused_loss
-            else:
-                lpi = multimap.laplacian_smooth(joint, sp, scale) if lam != 0.0 else None
+            loss = fused_loss
+            if loss is None:  # an edge hits the floor
                 edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-                loss = float(multimap.mm_loss(edges, z, scale, params.realmin, lpi, sp, lam).first()["loss"] or 0.0)
+                loss = float(multimap.mm_loss(edges, z, scale, params.realmin).first()["loss"] or 0.0)
+            if lam != 0.0:
+                loss += float(multimap.laplacian_penalty(sums, sp, degree, lam, scale).first()["penalty"] or 0.0)
             result.metrics.append((it, "loss", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(sp, params.K, dims, n, n_maps=no_maps)
