@@ -123,7 +123,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for b in pieces(batches, "text", 4 << 20):
+    for b in pieces(batches, "text", 1 << 20):
         size, f1, f2, signs = [], [], [], []
         for s in shingle_sets(*flat(b.column("text")), powers):
             size.append(len(s))
@@ -140,7 +140,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gather(wanted: bytes):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), np.frombuffer(wanted, np.uint8)
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             at = mix64(np.asarray(b.column("doc_id")).view(np.uint64)) % np.uint64(FILTER_BITS)
             b = b.filter(pa.array((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
