@@ -36,6 +36,7 @@ from tmaps.session import checkpoint
 
 BLOCK_POINTS = 1024
 DEEPEN_LEVELS = 8
+TOP_CELLS_LOG2 = 10  # levels of at most this many halvings are handed to every block
 WALK_PAIRS = 4_000_000  # (point, cell) pairs that a walk holds at once
 
 
@@ -146,7 +147,7 @@ def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, di
     names = ["level", *_d("c", dims), *[c for c in cells.columns if c not in ("map", "level", *_d("c", dims))]]
     below = cells.select("*", *[F.expr(f"c{k} div 2").alias(f"p{k}") for k in range(1, dims + 1)])
     # the topmost cells are few: every block may visit them
-    top = min(depth, max(1, 6 // dims))
+    top = min(depth, max(1, TOP_CELLS_LOG2 // dims))
     here = box.join(cells.where(F.col("level") <= top), "map").select("map", "blk", *edge, *names)
     found = None
     while True:
