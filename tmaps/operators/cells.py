@@ -113,18 +113,17 @@ def _deep_cells(points: DataFrame, n: int, dims: int, cached: list) -> tuple[Dat
         piece = _cells(todo, lo, hi, dims).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(piece)
         pieces.append(piece)
-        still = piece.where((F.col("level") == hi) & ~F.col("flat")).select("map", *_d("c", dims))
-        if still.isEmpty():
+        last = piece.where(~F.col("flat")).agg(F.max("level")).first()[0]
+        if last is None or last < hi:
             break
+        still = piece.where((F.col("level") == hi) & ~F.col("flat")).select("map", *_d("c", dims))
         here = [cell_index(F.col(f"t{k}"), F.lit(hi)).alias(f"c{k}") for k in range(1, dims + 1)]
         todo = points.select("*", *here).join(still, ["map", *_d("c", dims)], "left_semi").drop(*_d("c", dims))
         lo, hi = hi + 1, hi + DEEPEN_LEVELS
     cells = pieces[0]
     for p in pieces[1:]:
         cells = cells.unionByName(p)
-    last = cells.where(~F.col("flat")).agg(F.max("level")).first()[0]
-    depth = 0 if last is None else last + 1
-    return cells.where(F.col("level") <= depth), depth
+    return cells, lo if last is None else last + 1
 
 
 def _blocks(points: DataFrame, n: int, dims: int) -> DataFrame:
@@ -149,25 +148,29 @@ def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, di
     # the topmost cells are few: every block may visit them
     top = min(depth, max(1, TOP_CELLS_LOG2 // dims))
     here = box.join(cells.where(F.col("level") <= top), "map").select("map", "blk", *edge, *names)
-    found = None
-    while True:
-        here = checkpoint(here)  # a short plan for the next level
-        mine = here.drop(*edge)
-        found = mine if found is None else found.unionByName(mine)
-        if top == depth:
-            return found
+
+    def expand(rows: DataFrame, level: int) -> DataFrame:
+        """The cells of the next level below those of ``level`` that a point may open."""
         near, own = None, None
         for k in range(1, dims + 1):
             away = F.greatest(F.col(f"_loy{k}") - F.col(f"m{k}"), F.col(f"m{k}") - F.col(f"_hiy{k}"), F.lit(0.0))
             near = away * away if near is None else near + away * away
             inside = F.col(f"c{k}").between(cell_index(F.col(f"_lot{k}"), F.col("level")), cell_index(F.col(f"_hit{k}"), F.col("level")))
             own = inside if own is None else own & inside
-        opened = here.where((F.col("level") == top) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
+        opened = rows.where((F.col("level") == level) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
         opened = opened.select("map", "blk", *edge, *[F.col(f"c{k}").alias(f"p{k}") for k in range(1, dims + 1)])
-        top += 1
-        here = (opened.join(below.where(F.col("level") == top), ["map", *_d("p", dims)])
+        return (opened.join(below.where(F.col("level") == level + 1), ["map", *_d("p", dims)])
                 .select("map", "blk", *edge, *names))
 
+    found = None
+    while True:
+        here = checkpoint(here)  # a short plan for the next level
+        mine = here.drop(*edge)
+        found = mine if found is None else found.unionByName(mine)
+        if top == depth:
+            return found
+        here, top = expand(here, top), top + 1
+
 
 def _walk(theta_sq: float, dims: int):
     """Kernel of one block: its points walk the cells that it can reach."""
@@ -244,7 +247,7 @@ def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2) -> Data
     cells, depth = _deep_cells(points, n, dims, cached)
     blocked = _blocks(points, n, dims).persist(StorageLevel.MEMORY_AND_DISK)
     cached.append(blocked)
-    reach = _reach(blocked, checkpoint(cells), depth, theta_sq, dims)
+    reach = _reach(blocked, cells, depth, theta_sq, dims)
     out = (blocked.select("map", "blk", "id", *_d("y", dims), *_d("t", dims)).groupBy("map", "blk")
            .cogroup(reach.groupBy("map", "blk"))
            .applyInArrow(_walk(theta_sq, dims), "id bigint, map int, sum_q double, " + ", ".join(f"n{k} double" for k in range(1, dims + 1))))
