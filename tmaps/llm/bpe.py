@@ -53,17 +53,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
-    """Tokens, merges and special tokens of a byte-level BPE file."""
+class Tokens:
+    """Tokens and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
-        raw = lambda s: bytes(letter[c] for c in s)
-        model = spec["model"]
-        self.id_of = {raw(s): i for s, i in model["vocab"].items()}
+        self.id_of = {bytes(letter[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.read(spec["model"]["merges"], letter)
+
+    def read(self, merges: list, letter: dict[str, int]) -> None:
+        """Tokens alone need no merges."""
+
+
+class Vocabulary(Tokens):
+    """Tokens with their merges and the decoder's offset table."""
+
+    def read(self, merges: list, letter: dict[str, int]) -> None:
         size = max([*self.id_of.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for b, i in self.id_of.items():
@@ -72,8 +80,8 @@ class Vocabulary:
             self.bytes_of[i] = s.encode()
         # merges by rank; the token that a merge makes, and the two that it is made of
         self.rank, self.halves, self.made = {}, {}, {}
-        for k, m in enumerate(model["merges"]):
-            left, right = (raw(s) for s in (m.split(" ") if isinstance(m, str) else m))
+        for k, m in enumerate(merges):
+            left, right = (bytes(letter[c] for c in s) for s in (m.split(" ") if isinstance(m, str) else m))
             pair, token = (self.id_of[left], self.id_of[right]), self.id_of[left + right]
             self.made[pair] = token
             if token not in self.halves:

@@ -39,6 +39,7 @@ ORDERS = (2, 3, 4)
 WINDOW = 64
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 1200, 20_000, 4
 LEAST_SCORE = 0.35
+PIECE_BYTES = 1 << 19
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[0x80:] = True
@@ -274,7 +275,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", PIECE_BYTES):
             lang, score = predict(model, b.column("text"), powers)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)],
                                              names=["doc_id", "lang_pred", "score"])
@@ -293,7 +294,7 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", PIECE_BYTES):
             lang, score = predict(model, b.column("text"), powers)
             yield b.filter(pa.array((np.array(lang) != UNKNOWN) & (score >= least)))
     return docs.mapInArrow(kernel, docs.schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmaps.llm.bpe import PATTERN, Vocabulary
+from tmaps.llm.bpe import PATTERN, Tokens
 from tmaps.llm.common import pieces, stored
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ class Ids:
     table of words. The strings of special tokens are those tokens."""
 
     def __init__(self, path: str) -> None:
-        v = Vocabulary(path)
+        v = Tokens(path)
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens=v.special)
 
     def of(self, text: str) -> bytes:

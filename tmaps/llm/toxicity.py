@@ -11,7 +11,7 @@ Fit. Labelled rows that are not held out, at most ``TOXIC_ROWS`` of label 1 and
 restore the true shares), equal texts once. Spark counts buckets over the sample, keeps
 the ``FEATURES`` buckets of the highest chi-square, and the driver fits their weights on
 the sample's sparse rows: its work is bounded by these parameters. Scoring reads every
-whole text, in batches of about 1 MB.
+whole text, in pieces of about 0.5 MB.
 
 Defined cases: null and empty texts have only the marks' n-grams and get a score; null
 labels are not learned from; of several labels for one document the highest counts;
@@ -36,6 +36,7 @@ ORDERS = (4, 5, 6)
 BITS = 21
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 4000, 8000, 2000
 THRESHOLD = 0.3
+PIECE_BYTES = 1 << 19
 LEAST_COUNT = 5
 _FACTORS = mix64(np.arange(1, 1 + max(ORDERS), dtype=np.uint64)) | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,16 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             return Model(bias=30.0 if got.get(1) else -30.0)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros((2, 1 << BITS), np.int64)
-            for b in pieces(batches, "text", 1 << 20):
+            seen = np.zeros((2, 1 << BITS), np.int32)
+            for b in pieces(batches, "text", PIECE_BYTES):
                 row, bucket = grams(b.column("text").to_pylist())
                 toxic = np.asarray(b.column("toxic"))[row]
                 for c in (0, 1):
-                    seen[c] += np.bincount(bucket[toxic == c], minlength=1 << BITS)
+                    at, n = np.unique(bucket[toxic == c], return_counts=True)
+                    seen[c, at] += n.astype(np.int32)
             at = np.flatnonzero(seen.any(axis=0))
             for k in range(0, len(at), 100_000):
                 some = at[k:k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])],
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some], pa.int64()), pa.array(seen[1, some], pa.int64())],
                                                  names=["bucket", "clean", "toxic"])
 
         p, q = got[1], got[0]
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = np.zeros(1 << BITS, bool)
             wanted[buckets] = True
-            for b in pieces(batches, "text", 1 << 20):
+            for b in pieces(batches, "text", PIECE_BYTES):
                 row, bucket = grams(b.column("text").to_pylist(), wanted)
                 ends = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
                 cols = np.searchsorted(buckets, bucket).astype(np.int32)
@@ -176,7 +178,7 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
         weight = np.zeros(1 << BITS)
         weight[model.buckets] = model.weights
         wanted = weight != 0
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", PIECE_BYTES):
             row, bucket = grams([t or "" for t in b.column("text").to_pylist()], wanted)
             z = np.bincount(row, weight[bucket], minlength=b.num_rows) + model.bias
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +198,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weight = np.zeros(1 << BITS)
         weight[model.buckets] = model.weights
         wanted, limit = weight != 0, np.log(THRESHOLD / (1 - THRESHOLD))
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", PIECE_BYTES):
             row, bucket = grams([t or "" for t in b.column("text").to_pylist()], wanted)
             z = np.bincount(row, weight[bucket], minlength=b.num_rows) + model.bias
             yield b.filter(pa.array(z < limit))
