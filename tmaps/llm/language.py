@@ -97,12 +97,12 @@ def features(text: np.ndarray, start: np.ndarray, end: np.ndarray, identity: np.
         term = (marked[k:k + n] + np.uint64(1)) * _FACTORS[k]
         h = term if h is None else h + term
         if k + 1 in ORDERS:
-            buckets.append((mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64))
+            buckets.append((mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int32))
             keep.append(inner + k < edge)
     # a word's features stand together: its n-grams of each order, then the whole word
-    owner = np.repeat(np.arange(len(size)), size)
-    flat_bucket = np.concatenate([b[k] for b, k in zip(buckets, keep)] + [(identity >> np.uint64(64 - BITS)).astype(np.int64)])
-    flat_owner = np.concatenate([owner[k] for k in keep] + [np.arange(len(size))])
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    flat_bucket = np.concatenate([b[k] for b, k in zip(buckets, keep)] + [(identity >> np.uint64(64 - BITS)).astype(np.int32)])
+    flat_owner = np.concatenate([owner[k] for k in keep] + [np.arange(len(size), dtype=np.int32)])
     order = np.argsort(flat_owner, kind="stable")
     counts = np.bincount(flat_owner, minlength=len(size))
     return flat_bucket[order], np.cumsum(counts) - counts
