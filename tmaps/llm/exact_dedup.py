@@ -146,7 +146,7 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
     key = ["f1", "f2", "n_bytes"]
     fp = stored(fingerprints(docs, chunk, huge, primes), "fingerprints")
     many = fp.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    rest = fp.join(many, key, "left_semi").distinct()
+    rest = fp.distinct().join(many, key, "left_semi")  # in this order Spark can split a hot group
     # the candidates' texts, found again by id and paired with their own digest
     text = _rows(docs).join(rest.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("norm", _norm("text"))
     text = text.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
