@@ -186,7 +186,14 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     if not len(start):
         return Model()
     identity, at, inverse = np.unique(span_hash(text, start, end, Powers(), lower=False), return_index=True, return_inverse=True)
-    buckets, begin = features(text, start[at], end[at], identity)
+    parts, begin, full = [], [], 0
+    for lo in range(0, len(at), 10_000):  # the driver's work space stays small
+        some = at[lo:lo + 10_000]
+        f, first = features(text, start[some], end[some], identity[lo:lo + 10_000])
+        parts.append(f)
+        begin.append(first + full)
+        full += len(f)
+    buckets, begin = np.concatenate(parts), np.concatenate(begin)
     ends = np.append(begin[1:], len(buckets))
     truth = np.array([index[x] for x in langs])[row]
     rng = np.random.default_rng(seed)
