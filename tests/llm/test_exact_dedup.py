@@ -29,6 +29,11 @@ def test_groups_match_brute_force(docs_of, rows_of):
     assert rows_of(X.exact_groups(docs_of(ROWS))) == brute(ROWS)
 
 
+def test_parts_of_a_large_group(docs_of, rows_of, monkeypatch):
+    monkeypatch.setattr(X, "PART_ROWS", 7)
+    assert rows_of(X.exact_groups(docs_of(ROWS))) == brute(ROWS)
+
+
 def test_chunks_of_huge_texts_give_the_same_numbers(docs_of, rows_of):
     rows = [(1, "x" * 70 + " \n" * 9 + "y" * 50), (1, "x" * 70 + " \n" * 9 + "y" * 50), (2, "x" * 71), (3, "")]
     whole = rows_of(X.fingerprints(docs_of(rows), chunk=16, huge=1 << 20))

@@ -33,6 +33,7 @@ PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
 CHUNK_BYTES = 1 << 16
 HUGE_BYTES = 1 << 22
+PART_ROWS = 500
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id while rows are compared
 
 
@@ -146,20 +147,23 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
     key = ["f1", "f2", "n_bytes"]
     fp = stored(fingerprints(docs, chunk, huge, primes), "fingerprints")
     many = fp.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    rest = fp.distinct().join(many, key, "left_semi")  # in this order Spark can split a hot group
+    # a group of many rows is compared in parts, each beside a copy of the group's first text
+    many = many.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")).drop("n")
+    rest = fp.distinct().join(many, key)  # in this order Spark can split a hot group
     # the candidates' texts, found again by id and paired with their own digest
     text = _rows(docs).join(rest.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("norm", _norm("text"))
     text = text.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
     done = None
     while True:
         # one row per (group, text of a document): its chunks beside those of the group's smallest id
-        reps = rest.groupBy(*key).agg(F.min(F.struct("doc_id", "sha")).alias("r")).select(*key, "r.*")
-        mine = _cut(text.join(rest, ["doc_id", "sha"]), chunk)
-        first = _cut(text.join(reps, ["doc_id", "sha"]), chunk).groupBy(*key, "no").agg(
+        reps = rest.groupBy(*key, "parts").agg(F.min(F.struct("doc_id", "sha")).alias("r")).select(*key, "parts", "r.*")
+        mine = _cut(text.join(rest, ["doc_id", "sha"]), chunk).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        first = _cut(text.join(reps, ["doc_id", "sha"]), chunk).groupBy(*key, "parts", "no").agg(
             F.min("doc_id").alias("rep"), F.first("chunk").alias("rep_chunk"))
-        same = stored(mine.join(first, [*key, "no"]).groupBy(*key, "sha", "doc_id", "rep")
+        first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        same = stored(mine.join(first, [*key, "no", "part"]).groupBy(*key, "parts", "sha", "doc_id", "rep")
                       .agg(F.min(F.col("chunk") == F.col("rep_chunk")).alias("same")), "compared")
-        found = same.where("same").drop("same")
+        found = same.where("same").drop("same", "parts")
         done = found if done is None else done.unionByName(found)
         rest = same.where("not same").drop("same", "rep")
         if rest.isEmpty():
