@@ -37,6 +37,7 @@ from tmaps.session import checkpoint
 BLOCK_POINTS = 1024
 DEEPEN_LEVELS = 8
 TOP_CELLS_LOG2 = 10  # levels of at most this many halvings are handed to every block
+FEW_POINTS = 64
 WALK_PAIRS = 4_000_000  # (point, cell) pairs that a walk holds at once
 
 
@@ -149,19 +150,21 @@ def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, di
     top = min(depth, max(1, TOP_CELLS_LOG2 // dims))
     here = box.join(cells.where(F.col("level") <= top), "map").select("map", "blk", *edge, *names)
 
-    def expand(rows: DataFrame, level: int) -> DataFrame:
-        """The cells of the next level below those of ``level`` that a point may open."""
+    def opened(rows: DataFrame, level: int) -> DataFrame:
+        """Those cells of ``level`` that a point of the block may open."""
         near, own = None, None
         for k in range(1, dims + 1):
             away = F.greatest(F.col(f"_loy{k}") - F.col(f"m{k}"), F.col(f"m{k}") - F.col(f"_hiy{k}"), F.lit(0.0))
             near = away * away if near is None else near + away * away
             inside = F.col(f"c{k}").between(cell_index(F.col(f"_lot{k}"), F.col("level")), cell_index(F.col(f"_hit{k}"), F.col("level")))
             own = inside if own is None else own & inside
-        opened = rows.where((F.col("level") == level) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
-        opened = opened.select("map", "blk", *edge, *[F.col(f"c{k}").alias(f"p{k}") for k in range(1, dims + 1)])
-        return (opened.join(below.where(F.col("level") == level + 1), ["map", *_d("p", dims)])
-                .select("map", "blk", *edge, *names))
+        rows = rows.where((F.col("level") == level) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
+        return rows.select("map", "blk", "cnt", *edge, *[F.col(f"c{k}").alias(f"p{k}") for k in range(1, dims + 1)])
 
+    # below the last level with a cell of many points, everything under an opened cell is
+    # little: it is taken in one join by the ancestor at that level
+    many = cells.where(~F.col("flat") & (F.col("cnt") > FEW_POINTS)).agg(F.max("level")).first()[0]
+    many = -1 if many is None else many
     found = None
     while True:
         here = checkpoint(here)  # a short plan for the next level
@@ -169,7 +172,16 @@ def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, di
         found = mine if found is None else found.unionByName(mine)
         if top == depth:
             return found
-        here, top = expand(here, top), top + 1
+        go, keys = opened(here, top), ["map", *_d("p", dims)]
+        ancestor = cells.where(F.col("level") > top).select("*", *[
+            F.expr(f"shiftright(c{k}, least(level - {top}, 62))").alias(f"p{k}") for k in range(1, dims + 1)])
+        under = go.where(F.col("cnt") <= FEW_POINTS).drop("cnt", *edge).join(ancestor, keys).select("map", "blk", *names)
+        found = found.unionByName(checkpoint(under))
+        if top >= many:
+            return found
+        next_level = below.where(F.col("level") == top + 1)
+        here = go.where(F.col("cnt") > FEW_POINTS).drop("cnt").join(next_level, keys).select("map", "blk", *edge, *names)
+        top += 1
 
 
 def _walk(theta_sq: float, dims: int):
