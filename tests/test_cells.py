@@ -79,6 +79,15 @@ def test_outlier_far_away(spark):
     _against_exact(spark, rows, 41)
 
 
+def test_cells_of_many_points_are_followed_at_the_last_level_too(spark):
+    """Cells of more than FEW_POINTS points well below the topmost levels."""
+    squeezed = [(i, 0, *p) for i, p in enumerate(_square(400))] + [(999, 0, 1e5, 1e5)]
+    _against_exact(spark, squeezed, 401)
+    dense = [(i, 0, *p) for i, p in enumerate(_square(200))]
+    dense += [(1000 + i, 0, 7 + a / 1e4, 9 + b / 1e4) for i, (a, b) in enumerate(_square(300, 1))]
+    _against_exact(spark, dense, 500)
+
+
 def test_maps_of_any_number(spark):
     rows = [(i, m, p[0] * (1 + m / 64), p[1]) for m in (0, 256) for i, p in enumerate(_square(40))]
     _against_exact(spark, rows, 40, 2)

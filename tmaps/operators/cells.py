@@ -177,7 +177,7 @@ def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, di
             F.expr(f"shiftright(c{k}, least(level - {top}, 62))").alias(f"p{k}") for k in range(1, dims + 1)])
         under = go.where(F.col("cnt") <= FEW_POINTS).drop("cnt", *edge).join(ancestor, keys).select("map", "blk", *names)
         found = found.unionByName(checkpoint(under))
-        if top >= many:
+        if top > many:  # opened cells of many points at level `many` are followed once more
             return found
         next_level = below.where(F.col("level") == top + 1)
         here = go.where(F.col("cnt") > FEW_POINTS).drop("cnt").join(next_level, keys).select("map", "blk", *edge, *names)
