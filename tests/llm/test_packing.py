@@ -64,6 +64,14 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids.of(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_ids_of_very_long_white_space_equal_the_library():
+    library, ids = Tokenizer.from_file(PATH), packing.ids_of(PATH)
+    n = 1_150_000
+    for s in (" " * n + "b", "a " + "\n" * n + "b", "a" + " \n" * (n // 2), " " * n + "<|endoftext|>" + "\n" * n + " x\x1c y",
+              "it's\u3000" * 5 + "\t" * n + "\u3000é", "a" + " " * packing.LONG + "b" + "\n" * (packing.LONG - 1) + "c"):
+        assert np.frombuffer(ids.of(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s[:9])
+
+
 def test_rows(docs_of):
     library = Tokenizer.from_file(PATH)
     rng = random.Random(1)

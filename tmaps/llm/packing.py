@@ -19,11 +19,13 @@ packs into no sequence; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,19 +36,38 @@ from tmaps.llm.common import pieces, stored
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # id 0 closes every document
+LONG = 100_000  # tiktoken's pattern fails on about a million white characters on end
+_LONG_WHITE = regex.compile(rf"(?<!\s)\s{{{LONG},}}")
 
 
 class Ids:
     """Ids of a byte-level BPE file, as the tokenizers library gives them, through
     tiktoken's encoder on the file's own vocabulary: it needs a fifth of the time, and no
-    table of words. The strings of special tokens are those tokens."""
+    table of words. The strings of special tokens are those tokens. Runs of ``LONG`` and
+    more white characters do not go through tiktoken's pattern: it takes such a run whole,
+    without the last character where something stands after it."""
 
     def __init__(self, path: str) -> None:
         v = Tokens(path)
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens=v.special)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")").split if v.special else lambda s: [s]
 
     def of(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if len(text) < LONG or _LONG_WHITE.search(text) is None:
+            return self.short(text)
+        out = []
+        for k, part in enumerate(self.cut(text)):
+            at = 0
+            for m in () if k % 2 else _LONG_WHITE.finditer(part):
+                end = m.end() if m.end() == len(part) else m.end() - 1
+                out += [self.short(part[at:m.start()]), np.array(self.encoding._encode_single_piece(part[m.start():end]), "<u4").tobytes()]
+                at = end
+            out.append(self.short(part[at:]))
+        return b"".join(out)
+
+    def short(self, text: str) -> bytes:
+        """Ids of a text without long runs of white characters."""
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
