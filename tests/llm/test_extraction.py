@@ -37,6 +37,23 @@ CASES = {
 }
 
 
+NAMED = ("<h2 id='related-work'>{}</h2>", "<section id='discussion'><p>{}</p></section>", "<h2 id='search-algorithms'>{}</h2>", "<p class='notice-period'>{}</p>",
+         "<section id='threads'><p>{}</p></section>", "<div class='downloads'><p>{}</p></div>", "<div id='commentary'><p>{}</p></div>",
+         "<section class='promote'><p>{}</p></section>", "<section id='navigation'><p>{}</p></section>", "<h3 class='banner'>{}</h3>")
+
+
+@pytest.mark.parametrize("part", NAMED)
+def test_classes_and_ids_that_name_subjects_stay(part):
+    assert X.main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{part.format('Told here.')}</article>") == f"T\n\n{LONG}\n\nTold here."
+
+
+def test_layout_classes_do_not_lose_the_text():
+    for name in ("layout has-sidebar", "header", "page sidebar"):
+        assert X.main_text(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><p><a href=x>a</a>") == f"{LONG}\n\n{LONG}"
+    for name in ("sidebar", "ad-box", "siteFooter", "ads2", "cookie-notice", "related"):
+        assert X.main_text(f"<main><p>{LONG}</p><div class='{name}'><a href=x>A link</a></div></main>") == LONG
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     html, want = CASES[name]

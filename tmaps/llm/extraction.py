@@ -11,8 +11,10 @@ going up that path, neighbours as dense as that, of at least ``LIKE`` of the art
 density and not made of links, belong to the article too. An ``article`` or ``main`` element around the result is taken whole.
 
 What is marked as something else is left out before the counts: scripts and styles, menus,
-page headers and footers, sidebars, forms, adverts, notices, comments (by element, role,
-or a word of its class or id).
+page headers and footers, sidebars, forms, adverts, comments (by element, role, or a whole
+class or id). A class or id is a hint: headings and paragraphs are never left out for it,
+nor what holds most of the page's unlinked text (unless it names readers' comments); words
+that name subjects as well ("related", "discussion") count only for what is mostly links.
 
 Inside a block, white space is one space; blocks are joined by an empty line. ``br`` is
 white space. A tag cut off by the end of the page is no text.
@@ -28,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -45,15 +48,18 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
                     " textarea input iframe svg canvas object embed audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar"
                           " toolbar tablist status".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo"
-                          " promotion promoted banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb"
-                          " breadcrumbs masthead header footer foot comment comments disqus reply replies respond responses"
-                          " discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay"
-                          " newsletter subscribe subscription signup login share sharing social related recommended"
-                          " recommendations pagination pager toolbar widget form search copyright".split())
-DROPPED_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "popup",
-                  "promo", "sidebar", "sponsor")
-DROPPED_ENDS = ("ads", "banner", "comments", "footer", "menu", "nav", "sidebar")
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
+DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle googleads sponsor"
+                          " sponsored promo banner banners sidebar sidebars menu menus topmenu submenu nav navbar topnav subnav sidenav"
+                          " navigation breadcrumb breadcrumbs masthead header footer cookie cookies consent gdpr popup modal overlay"
+                          " newsletter login signup pagination pager toolbar".split())
+# words that name subjects too: what they mark goes only if most of it is links
+HINT_WORDS = frozenset("aside foot respond responses discussion notice notices notification alert promotion promoted subscribe"
+                       " subscription share sharing social related recommended recommendations widget form search copyright".split())
+# a class such as "ad-box" says no more than "ad"
+NEUTRAL_WORDS = frozenset("top bottom left right main site page global primary secondary box block bar wrapper wrap container inner"
+                          " outer area list links section item items unit slot row col column panel post article entry".split())
+KEPT = frozenset("html body main h1 h2 h3 h4 h5 h6 p".split())  # never left out for a class or id
 # a start tag of the first closes an open one of the second, up to the third
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -71,17 +77,33 @@ DEPTH = 512  # deeper elements are kept as neighbours, as browsers do
 P_SCOPE = frozenset("button table td th caption object applet html".split())
 NEEDED = frozenset(["article", "main"])
 
+# how surely an element is something else: by a word that may be a subject, by a word, as
+# readers' comments, or by its name, its role or being hidden
+HINT, WORD, COMMENT, SURE = 1, 2, 3, 4
+
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z)|/?[a-zA-Z][^>]*\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+@lru_cache(65536)
+def named(token: str, subject: bool) -> int:
+    """What a whole class or id says; the id of a section is its subject."""
+    words = [w.rstrip("0123456789") for w in _WORD.findall(_CAMEL.sub(" ", token).lower())]
+    said = [w for w in words if w and w not in NEUTRAL_WORDS]
+    if not said or not all(w in COMMENT_WORDS or w in DROPPED_WORDS or w in HINT_WORDS for w in said):
+        return 0
+    if any(w in COMMENT_WORDS for w in said):
+        return COMMENT
+    return WORD if not subject and any(w in DROPPED_WORDS for w in said) else HINT
+
+
 class Page:
     """Elements in document order (parents before children) and texts in page order."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.dropped = ["#page"], [-1], [False]
+        self.tag, self.parent, self.dropped = ["#page"], [-1], [0]
         self.open = Counter()  # open elements by name
         self.items: list[tuple[int, str | None]] = []  # (element, text), or None for a block's edge
         self.parse(html)
@@ -146,28 +168,29 @@ class Page:
                 return
 
     @staticmethod
-    def marked(name: str, attributes: str) -> bool:
+    def marked(name: str, attributes: str) -> int:
         if name in DROPPED:
-            return True
+            return SURE
         if name in ("html", "body", "article", "main") or len(attributes) < 3:
-            return False
+            return 0
+        mark = 0
         for m in _ATTR.finditer(attributes[:-1]):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key in ("class", "id"):
-                for word in _WORD.findall(_CAMEL.sub(" ", value).lower()):
-                    if word in DROPPED_WORDS or word.startswith(DROPPED_STARTS) or word.endswith(DROPPED_ENDS):
-                        return True
+                if name not in KEPT:
+                    mark = max(mark, *(named(x, key == "id" and name == "section") for x in value.split()), 0)
             elif key == "role":
                 if value.strip().lower() in DROPPED_ROLES:
-                    return True
+                    return SURE
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
+                return SURE
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return SURE
+        return mark
 
-    def text(self) -> str:
-        n, tag, parent = len(self.tag), self.tag, self.parent
+    def left_out(self) -> list[bool]:
+        """Elements that are marked as something else, with all below them."""
+        n, tag, parent, mark = len(self.tag), self.tag, self.parent, self.dropped
         # elements that hold the article cannot be left out, nor a heading's own wrapper inside it
         holds, titled, inside = [False] * n, [False] * n, [False] * n
         for k in range(1, n):
@@ -176,9 +199,29 @@ class Page:
             p = parent[k]
             holds[p] = holds[p] or holds[k] or tag[k] in NEEDED
             titled[p] = titled[p] or titled[k] or tag[k] == "h1"
+        # characters outside and inside of links, without what is surely something else
+        gone, linked, plain, links = [False] * n, [False] * n, [0] * n, [0] * n
+        for k in range(1, n):
+            gone[k] = gone[parent[k]] or mark[k] >= COMMENT and not holds[k]
+            linked[k] = linked[parent[k]] or tag[k] == "a"
+        for k, text in self.items:
+            if text and not gone[k]:
+                (links if linked[k] else plain)[k] += len(text) - text.count(" ")
+        for k in range(n - 1, 0, -1):
+            plain[parent[k]] += plain[k]
+            links[parent[k]] += links[k]
         out = [False] * n
         for k in range(1, n):
-            out[k] = out[parent[k]] or (self.dropped[k] and not holds[k] and not (titled[k] and (inside[k] and tag[k] == "header" or tag[k] not in DROPPED)))
+            if out[parent[k]]:
+                out[k] = True
+            elif mark[k] and not holds[k] and not (titled[k] and (inside[k] and tag[k] == "header" or tag[k] not in DROPPED)):
+                most = 2 * plain[k] > plain[0]
+                out[k] = mark[k] >= COMMENT or not most and (mark[k] == WORD or links[k] >= plain[k])
+        return out
+
+    def text(self) -> str:
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        out = self.left_out()
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         linked = [False] * n
         for k in range(1, n):
