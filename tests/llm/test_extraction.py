@@ -54,6 +54,29 @@ def test_layout_classes_do_not_lose_the_text():
         assert X.main_text(f"<main><p>{LONG}</p><div class='{name}'><a href=x>A link</a></div></main>") == LONG
 
 
+COMMENTS = f"<section class='comments'><h2>Comments</h2><article class='comment'><p>{LONG * 5}</p></article><article class='comment'><p>{LONG * 3}</p></article></section>"
+PARTS = {
+    "parts of main": (f"<body><main><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>Two. {LONG}</p></article><div><a href=x>More</a></div></main>",
+                      f"{LONG}\n\n{LONG}\n\n{LONG}\n\nTwo. {LONG}"),
+    "parts of div": (f"<body><div><article><p>{LONG} {LONG}</p></article><article><p>Two. {LONG}</p></article></div>", f"{LONG} {LONG}\n\nTwo. {LONG}"),
+    "lead": (f"<body><p>Site</p><main><header><h1>T</h1></header><p>The lead.</p><article><p>{LONG}</p><p>{LONG}</p></article></main>",
+             f"T\n\nThe lead.\n\n{LONG}\n\n{LONG}"),
+    "title": (f"<main><div><h1>T</h1></div>Own <i>text</i> <a href=x>here</a>.<div class=x><article><p>{LONG}</p></article></div></main>", f"T\n\nOwn text here.\n\n{LONG}"),
+    "comment articles": (f"<body><article><h1>T</h1><p>{LONG}</p></article>{COMMENTS}", f"T\n\n{LONG}"),
+    "comments in main": (f"<body><main><article><h1>T</h1><p>{LONG}</p></article>{COMMENTS}</main>", f"T\n\n{LONG}"),
+    "comments in article": (f"<body><article><h1>T</h1><p>{LONG}</p>{COMMENTS}</article>", f"T\n\n{LONG}"),
+    "role": (f"<body><main><p>{LONG}</p><article role=comment><p>{LONG * 5}</p></article></main>", LONG),
+    "plain articles in comments": (f"<body><main><p>{LONG}</p><div id=comments><article><p>{LONG * 5}</p></article></div></main>", LONG),
+    "only a comment": (f"<body><article class=comment><p>{LONG}</p></article>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_and_comments(name):
+    html, want = PARTS[name]
+    assert X.main_text(html) == want
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     html, want = CASES[name]

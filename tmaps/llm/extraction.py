@@ -8,7 +8,10 @@ belong to links. Its composite density is C / T, adjusted for links:
 where a count of 0 is taken as 1. The element whose children's densities have the largest
 sum holds the article. The least density on the path from it to ``body`` is the threshold:
 going up that path, neighbours as dense as that, of at least ``LIKE`` of the article's own
-density and not made of links, belong to the article too. An ``article`` or ``main`` element around the result is taken whole.
+density and not made of links, belong to the article too. The outermost ``article`` around
+the result is taken whole, with the articles beside it; below ``main`` also the headings,
+paragraphs and as dense neighbours of the path up to it. Without an article, ``main`` is
+taken whole. Readers' comments are no articles, whatever their element.
 
 What is marked as something else is left out before the counts: scripts and styles, menus,
 page headers and footers, sidebars, forms, adverts, comments (by element, role, or a whole
@@ -76,6 +79,7 @@ LIKE = 0.25
 DEPTH = 512  # deeper elements are kept as neighbours, as browsers do
 P_SCOPE = frozenset("button table td th caption object applet html".split())
 NEEDED = frozenset(["article", "main"])
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split())
 
 # how surely an element is something else: by a word that may be a subject, by a word, as
 # readers' comments, or by its name, its role or being hidden
@@ -171,17 +175,22 @@ class Page:
     def marked(name: str, attributes: str) -> int:
         if name in DROPPED:
             return SURE
-        if name in ("html", "body", "article", "main") or len(attributes) < 3:
+        if name in ("html", "body", "main") or len(attributes) < 3:
             return 0
         mark = 0
         for m in _ATTR.finditer(attributes[:-1]):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key in ("class", "id"):
                 if name not in KEPT:
-                    mark = max(mark, *(named(x, key == "id" and name == "section") for x in value.split()), 0)
+                    said = max((named(x, key == "id" and name == "section") for x in value.split()), default=0)
+                    mark = max(mark, said if name != "article" or said == COMMENT else 0)
             elif key == "role":
-                if value.strip().lower() in DROPPED_ROLES:
+                if value.strip().lower() == "comment":
+                    mark = max(mark, COMMENT)
+                elif name != "article" and value.strip().lower() in DROPPED_ROLES:
                     return SURE
+            elif name == "article":
+                continue
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return SURE
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -193,11 +202,17 @@ class Page:
         n, tag, parent, mark = len(self.tag), self.tag, self.parent, self.dropped
         # elements that hold the article cannot be left out, nor a heading's own wrapper inside it
         holds, titled, inside = [False] * n, [False] * n, [False] * n
+        # (a reader's comment, or an article of a part for comments, is not the article, unless
+        # the page has no other)
+        readers, free = [False] * n, False
         for k in range(1, n):
             inside[k] = inside[parent[k]] or tag[k] in NEEDED
+            readers[k] = readers[parent[k]] or mark[k] == COMMENT
+            free = free or tag[k] in NEEDED and not readers[k]
         for k in range(n - 1, 0, -1):
             p = parent[k]
-            holds[p] = holds[p] or holds[k] or tag[k] in NEEDED
+            holds[k] = holds[k] or tag[k] in NEEDED and not (free and readers[k])
+            holds[p] = holds[p] or holds[k]
             titled[p] = titled[p] or titled[k] or tag[k] == "h1"
         # characters outside and inside of links, without what is surely something else
         gone, linked, plain, links = [False] * n, [False] * n, [0] * n, [0] * n
@@ -219,6 +234,14 @@ class Page:
                 out[k] = mark[k] >= COMMENT or not most and (mark[k] == WORD or links[k] >= plain[k])
         return out
 
+    def above(self, k: int) -> list[int]:
+        """The elements that hold this one, innermost first."""
+        path = []
+        while self.parent[k] >= 0:
+            k = self.parent[k]
+            path.append(k)
+        return path
+
     def text(self) -> str:
         n, tag, parent = len(self.tag), self.tag, self.parent
         out = self.left_out()
@@ -252,29 +275,49 @@ class Page:
             base = math.log(max(lc * c / max(1, c - link_chars[k]) + ratio * c + math.e, math.e))
             return c / t * max(0.0, math.log(max(c / lc * (t / lt), 1e-9)) / max(math.log(base), 1.0) if base > 1 else math.log(max(c / lc * (t / lt), 1e-9)))
 
+        titles = [False] * n
+        for k in range(n - 1, 0, -1):
+            titles[parent[k]] = titles[parent[k]] or not out[k] and (titles[k] or tag[k] == "h1")
         dense = [density(k) if not out[k] else 0.0 for k in range(n)]
         total = [0.0] * n
         for k in range(1, n):
             total[parent[k]] += dense[k]
         best = max((k for k in range(n) if not out[k]), key=lambda k: (total[k], chars[k], -k), default=0)
-        path = [best]
-        while parent[path[-1]] >= 0:
-            path.append(parent[path[-1]])
+        path = [best, *self.above(best)]
         around = [k for k in path if tag[k] in NEEDED]
         if not around:  # the densest place lies outside of the article that the page names
-            named = [k for k in range(n) if tag[k] in NEEDED and not out[k] and chars[k]]
-            if named:
-                around = [max(named, key=lambda k: (chars[k], -k))]
-        taken = [False] * n
+            chosen = [k for k in range(n) if tag[k] in NEEDED and not out[k] and chars[k]]
+            if chosen:
+                around = [max(chosen, key=lambda k: (chars[k], -k))]
+                around += [k for k in self.above(around[0]) if tag[k] in NEEDED]
+        taken, own = [False] * n, set()
+        children: dict[int, list[int]] = {}
+        for k in range(1, n):
+            children.setdefault(parent[k], []).append(k)
         if around:
-            taken[around[0] if tag[around[0]] == "article" or len(around) == 1 else around[0]] = True
+            # the outermost article whole, and what belongs to it: up to `main`, or beside it
+            whole = next((k for k in reversed(around) if tag[k] == "article"), around[-1])
+            taken[whole] = True
+            up = self.above(whole)
+            mains = [i for i, k in enumerate(up) if tag[k] == "main"]
+            in_main = bool(mains)
+            up = up[:mains[-1] + 1] if in_main else up[:1]
+            threshold = min([LIKE * dense[whole], *(dense[k] for k in up)])
+            spoken = {k for k, text in self.items if text and not text.isspace()}
+            for k in up:
+                if in_main:
+                    own.add(k)
+                for x in children.get(k, ()):
+                    if in_main and k in spoken and tag[x] in INLINE:  # a part of its text
+                        taken[x] = True
+                    if out[x] or x == whole or not chars[x] or 2 * link_chars[x] >= chars[x]:
+                        continue
+                    if tag[x] == "article" or in_main and (tag[x] in TEXT_TAGS or tag[x] in INLINE or titles[x] or dense[x] >= threshold):
+                        taken[x] = True
         else:
             up = path[:path.index(body) + 1] if body in path else path
             threshold = min(dense[k] for k in up)
             taken[best] = True
-            children: dict[int, list[int]] = {}
-            for k in range(1, n):
-                children.setdefault(parent[k], []).append(k)
             for k in up[1:]:
                 for x in children.get(k, ()):
                     if not out[x] and dense[x] >= max(threshold, LIKE * dense[best]) and 2 * link_chars[x] < max(1, chars[x]) and tag[x] not in INLINE:
@@ -283,6 +326,8 @@ class Page:
                 taken[0] = True
         for k in range(1, n):
             taken[k] = (taken[k] or taken[parent[k]]) and not out[k]
+        for k in own:
+            taken[k] = True  # its own text; its children were chosen
         blocks, now = [], []
         for k, text in self.items:
             if text is None:
