@@ -7,7 +7,8 @@ but the last return the columns of ``documents``.
 * toxicity: documents scored at or above the threshold go;
 * language_id: documents without a known language, or of an unsure one, go;
 * exact_dedup: of equal texts one document stays;
-* ngram_jaccard: of near copies one document of each group stays;
+* ngram_jaccard: of near copies (0.8 of the shingles of five words) one document of each
+  group stays;
 * packing: the pieces of what is left, with their places in sequences.
 
 An empty table gives an empty result in every stage.
@@ -22,6 +23,9 @@ from tmaps.llm import exact_dedup, language, ngram_join, packing, toxicity
 from tmaps.llm.common import stored, table
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

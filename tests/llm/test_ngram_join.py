@@ -79,6 +79,41 @@ def test_linked_sets_show_a_common_segment():
     assert seen > 500
 
 
+def runs(text, words):
+    w = (text or "").split()
+    return {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def test_pairs_between_two_thresholds(docs_of):
+    """Copies with words added: 0.87 on five words must go at 80 per cent, but stay at 90 on three."""
+    rows, rng = [], random.Random(3)
+    for p, (n, more) in enumerate([(200, 30), (200, 48), (200, 52), (40, 8), (12, 2), (60, 5), (900, 200)]):
+        base = ["p%dw%d" % (p, i) for i in range(n)]
+        rows += [(10 * p, " ".join(base)), (10 * p + 1, " ".join(base + ["q%d_%d" % (p, i) for i in range(more)]))]
+    kept = {}
+    for words, percent in ((5, 80), (3, 90)):
+        got = {r.doc_id: r.component_id for r in J.jaccard_components(docs_of(rows), words, percent).collect()}
+        for (a, x), (b, y) in zip(rows[::2], rows[1::2]):
+            x, y = runs(x, words), runs(y, words)
+            assert (got[b] == a) == (100 * len(x & y) >= percent * len(x | y)), (words, a)
+        kept[words] = got
+    assert kept[5][1] == 0 and kept[3][1] == 1
+
+
+def test_linked_sets_show_a_common_segment_at_80():
+    rng, seen = random.Random(9), 0
+    for _ in range(2500):
+        n = rng.choice([rng.randint(4, 40), rng.randint(4, 400), rng.randint(4, 1500)])
+        a = [rng.getrandbits(64) for _ in range(n)]
+        gone = rng.randint(0, n // 4)
+        b = a[gone:] + [rng.getrandbits(64) for _ in range(rng.randint(0, n // 4 - gone))]
+        x, y = set(a), set(b)
+        if 100 * len(x & y) >= 80 * len(x | y):
+            seen += 1
+            assert len(np.intersect1d(*(J.signatures(np.array(sorted(s), np.uint64), 80) for s in (x, y))))
+    assert seen > 500
+
+
 def test_shingles_of_whole_texts():
     rng = random.Random(2)
     texts = [None, "", "a", "A b", "a B c", "x" * 10000] + [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -45,3 +45,9 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_five_words_and_80_per_cent_go(spark, docs_of):
+    base = ["w%d" % i for i in range(200)]
+    docs = docs_of([(1, " ".join(base)), (2, " ".join(base + ["x%d" % i for i in range(30)])), (3, " ".join(base[:100] + ["y%d" % i for i in range(100)]))])
+    assert sorted(r.doc_id for r in dict(P.STAGES)["ngram_jaccard"](spark, docs, SF).collect()) == [1, 3]

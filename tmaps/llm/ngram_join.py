@@ -1,12 +1,13 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document's set is its distinct shingles (words of 3, hashed to 64 bits); the global
-order of shingles is their hash order. The order is cut into K fragments, so a set is cut
-into K segments. Two sets that link differ in at most H = (size of the smaller) / 9
-shingles, so with K > H some segment is the same in both: documents that share no segment
-cannot link. Sizes fall into classes (half as much again each), with one K for a class; a
-document shows its segments for its own class, and for the class below where a partner may
-be of that class.
+A document's set is its distinct shingles (runs of ``words`` words, hashed to 64 bits); two
+sets link from a similarity of ``percent`` per cent on (50 to 99). The global order of
+shingles is their hash order. The order is cut into K fragments, so a set is cut into K
+segments. Two sets that link differ in at most H = (size of the smaller) *
+(100 - percent) / percent shingles, so with K > H some segment is the same in both:
+documents that share no segment cannot link. Sizes fall into classes (half as much again
+each, below 90 per cent a third), with one K for a class; a document shows its segments for
+its own class, and for the class below where a partner may be of that class.
 
 1. Every document gives its size, a 128-bit sum of its set and hashes of its segments.
    Equal sets are one class from here on.
@@ -18,18 +19,22 @@ be of that class.
    near copies gives links in proportion to n, not to its pairs.
 4. Links of classes become components.
 
-Segments of one or two shingles say little: up to E of them are not shown (K is larger by
-E); a short document's are shown together with the segments of a second, independent cut.
+Segments of few shingles say little: up to E of them are not shown (K is larger by E).
+Where more than E are empty, the others are shown, and so are those of the next, independent
+cut: sets that have only empty segments in common there both go on to it. A short document's
+are shown together with the segments of a second cut.
 
 Defined cases: null, empty and blank texts have an empty set, a size of 0, and link with
-nothing; one or two words are one shingle; rows that repeat a doc_id count as copies; a
+nothing; fewer than ``words`` words are one shingle; rows that repeat a doc_id count as copies; a
 null doc_id ranks after every other and comes back as null; an empty table gives no rows;
 further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,34 +52,42 @@ FRAGMENT_COLUMNS = 4096
 SMALL = 3  # segments of fewer shingles say little
 SLACK_FROM = 8
 FILTER_BITS = 1 << 26  # 8 MB, whatever the corpus
+CUTS = 6
 _C = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 
-def size_classes(limit: int = 1 << 40) -> np.ndarray:
-    """Least sizes of the classes; sizes below the first link with equal sets only."""
-    out = [9]
+@lru_cache
+def size_classes(percent: int = PERCENT, limit: int = 1 << 40) -> np.ndarray:
+    """Least sizes of the classes; sizes below the first link with equal sets only. A set
+    links within its class and the next ones to it: each is 100 / percent as large at least."""
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be from 50 to 99")
+    out = [-(-percent // (100 - percent))]
     while out[-1] < limit:
-        out.append(-(-out[-1] * 3 // 2))
+        more = -(-out[-1] * 3 // 2) if percent >= 90 else -(-out[-1] * 4 // 3)
+        out.append(max(more, -(-out[-1] * 100 // percent)))
     return np.array(out, dtype=np.int64)
 
 
-_CLASSES = size_classes()
-
-
-def shingle_sets(data: np.ndarray, off: np.ndarray, powers: Powers) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, off: np.ndarray, powers: Powers, words: int = WORDS) -> Iterator[np.ndarray]:
     """Each row's distinct shingles, ascending."""
     start, end, row = word_spans(data, off)
     h = span_hash(data, start, end, powers)
     first = np.searchsorted(row, np.arange(len(off)))
-    three = np.zeros(len(h), np.uint64)
-    if len(h) >= WORDS:
-        three[:len(h) - 2] = mix64(h[:-2] * _C[0] + h[1:-1] * _C[1] + h[2:] * _C[2])
+    by = mix64(np.arange(101, 102 + words, dtype=np.uint64)) | np.uint64(1)
+    runs = np.zeros(len(h), np.uint64)
+    if len(h) >= words:
+        full = len(h) - words + 1
+        total = h[:full] * by[0]
+        for k in range(1, words):
+            total += h[k:k + full] * by[k]
+        runs[:full] = mix64(total)
     for k in range(len(off) - 1):
         lo, hi = first[k], first[k + 1]
-        if hi - lo >= WORDS:
-            yield np.unique(three[lo:hi - 2])
+        if hi - lo >= words:
+            yield np.unique(runs[lo:hi - words + 1])
         elif hi > lo:
-            few = np.append(h[lo:hi], np.uint64(hi - lo)) * _C[np.append(np.arange(hi - lo), WORDS)]
+            few = np.append(h[lo:hi], np.uint64(hi - lo)) * by[np.append(np.arange(hi - lo), words)]
             yield mix64(few.sum(keepdims=True))
         else:
             yield np.zeros(0, np.uint64)
@@ -88,31 +101,36 @@ def cut(shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(at), total[at[1:]] - total[at[:-1]]
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
+def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes of the segments to show: sets that link have one in common."""
-    n, out = len(shingles), []
-    if n < _CLASSES[0]:
+    n, out, classes = len(shingles), [], size_classes(percent)
+    if n < classes[0]:
         return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(_CLASSES, n, side="right")) - 1
-    below = own > 0 and -(-n * PERCENT // 100) < _CLASSES[own]
+    own = int(np.searchsorted(classes, n, side="right")) - 1
+    below = own > 0 and -(-n * percent // 100) < classes[own]
     for c in (own, own - 1) if below else (own,):
-        most = int(_CLASSES[c + 1] - 1) // 9
-        slack = -(-(most + 1) // 10) if most >= SLACK_FROM else 0
+        most = int(classes[c + 1] - 1) * (100 - percent) // percent
+        slack = -(-(most + 1) // (10 if percent >= 90 else 3)) if most >= SLACK_FROM else 0
         k = most + 1 + slack
+        salt = np.arange(k, dtype=np.uint64) * _C[2] + np.array([c], np.uint64) * _C[3]
         size, h = cut(shingles, k)
-        sign = mix64(h + np.arange(k, dtype=np.uint64) * _C[2] + np.array([c], np.uint64) * _C[3])
-        small = size < SMALL
-        few = int(small.sum())
-        if few <= slack:
+        sign = mix64(h + salt)
+        if most < SLACK_FROM:
+            small = size < SMALL
             out.append(sign[~small])
-        elif most >= SLACK_FROM:
-            out.append(sign)
-        else:
-            again = np.sort(mix64(shingles ^ _C[0]))
-            _, h2 = cut(again, most + 1)
-            second = h2 + np.arange(most + 1, dtype=np.uint64) * _C[0]
-            out.append(sign[~small])
-            out.append(mix64(sign[small][:, None] * _C[1] + second[None, :]).ravel())
+            if small.any():
+                again = np.sort(mix64(shingles ^ _C[0]))
+                _, h2 = cut(again, most + 1)
+                second = h2 + np.arange(most + 1, dtype=np.uint64) * _C[0]
+                out.append(mix64(sign[small][:, None] * _C[1] + second[None, :]).ravel())
+            continue
+        for turn in range(1, CUTS + 1):
+            least = next((x for x in range(SMALL, 0, -1) if int((size < x).sum()) <= slack), 0)
+            out.append(sign[size >= (least or (1 if turn < CUTS else 0))])
+            if least or turn == CUTS:
+                break
+            size, h = cut(np.sort(mix64(shingles ^ (_C[0] * np.uint64(2 * turn + 1)))), k)
+            sign = mix64(h + salt + _C[1] * np.uint64(turn))
     return np.unique(np.concatenate(out))
 
 
@@ -121,23 +139,25 @@ def _numbered(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for b in pieces(batches, "text", 1 << 20):
-        size, f1, f2, signs = [], [], [], []
-        for s in shingle_sets(*flat(b.column("text")), powers):
-            size.append(len(s))
-            f1.append(mix64(s).sum(dtype=np.uint64))
-            f2.append(mix64(s ^ _C[3]).sum(dtype=np.uint64))
-            signs.append(signatures(s).view(np.int64))
-        ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))],
-            names=["doc_id", "n", "f1", "f2", "signs"])
+def _describe(words: int, percent: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in pieces(batches, "text", 1 << 20):
+            size, f1, f2, signs = [], [], [], []
+            for s in shingle_sets(*flat(b.column("text")), powers, words):
+                size.append(len(s))
+                f1.append(mix64(s).sum(dtype=np.uint64))
+                f2.append(mix64(s ^ _C[3]).sum(dtype=np.uint64))
+                signs.append(signatures(s, percent).view(np.int64))
+            ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))],
+                names=["doc_id", "n", "f1", "f2", "signs"])
+    return kernel
 
 
-def _gather(wanted: bytes):
+def _gather(wanted: bytes, words: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), np.frombuffer(wanted, np.uint8)
         for b in pieces(batches, "text", 1 << 20):
@@ -145,7 +165,7 @@ def _gather(wanted: bytes):
             b = b.filter(pa.array((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
                 continue
-            sets = [s.view(np.int64) for s in shingle_sets(*flat(b.column("text")), powers)]
+            sets = [s.view(np.int64) for s in shingle_sets(*flat(b.column("text")), powers, words)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([int(mix64(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                  pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "f1", "shingles"])
@@ -167,7 +187,7 @@ def id_filter(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(id, least id that it reaches by links) for the linked sets of one block: overlaps
     are counted in each fragment of the shingle order and summed."""
     m = len(ids)
@@ -189,7 +209,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np
         part[local, column[a:b] - lo] = 1
         overlap[np.ix_(rows, rows)] += part @ part.T
     both = overlap.astype(np.int64)
-    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     label = np.arange(m)[np.argsort(np.argsort(ids, kind="stable"), kind="stable")]
     rank = label.copy()
     while True:
@@ -204,19 +224,21 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np
     return ids[moved], by_rank[label[moved]]
 
 
-def _links(group: pa.Table) -> pa.Table:
-    group = group.combine_chunks()
-    ids = np.asarray(group["doc_id"])
-    lists = group["shingles"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    at, values = np.asarray(lists.offsets), np.asarray(lists.values)
-    a, b = block_links(ids, [values[at[i]:at[i + 1]] for i in range(len(ids))])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _links(percent: int):
+    def kernel(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids = np.asarray(group["doc_id"])
+        lists = group["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        a, b = block_links(ids, [values[at[i]:at[i + 1]] for i in range(len(ids))], percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return kernel
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = stored(_numbered(docs).mapInArrow(_describe, "doc_id long, n long, f1 long, f2 long, signs array<long>"), "sets")
+    rows = stored(_numbered(docs).mapInArrow(_describe(words, percent), "doc_id long, n long, f1 long, f2 long, signs array<long>"), "sets")
     key = ["f1", "f2", "n"]
     classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     shown = rows.select("f1", F.explode("signs").alias("sign"))
@@ -226,12 +248,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     clusters = components(ties)
     members = stored(classes.join(clusters, classes["f1"] == clusters["node"]).select("rep", "f1", "n", "root"), "members")
     wanted = id_filter(members.select(F.col("rep").alias("doc_id")))
-    sets = _numbered(docs).mapInArrow(_gather(wanted), "doc_id long, f1 long, shingles array<long>").dropDuplicates(["doc_id", "f1"])
+    sets = _numbered(docs).mapInArrow(_gather(wanted, words), "doc_id long, f1 long, shingles array<long>").dropDuplicates(["doc_id", "f1"])
     # members to blocks: a whole cluster; if too large, documents of neighbouring sizes; and
     # if still too large, every pair of blocks
     some = lambda n, count: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.ceil(count / BLOCK_DOCS)).cast("int")
     sized = members.groupBy("root").agg(some(F.sum("n"), F.count("*")).alias("blocks"))
-    band = F.floor(F.log(F.col("n")) / F.lit(0.115)).cast("int")  # under ln(1 / 0.89): links reach the next band at most
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 0.01)).cast("int")  # links reach the next band at most
     spread = members.join(sized, "root").withColumn(
         "band", F.explode(F.when(F.col("blocks") > 1, F.array(band, band - 1)).otherwise(F.array(F.lit(-2)))))
     again = spread.groupBy("root", "band").agg(some(F.sum("n"), F.count("*")).alias("blocks"))
@@ -241,7 +263,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
               .where("blocks = 1 or other <> mine")
               .select(F.col("rep").alias("doc_id"), "f1", "root", "band", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")))
     links = (sets.join(spread, ["doc_id", "f1"]).select("root", "band", "one", "two", "doc_id", "shingles")
-             .groupBy("root", "band", "one", "two").applyInArrow(_links, "a long, b long"))
+             .groupBy("root", "band", "one", "two").applyInArrow(_links(percent), "a long, b long"))
     linked = components(links).withColumnRenamed("node", "rep")
     tops = classes.join(linked, "rep", "left").select(*(F.col(c).alias(f"of_{c}") for c in key), F.coalesce("root", "rep").alias("top"))
     out = rows.drop("signs").join(tops, [F.col(c) == F.col(f"of_{c}") for c in key], "left")
@@ -250,9 +272,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                       real(F.coalesce("top", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component, with their columns."""
     number, kept = own("id", "keep")
-    keep = jaccard_components(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(kept)).distinct()
+    keep = jaccard_components(docs, words, percent).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(kept)).distinct()
     return (docs.withColumn(number, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
             .join(keep, F.col(number) == F.col(kept), "left_semi").drop(number))
