@@ -37,6 +37,15 @@ def test_held_out_accuracy_and_cases(docs_of):
     assert by[1004].lang_pred == "bb" and all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_language_of_long_documents_only(docs_of):
+    rng = random.Random(5)
+    docs = [d for d in corpus(120) if d[2] != "cc"]
+    docs += [(2000 + i, sentence(rng, "cc", 6000), "cc") for i in range(12)] + [(3000, sentence(rng, "cc", 80), None)]
+    assert min(len(d[1].encode()) for d in docs if d[2] == "cc") > X.TRAIN_BYTES
+    got = {r.doc_id: r.lang_pred for r in X.identify(docs_of(docs)).collect()}
+    assert got[3000] == "cc" and all(got[d[0]] == d[2] for d in docs if d[2] == "cc")
+
+
 def test_code_switched_words():
     docs = corpus()
     model = X.train([d[1] for d in docs], [d[2] for d in docs])

@@ -14,7 +14,8 @@ windows run forward and backward at once from exact border vectors.
 Fit. At most about ``TRAIN_ROWS`` labelled rows that are not held out, of at most
 ``TRAIN_BYTES`` bytes each, in equal numbers for each language (chosen by a hash of their
 ids), spliced into code-switched chains of 5 to 30 words a turn so that transitions are
-seen. The driver's work is bounded by these parameters.
+seen. Languages are those of all such rows; one with too few rows of that size is learned from
+the beginnings of its longer ones too. The driver's work is bounded by these parameters.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter, and for
 all texts if nothing could be learned; equal sums go to the first language by name; null
@@ -244,11 +245,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    rows = docs.where("lang is not null and text is not null").where(~held_out("doc_id")).where(F.octet_length("text") <= TRAIN_BYTES)
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    rows = docs.where("lang is not null and text is not null").where(~held_out("doc_id"))
+    short = F.octet_length("text") <= TRAIN_BYTES
+    have = {r["lang"]: (r["short"], r["n"]) for r in rows.groupBy("lang").agg(
+        F.count(F.when(short, 1)).alias("short"), F.count("*").alias("n")).collect()}  # a row a language
     if not have:
         return Model()
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(have.items()) for x in (lang, min(1.0, TRAIN_ROWS / len(have) / n))])
+    # languages with too few short rows are learned from the beginnings of their long ones too
+    each = TRAIN_ROWS / len(have)
+    scarce = [lang for lang, (few, n) in sorted(have.items()) if few < min(each, n)]
+    rows = rows.where(short | F.col("lang").isin(scarce)).withColumn("text", F.when(short, F.col("text")).otherwise(F.left("text", F.lit(TRAIN_BYTES // 4))))
+    share = F.create_map(*[F.lit(x) for lang, (few, n) in sorted(have.items()) for x in (lang, min(1.0, each / (n if lang in scarce else few)))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 20)) / (1 << 20)
     some = rows.where(draw < share[F.col("lang")]).select("text", "lang").limit(4 * TRAIN_ROWS).toPandas()
     some = some.sort_values(["lang", "text"])
