@@ -1,4 +1,4 @@
-"""Exact top-k inner products: best-first search of an M-tree kept as tables.
+"""Exact top-k inner products: search of an M-tree kept as tables, within a radius set once.
 
 Inner products become distances by one more coordinate: with M the largest norm, a vector
 o gets sqrt(M^2 - |o|^2) and a query 0, and then d(q, o)^2 = |q|^2 + M^2 - 2 q.o: the
