@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, extraction, language, line_dedup, mtree, ngram_join, packing, toxicity, url_filter
+from tmaps.llm import bpe, exact_dedup, extraction, language, line_dedup, merkle, mtree, ngram_join, packing, toxicity, url_filter
 from tmaps.llm.common import table
 
 
@@ -55,6 +55,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_html_extraction": _op1,
     "op2_exact_dedup": _op2,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_line_dedup": _op8,
     "op9_best_fit_packing": _op9,
     "op10_toxicity": _op10,
+    "op13_merkle_manifest": _op13,
 }
 
 SQL = {
@@ -94,4 +99,44 @@ k as (select l.page, string_agg(l.line, chr(10) order by pos) as text, count(*)
       where d.line is null group by l.page)
 select p.doc_id, p.source, coalesce(k.text, '') as text, len(p.lines) as n_lines, len(p.lines) - coalesce(k.kept, 0) as n_dropped
 from p left join k using (page)""",
+    "op13_merkle_manifest": """
+with recursive d as (
+  select row_number() over () as rid, doc_id, text, coalesce('=' || source, '') as tree,
+         concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) as head,
+         list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]))::bigint[]),
+                     lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) as crc
+  from documents),
+l as (
+  select *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         case when xor(crc, 4294967295) % 2 = 0
+              then sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) end as tampered from d),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, rid) - 1 as i, count(*) over (partition by tree) as n from l),
+node as (
+  select tree, 0 as lvl, i, leaf as h, n from p
+  union all
+  select tree, lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from node where n > 1 group by tree, lvl, i // 3, n),
+runs as (select tree, lvl, i // 3 as g, list(h order by i) as hs from node where n > 1 group by all),
+subs as (select tree, h as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from node where n = 1),
+up as (
+  select 0 as lvl, i, subroot as h, n from subs
+  union all
+  select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from up where n > 1 group by lvl, i // 3, n),
+tops as (select lvl, i // 3 as g, list(h order by i) as hs from up where n > 1 group by all),
+fold as (
+  select rid, tree, 0 as lvl, i, coalesce(tampered, leaf) as h, '' as proof from p
+  union all
+  select f.rid, f.tree, f.lvl + 1, f.i // 3, sha256(array_to_string(hs[:f.i % 3], '') || f.h || array_to_string(hs[f.i % 3 + 2:], '')),
+         f.proof || array_to_string(hs[:f.i % 3], '') || array_to_string(hs[f.i % 3 + 2:], '')
+  from fold f join runs r on r.tree = f.tree and r.lvl = f.lvl and r.g = f.i // 3),
+rest as (
+  select f.rid, 0 as lvl, s.i, arg_max(f.h, f.lvl) as h, arg_max(f.proof, f.lvl) as proof from fold f join subs s using (tree) group by f.rid, s.i
+  union all
+  select f.rid, f.lvl + 1, f.i // 3, sha256(array_to_string(hs[:f.i % 3], '') || f.h || array_to_string(hs[f.i % 3 + 2:], '')),
+         f.proof || array_to_string(hs[:f.i % 3], '') || array_to_string(hs[f.i % 3 + 2:], '')
+  from rest f join tops t on t.lvl = f.lvl and t.g = f.i // 3),
+ends as (select rid, arg_max(h, lvl) as folded_root, sha256(arg_max(proof, lvl)) as proof_sha256 from rest group by rid)
+select p.doc_id, p.leaf, s.subroot, (select h from up where n = 1) as root, e.proof_sha256, e.folded_root,
+       e.folded_root = (select h from up where n = 1) as verified
+from p join subs s using (tree) join ends e using (rid)""",
 }
