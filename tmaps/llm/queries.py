@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, exact_dedup, extraction, language, line_dedup, merkle, mtree, ngram_join, packing, toxicity, url_filter
+from tmaps.llm import bpe, divergence, exact_dedup, extraction, language, line_dedup, merkle, mtree, ngram_join, packing, toxicity, url_filter
 from tmaps.llm.common import table
 
 
@@ -55,6 +55,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_line_dedup": _op8,
     "op9_best_fit_packing": _op9,
     "op10_toxicity": _op10,
+    "op12_source_divergence": _op12,
     "op13_merkle_manifest": _op13,
 }
 
@@ -99,6 +104,27 @@ k as (select l.page, string_agg(l.line, chr(10) order by pos) as text, count(*)
       where d.line is null group by l.page)
 select p.doc_id, p.source, coalesce(k.text, '') as text, len(p.lines) as n_lines, len(p.lines) - coalesce(k.kept, 0) as n_dropped
 from p left join k using (page)""",
+    "op12_source_divergence": r"""
+with d as (select row_number() over () as rid, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by all having count(distinct rid) >= 30),
+v as (select lang, count(*) as v from kept group by all),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+ng as (select lang, source, sum(n) as n_all from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+             1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(ng.n_all, 0) + 5 * v.v) as p
+      from g join kept k using (lang) join v using (lang) left join c using (lang, source, term) left join ng using (lang, source)),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (sum(sum(n)) over (partition by lang) + 5 * any_value(v.v)) as q
+      from c join v using (lang) group by lang, term),
+t as (select p.lang, p.source, 'term' as part, p.term as item, (p.p - q.q)::bigint as value from p join q using (lang, term) where p.n > 0 and p.p > q.q),
+f as (select a.lang, a.source, b.source as other, sum(abs(a.p - b.p))::bigint as f
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.f, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.other = b.source),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from t union all select * from x))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 50""",
     "op13_merkle_manifest": """
 with recursive d as (
   select row_number() over () as rid, doc_id, text, coalesce('=' || source, '') as tree,
