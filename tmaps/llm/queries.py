@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tmaps.llm import bpe, divergence, exact_dedup, extraction, language, line_dedup, merkle, mtree, ngram_join, packing, toxicity, url_filter
+from tmaps.llm import bpe, divergence, exact_dedup, extraction, language, line_dedup, merkle, mtree, ngram_join, packing, quality, toxicity, url_filter
 from tmaps.llm.common import table
 
 
@@ -55,6 +55,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_line_dedup": _op8,
     "op9_best_fit_packing": _op9,
     "op10_toxicity": _op10,
+    "op11_quality_classifier": _op11,
     "op12_source_divergence": _op12,
     "op13_merkle_manifest": _op13,
 }
