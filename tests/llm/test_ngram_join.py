@@ -65,6 +65,25 @@ def test_blocks_of_a_large_cluster(docs_of, rows_of, monkeypatch):
     assert rows_of(J.jaccard_components(docs_of(rows))) == brute(rows)
 
 
+def test_many_flushes_and_ranges(docs_of, rows_of, monkeypatch):
+    rng = random.Random(12)
+    rows = [r for k in range(12) for r in near_copies(rng, 12, 100 * k, words=30 + 10 * k)]
+    rows += [(5000 + i, "same text as all of the others of this group have") for i in range(40)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(J, "FLUSH_SIGNATURES", 100)
+    monkeypatch.setattr(J, "RANGE_BYTES", 500)
+    assert rows_of(J.jaccard_components(docs_of(rows))) == brute(rows)
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 1 << 63), (2, 1 << 63), (500, 1 << 40), (3, 3), (70_000, 1 << 63)):
+        h = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert (J.unpack_hashes(J.pack_hashes(h)) == h).all()
+    h, least, ties = J._least_owner(np.array([5, 3, 5, 9, 5, 3], np.uint64), np.array([4, 2, 1, 0, 1, 2]))
+    assert h.tolist() == [3, 5, 9] and least.tolist() == [2, 1, 0] and ties.tolist() == [[4, 1]]
+
+
 def test_linked_sets_show_a_common_segment():
     rng, seen = random.Random(8), 0
     for _ in range(1500):

@@ -9,10 +9,12 @@ documents that share no segment cannot link. Sizes fall into classes (half as mu
 each, below 90 per cent a third), with one K for a class; a document shows its segments for
 its own class, and for the class below where a partner may be of that class.
 
-1. Every document gives its size, a 128-bit sum of its set and hashes of its segments.
-   Equal sets are one class from here on.
-2. Segments that different sets share tie them into candidate clusters.
-3. The members' whole sets are gathered by cluster, in blocks of bounded size (and, where
+1. Every document gives its size and a 128-bit sum of its set. Equal sets are one class from
+   here on. The hashes of the segments of the texts that a task reads are sorted and cut by
+   ranges into packed lists, each hash once: those that meet in a task are tied there.
+2. A range's lists are merged, and segments that different sets share tie them into candidate
+   clusters. Segments stand in packed lists of some five bytes each, not in rows.
+3. The members' texts are gathered by cluster, in blocks of bounded size (and, where
    a cluster is larger, by neighbouring sizes and pairs of blocks). There the overlaps are
    counted fragment by fragment of the order and summed for each pair, exactly. A block
    returns a link for each document to the least one that it reaches, so a group of n
@@ -38,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,8 @@ SMALL = 3  # segments of fewer shingles say little
 SLACK_FROM = 8
 FILTER_BITS = 1 << 26  # 8 MB, whatever the corpus
 CUTS = 6
+FLUSH_SIGNATURES = 4_000_000  # that a task holds at once
+RANGE_BYTES = 64 << 20  # of text behind one range of hashes
 _C = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -139,25 +144,100 @@ def _numbered(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def _describe(words: int, percent: int):
+SHOWN = "kind int, node long, doc_id long, n long, f1 long, f2 long, range int, hashes binary, owners binary"
+SET, TIE, LIST = range(3)  # kinds of rows: a document's set; two nodes (node, doc_id); a packed list
+
+
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Ascending numbers: the first, then the steps as planes of bytes, lowest first."""
+    steps = np.diff(h)
+    wide = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return h[:1].astype("<u8").tobytes() + bytes([wide]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8).T[:wide].tobytes()
+
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    wide, planes = data[8], np.frombuffer(data, np.uint8, offset=9)
+    n = len(planes) // wide if wide else 0
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide] = planes.reshape(wide, n).T
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", count=1), steps.view("<u8").ravel()]), dtype=np.uint64)
+
+
+def _least_owner(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes ascending, the least owner of each, distinct (owner, least) of the others)."""
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    if not len(first):
+        return h, owner, np.zeros((0, 2), np.int64)
+    least = np.minimum.reduceat(owner, first)
+    size = np.diff(np.append(first, len(h)))
+    many = np.repeat(size > 1, size)
+    ties = np.column_stack([owner[many], np.repeat(least, size)[many]]).astype(np.int64)
+    ties = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
+    return h[first], least, ties
+
+
+def _empty(kind: int, count: int) -> dict:
+    nulls = lambda t: pa.nulls(count, t)
+    return {"kind": pa.array(np.full(count, kind, np.int32)), "node": nulls(pa.int64()), "doc_id": nulls(pa.int64()), "n": nulls(pa.int64()),
+            "f1": nulls(pa.int64()), "f2": nulls(pa.int64()), "range": nulls(pa.int32()), "hashes": nulls(pa.binary()), "owners": nulls(pa.binary())}
+
+
+def _describe(words: int, percent: int, ranges: int, bits: int):
+    """Rows of SHOWN. A node is a document's place: partition, flush and number there; the
+    owners of a packed list are numbers of its flush, and its node is that of number 0."""
+    def flush(held: list, base: int) -> Iterator[pa.RecordBatch]:
+        held = [(k, s) for k, s in held if len(s)]  # short sets show nothing
+        if not held:
+            return
+        owner = np.repeat(np.array([k for k, _ in held], np.int64), [len(s) for _, s in held])
+        h, owner, ties = _least_owner(np.concatenate([s for _, s in held]) >> np.uint64(64 - bits), owner)
+        yield pa.RecordBatch.from_pydict({**_empty(TIE, len(ties)), "node": pa.array(ties[:, 0] + base), "doc_id": pa.array(ties[:, 1] + base)})
+        of = ((h >> np.uint64(max(bits - 32, 0))) * np.uint64(ranges) >> np.uint64(min(bits, 32))).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of))
+        wide = "<u2" if int(owner.max()) < 1 << 16 else "<u4"
+        for lo in range(0, len(cuts) - 1, 256):
+            some = [slice(a, b) for a, b in zip(cuts[lo:lo + 256], cuts[lo + 1:lo + 257])]
+            yield pa.RecordBatch.from_pydict({
+                **_empty(LIST, len(some)), "node": pa.array(np.full(len(some), base)), "range": pa.array([int(of[x.start]) for x in some], pa.int32()),
+                "hashes": pa.array([pack_hashes(h[x]) for x in some], pa.binary()), "owners": pa.array([owner[x].astype(wide).tobytes() for x in some], pa.binary())})
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
+        base, held, number, total, seen = TaskContext.get().partitionId() << 40, [], 0, 0, set()
         for b in pieces(batches, "text", 1 << 20):
-            size, f1, f2, signs = [], [], [], []
+            size, f1, f2 = [], [], []
             for s in shingle_sets(*flat(b.column("text")), powers, words):
                 size.append(len(s))
                 f1.append(mix64(s).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ _C[3]).sum(dtype=np.uint64))
-                signs.append(signatures(s, percent).view(np.int64))
-            ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))],
-                names=["doc_id", "n", "f1", "f2", "signs"])
+                if len(s) and (f1[-1], f2[-1]) not in seen:  # equal sets show their segments once
+                    seen.add((f1[-1], f2[-1]))
+                    held.append((number + len(size) - 1, signatures(s, percent)))
+                    total += len(held[-1][1])
+            yield pa.RecordBatch.from_pydict({
+                **_empty(SET, b.num_rows), "node": pa.array(base + number + np.arange(b.num_rows)), "doc_id": b.column("doc_id"), "n": pa.array(size, pa.int64()),
+                **{c: pa.array(np.array(x, np.uint64).view(np.int64)) for c, x in (("f1", f1), ("f2", f2))}})
+            number += b.num_rows
+            if total >= FLUSH_SIGNATURES or number >= 1 << 23:
+                yield from flush(held, base)
+                base, held, number, total, seen = base + (1 << 24), [], 0, 0, set()
+        yield from flush(held, base)
     return kernel
 
 
+def _merge(group: pa.Table) -> pa.Table:
+    """Ties of the nodes that show the same hash, from the packed lists of one range."""
+    lists = [unpack_hashes(x) for x in group.column("hashes").to_pylist()]
+    owners = [np.frombuffer(x, "<u2" if len(x) == 2 * len(h) else "<u4").astype(np.int64) + base
+              for x, h, base in zip(group.column("owners").to_pylist(), lists, group.column("node").to_pylist())]
+    _, _, ties = _least_owner(np.concatenate(lists), np.concatenate(owners))
+    return pa.table({"a": pa.array(ties[:, 0]), "b": pa.array(ties[:, 1])})
+
+
 def _gather(wanted: bytes, words: int):
+    """The texts of the wanted ids, with the sums of their sets."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), np.frombuffer(wanted, np.uint8)
         for b in pieces(batches, "text", 1 << 20):
@@ -165,10 +245,9 @@ def _gather(wanted: bytes, words: int):
             b = b.filter(pa.array((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
                 continue
-            sets = [s.view(np.int64) for s in shingle_sets(*flat(b.column("text")), powers, words)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([int(mix64(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                 pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "f1", "shingles"])
+            f1 = [mix64(s).sum(dtype=np.uint64) for s in shingle_sets(*flat(b.column("text")), powers, words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(f1, np.uint64).view(np.int64)), b.column("text")],
+                                             names=["doc_id", "f1", "text"])
     return kernel
 
 
@@ -224,31 +303,35 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
     return ids[moved], by_rank[label[moved]]
 
 
-def _links(percent: int):
+def _links(words: int, percent: int):
     def kernel(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids = np.asarray(group["doc_id"])
-        lists = group["shingles"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at, values = np.asarray(lists.offsets), np.asarray(lists.values)
-        a, b = block_links(ids, [values[at[i]:at[i + 1]] for i in range(len(ids))], percent)
+        sets = list(shingle_sets(*flat(group["text"]), Powers(), words))
+        a, b = block_links(np.asarray(group["doc_id"]), sets, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return kernel
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = stored(_numbered(docs).mapInArrow(_describe(words, percent), "doc_id long, n long, f1 long, f2 long, signs array<long>"), "sets")
+    numbered = _numbered(docs)
+    volume = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    ranges = max(1, math.ceil(volume / RANGE_BYTES))
+    # chance meetings of cut hashes stay few at any size (and would only join clusters)
+    bits = max(32, min(64, 2 * math.ceil(math.log2(volume / 8 + 2)) - 8))
+    seen = stored(numbered.mapInArrow(_describe(words, percent, ranges, bits), SHOWN), "sets")
+    rows = seen.where(F.col("kind") == SET).select("node", "doc_id", "n", "f1", "f2")
     key = ["f1", "f2", "n"]
     classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    shown = rows.select("f1", F.explode("signs").alias("sign"))
-    # a segment that only one set shows is dropped before anything is joined to it
-    shared = shown.groupBy("sign").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).where("least <> most")
-    ties = shown.join(shared, "sign").where("f1 <> least").select("f1", "least").distinct()
+    merged = (seen.where(F.col("kind") == LIST).select("range", "node", "hashes", "owners")
+              .groupBy("range").applyInArrow(_merge, "a long, b long"))
+    met = merged.union(seen.where(F.col("kind") == TIE).select("node", "doc_id"))
+    of = lambda c: rows.select(F.col("node").alias(c), F.col("f1").alias(f"f_{c}"))
+    ties = met.join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select("f_a", "f_b").distinct()
     clusters = components(ties)
     members = stored(classes.join(clusters, classes["f1"] == clusters["node"]).select("rep", "f1", "n", "root"), "members")
     wanted = id_filter(members.select(F.col("rep").alias("doc_id")))
-    sets = _numbered(docs).mapInArrow(_gather(wanted, words), "doc_id long, f1 long, shingles array<long>").dropDuplicates(["doc_id", "f1"])
+    texts = numbered.mapInArrow(_gather(wanted, words), "doc_id long, f1 long, text string").dropDuplicates(["doc_id", "f1"])
     # members to blocks: a whole cluster; if too large, documents of neighbouring sizes; and
     # if still too large, every pair of blocks
     some = lambda n, count: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.ceil(count / BLOCK_DOCS)).cast("int")
@@ -262,11 +345,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .where("blocks = 1 or other <> mine")
               .select(F.col("rep").alias("doc_id"), "f1", "root", "band", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")))
-    links = (sets.join(spread, ["doc_id", "f1"]).select("root", "band", "one", "two", "doc_id", "shingles")
-             .groupBy("root", "band", "one", "two").applyInArrow(_links(percent), "a long, b long"))
+    links = (texts.join(spread, ["doc_id", "f1"]).select("root", "band", "one", "two", "doc_id", "text")
+             .groupBy("root", "band", "one", "two").applyInArrow(_links(words, percent), "a long, b long"))
     linked = components(links).withColumnRenamed("node", "rep")
     tops = classes.join(linked, "rep", "left").select(*(F.col(c).alias(f"of_{c}") for c in key), F.coalesce("root", "rep").alias("top"))
-    out = rows.drop("signs").join(tops, [F.col(c) == F.col(f"of_{c}") for c in key], "left")
+    out = rows.join(tops, [F.col(c) == F.col(f"of_{c}") for c in key], "left")
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       real(F.coalesce("top", "doc_id")).alias("component_id"))
