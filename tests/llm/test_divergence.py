@@ -11,7 +11,7 @@ from tmaps.llm import divergence
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(divergence.UPPER, divergence.LOWER)
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def brute(rows, least, top=50):
@@ -63,6 +63,7 @@ def test_against_plain_counting(spark, monkeypatch):
     assert {r[2] for r in want} == {"pair", "term"} and any(r[4] for r in want if r[2] == "pair")
     assert got(spark, rows, 9) == want
     monkeypatch.setattr(divergence, "BATCH_BYTES", 200)  # many batches
+    monkeypatch.setattr(divergence, "KNOWN_ROWS", 20)
     assert got(spark, rows, 9) == want
     assert got(spark, rows, 9, top=2) == brute(rows, 9, 2)
 
@@ -97,5 +98,14 @@ def test_posting_lists_come_back():
     assert (divergence._unpack(divergence._pack(doc)) == doc).all()
 
 
+def test_tokens_are_those_of_the_pattern():
+    rng = random.Random(8)
+    chunks = ["", "a", "-", "A-b", "é", "x\x00y", "ÀÉ@ß`z{"] + ["".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x80, 0x2FF)])) for _ in range(rng.randint(0, 12)))
+                                                                for _ in range(300)]
+    row, terms = divergence.tokenize(pa.array(chunks))
+    want = [(k, t) for k, c in enumerate(chunks) for t in TERM.findall(c.translate(LOWER))]
+    assert list(zip(row.tolist(), terms.to_pylist())) == want
+
+
 def test_empty_table(spark):
     assert got(spark, [], 1) == []

@@ -7,9 +7,10 @@ tokenized, not texts.
 1. Count. A batch of documents (about ``BATCH_BYTES`` of text) becomes its distinct chunks and,
    for each, the documents that hold it and how often: posting lists, some bytes a chunk of a
    document.
-2. Tokenize. The distinct chunks of all batches are tokenized once each, by the JVM.
-3. Join back. (batch, chunk) meets its terms; no posting moves for it, and even the commonest
-   chunk is one row a batch.
+2. Tokenize. (batch, chunk) pairs are sorted by chunk, so equal chunks of all batches stand
+   together, and each distinct chunk is tokenized once. No posting moves for it, and even the
+   commonest chunk is one row a batch.
+3. Join back. The terms return to the batches of their chunks, packed by batch.
 4. Aggregate. A batch meets the terms of its chunks and counts, for each language and term,
    distinct documents (through whichever chunks) and, by source, occurrences. Those are
    summed by term; terms in at least ``LEAST_DOCS`` documents of a language are kept.
@@ -42,15 +43,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import pieces, stored
+from tmaps.llm.common import flat, pieces, stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# bytes of terms: letters, lower-cased, and those of characters past ASCII; 0 for the others
+_LETTER = np.zeros(256, np.uint8)
+_LETTER[0x80:] = np.arange(0x80, 0x100)
+_LETTER[ord("a"):ord("z") + 1] = _LETTER[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 BATCH_BYTES = 16 << 20
 LEAST_DOCS = 30
 SCALE, ADDED = 1_000_000_000, 5
 TOP_TERMS = 50
 BATCH = "batch long, langs array<string>, sources array<string>, chunks array<string>, many binary, steps binary, times binary"
+KNOWN = "of long, pos array<int>, many array<int>, terms string"
+KNOWN_ROWS = 400_000  # that a task packs at once
 COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
@@ -88,6 +93,54 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += 1
 
 
+def tokenize(chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(chunk of each term, the terms): runs of letters and of characters past ASCII."""
+    data, off = flat(chunks)
+    lower = _LETTER[data[off[0]:off[-1]]]
+    inside = lower > 0
+    first, cuts = inside.copy(), off - off[0]
+    first[1:] &= ~inside[:-1]
+    at = cuts[:-1][cuts[:-1] < len(lower)]
+    first[at] = inside[at]
+    start = np.flatnonzero(first)
+    ends = np.append(np.cumsum(inside)[start] - 1, int(inside.sum())).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends.tobytes()), pa.py_buffer(lower[inside].tobytes()))
+    return np.searchsorted(cuts, start, side="right") - 1, terms
+
+
+def _pack_terms(rows: pa.Table) -> pa.RecordBatch:
+    """The terms of some chunks, by batch: places, terms at each and the terms, set off by spaces."""
+    code, distinct = _codes(rows.column("chunk").combine_chunks())
+    chunk, terms = tokenize(distinct)
+    size = np.bincount(chunk, minlength=len(distinct))
+    begin = np.cumsum(size) - size
+    of, pos = rows.column("of").to_numpy(), rows.column("pos").to_numpy()
+    order = np.argsort(of, kind="stable")
+    order = order[size[code[order]] > 0]
+    of, pos, code = of[order], pos[order], code[order]
+    more = size[code]
+    ends = np.cumsum(more)
+    each = np.repeat(begin[code] - (ends - more), more) + np.arange(int(more.sum()))
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    cuts = np.append(first, len(of))
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(of[first]), lists(cuts, pa.array(pos)), lists(cuts, pa.array(more.astype(np.int32))),
+         pc.binary_join(lists(np.append(0, ends)[cuts], terms.take(pa.array(each))), " ")], names=["of", "pos", "many", "terms"])
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, count = [], 0
+    for b in batches:
+        held.append(b)
+        count += b.num_rows
+        if count >= KNOWN_ROWS:
+            yield _pack_terms(pa.Table.from_batches(held))
+            held, count = [], 0
+    if count:
+        yield _pack_terms(pa.Table.from_batches(held))
+
+
 def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = column.dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary
@@ -103,11 +156,11 @@ def _sums(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _aggregate(batch: pa.Table, known: pa.Table) -> pa.Table:
     """Documents and occurrences of every (lang, term) of one batch."""
-    lists = known.column("terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    term, terms = _codes(lists.flatten())
-    size = np.diff(np.asarray(lists.offsets))
-    place = known.column("pos").to_numpy()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, known.num_rows], pa.int32()), known.column("terms").combine_chunks()), " ")
+    term, terms = _codes(pc.split_pattern(joined, " ").flatten())
+    if not known.num_rows:  # no term at all: splitting gave an empty one
+        term, terms = term[:0], terms[:0]
+    place, size = (known.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("pos", "many"))
     # the terms of each chunk, by the chunk's place
     many = _unpack(batch.column("many")[0].as_py())
     held = np.zeros(len(many), np.int64)
@@ -144,9 +197,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     batches = stored(docs.select(text("text"), text("lang"), text("source")).mapInArrow(_count, BATCH), "batches")
     pairs = batches.select(F.col("batch").alias("of"), F.posexplode("chunks").alias("pos", "chunk"))
-    lower = F.translate("chunk", UPPER, LOWER)
-    dictionary = pairs.select("chunk").distinct().select("chunk", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    known = pairs.join(dictionary, "chunk").where(F.size("terms") > 0).select("of", "pos", "terms")
+    known = pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_known, KNOWN)
     return stored(batches.drop("chunks").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(_aggregate, COUNTED), "terms")
 
 
