@@ -64,3 +64,22 @@ def test_query_rows(docs_of, rows_of, library):
     assert bpe.round_trip(docs_of([]), PATH).count() == 0
     first = bpe.tokens(docs_of(rows[:1]), PATH).first()
     assert first["decoded"] == "Hello  world" and first["ids"] == library.encode("Hello  world").ids
+
+
+def test_time_grows_with_the_length_of_a_word(library):
+    """One word of two million letters, in seconds, with the library's ids."""
+    import time
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdeéßtnrs") for _ in range(2_000_000))
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    begin = time.time()
+    ids = np.frombuffer(e.encode(text), "<u4")
+    assert time.time() - begin < 60
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_small_memos_change_nothing(library):
+    rng = random.Random(22)
+    e, texts = bpe.Encoder(bpe.Vocabulary(PATH), memo=8), [" ".join(rng.choice(["the", "of", "x%d" % rng.randrange(40), "\n", "ab"]) for _ in range(60)) for _ in range(30)]
+    for t in texts:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids

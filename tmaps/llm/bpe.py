@@ -43,6 +43,7 @@ from tmaps.llm.common import pieces
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary file's "ByteLevel" kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 250_000
+LONG_WORD = 256  # bytes
 _OPEN_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -111,6 +112,7 @@ class Encoder:
         trie.make_automaton()
         self.match = trie.iter_long  # every byte is a token: the first match starts at the place asked for
         self.size = [len(b) for b in v.bytes_of]
+        self.longest = max(self.size, default=1)
         # the next shorter token that starts a token
         self.shorter = [-1] * len(v.bytes_of)
         for b, i in v.id_of.items():
@@ -151,7 +153,9 @@ class Encoder:
         text, size, match = raw.decode("latin-1"), self.size, self.match
         out, at, total, shorter, table = [], 0, len(raw), self.shorter, self.pair_fits
         dead = bytearray(total + 1)
-        token = next(match(text))[1]
+        # a long word is matched in slices: a call costs what the text given to it is long
+        longest, sliced = self.longest, total > LONG_WORD
+        token = next(match(text[:longest] if sliced else text))[1]
         while at < total:
             last = out[-1] if out else -1
             while token >= 0:
@@ -167,7 +171,12 @@ class Encoder:
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = next(match(text, at))[1] if at < total else -1
+                if at >= total:
+                    token = -1
+                elif sliced:
+                    token = next(match(text[at:at + longest]))[1]
+                else:
+                    token = next(match(text, at))[1]
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks single bytes")
@@ -185,7 +194,7 @@ class Encoder:
             ids = words.get(w)
             if ids is None:
                 if len(words) >= self.memo:
-                    words.clear()
+                    forget_older(words)
                 ids = pack(f"<{len(found := self.word(w.encode()))}I", *found)
                 if len(w) < 64:
                     words[w] = ids
@@ -221,8 +230,15 @@ class Encoder:
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
+def forget_older(memo: dict) -> None:
+    """Drops the older half of a table in the order of its entries."""
+    kept = list(memo.items())[len(memo) // 2:]
+    memo.clear()
+    memo.update(kept)
+
+
 class _Memo(dict):
-    """Ids of the pieces that follow ``lead``; forgets everything when full."""
+    """Ids of the pieces that follow ``lead``; forgets the older half when full."""
 
     def __init__(self, encoder: Encoder, lead: str, limit: int) -> None:
         super().__init__()
@@ -231,7 +247,7 @@ class _Memo(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.encoder.piece(self.lead + part)
         if len(self) >= self.limit:
-            self.clear()
+            forget_older(self)
         if len(part) < 64:
             self[part] = ids
         return ids
