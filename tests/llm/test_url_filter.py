@@ -1,3 +1,6 @@
+import itertools
+import time
+
 from tmaps.llm import url_filter as X
 from tmaps.llm.queries import URL_RULES
 
@@ -35,27 +38,56 @@ def test_explicit_rules(spark):
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
 
 
+def minimal_rules(labelled):
+    """Every rule of items that the labelled sets support, by looking at all subsets of items."""
+    n, items = len(labelled), sorted(set().union(*[t for t, _ in labelled]))
+    least = max(X.SUPPORT, min(1.0, X.LEAST_URLS / n)) * n
+    kept = []
+    for size in range(1, 5):
+        for needed in itertools.combinations(items, size):
+            fits = [v for t, v in labelled if set(needed) <= t]
+            for label in {v for _, v in labelled}:
+                both, share = fits.count(label), sum(v == label for _, v in labelled) / n
+                if both and both >= least - 1e-9 and both / len(fits) >= X.CONFIDENCE and both / len(fits) / share > X.LIFT:
+                    kept.append((frozenset(needed), label, both / len(fits), both / n))
+    return [r for r in kept if not any(o[1] == r[1] and o[0] < r[0] and len(o[0]) == len(r[0]) - 1 and o[2] >= r[2] for o in kept)]
+
+
 def test_mined_rules_match_brute_force(spark):
     urls = [f"http://{h}.example.{t}/{l}/{i}" + q for i, (h, t, l, q) in enumerate(
-        (h, t, l, q) for h in ("spam", "good", "www.odd") for t in ("com", "net", "org") for l in ("de", "en", "fr") for q in ("", "?ref=1") for _ in range(3))]
+        (h, t, l, q) for h in ("spam", "good", "www.odd") for t in ("com", "net", "org") for l in ("de", "en", "fr") for q in ("", "?ref=1&x=2") for _ in range(3))]
     rows = pages(spark, urls)
     from pyspark.sql import functions as F
     full = X.with_rule(rows.select("page_id", "url"), URL_RULES).withColumn("tokens", X.tokens(F.col("host"), F.col("path"), F.col("url")))
-    table = [(r.page_id, frozenset(r.tokens), r.rule_verdict) for r in full.collect()]
-    rules = [(frozenset(r.tokens), r.label, r.confidence, r.support) for r in
-             X.mine(full.where("rule is not null").select("tokens", F.col("rule_verdict").alias("label"))).collect()]
-    assert rules
-    labelled = [t for t in table if t[2]]
-    for needed, label, confidence, support in rules:
-        fits = [t for t in labelled if needed <= t[1]]
-        assert abs(confidence - sum(t[2] == label for t in fits) / len(fits)) < 1e-9 and confidence >= X.CONFIDENCE
-        assert len(fits) >= X.LEAST_URLS and not any(n < needed and v == label and c >= confidence for n, v, c, _ in rules)
+    table = {r.page_id: (frozenset(r.tokens), r.rule_verdict) for r in full.collect()}
+    labelled = [t for t in table.values() if t[1]]
+    held = {}  # tokens of the same labelled urls are one item
+    for token in set().union(*[t for t, _ in labelled]):
+        held.setdefault(frozenset(k for k, t in enumerate(labelled) if token in t[0]), []).append(token)
+    item = {t: min(same) for same in held.values() for t in same}
+    assert len(set(item.values())) < len(item)
+    assert {r.token: r.item for r in X.alike(full.where("rule is not null").select("tokens")).collect()} == item
+    items = lambda tokens: frozenset(item[t] for t in tokens if t in item)
+    rules = minimal_rules([(items(t), v) for t, v in labelled])
+    df = spark.createDataFrame([(sorted(items(t)), v) for t, v in labelled], "tokens array<string>, label string")
+    got = [(frozenset(r.tokens), r.label, r.confidence, r.support) for r in X.mine(df).collect()]
+    near = lambda found: sorted((sorted(n), v, round(c, 9), round(s, 9)) for n, v, c, s in found)
+    assert rules and near(got) == near(rules)  # none is wrong and none is missing
     for r in X.judge(rows, URL_RULES).collect():
-        tokens = next(t[1] for t in table if t[0] == r.page_id)
-        best = max(((c, s, v) for n, v, c, s in rules if n <= tokens), default=(0, 0, "allow"))
+        best = max(((c, s, v) for n, v, c, s in rules if n <= items(table[r.page_id][0])), default=(0, 0, "allow"))
         assert r.rule is not None or r.verdict == best[2]
 
 
+def test_many_query_keys(spark):
+    """Forty keys of one labelled url form: 2**40 combinations, one item."""
+    keys = "&".join(f"key{chr(97 + k // 26)}{chr(97 + k % 26)}=1" for k in range(40))
+    urls = [f"http://bad.net/x?{keys}"] * 6 + [f"http://good{i}.example.net/en/a" for i in range(30)] + ["http://free.de/y?keyab=2", "http://free.de/y?none=2"]
+    begin = time.time()
+    got = {r.page_id: r.verdict for r in X.judge(pages(spark, urls), URL_RULES).collect()}
+    assert time.time() - begin < 60
+    assert got[36] == "block" and got[37] == "allow"  # any one of the keys fulfils the rule
+
+
 def test_nothing_labelled_and_empty_table(spark):
     assert [r.verdict for r in X.judge(pages(spark, ["http://a.de/x"]), URL_RULES).collect()] == ["allow"]
     assert X.judge(pages(spark, []), URL_RULES).count() == 0

@@ -10,7 +10,10 @@ The other urls are judged by association rules. Transactions are the labelled ur
 (scheme, labels of the host, first path segments, file ending, query keys) with their
 label; here the labels are the explicit rules' verdicts. Spark's FP-growth mines token
 combinations of at least ``SUPPORT`` of the labelled urls, and rules "tokens -> label" of at
-least ``CONFIDENCE`` and a lift over ``LIFT`` stay. A rule whose tokens hold those of a kept
+least ``CONFIDENCE`` and a lift over ``LIFT`` stay. Tokens that stand in exactly the same
+labelled urls say the same: they are one item while combinations are mined (of a url form
+with forty query keys one item is left, not 2**40 combinations), and any of them fulfils the
+item where rules are matched, as if the rule were written out for each. A rule whose tokens hold those of a kept
 rule that is as confident says nothing more and is pruned. Matching goes by an inverted
 index: each rule stands under its rarest token, token sets that many urls share are matched
 once, and the other tokens are then compared. The most confident rule decides, then the one
@@ -20,8 +23,8 @@ Only DataFrame functions run here, and the JVM's FP-growth.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no tokens, no
 rule, and is allowed; of equal explicit rules one by name decides; without labelled urls
-nothing is mined; repeated rows give repeated results; an empty table gives no rows;
-further columns are not read.
+nothing is mined; urls may have any number of tokens; repeated rows give repeated results; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -99,6 +102,24 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return rules.join(less, ["tokens", "label"], "left_anti")
 
 
+def alike(labelled: DataFrame) -> DataFrame:
+    """(token, item) of the labelled urls' tokens (column tokens): tokens of the same rows
+    share an item, the first of them. Rows are told apart by two 64-bit sums."""
+    row = F.monotonically_increasing_id()
+    held = stored(labelled.select(row.alias("row"), "tokens"), "labelled").select("row", F.explode("tokens").alias("token"))
+    by = ["n", "x", "y"]
+    rows = held.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("y"))).alias("y"))
+    first = rows.groupBy(*by).agg(F.min("token").alias("item"))
+    return stored(rows.join(first, by).select("token", "item"), "alike")
+
+
+def as_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows`` (distinct tokens, further columns) with ``items``, those that their tokens fulfil."""
+    key = [c for c in rows.columns]
+    found = rows.select(*key, F.explode("tokens").alias("token")).join(items, "token").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found  # at most as many items as the url has tokens
+
+
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, label, by) of the distinct token sets that a rule fits: the deciding rule."""
     common = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -117,9 +138,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = with_rule(pages, rules).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
     rows = stored(rows.drop("url"), "urls")
-    mined = mine(rows.where("rule is not null and size(tokens) > 0").select("tokens", F.col("rule_verdict").alias("label")))
-    sets = rows.where("rule is null and size(tokens) > 0").select("tokens").distinct()
-    found = match(sets, mined).withColumnRenamed("tokens", "of")
+    labelled = rows.where("rule is not null and size(tokens) > 0").select("tokens", F.col("rule_verdict").alias("label"))
+    items = alike(labelled)
+    # equal labelled urls are one row with a count while their tokens are looked up
+    counted = as_items(labelled.groupBy("tokens", "label").agg(F.count("*").alias("n")), items)
+    mined = mine(counted.select(F.col("items").alias("tokens"), "label", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col"))
+    sets = stored(as_items(rows.where("rule is null and size(tokens) > 0").select("tokens").distinct(), items), "kinds")
+    hit = match(sets.select(F.col("items").alias("tokens")).distinct(), mined).withColumnRenamed("tokens", "items")
+    found = sets.join(hit, "items").select(F.col("tokens").alias("of"), "label", "by")
     out = rows.join(found, F.col("rule").isNull() & (F.col("tokens") == F.col("of")), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "label", F.lit("allow")).alias("verdict"),
                       F.array_join("by", " ").alias("mined_rule"))
