@@ -56,8 +56,8 @@ SMALL = 3  # segments of fewer shingles say little
 SLACK_FROM = 8
 FILTER_BITS = 1 << 26  # 8 MB, whatever the corpus
 CUTS = 6
-FLUSH_SIGNATURES = 4_000_000  # that a task holds at once
-RANGE_BYTES = 64 << 20  # of text behind one range of hashes
+FLUSH_SIGNATURES = 2_000_000  # that a task holds at once
+RANGE_BYTES = 16 << 20  # of text behind one range of hashes
 _C = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 
