@@ -6,25 +6,32 @@ axis and level; a point on a mid-line goes to the lower child), and
 ``groupBy(map, level, c*)`` yields count, centre of mass and extent per cell.
 A cell is a leaf when it holds one point or only copies of one position.
 
-``bh_repulsion`` deepens only cells that are no leaves, until every cell is one
-(or its points have equal unit coordinates: no further halving can part them).
-A cell is *accepted* for a point when it is a leaf or ``radius² < θ·d²`` (the
-reference compares squares with θ); its summary then contributes ``cnt·q`` to
-sumQ and ``cnt·q²·(y − centre)`` to the repulsive force; otherwise its children
-are visited.  The point's own cell is always opened and, as a leaf, counted
-without the point itself.
-
-Points are grouped into blocks of neighbours (a coarse cell, split by a hash
-where it holds more than ``BLOCK_POINTS``).  Level by level, the cells that some
-point of a block might open are followed by an equi-join of (block, cell) with
-the cells below: rows per block, not per point.  Each block is then co-grouped
-with the cells it can reach and walked there, so nothing depends on the size of
-the whole hierarchy, and there is one path for every size.
+``bh_repulsion`` opens cells until they are leaves (or their points have equal unit
+coordinates, or lie in one cell of level 62).  A cell is *accepted* for a point when it is a
+leaf or ``radius² < θ·d²`` (the reference compares squares with θ); its summary then
+contributes ``mass·q`` to sumQ and ``mass·q²·(y − centre)`` to the repulsive force; otherwise
+its children are visited.  The point's own cell is always opened and, as a leaf, counted
+without the point itself.  A point's mass is 1, or its weight ``pi``; centres are weighted.
+
+Spark holds the cells of more than ``FEW_POINTS`` points and their children, once for a
+chain: where a cell's points all lie in one child, only the lowest cell of the chain stays (its
+smaller radius decides, and its summary is that of the others), so an outlier at 10⁶ times the
+map's width costs no level of its own.  Every cell carries the summary of its parent, so whether a
+block of points may visit it is a test of that one row.  Children of few points are *small
+roots*: what is below them never becomes rows.  A block that may open a small root gets its
+points, and builds the cells below it for itself.
+
+Points are grouped into blocks of neighbours: the largest cells of at most ``BLOCK_POINTS``
+points.  The topmost cells, whose number is bounded, meet all blocks in one join; cells of many
+points that lie deeper are followed from parent to children; then one join brings the
+points of the small roots.  A block is co-grouped with what it may visit and walked there, so
+nothing depends on the size of the whole hierarchy, and there is one path for every size.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +42,9 @@ from pyspark.sql import functions as F
 from tmaps.session import checkpoint
 
 BLOCK_POINTS = 1024
-DEEPEN_LEVELS = 8
-TOP_CELLS_LOG2 = 10  # levels of at most this many halvings are handed to every block
+DEEPEN_LEVELS = 12
+DEEPEST = 62  # cell numbers are 64-bit
+TOP_CELLS_LOG2 = 10  # cells of at most this many halvings meet every block
 FEW_POINTS = 64
 WALK_PAIRS = 4_000_000  # (point, cell) pairs that a walk holds at once
 
@@ -105,117 +113,162 @@ def _cells(unit: DataFrame, first_level: int, levels: int, dims: int) -> DataFra
                     F.expr(" AND ".join(_d("_flat", dims))).alias("flat"))
 
 
-def _deep_cells(points: DataFrame, n: int, dims: int, cached: list) -> tuple[DataFrame, int]:
-    """Cells of every level down to leaves, and the deepest level; only points in
-    cells that can still be parted go deeper."""
-    lo, hi = 0, max(2, math.ceil(math.log(max(n, 2)) / math.log(2 ** dims))) + 1
-    todo, pieces = points, []
+def _each(dims: int, form: str, between: str = ", ") -> str:
+    """``form`` with {k} = 1..dims, joined."""
+    return between.join(form.replace("{k}", str(k)) for k in range(1, dims + 1))
+
+
+def _cell(t: str, level: str) -> str:
+    """``cell_index`` as an expression's text."""
+    return f"least(greatest(ceil({t} * pow(2D, {level})) - 1, 0L), cast(pow(2D, {level}) - 1 as bigint))"
+
+
+def _summaries(points: DataFrame, first_level: int, levels: int, dims: int) -> DataFrame:
+    """Cells of weighted points, with the least id in each (``lead``)."""
+    lv = points.selectExpr("*", f"explode(sequence({first_level}, {levels})) as level")
+    lv = lv.selectExpr("*", *[f"{_cell(f't{k}', 'level')} as c{k}" for k in range(1, dims + 1)])
+    return lv.groupBy("map", "level", *_d("c", dims)).agg(*map(F.expr, [
+        "count(*) as cnt", "sum(pi) as mass", *[f"sum(pi * y{k}) as s{k}" for k in range(1, dims + 1)],
+        _each(dims, "min(y{k}) = max(y{k})", " and ") + " as leaf",
+        "(" + _each(dims, "min(t{k}) = max(t{k})", " and ") + f") or level >= {DEEPEST} as flat",
+        _each(dims, "pow(first(w{k}) / pow(2D, level), 2D)", " + ") + " as r2", "min(id) as lead"]))
+
+
+def _upper(points: DataFrame, n: int, limit: int, dims: int) -> tuple[DataFrame, dict]:
+    """The cells of many points and their children, each with its parent's summary, and the
+    levels at which blocks and small roots stand."""
+    hi = min(DEEPEST, math.ceil(math.log(max(n / FEW_POINTS, 1)) / math.log(2 ** dims)) + 2)
+    pieces = [_summaries(points, 0, hi, dims)]
+    c, p, many = _each(dims, "c{k}"), _d("p", dims), f"cnt > {FEW_POINTS} and not flat"
     while True:
-        piece = _cells(todo, lo, hi, dims).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(piece)
-        pieces.append(piece)
-        last = piece.where(~F.col("flat")).agg(F.max("level")).first()[0]
-        if last is None or last < hi:
-            break
-        still = piece.where((F.col("level") == hi) & ~F.col("flat")).select("map", *_d("c", dims))
-        here = [cell_index(F.col(f"t{k}"), F.lit(hi)).alias(f"c{k}") for k in range(1, dims + 1)]
-        todo = points.select("*", *here).join(still, ["map", *_d("c", dims)], "left_semi").drop(*_d("c", dims))
-        lo, hi = hi + 1, hi + DEEPEN_LEVELS
-    cells = pieces[0]
-    for p in pieces[1:]:
-        cells = cells.unionByName(p)
-    return cells, lo if last is None else last + 1
-
-
-def _blocks(points: DataFrame, n: int, dims: int) -> DataFrame:
-    """Points with ``blk``: a coarse cell, split by a hash where it holds many."""
-    level = max(0, math.ceil(math.log(max(1.0, n / BLOCK_POINTS)) / math.log(2 ** dims))) + 1
-    coarse = points.select("*", *[cell_index(F.col(f"t{k}"), F.lit(level)).alias(f"b{k}") for k in range(1, dims + 1)])
-    held = coarse.groupBy("map", *_d("b", dims)).agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("_parts"))
-    return (coarse.join(held, ["map", *_d("b", dims)])
-            .withColumn("blk", F.xxhash64(*_d("b", dims), F.pmod(F.xxhash64("id"), F.col("_parts"))))
-            .drop("_parts", *_d("b", dims)))
-
-
-def _reach(blocked: DataFrame, cells: DataFrame, depth: int, theta_sq: float, dims: int) -> DataFrame:
-    """``(map, blk, level, c*, …)``: every cell that a point of the block may visit.  A cell
-    is followed when the block's box may hold one of its own points or may come
-    near enough to its centre; the walk itself decides point by point."""
-    corner = [f(c).alias(f"_{n}{c}") for c in _d("y", dims) + _d("t", dims) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    box = blocked.groupBy("map", "blk").agg(*corner)
+        cells = reduce(DataFrame.unionByName, pieces)
+        # a chain of cells with the same points: its lowest cell, and the level where it begins
+        chain = cells.groupBy("map", "lead", "cnt").agg(
+            F.min("level").alias("top"), F.expr(f"max(struct(level, {c}, mass, {_each(dims, 's{k}')}, leaf, flat, r2)) as low"))
+        chain = chain.selectExpr("map", "cnt", "top", "low.*", *[f"shiftright(low.c{k}, low.level - top + 1) as p{k}" for k in range(1, dims + 1)])
+        parent = chain.where(many).selectExpr("map", "level + 1 as top", *[f"c{k} as p{k}" for k in range(1, dims + 1)], "cnt as parent_cnt",
+                                              "r2 as parent_r2", *[f"s{k} / mass as parent_m{k}" for k in range(1, dims + 1)])
+        upper = checkpoint(chain.join(parent, ["map", "top", *p], "left").where("top = 0 or parent_cnt is not null").selectExpr(
+            "*", f"{many} as many", f"not ({many}) and not leaf and not flat as small",
+            f"(cnt <= {limit} or flat) and coalesce(parent_cnt > {limit}, true) as block"))
+        facts = upper.selectExpr("max(case when many then level end) as deepest", "collect_set(case when small or block then level end) as levels",
+                                 "coalesce(bool_or(small), false) as small").first().asDict()
+        if facts["deepest"] is None or facts["deepest"] < hi or hi >= DEEPEST:
+            return upper, facts
+        # cells of many points at the last level: only their points go deeper
+        still = upper.where(f"level = {hi} and many").select("map", *_d("c", dims))
+        here = points.selectExpr("*", *[f"{_cell(f't{k}', str(hi))} as c{k}" for k in range(1, dims + 1)])
+        lo, hi = hi + 1, min(DEEPEST, hi + DEEPEN_LEVELS)
+        pieces.append(_summaries(here.join(still, ["map", *_d("c", dims)], "left_semi").drop(*_d("c", dims)), lo, hi, dims))
+
+
+def _located(points: DataFrame, cells: DataFrame, levels: list, dims: int) -> DataFrame:
+    """Points with the columns of every cell among ``cells`` (of these levels) that holds them."""
+    at = points.selectExpr("*", f"explode(array({', '.join(map(str, sorted(levels)))})) as level")
+    at = at.selectExpr("*", *[f"{_cell(f't{k}', 'level')} as c{k}" for k in range(1, dims + 1)])
+    return at.join(cells, ["map", "level", *_d("c", dims)])
+
+
+def _opened(dims: int, level: str, cell: str, centre: str, r2: str, theta_sq: float) -> str:
+    """May a point of the block open this cell?"""
+    lo, hi = _cell("_lot{k}", level), _cell("_hit{k}", level)
+    gap = f"pow(greatest(_loy{{k}} - {centre}, {centre} - _hiy{{k}}, 0D), 2D)"
+    return f"(({_each(dims, f'{cell} between {lo} and {hi}', ' and ')}) or {r2} * {1 + 1e-9}D >= {theta_sq!r}D * ({_each(dims, gap, ' + ')}))"
+
+
+def _reach(blocked: DataFrame, upper: DataFrame, roots: DataFrame | None, deepest: int | None, theta_sq: float, dims: int) -> DataFrame:
+    """``(map, blk, point, level, …)``: the cells that a point of the block may visit, and the
+    points of the small roots that it may open.  A cell is visited when its parent is opened: when the
+    block's box may hold one of the parent's points or come near enough to its centre; the
+    walk itself decides point by point."""
+    box = blocked.groupBy("map", "blk").agg(*[F.expr(f"{f}({c}) as _{n}{c}") for c in _d("y", dims) + _d("t", dims) for f, n in (("min", "lo"), ("max", "hi"))])
     edge = [f"_{n}{c}" for c in _d("y", dims) + _d("t", dims) for n in ("lo", "hi")]
-    names = ["level", *_d("c", dims), *[c for c in cells.columns if c not in ("map", "level", *_d("c", dims))]]
-    below = cells.select("*", *[F.expr(f"c{k} div 2").alias(f"p{k}") for k in range(1, dims + 1)])
-    # the topmost cells are few: every block may visit them
-    top = min(depth, max(1, TOP_CELLS_LOG2 // dims))
-    here = box.join(cells.where(F.col("level") <= top), "map").select("map", "blk", *edge, *names)
-
-    def opened(rows: DataFrame, level: int) -> DataFrame:
-        """Those cells of ``level`` that a point of the block may open."""
-        near, own = None, None
-        for k in range(1, dims + 1):
-            away = F.greatest(F.col(f"_loy{k}") - F.col(f"m{k}"), F.col(f"m{k}") - F.col(f"_hiy{k}"), F.lit(0.0))
-            near = away * away if near is None else near + away * away
-            inside = F.col(f"c{k}").between(cell_index(F.col(f"_lot{k}"), F.col("level")), cell_index(F.col(f"_hit{k}"), F.col("level")))
-            own = inside if own is None else own & inside
-        rows = rows.where((F.col("level") == level) & ~F.col("flat") & (own | (F.col("r2") * (1 + 1e-9) >= F.lit(theta_sq) * near)))
-        return rows.select("map", "blk", "cnt", *edge, *[F.col(f"c{k}").alias(f"p{k}") for k in range(1, dims + 1)])
-
-    # below the last level with a cell of many points, everything under an opened cell is
-    # little: it is taken in one join by the ancestor at that level
-    many = cells.where(~F.col("flat") & (F.col("cnt") > FEW_POINTS)).agg(F.max("level")).first()[0]
-    many = -1 if many is None else many
-    found = None
-    while True:
-        here = checkpoint(here)  # a short plan for the next level
-        mine = here.drop(*edge)
-        found = mine if found is None else found.unionByName(mine)
-        if top == depth:
-            return found
-        go, keys = opened(here, top), ["map", *_d("p", dims)]
-        ancestor = cells.where(F.col("level") > top).select("*", *[
-            F.expr(f"shiftright(c{k}, least(level - {top}, 62))").alias(f"p{k}") for k in range(1, dims + 1)])
-        under = go.where(F.col("cnt") <= FEW_POINTS).drop("cnt", *edge).join(ancestor, keys).select("map", "blk", *names)
-        found = found.unionByName(checkpoint(under))
-        if top > many:  # opened cells of many points at level `many` are followed once more
-            return found
-        next_level = below.where(F.col("level") == top + 1)
-        here = go.where(F.col("cnt") > FEW_POINTS).drop("cnt").join(next_level, keys).select("map", "blk", *edge, *names)
-        top += 1
+    by_parent = _opened(dims, "(top - 1)", "p{k}", "parent_m{k}", "parent_r2", theta_sq)
+    by_cell = _opened(dims, "level", "c{k}", "(s{k} / mass)", "r2", theta_sq)
+    last = TOP_CELLS_LOG2 // dims
+    first = F.broadcast(upper.where(f"top - 1 <= {last}"))  # at most some thousand cells a map
+    here = box.join(first, "map").where(f"top = 0 or {by_parent}")
+    if deepest is not None and deepest > last:
+        below, steps = upper.where(f"top - 1 > {last}"), []
+        while True:
+            here = checkpoint(here)  # a short plan for the next cells
+            steps.append(here)
+            go = here.where(f"many and level > {last} and {by_cell}")
+            if go.isEmpty():
+                break
+            go = go.selectExpr("map", "blk", *edge, "level + 1 as top", *[f"c{k} as p{k}" for k in range(1, dims + 1)])
+            here = go.join(below, ["map", "top", *_d("p", dims)])
+        width = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        here = reduce(DataFrame.unionByName, steps).coalesce(width)
+    key = ["map", "level", *_d("c", dims)]
+    cells = here.selectExpr("map as of_map", "blk as of_blk", "false as point", "level", "top", *_d("c", dims), "cnt", "mass", *_d("s", dims),
+                            *[f"0D as t{k}" for k in range(1, dims + 1)], "leaf or flat as final", "r2")
+    if roots is None:
+        return cells
+    wanted = here.where(f"small and {by_cell}").select("blk", *key, "r2")
+    points = wanted.join(roots.drop("blk"), key).selectExpr(
+        "map", "blk", "true", "level", "-1", *_d("c", dims), "1L", "pi", *_d("y", dims), *_d("t", dims), "false", "r2")
+    return cells.union(points)
+
+
+def _index(t: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Cell numbers of unit coordinates, as ``cell_index``."""
+    scale = (2.0 ** level)[:, None]
+    return np.clip(np.ceil(t * scale).astype(np.int64) - 1, 0, scale.astype(np.int64) - 1)
+
+
+def _below(level: np.ndarray, y: np.ndarray, t: np.ndarray, pi: np.ndarray, r2: np.ndarray) -> list[tuple]:
+    """The cells below small roots, level by level, from their points."""
+    out, here = [], level.copy()
+    while len(y):
+        here, r2 = here + 1, r2 / 4
+        c = _index(t, here)
+        _, first, back = np.unique(np.column_stack([here, c]), axis=0, return_index=True, return_inverse=True)
+        back = back.ravel()
+        order = np.argsort(back, kind="stable")
+        begin = np.searchsorted(back[order], np.arange(len(first)))
+        equal = lambda x: (np.minimum.reduceat(x[order], begin) == np.maximum.reduceat(x[order], begin)).all(axis=1)
+        final = equal(y) | equal(t) | (here[first] >= DEEPEST)
+        weighted = np.column_stack([np.bincount(back, pi * y[:, k]) for k in range(y.shape[1])])
+        out.append((here[first], here[first], c[first], np.bincount(back).astype(float), np.bincount(back, pi), weighted, final, r2[first]))
+        go = ~final[back]
+        here, y, t, pi, r2 = here[go], y[go], t[go], pi[go], r2[go]
+    return out
 
 
 def _walk(theta_sq: float, dims: int):
-    """Kernel of one block: its points walk the cells that it can reach."""
+    """Kernel of one block: its points walk the cells that it may visit."""
     names = ["id", "map", "sum_q", *_d("n", dims)]
 
     def run(points: pa.Table, cells: pa.Table) -> pa.Table:
         m = points.num_rows
         ids, maps = points.column("id"), points.column("map")
         y, t = (np.column_stack([points.column(c).to_numpy() for c in _d(x, dims)]).astype(np.float64).reshape(m, dims) for x in "yt")
+        weight = points.column("pi").to_numpy()
         sum_q, force = np.zeros(m), np.zeros((m, dims))
         if m and cells.num_rows:
-            level = cells.column("level").to_numpy().astype(np.int64)
-            order = np.argsort(level, kind="stable")
-            level = level[order]
-            col = lambda c: cells.column(c).to_numpy(zero_copy_only=False)[order]
-            c, s, cen = (np.column_stack([col(x) for x in _d(p, dims)]).astype(k).reshape(-1, dims)
-                         for p, k in (("c", np.int64), ("s", np.float64), ("m", np.float64)))
-            cnt, r2 = col("cnt").astype(np.float64), col("r2")
-            final = (col("leaf") | col("flat")).astype(bool)
-            first, count, child = _children(level, c)
+            is_point = cells.column("point").to_numpy(zero_copy_only=False).astype(bool)
+            col = lambda c, at, kind=np.float64: cells.column(c).to_numpy(zero_copy_only=False)[at].astype(kind)
+            cols = lambda p, at, kind=np.float64: np.column_stack([col(x, at, kind) for x in _d(p, dims)])
+            up = ~is_point
+            parts = [(col("level", up, np.int64), col("top", up, np.int64), cols("c", up, np.int64), col("cnt", up), col("mass", up), cols("s", up), col("final", up, bool), col("r2", up))]
+            parts += _below(col("level", is_point, np.int64), cols("s", is_point), cols("t", is_point), col("mass", is_point), col("r2", is_point))
+            level, top, c, cnt, mass, s, final, r2 = (np.concatenate(x) for x in zip(*parts))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cen = s / mass[:, None]
+            root, first, count, child = _children(level, top, c)
             step = max(1, WALK_PAIRS // len(level))
             for lo in range(0, m, step):
-                at, cell = np.arange(lo, min(lo + step, m)), np.zeros(min(step, m - lo), dtype=np.int64)
+                at, cell = np.arange(lo, min(lo + step, m)), np.full(min(step, m - lo), root)
                 while len(at):
-                    scale = 2.0 ** level[cell[0]]  # all pairs of a round are of one level
-                    own = (np.clip(np.ceil(t[at] * scale) - 1, 0, scale - 1) == c[cell]).all(axis=1)
-                    others = np.where(own, cnt[cell] - 1, cnt[cell])
+                    own = (_index(t[at], level[cell]) == c[cell]).all(axis=1)
+                    others = np.where(own, mass[cell] - weight[at], mass[cell])
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        centre = np.where(own[:, None], (s[cell] - y[at]) / others[:, None], cen[cell])
+                        centre = np.where(own[:, None], (s[cell] - weight[at][:, None] * y[at]) / others[:, None], cen[cell])
                     diff = y[at] - centre
                     dsq = (diff * diff).sum(axis=1)
                     take = final[cell] | (~own & (r2[cell] < theta_sq * dsq)) | (count[cell] == 0)
-                    use = take & (others > 0)
+                    use = take & (np.where(own, cnt[cell] - 1, cnt[cell]) > 0) & (others > 0)
                     q = 1.0 / (1.0 + dsq[use])
                     w = others[use] * q
                     sum_q += np.bincount(at[use], w, minlength=m)
@@ -229,43 +282,49 @@ def _walk(theta_sq: float, dims: int):
     return run
 
 
-def _children(level: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(where a cell's children begin, their number, the children): rows ascend by level."""
-    parent = np.full(len(level), -1, dtype=np.int64)
-    cuts = np.searchsorted(level, np.arange(level[-1] + 2))
-    for k in range(1, len(cuts) - 1):
-        a, b, e = cuts[k - 1], cuts[k], cuts[k + 1]
-        if b < e:
-            _, code = np.unique(np.concatenate([c[a:b], c[b:e] // 2]), axis=0, return_inverse=True)
-            code = code.ravel()
-            back = np.full(int(code.max()) + 1, -1, dtype=np.int64)
-            back[code[:b - a]] = np.arange(a, b)
-            parent[b:e] = back[code[b - a:]]
+def _children(level: np.ndarray, top: np.ndarray, c: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(the root, where a cell's children begin, their number, the children).  A cell's parent
+    is the lowest of its chain: it stands one level over the beginning of the cell's own."""
+    n = len(level)
+    above = np.column_stack([top - 1, c >> np.minimum(level - top + 1, 63)[:, None]])
+    _, code = np.unique(np.concatenate([np.column_stack([level, c]), above]), axis=0, return_inverse=True)
+    code = code.ravel()
+    back = np.full(int(code.max()) + 1, -1, dtype=np.int64)
+    back[code[:n]] = np.arange(n)
+    parent = back[code[n:]]
+    root = int(np.flatnonzero(top == 0)[0])
+    parent[root] = -1
     child = np.argsort(parent, kind="stable")
     child = child[np.searchsorted(parent[child], 0):]
-    count = np.bincount(parent[child], minlength=len(level))
-    return np.cumsum(count) - count, count, child
+    count = np.bincount(parent[child], minlength=n)
+    return root, np.cumsum(count) - count, count, child
 
 
-def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2) -> DataFrame:
-    """``(id, map, sum_q, n1..nd)``: Barnes-Hut estimate of Σ_j q_ij and of the
-    repulsive force Σ_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i.  The result is
-    checkpointed, so its intermediates are released at once."""
-    cached: list[DataFrame] = []
-    points = _with_unit_coords(state, dims).select("id", F.col("map").cast("int").alias("map"), *_d("y", dims), *_d("t", dims), *_d("w", dims))
+def bh_repulsion(state: DataFrame, theta_sq: float = 0.5, dims: int = 2, n: int | None = None) -> DataFrame:
+    """``(id, map, sum_q, n1..nd)``: Barnes-Hut estimate of Σ_j π_j q_ij and of the
+    repulsive force Σ_j π_j q_ij² (y_i − y_j), q = 1/(1 + d²), j ≠ i, of every map; without a
+    column ``pi`` every π is 1.  The result is checkpointed, so its intermediates are released at once."""
+    pi = F.col("pi").cast("double") if "pi" in state.columns else F.lit(1.0)
+    points = _with_unit_coords(state, dims).select("id", F.col("map").cast("int").alias("map"), *_d("y", dims), *_d("t", dims), *_d("w", dims), pi.alias("pi"))
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(points)
-    n = points.count()
-    cells, depth = _deep_cells(points, n, dims, cached)
-    blocked = _blocks(points, n, dims).persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(blocked)
-    reach = _reach(blocked, checkpoint(cells), depth, theta_sq, dims)
-    out = (blocked.select("map", "blk", "id", *_d("y", dims), *_d("t", dims)).groupBy("map", "blk")
-           .cogroup(reach.groupBy("map", "blk"))
+    n = n or points.count()
+    tasks = 2 * points.sparkSession.sparkContext.defaultParallelism
+    limit = max(FEW_POINTS, min(BLOCK_POINTS, math.ceil(n / tasks)))
+    upper, facts = _upper(points, n, limit, dims)
+    key, place = ["map", "level", *_d("c", dims)], [*_d("y", dims), *_d("t", dims)]
+    located = _located(points.drop(*_d("w", dims)), upper.where("small or block").select(*key, "cnt", "small", "block"), facts["levels"], dims)
+    blk = f"xxhash64(level, {_each(dims, 'c{k}')}, pmod(xxhash64(id), ceil(cnt / {limit})))"
+    located = located.selectExpr(*key, "id", "pi", *place, "small", "block", f"{blk} as blk").persist(StorageLevel.MEMORY_AND_DISK)
+    blocked = located.where("block").select("map", "blk", "id", "pi", *place)
+    roots = located.where("small").select(*key, "pi", *place, "blk") if facts["small"] else None
+    reach = _reach(blocked, upper, roots, facts["deepest"], theta_sq, dims)
+    # numbered partitions are not merged where rows are few: the walk costs more than its rows weigh
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = (blocked.repartition(parts, "map", "blk").groupBy("map", "blk").cogroup(reach.repartition(parts, "of_map", "of_blk").groupBy("of_map", "of_blk"))
            .applyInArrow(_walk(theta_sq, dims), "id bigint, map int, sum_q double, " + ", ".join(f"n{k} double" for k in range(1, dims + 1))))
     out = checkpoint(out)
-    for df in cached:
-        df.unpersist()
+    points.unpersist()
+    located.unpersist()
     return out
 
 
