@@ -78,11 +78,66 @@ def test_offset_data_and_ragged_vectors(spark):
         neighbors.knn_join(ragged, 1, n=2).collect()
 
 
-def test_super_blocks_merge_to_the_same_neighbours(spark, monkeypatch):
-    import numpy as np
-    from tmaps.operators import blocks
-    x = np.random.default_rng(4).normal(size=(300, 6))
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
-    one = sorted((r.i, r.r, r.j) for r in neighbors.knn_join(df, 7, n=300).collect())
-    monkeypatch.setattr(blocks, "COLUMN_BLOCKS", 2)
-    assert sorted((r.i, r.r, r.j) for r in neighbors.knn_join(df, 7, n=300, block_rows=20).collect()) == one
+def _clustered(n, seed, clusters=12, dims=5, spread=0.02):
+    rng = np.random.default_rng(seed)
+    return rng.uniform(-1, 1, (clusters, dims))[rng.integers(0, clusters, n)] + spread * rng.normal(size=(n, dims))
+
+
+def _frame(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+
+
+def _check(spark, x, k, block_rows):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in neighbors.knn_join(_frame(spark, x), k, n=len(x), block_rows=block_rows).collect():
+        got.setdefault(r.i, {})[r.r] = (r.j, r.d2)
+    for i in range(len(x)):
+        have = [got[i][m] for m in range(1, k + 1)]
+        assert [j for j, _ in have] == np.lexsort((np.arange(len(x)), d[i]))[:k].tolist()
+        np.testing.assert_allclose([v for _, v in have], np.sort(d[i])[:k], rtol=1e-9, atol=1e-18)
+
+
+def test_pruned_search_on_clusters_copies_and_far_offsets(spark, monkeypatch):
+    x = _clustered(500, 4)
+    x[300:420] = x[7]  # a hot cell: a quarter of all rows are copies
+    _check(spark, x, 7, 20)
+    monkeypatch.setattr(neighbors, "SUPER_ROWS", 60)  # many groups
+    _check(spark, np.vstack([x[:250], [[1e6] * 5]]) + 1e4, 5, 16)
+    _check(spark, np.random.default_rng(5).normal(size=(200, 6)), 30, 10)  # blocks of fewer rows than k
+
+
+def test_blocks_out_of_reach_are_left_out(spark):
+    x = _clustered(1500, 6, clusters=30)
+    placed = neighbors.place(_frame(spark, x), len(x), 50)
+    met = neighbors.reachable(placed, 5).collect()
+    total, cells = int(placed.parts.sum()), len(placed.pivots)
+    pairs = sum(int(placed.parts[r.cell]) for r in met)
+    assert pairs < total * total / 4
+    # every true neighbour's cell is reached
+    at = {r.id: (r.blk, r.cell) for r in placed.rows.select("id", "blk", "cell").collect()}
+    reach = {(r.blk, r.cell) for r in met}
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, len(x), 7):
+        assert all((at[i][0], at[j][1]) in reach for j in np.argsort(d[i])[:5])
+
+
+def test_nearest_in_map_equals_all_pairs(spark):
+    from tmaps.operators import metrics
+    rng = np.random.default_rng(8)
+    y = np.vstack([rng.normal(size=(500, 2)) * 20, np.repeat([[3.0, 4.0]], 40, axis=0), [[1e5, 1e5]]])
+    st = spark.createDataFrame([(i, 0, float(a), float(b)) for i, (a, b) in enumerate(y)], "id bigint, map int, y1 double, y2 double")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    pruned, direct = metrics.topk_by_q(st, 6, n=len(y), block_rows=32), metrics.topk_by_q(st, 6, n=len(y), block_rows=4096)
+    assert rows(pruned) == rows(direct)
+
+
+def test_work_in_a_map_grows_less_than_with_the_square(spark):
+    rng = np.random.default_rng(9)
+    pairs = []
+    for n in (1000, 4000):
+        placed = neighbors.place(_frame(spark, rng.normal(size=(n, 2))), n, 50)
+        pairs.append(sum(int(placed.parts[r.cell]) for r in neighbors.reachable(placed, 5).collect()))
+    assert pairs[1] < 8 * pairs[0]  # blocks that meet: 16 times as many with all pairs

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 REALMIN = 1e-12
 DISTANCE_TOLERANCE = 1e-10  # relative error that the norm-assisted form may have
 DIRECT_PAIRS = 100_000
-COLUMN_BLOCKS = 64  # blocks of candidates that meet a block of rows in one group
 
 
 MIN_BLOCK_ROWS = 64
@@ -146,9 +145,28 @@ KNN_SCHEMA = "i bigint, j bigint, d2 double"
 DIST_SUMMARY_SCHEMA = "i bigint, n_pairs bigint, d2_min double, d2_max double, d2_sum double"
 
 
+def _nearest(x: np.ndarray, ids: np.ndarray, cand: np.ndarray, cand_ids: np.ndarray, k: int, tile: int, by_kernel: bool):
+    """(row, candidate id, value) of the k best candidates of each row, tile by tile (self
+    excluded by id): the least squared distances, or the largest kernels."""
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, candidate's id, value
+    for first in range(0, len(cand), tile):
+        col_ids = cand_ids[first:first + tile]
+        if by_kernel:
+            d = _pair_block(x, cand[first:first + tile], False)[1]
+        else:
+            d = sq_dist(x, cand[first:first + tile])
+        d[ids[:, None] == col_ids[None, :]] = -np.inf if by_kernel else np.inf
+        r, c = _topk_rows(d, k, largest=by_kernel, col_ids=col_ids)
+        best = [np.concatenate(p) for p in zip(best, (r, col_ids[c], d[r, c]))]
+        order = np.lexsort((best[1], -best[2] if by_kernel else best[2], best[0]))
+        best = [p[order] for p in best]
+        place = np.arange(len(order)) - np.searchsorted(best[0], best[0], side="left")
+        best = [p[place < k] for p in best]
+    return best
+
+
 def directed_knn_kernel(k: int, tile: int = 2048):
-    """Per group (row block, super-block of columns): the k nearest of the columns for
-    every row of the row block, found tile by tile (self excluded by id)."""
+    """Per group (row block, candidates): the k nearest of the candidates for every row."""
 
     def run(t: pa.Table) -> pa.Table:
         role = t.column("_row").to_numpy(zero_copy_only=False).astype(bool)
@@ -158,20 +176,37 @@ def directed_knn_kernel(k: int, tile: int = 2048):
         out = []
         for lo in range(0, len(rows), tile):
             at = rows[lo:lo + tile]
-            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row in the tile, column, distance
-            for first in range(0, len(others), tile):
-                cols = others[first:first + tile]
-                d = sq_dist(x[at], x[cols])
-                d[ids[at][:, None] == ids[cols][None, :]] = np.inf
-                r, c = _topk_rows(d, k, col_ids=ids[cols])
-                best = [np.concatenate(p) for p in zip(best, (r, cols[c], d[r, c]))]
-                order = np.lexsort((ids[best[1]], best[2], best[0]))
-                best = [p[order] for p in best]
-                place = np.arange(len(order)) - np.searchsorted(best[0], best[0], side="left")
-                best = [p[place < k] for p in best]
-            out.append((ids[at[best[0]]], ids[best[1]], best[2]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"i": cols[0].astype(np.int64), "j": cols[1].astype(np.int64), "d2": cols[2].astype(np.float64)})
+            r, j, d = _nearest(x[at], ids[at], x[others], ids[others], k, tile, False)
+            out.append((ids[at[r]], j, d))
+        return _knn_table(out, "d2")
+
+    return run
+
+
+def _knn_table(parts: list, value: str) -> pa.Table:
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"i": cols[0].astype(np.int64), "j": cols[1].astype(np.int64), value: cols[2].astype(np.float64)})
+
+
+def visiting_kernel(k: int, tile: int = 2048, by_kernel: bool = False):
+    """Per group (super-block of rows, super-block of candidates) and its pairs (block, cell):
+    every block of rows searches the cells that it reaches, and no others."""
+
+    def run(t: pa.Table, pairs: pa.Table) -> pa.Table:
+        out = []
+        if t.num_rows and pairs.num_rows:
+            role = t.column("_row").to_numpy(zero_copy_only=False).astype(bool)
+            ids, x, blk, cell = _np(t, "id", np.int64), _matrix(t.column("v")), _np(t, "blk"), _np(t, "cell")
+            rows, others = np.flatnonzero(role), np.flatnonzero(~role)
+            to, cells = _np(pairs, "blk"), _np(pairs, "cell")
+            for b in np.unique(to):
+                mine = rows[blk[rows] == b]
+                near = others[np.isin(cell[others], cells[to == b])]
+                for lo in range(0, len(mine), tile):
+                    at = mine[lo:lo + tile]
+                    r, j, d = _nearest(x[at], ids[at], x[near], ids[near], k, tile, by_kernel)
+                    out.append((ids[at[r]], j, d))
+        return _knn_table(out, "qz" if by_kernel else "d2")
 
     return run
 

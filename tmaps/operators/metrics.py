@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmaps.operators import blocks
+from tmaps.operators import blocks, neighbors
 from tmaps.operators.kernel import dim_cols
 
 
@@ -54,7 +54,11 @@ def topk_by_p(joint_p: DataFrame, k: int = 1) -> DataFrame:
 def topk_by_q(state_pi: DataFrame, k: int = 1, dims: int = 2, n: int | None = None,
               n_maps: int = 1, block_rows: int = 1024) -> DataFrame:
     """``(i, j, r)`` — the K largest Q (single map: num; maps: QZ) per row, ties by j.
-    Candidates come from the block-pair kernel (≤ K per row and block pair)."""
+    Candidates come from the block-pair kernel (≤ K per row and block pair); a single map of
+    many blocks is searched by cells with covering radii instead, and blocks out of a row's
+    reach are left out (``neighbors.nearest_in_map``)."""
+    alone = "map" not in state_pi.columns or n_maps == 1
+    plain = "pi" not in state_pi.columns
     st = state_pi
     if "map" not in st.columns:
         st = st.withColumn("map", F.lit(0))
@@ -63,10 +67,13 @@ def topk_by_q(state_pi: DataFrame, k: int = 1, dims: int = 2, n: int | None = No
     st = st.select("id", F.col("map").cast("int").alias("map"), *dim_cols("y", dims), F.col("pi").cast("double"))
     if n is None:
         n = st.select("id").distinct().count()
-    per_block = max(16, block_rows // max(1, n_maps))
-    nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(st.sparkSession))
-    rep = blocks.replicate_pairs(blocks.with_block(st, nb), nb)
-    cand = rep.groupBy("_lo", "_hi").applyInArrow(blocks.topq_kernel(dims, k), blocks.TOPQ_SCHEMA)
+    if alone and plain and n > neighbors.DIRECT_BLOCKS * block_rows:
+        cand = neighbors.nearest_in_map(st, k, dims, n, block_rows)
+    else:
+        per_block = max(16, block_rows // max(1, n_maps))
+        nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(st.sparkSession))
+        rep = blocks.replicate_pairs(blocks.with_block(st, nb), nb)
+        cand = rep.groupBy("_lo", "_hi").applyInArrow(blocks.topq_kernel(dims, k), blocks.TOPQ_SCHEMA)
     w = Window.partitionBy("i").orderBy(F.col("qz").desc(), F.col("j"))
     return cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("i", "j", F.col("r").cast("int"))
 
