@@ -122,3 +122,28 @@ def test_laplacian_penalty_from_the_fused_pass(spark):
     lpi = multimap.laplacian_smooth(joint, sp, 4.0)
     want = lpi.join(sp, ["id", "map"]).agg(0.1 * F.sum(F.col("pi") * F.col("lpi"))).first()[0]
     assert abs(got - want) < 1e-12
+
+
+def test_halo_pass_equals_the_edge_joins(spark):
+    from tmaps.operators import neighbors
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+    st = spark.createDataFrame([(i, 0, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)))], "id bigint, map int, y1 double, y2 double")
+    joint = spark.createDataFrame([(i, int(j), float(rng.uniform(1e-6, 1e-3))) for i in range(110) for j in rng.choice(120, 9, replace=False) if i != j], "i bigint, j bigint, p double")
+    edges, needed = kernel.halo(joint, neighbors.place(v, 120, 30).rows)
+    got = kernel.halo_pass(edges, needed, st, 2, 4.0)
+    a = got.toPandas().set_index("id").sort_index()
+    b = kernel.edge_pass(joint, st, 2, 4.0).toPandas().set_index("id").sort_index()
+    assert len(a) == len(b) and np.abs(a[["e1", "e2"]] - b[["e1", "e2"]]).max().max() < 1e-15
+    want = kernel.bh_kl_loss(joint.selectExpr("i", "j", "p * 4 as p"), st, 50.0).first()["loss"]
+    assert kernel.halo_loss(got, 50.0) == pytest.approx(want, rel=1e-12)
+    # neither the edges nor the halo move: the state goes to the halo, the halo's positions to the blocks
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kernel.halo_pass(edges, needed, st, 2, 4.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    with pytest.raises(Exception, match="no position"):
+        kernel.halo_pass(edges, needed, st.where("id <> 3"), 2).collect()

@@ -96,3 +96,62 @@ def test_multimap_with_laplacian_regulariser(spark):
     assert len(losses) == 2 and all(math.isfinite(x) for x in losses)
     s = res.state.agg(F.sum(F.col("y1") + F.col("y2") + F.col("w")).alias("s")).first()["s"]
     assert math.isfinite(s)
+
+
+def test_static_edges_are_not_shuffled_again(spark):
+    """An iteration of the exact job exchanges the replicated positions, not the P edges."""
+    from tmaps.operators import blocks
+    joint = spark.range(400).selectExpr("id % 40 as i", "(id * 7 + 1) % 40 as j", "1e-4D as p").where("i <> j").checkpoint()
+    nb, edges = jobs._keyed_edges(spark, joint, 40, 1)
+    state = spark.range(40).selectExpr("id", "0 as map", "id / 7D as y1", "id % 5 + 0D as y2", "1D as pi")
+    plan = blocks.fused_pass(state, edges, nb, 2, True, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_lo") == 1, plan
+
+
+class _Killed(Exception):
+    pass
+
+
+def test_a_killed_run_goes_on_after_its_last_iteration(spark, tmp_path):
+    """The same map as a run that never stopped, and no doubled frames or metrics."""
+    v = load_vectors(spark, SF).where("id < 60")
+    joint = jobs.affinities(v, 5.0)[0]
+
+    def kill(iteration, state, loss):
+        if iteration == 2:
+            raise _Killed
+
+    def run(job, folder, **kw):
+        return job(v, max_iterations=3, seed=3, joint=joint, n=60, run_id="r-1", state_path=f"{folder}/state", metrics_path=f"{folder}/metrics",
+                   trajectory_path=f"{folder}/frames", trajectory_every=1, **kw)
+
+    for name, job, kw in (("bh", jobs.tsne_bh, {"report_loss": lambda it: True, "report_every": 2}),
+                          ("maps", jobs.mm_tsne, {"no_maps": 2, "report_every": 0, "loss_every": 1})):
+        whole, parts = f"{tmp_path}/{name}-whole", f"{tmp_path}/{name}-parts"
+        a = run(job, whole, **kw)
+        try:
+            run(job, parts, callback=kill, **kw)
+            raise AssertionError("not killed")
+        except _Killed:
+            pass
+        # the killed run had begun to write what comes next
+        spark.read.parquet(f"{parts}/metrics").selectExpr("'r-1' as run_id", "3 as iteration", "name", "-1D as value").limit(1).write.mode("append").partitionBy("run_id", "iteration").parquet(f"{parts}/metrics")
+        b = run(job, parts, **kw)
+        assert {m[0] for m in b.metrics} == {3}
+        cols = [c for c in a.state.columns if c not in ("id", "map")]
+        x, y = ({(r.id, r["map"]): [r[c] for c in cols] for r in res.state.collect()} for res in (a, b))
+        assert x.keys() == y.keys() and all(abs(p - q) < 1e-9 for k in x for p, q in zip(x[k], y[k]))
+        for table, key in (("frames", ["iteration", "id", "map"]), ("metrics", ["iteration", "name"])):
+            rows = [sorted(tuple(r[c] for c in key) for r in spark.read.parquet(f"{f}/{table}").collect()) for f in (whole, parts)]
+            assert rows[0] == rows[1] and len(set(rows[1])) == len(rows[1])
+        again = run(job, parts, **kw)  # complete: nothing is done twice
+        assert again.metrics == [] and again.state.count() == a.state.count()
+
+
+def test_plan_sizes_do_not_grow_with_the_iterations(spark):
+    """Every iteration starts from a table of known size: estimates are not multiplied up."""
+    v = load_vectors(spark, SF).where("id < 60")
+    sizes = []
+    res = jobs.tsne_exact(v, max_iterations=6, perplexity=5.0, loss_every=0, report_every=0,
+                          callback=lambda it, state, loss: sizes.append(int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))))
+    assert res.state.count() == 60 and max(sizes) < 1_000_000

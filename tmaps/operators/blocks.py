@@ -401,6 +401,30 @@ def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 LOSS_COLS = ["lp", "ps", "qmin"]
 
 
+def halo_kernel(dims: int, p_scale: float, floor: float):
+    """Per block: the sums of its points' edges, from the positions that the block needs."""
+    names = ["id", *[f"e{k}" for k in range(1, dims + 1)], *LOSS_COLS]
+
+    def run(edges: pa.Table, near: pa.Table) -> pa.Table:
+        if not edges.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c == "id" else pa.float64()) for c in names})
+        ids = _np(near, "id", np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        y = np.column_stack([_np(near, f"y{k}", np.float64) for k in range(1, dims + 1)])[order] if near.num_rows else np.zeros((0, dims))
+        i, p = _np(edges, "i", np.int64), _np(edges, "p", np.float64) * p_scale
+        diff = y[_places(ids, i)] - y[_places(ids, _np(edges, "j", np.int64))]
+        num = 1.0 / (1.0 + np.einsum("ij,ij->i", diff, diff))
+        point, back = np.unique(i, return_inverse=True)
+        total = lambda x: np.bincount(back, x, minlength=len(point))
+        least = np.full(len(point), np.inf)
+        np.minimum.at(least, back, num)
+        w = p * num
+        return pa.table([point, *[total(w * diff[:, k]) for k in range(dims)], total(p * np.log(np.maximum(p, floor) / num)), total(p), least], names=names)
+
+    return run
+
+
 def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALMIN):
     """All-pairs sums (a, s, r*) plus the P-edge sums of one block pair in one task.
 

@@ -12,10 +12,13 @@ so no n×n table is ever materialised and Z needs no second all-pairs pass.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tmaps.operators import blocks
+from tmaps.session import checkpoint, checkpoint_by
 
 Q_FLOOR = 1e-12
 
@@ -101,6 +104,37 @@ def edge_pass(joint_p: DataFrame, state: DataFrame, dims: int = 2, p_scale=1.0)
     return e.groupBy(F.col("i").alias("id")).agg(*aggs)
 
 
+def halo(joint_p: DataFrame, blocks_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P edges by the block of ``i``, and the halo: which positions each block needs.
+
+    ``blocks_of`` is ``(id, blk)``, best with neighbours in one block. Both tables are static and
+    written once with their partitioning, so an iteration shuffles positions only:
+    the state to the halo's ids, and the halo's positions to the blocks."""
+    parts = int(joint_p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = blocks_of.select(F.col("id").alias("i"), "blk")
+    edges = checkpoint_by(checkpoint(joint_p.select("i", "j", "p").join(of, "i")), parts, "blk", ordered=("blk",))
+    needed = checkpoint(edges.select("blk", F.col("j").alias("id")).union(edges.select("blk", "i")).distinct())
+    return edges, checkpoint_by(needed, parts, "id", ordered=("id",))
+
+
+def halo_pass(edges: DataFrame, needed: DataFrame, state: DataFrame, dims: int = 2, p_scale: float = 1.0) -> DataFrame:
+    """``(id, e1..ed, lp, ps, qmin)`` of every point with edges: attraction
+    ``Σ p'·num·(y_i − y_j)`` with p' = p·p_scale, and the parts of the loss,
+    ``Σ p'·ln(max(p', floor) / num)``, ``Σ p'`` and the least num."""
+    y = dim_cols("y", dims)
+    near = needed.join(state.select("id", *y), "id").select(F.col("blk").alias("of"), "id", *y)
+    schema = "id bigint, " + ", ".join(f"{c} double" for c in dim_cols("e", dims) + ["lp", "ps", "qmin"])
+    return edges.groupBy("blk").cogroup(near.groupBy("of")).applyInArrow(blocks.halo_kernel(dims, p_scale, Q_FLOOR), schema)
+
+
+def halo_loss(sums: DataFrame, sum_q: float) -> float | None:
+    """The KL loss from the parts of ``halo_pass``; None where an edge is below the floor."""
+    r = sums.agg(F.sum("lp").alias("lp"), F.sum("ps").alias("ps"), F.min("qmin").alias("qmin")).first()
+    if r["qmin"] is None or r["qmin"] / sum_q < Q_FLOOR:
+        return None if r["qmin"] is not None else 0.0
+    return float(r["lp"]) + float(r["ps"]) * math.log(sum_q)
+
+
 def gradient_from_parts(sums: DataFrame, edges: DataFrame, z, dims: int = 2, factor: float = 4.0) -> DataFrame:
     """``dY_i = factor · (A_i − R_i / Z)`` → ``(id, dy1..dyd)``; rows without P edges have A = 0."""
     j = sums.select("id", *dim_cols("r", dims)).join(edges, "id", "left")

@@ -2,14 +2,21 @@
 
 Each iteration is one lazily built DataFrame plan over the keyed state
 (``state(id, map, y*, …)``); the loop itself runs on the driver but only
-scalars (Z, sumQ, losses, means, preservation) come back.  The state is cut
-from its lineage with a reliable ``checkpoint()`` into the session's
-``spark.checkpoint.dir`` every ``checkpoint_every`` iterations (persisted in
-between), so a lost executor costs at most that many iterations of recompute.
+scalars (Z, sumQ, losses, means, preservation) come back.  Every ``checkpoint_every``
+iterations (persisted in between) the state is written as a table of its own and read
+again, so a lost executor costs at most that many iterations of recompute, and the
+next plan starts from a table of known size.
+
+The tables stand below the session's shared checkpoint folder, or below ``state_path``, as
+``<state_path>/<run_id>/iteration-<k>``; the file that Spark writes last marks one as
+committed. A job that finds committed iterations of its ``run_id`` under ``state_path`` goes on after the
+last of them: it gives the same map as one that never stopped. Frames and metrics
+of an iteration are written before its state, and again replace their own partition.
 """
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -21,10 +28,13 @@ from pyspark.sql import functions as F
 from tmaps.functions.columns import gaussian_col
 from tmaps.operators import affinity, blocks, cells, kernel, metrics, multimap, neighbors, update
 from tmaps.params import TSNEParams
-from tmaps.session import checkpoint as reliable_checkpoint
+from tmaps.session import checkpoint as reliable_checkpoint, checkpoint_by, committed, drop_table, scratch_path
 from tmaps.streaming import frames
 
 
+HALO_ROWS = 16_384  # points of a block of P edges
+
+
 @dataclass
 class RunResult:
     run_id: str
@@ -66,23 +76,33 @@ def _keyed_edges(spark, joint: DataFrame, n: int, n_maps: int, block_rows: int =
     (static for the whole run, so written once)."""
     per_block = max(16, block_rows // max(1, n_maps))
     nb = blocks.choose_blocks(n, per_block, blocks.default_min_groups(spark))
-    # a numbered repartition is not adaptive: the checkpoint keeps the co-group's
-    # partitioning, so an iteration shuffles only the replicated positions
+    # the checkpoint keeps the co-group's partitioning and order, so an iteration shuffles only
+    # the replicated positions
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kedges = reliable_checkpoint(blocks.key_edges(joint, nb).repartition(parts, "_lo", "_hi"))
+    kedges = checkpoint_by(blocks.key_edges(joint, nb), parts, "_lo", "_hi", ordered=("_lo", "_hi"))
     return nb, kedges
 
 
 class _Stepper:
-    """Alternates persist / reliable checkpoint of the evolving state."""
+    """Commits the evolving state: as a table every few iterations, persisted in between."""
 
-    def __init__(self, checkpoint_every: int):
-        self.every = max(1, int(checkpoint_every))
+    def __init__(self, spark, run_id: str, checkpoint_every: int, state_path: str | None):
+        self.spark, self.every = spark, max(1, int(checkpoint_every))
+        self.folder = f"{state_path.rstrip('/')}/{run_id}" if state_path else scratch_path(spark, f"run-{run_id}")
         self.prev: DataFrame | None = None
 
+    def last(self) -> tuple[int, DataFrame] | None:
+        """The last committed iteration of this run and its state."""
+        done = committed(self.spark, self.folder, "iteration-")
+        return (done[-1], self.spark.read.parquet(f"{self.folder}/iteration-{done[-1]}")) if done else None
+
     def commit(self, df: DataFrame, iteration: int) -> DataFrame:
         if iteration % self.every == 0:
-            out = reliable_checkpoint(df)
+            path = f"{self.folder}/iteration-{iteration}"
+            df.write.mode("overwrite").parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+            for old in committed(self.spark, self.folder, "iteration-")[:-2]:  # this one and the one before stay
+                drop_table(self.spark, f"{self.folder}/iteration-{old}")
         else:
             out = df.persist(StorageLevel.MEMORY_AND_DISK)
             out.count()
@@ -91,6 +111,9 @@ class _Stepper:
         self.prev = out
         return out
 
+    def begin(self, state: DataFrame) -> tuple[int, DataFrame]:
+        """Where to go on: after the last committed iteration, or from ``state``."""
+        return self.last() or (0, self.commit(state, 0))
 
     def commit_centered(self, moved: DataFrame, iteration: int, dims: int) -> DataFrame:
         """Commit a moved single map, centred; the step is evaluated once."""
@@ -117,11 +140,33 @@ def _report(result: RunResult, callback, iteration, state, loss, trajectory_path
         callback(iteration, state, loss)
 
 
+def _put_metrics(spark, result: RunResult, iteration: int, metrics_path: str | None) -> None:
+    """The iteration's metrics, in place of those that an earlier try left."""
+    rows = [m for m in result.metrics if m[0] == iteration]
+    if metrics_path and rows:
+        frames.append_metrics(frames.metrics_frame(spark, result.run_id, rows), metrics_path)
+
+
+def _resumed(result: RunResult, first: int, state: DataFrame, trajectory_path, trajectory_every, dims) -> None:
+    """The frame of a committed iteration, which the run before may not have written."""
+    if first:
+        _report(result, None, first, state, None, trajectory_path, trajectory_every, dims)
+
+
+def _finish(spark, result: RunResult, state: DataFrame, first: int, max_iterations: int, t0: float, metrics_path: str | None) -> RunResult:
+    result.state = state
+    if first < max_iterations:
+        result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
+        _put_metrics(spark, result, max_iterations, metrics_path)
+    return result
+
+
 def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perplexity: float = 30.0,
                seed: int = 0, params: TSNEParams = TSNEParams(), callback=None, loss_every: int = 1,
                report_every: int = 100, checkpoint_every: int = 1, trajectory_path: str | None = None,
                trajectory_every: int = 0, metrics_path: str | None = None, run_id: str | None = None,
-               start: DataFrame | None = None, joint: DataFrame | None = None, n: int | None = None) -> RunResult:
+               start: DataFrame | None = None, joint: DataFrame | None = None, n: int | None = None,
+               state_path: str | None = None) -> RunResult:
     """Exact t-SNE: gradient 4(A − R/Z) from the block-pair kernel + P-edge joins,
     gains/momentum update, re-centring.  ``callback(iteration, state_df, loss)``."""
     t0 = time.time()
@@ -136,10 +181,11 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
     state = y0.select("id", F.lit(0).alias("map"), *_d("y", dims),
                       *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)],
                       *[F.lit(1.0).alias(f"g{k}") for k in range(1, dims + 1)])
-    step = _Stepper(checkpoint_every)
-    state = step.commit(state, 0)
+    step = _Stepper(spark, result.run_id, checkpoint_every, state_path)
+    first, state = step.begin(state)
+    _resumed(result, first, state, trajectory_path, trajectory_every, dims)
     nb, kedges = _keyed_edges(spark, joint, n, 1)
-    for it in range(1, max_iterations + 1):
+    for it in range(first + 1, max_iterations + 1):
         scale = params.exaggeration_factor if it <= params.early_exaggeration else 1.0
         ys = state.select("id", "map", *_d("y", dims))
         sums = blocks.fused_pass(ys.withColumn("pi", F.lit(1.0)), kedges, nb, dims, True, scale
@@ -158,25 +204,24 @@ def tsne_exact(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, pe
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
         grad = sums.select("id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"dy{k}")
                                    for k in range(1, dims + 1)])
+        _put_metrics(spark, result, it, metrics_path)
         state = step.commit_centered(update.gain_update(state, grad, it, params, dims, center=False), it, dims)
         sums.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
-    result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
-    result.state = state
-    if metrics_path:
-        frames.append_metrics(result.metrics_df(spark), metrics_path)
-    return result
+    return _finish(spark, result, state, first, max_iterations, t0, metrics_path)
 
 
 def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perplexity: float = 30.0,
             theta: float = 0.5, seed: int = 0, params: TSNEParams = TSNEParams(), callback=None,
-            report_loss=lambda it: it % 10 == 0, checkpoint_every: int = 1, trajectory_path: str | None = None,
+            report_loss=lambda it: it % 10 == 0, report_every: int = 0, checkpoint_every: int = 1, trajectory_path: str | None = None,
             trajectory_every: int = 0, metrics_path: str | None = None, run_id: str | None = None,
             joint: DataFrame | None = None, n: int | None = None,
-            start: DataFrame | None = None) -> RunResult:
+            start: DataFrame | None = None, state_path: str | None = None) -> RunResult:
     """Barnes-Hut t-SNE: dY = posF − negF/sumQ (no factor 4, as the reference),
     P × exaggeration while iteration ≤ early_exaggeration, start N(0,1)·1e-4.
-    ``theta`` is compared with radius²/d² (i.e. it is a squared threshold)."""
+    ``theta`` is compared with radius²/d² (i.e. it is a squared threshold). The P edges stand
+    by blocks of neighbouring vectors (``kernel.halo``): an iteration shuffles positions only.
+    Every ``report_every`` iterations the neighbourhood preservation is measured."""
     t0 = time.time()
     spark = vectors.sparkSession
     result = RunResult(run_id or uuid.uuid4().hex[:12], None)
@@ -189,30 +234,39 @@ def tsne_bh(vectors: DataFrame, dims: int = 2, max_iterations: int = 1000, perpl
     state = y0.select("id", F.lit(0).alias("map"), *_d("y", dims),
                       *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)],
                       *[F.lit(1.0).alias(f"g{k}") for k in range(1, dims + 1)])
-    step = _Stepper(checkpoint_every)
-    state = step.commit(state, 0)
-    for it in range(1, max_iterations + 1):
+    step = _Stepper(spark, result.run_id, checkpoint_every, state_path)
+    first, state = step.begin(state)
+    _resumed(result, first, state, trajectory_path, trajectory_every, dims)
+    rows = max(blocks.MIN_BLOCK_ROWS, min(HALO_ROWS, math.ceil(n / blocks.default_min_groups(spark))))
+    edges, needed = kernel.halo(joint, neighbors.place(vectors, n, rows).rows)
+    for it in range(first + 1, max_iterations + 1):
         scale = params.exaggeration_factor if it <= params.early_exaggeration else 1.0
         ys = state.select("id", "map", *_d("y", dims))
-        rep = cells.bh_repulsion(ys, theta, dims)
+        rep = cells.bh_repulsion(ys, theta, dims, n)
         sum_q = float(rep.agg(F.sum("sum_q").alias("s")).first()["s"] or 0.0) or 1.0
+        pos = kernel.halo_pass(edges, needed, ys, dims, scale)
         loss = None
         if report_loss is not None and report_loss(it):
-            loss = float(kernel.bh_kl_loss(affinity.exaggerate(joint, it, params.early_exaggeration,
-                                                               params.exaggeration_factor), ys, sum_q, dims)
-                         .first()["loss"] or 0.0)
+            pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
+            loss = kernel.halo_loss(pos, sum_q)
+            if loss is None:  # an edge hits the floor
+                loss = float(kernel.bh_kl_loss(affinity.exaggerate(joint, it, params.early_exaggeration,
+                                                                   params.exaggeration_factor), ys, sum_q, dims)
+                             .first()["loss"] or 0.0)
             result.metrics.append((it, "kl", loss))
-        pos = kernel.edge_pass(joint, ys, dims, scale)
+        if report_every and it % report_every == 0:
+            tq = metrics.topk_by_q(ys, params.K, dims, n)
+            pres = metrics.neighborhood_preservation_avg(
+                metrics.neighborhood_preservation(joint, tq, params.K), n).first()["preservation"]
+            result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
         grad = rep.join(pos, "id", "left").select(
             "id", *[(F.coalesce(F.col(f"e{k}"), F.lit(0.0)) - F.col(f"n{k}") / F.lit(sum_q)).alias(f"dy{k}")
                     for k in range(1, dims + 1)])
+        _put_metrics(spark, result, it, metrics_path)
         state = step.commit_centered(update.gain_update(state, grad, it, params, dims, center=False), it, dims)
+        pos.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
-    result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
-    result.state = state
-    if metrics_path:
-        frames.append_metrics(result.metrics_df(spark), metrics_path)
-    return result
+    return _finish(spark, result, state, first, max_iterations, t0, metrics_path)
 
 
 def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations: int = 2000,
@@ -220,7 +274,7 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
             loss_every: int = 0, report_every: int = 100, checkpoint_every: int = 1, lookahead: str = "stored",
             position_scale: float = 2.0, trajectory_path: str | None = None, trajectory_every: int = 0,
             metrics_path: str | None = None, run_id: str | None = None, start: DataFrame | None = None,
-            joint: DataFrame | None = None, n: int | None = None) -> RunResult:
+            joint: DataFrame | None = None, n: int | None = None, state_path: str | None = None) -> RunResult:
     """Multiple-maps t-SNE.  Returns all maps and their weights
     (``state(id, map, y*, iy*, w)``); π = softmax(−w) per point."""
     t0 = time.time()
@@ -234,12 +288,13 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
     start = _start(start, vectors, lambda: init_map(vectors, dims, no_maps, seed, 1.0).withColumn("w", F.lit(1.0 / no_maps)))
     state = start.select("id", F.col("map").cast("int").alias("map"), *_d("y", dims),
                          *[F.lit(0.0).alias(f"iy{k}") for k in range(1, dims + 1)], F.col("w").cast("double"))
-    step = _Stepper(checkpoint_every)
-    state = step.commit(state, 0)
+    step = _Stepper(spark, result.run_id, checkpoint_every, state_path)
+    first, state = step.begin(state)
+    _resumed(result, first, state, trajectory_path, trajectory_every, dims)
     nb, kedges = _keyed_edges(spark, joint, n, no_maps)
     lam = params.laplace
     degree = reliable_checkpoint(affinity.affinity_degree(joint)) if lam != 0.0 else None
-    for it in range(1, max_iterations + 1):
+    for it in range(first + 1, max_iterations + 1):
         scale = params.zoom_value if it <= params.early_exaggeration else 1.0
         sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), *_d("iy", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
         sums = blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin
@@ -261,13 +316,10 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
             result.metrics.append((it, "preservation", float(pres) if pres is not None else None))
         moved = update.mm_move(multimap.mm_gradients(sums, sp, z, dims, lam, position_scale, degree, scale), it, params, dims
                                ).persist(StorageLevel.MEMORY_AND_DISK)
+        _put_metrics(spark, result, it, metrics_path)
         state = step.commit(update.mm_center(moved, it, params, dims, lookahead), it)
         moved.unpersist()
         for held in (sums, sp):
             held.unpersist()
         _report(result, callback, it, state, loss, trajectory_path, trajectory_every, dims)
-    result.metrics.append((max_iterations, "elapsed_sec", time.time() - t0))
-    result.state = state
-    if metrics_path:
-        frames.append_metrics(result.metrics_df(spark), metrics_path)
-    return result
+    return _finish(spark, result, state, first, max_iterations, t0, metrics_path)

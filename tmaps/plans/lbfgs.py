@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tmaps.operators import blocks, kernel
 from tmaps.plans.jobs import RunResult, _keyed_edges, _start, affinities, init_map
-from tmaps.session import checkpoint
+from tmaps.session import checkpoint, drop_table, scratch_path
 
 CURVATURE = 1e-10
 LINE_TRIES = 40
@@ -115,6 +115,7 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
     f, g, sums = _value_and_grad(ys, joint, n, dims, p_scale, edges)
     state = checkpoint(ys.join(g, "id"))
     sums.unpersist()
+    held = None
     hist: list[int] = []  # slot numbers of stored pairs, oldest first
     next_slot = 0
     it = it0
@@ -163,8 +164,14 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
         cols += [(F.lit(t) * F.col(f"b._dir{k}")).alias(f"s{slot}_{k}") for k in range(1, dims + 1)]
         cols += [(F.col(f"n.g{k}") - F.col(f"b.g{k}")).alias(f"r{slot}_{k}") for k in range(1, dims + 1)]
         joined = (base.alias("b").join(cand.alias("c"), ["id", "map"]).join(g_new.alias("n"), "id"))
-        state = checkpoint(joined.select(*cols))
+        # a table of its own: the next plan starts from a known size, and the one before goes
+        path = scratch_path(base.sparkSession, "lbfgs")
+        joined.select(*cols).write.parquet(path)
+        state = base.sparkSession.read.parquet(path)
         release()
+        if held:
+            drop_table(base.sparkSession, held)
+        held = path
         hist = keep + [slot]
         result.metrics.append((it, "kl", f_new))
         result.metrics.append((it, "grad_norm", float(np.sqrt(G[-1, -1]))))

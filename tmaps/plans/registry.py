@@ -809,6 +809,32 @@ def q_tsne_bh(spark, sf):
     return res.state.select("id", F.col("map").cast("int").alias("map"), rnd("y1", 6).alias("y1"), rnd("y2", 6).alias("y2"))
 
 
+def _bh_report_sql() -> str:
+    """Loss and preservation that the job reports before its first and its second step."""
+    out = []
+    for k, scale in ((1, 4.0), (2, 1.0)):
+        st, rep = f"s{k - 1}", f"t{k}rep"
+        pairs = f"(SELECT x.id AS i, y.id AS j, 1.0 / (1.0 + ((x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2))) AS num FROM {st} x JOIN {st} y ON x.id <> y.id)"
+        out.append(f"SELECT CAST({k} AS INTEGER) AS iteration, 'kl' AS name, {O.rnd(f'sum(p * {scale} * ln(greatest(p * {scale}, 1e-12) / greatest(num / (SELECT sum(sum_q) FROM {rep}), 1e-12)))', 6)} "
+                   f"AS value FROM joint JOIN {pairs} q USING (i, j)")
+        out.append(f"SELECT CAST({k} AS INTEGER), 'preservation', {O.rnd('count(*) / (SELECT n FROM nrows)', 9)} FROM "
+                   "(SELECT i, j FROM joint QUALIFY row_number() OVER (PARTITION BY i ORDER BY p DESC, j) = 1) a JOIN "
+                   f"(SELECT i, j FROM {pairs} QUALIFY row_number() OVER (PARTITION BY i ORDER BY num DESC, j) = 1) b USING (i, j)")
+    return " UNION ALL ".join(out)
+
+
+@register("bh_job_report", O.with_("joint", "nrows", extra=_bh_steps_sql()) + _bh_report_sql())
+def q_bh_job_report(spark, sf):
+    """Loss and neighbourhood preservation as the Barnes-Hut job reports them."""
+    from tmaps.plans import jobs
+    inp = Inputs(spark, sf)
+    res = jobs.tsne_bh(inp.vectors(), max_iterations=2, seed=7, params=TSNEParams(early_exaggeration=1, t_momentum=1), report_loss=lambda it: True,
+                       report_every=1, joint=inp.joint(), n=inp.n)
+    rows = res.metrics_df(spark).where("name <> 'elapsed_sec'")
+    return rows.select(F.col("iteration").cast("int").alias("iteration"), "name",
+                       F.when(F.col("name") == "kl", rnd("value", 6)).otherwise(rnd("value", 9)).alias("value"))
+
+
 @register("tsne_lbfgs", O.with_() + "SELECT count(*) AS n, true AS never_rises, true AS gradient_falls FROM vec")
 def q_tsne_lbfgs(spark, sf):
     from tmaps.plans import lbfgs

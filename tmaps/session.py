@@ -72,6 +72,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_by(df: DataFrame, parts: int, *keys: str, ordered: tuple[str, ...] = ()) -> DataFrame:
+    """Reliable checkpoint, hash-partitioned by ``keys`` (and sorted), that later plans know to be
+    so: they add no exchange on that side. An adaptive plan does not hand its partitioning on, so
+    this one repartitioning is planned without; what leads to ``df`` should be written already."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = df.repartition(parts, *keys)
+        return checkpoint(placed.sortWithinPartitions(*ordered) if ordered else placed)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
@@ -85,3 +99,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path objects: the folder may be on any shared storage."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def committed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers k, ascending, of the tables ``<folder>/<prefix><k>`` that were written to the end."""
+    fs, at = _files(spark, folder)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    numbers = sorted(int(x[len(prefix):]) for x in names if x.startswith(prefix) and x[len(prefix):].isdigit())
+    return [k for k in numbers if fs.exists(_files(spark, f"{folder}/{prefix}{k}/_SUCCESS")[1])]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table that this library wrote."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)

@@ -4,6 +4,9 @@ The embedding loop emits one frame per reported iteration; frames are appended
 to parquet tables (partitioned by ``run_id``/``iteration``) — an incremental
 batch sink, the data side of the reference's per-iteration callback and text
 reports.  Nothing is collected: frames are written by the executors.
+
+A frame replaces the partition of its run and iteration, so an iteration that is done
+again (after a lost driver) leaves no doubled rows.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ def trajectory_frame(state: DataFrame, run_id: str, iteration: int, dims: int =
                      F.array(*[F.col(f"y{k}") for k in range(1, dims + 1)]).alias("y"))
 
 
+def _put(frame: DataFrame, path: str) -> None:
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "iteration").parquet(path)
+
+
 def append_trajectory(frame: DataFrame, path: str) -> None:
-    frame.write.mode("append").partitionBy("run_id", "iteration").parquet(path)
+    _put(frame, path)
 
 
 def metrics_frame(spark: SparkSession, run_id: str, rows: list[tuple[int, str, float]]) -> DataFrame:
@@ -34,7 +41,7 @@ def metrics_frame(spark: SparkSession, run_id: str, rows: list[tuple[int, str, f
 
 
 def append_metrics(frame: DataFrame, path: str) -> None:
-    frame.write.mode("append").partitionBy("run_id").parquet(path)
+    _put(frame, path)
 
 
 def viewer_export(trajectory: DataFrame, labels: DataFrame, map_id: int = 0) -> DataFrame:
