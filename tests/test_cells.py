@@ -108,3 +108,37 @@ def test_one_point_and_equal_points(spark):
     assert [tuple(r) for r in cells.bh_repulsion(one).collect()] == [(0, 0, 0.0, 0.0, 0.0)]
     same = spark.createDataFrame([(i, 0, 1.0, 2.0) for i in range(5)], "id bigint, map int, y1 double, y2 double")
     assert [r.sum_q for r in cells.bh_repulsion(same).collect()] == [4.0] * 5
+
+
+def test_weighted_cells_equal_all_pairs_of_every_map(spark):
+    import numpy as np
+    from tmaps.operators import multimap
+    rng = np.random.default_rng(3)
+    n, maps = 90, 3
+    y = rng.normal(size=(n, maps, 2)) * 5
+    y[10:30] = y[10]  # copies
+    w = rng.normal(size=(n, maps)) * 3
+    st = spark.createDataFrame([(i, m, *y[i, m].tolist(), float(w[i, m])) for i in range(n) for m in range(maps)], "id bigint, map int, y1 double, y2 double, w double")
+    sp = multimap.with_proportions(st).checkpoint()
+    key = ["map", "id"]
+    a = multimap.mm_cell_pairs(sp, 2, n, 1e-12).toPandas().set_index(key).sort_index()
+    b = multimap.mm_all_pairs(sp, 2, n, maps).toPandas().set_index(key).sort_index()
+    for c in ("a", "s", "r1", "r2"):
+        assert (a[c] - b[c]).abs().max() <= 1e-9 * b[c].abs().max()
+
+
+def test_work_of_the_walk_grows_less_than_with_the_square(spark):
+    """Rows that blocks get: cells and points they may open, not all of them."""
+    import numpy as np
+    rows = []
+    for n in (2000, 8000):
+        st = spark.createDataFrame([(i, 0, *p) for i, p in enumerate((np.random.default_rng(1).normal(size=(n, 2)) * 20).tolist())],
+                                   "id bigint, map int, y1 double, y2 double")
+        points = cells._with_unit_coords(st, 2).selectExpr("id", "map", "y1", "y2", "t1", "t2", "w1", "w2", "1D as pi").cache()
+        upper, facts = cells._upper(points, n, 128, 2)
+        key = ["map", "level", "c1", "c2"]
+        at = cells._located(points, upper.where("small or block").select(*key, "cnt", "small", "block"), facts["levels"], 2)
+        at = at.selectExpr("*", "xxhash64(level, c1, c2) as blk").cache()
+        reach = cells._reach(at.where("block"), upper, at.where("small"), facts["deepest"], 0.5, 2)
+        rows.append(reach.count() / n)
+    assert rows[1] < 2 * rows[0]  # four times as many a point with all pairs

@@ -27,6 +27,11 @@ def bounding_box(state: DataFrame, dims: int = 2) -> DataFrame:
     return st.groupBy("map").agg(*aggs)
 
 
+def slice_rows(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """The rows (column ``id``) that a list of keys names, each once however often it is named."""
+    return rows.join(keys.select(F.col(key).alias("id")), "id", "left_semi")
+
+
 def nan_rows(state: DataFrame, cols: list[str]) -> DataFrame:
     """Rows with a NaN in any of ``cols``."""
     cond = None

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tmaps.operators import blocks, cells
 from tmaps.operators import kernel as K
 
 REALMIN = 1e-12
@@ -53,6 +54,32 @@ def mm_all_pairs(state_pi: DataFrame, dims: int, n: int, n_maps: int) -> DataFra
     return K.map_pass(state_pi, dims, n, n_maps=n_maps)
 
 
+def mm_cell_pairs(state_pi: DataFrame, dims: int, n: int, theta: float = 0.5) -> DataFrame:
+    """``(id, map, a, s, r*)`` by cells: a point's mass is its π and a cell's is their sum, so
+    one walk of every map gives s = Σ_j π_j num and Σ_j π_j num² (y_i − y_j); a and r are π_i
+    times those. With ``theta`` → 0 these are the sums of ``mm_all_pairs``."""
+    rep = cells.bh_repulsion(state_pi.select("id", "map", "pi", *_d("y", dims)), theta, dims, n)
+    j = rep.join(state_pi.select("id", "map", "pi"), ["id", "map"])
+    return j.select("id", "map", (F.col("pi") * F.col("sum_q")).alias("a"), F.col("sum_q").alias("s"),
+                    *[(F.col("pi") * F.col(f"n{k}")).alias(f"r{k}") for k in range(1, dims + 1)])
+
+
+def mm_edge_parts(edges: DataFrame, dims: int = 2, p_scale=1.0) -> DataFrame:
+    """``(id, map, t, e*, pn)``: what ``mm_edge_sums`` gives, and Σ_{j∈P} p π_jm."""
+    w = F.col("p") * _lit(p_scale) / F.col("qz")
+    return edges.groupBy(F.col("i").alias("id"), "map").agg(
+        F.sum(F.col("pi_j") * F.col("num") * w).alias("t"), F.sum(F.col("p") * _lit(p_scale) * F.col("pi_j")).alias("pn"),
+        *[F.sum(F.col("qq") * F.col("num") * w * (F.col(c + "_i") - F.col(c + "_j"))).alias(f"e{k}")
+          for k, c in enumerate(_d("y", dims), 1)])
+
+
+def mm_cell_pass(state_pi: DataFrame, joint_p: DataFrame, dims: int, n: int, theta: float, p_scale=1.0, realmin: float = REALMIN) -> DataFrame:
+    """What the block-pair pass gives for an iteration, with the all-pairs sums by cells."""
+    parts = mm_edge_parts(mm_edge_frame(joint_p, state_pi, dims, realmin), dims, p_scale)
+    j = mm_cell_pairs(state_pi, dims, n, theta).join(parts, ["id", "map"], "left")
+    return j.na.fill(0.0, ["t", "pn", *_d("e", dims)])
+
+
 def mm_total(sums: DataFrame, n: int, realmin: float = REALMIN) -> DataFrame:
     """One row ``z = Σ a + n² realmin`` (QZ carries realmin on every entry)."""
     return sums.agg((F.sum("a") + F.lit(float(n) * float(n) * realmin)).alias("z"))
@@ -162,6 +189,18 @@ def laplacian_penalty(sums: DataFrame, state_pi: DataFrame, degree: DataFrame, l
     return j.agg((F.lit(laplace) * F.sum(F.col("pi") * lpi)).alias("penalty"))
 
 
+def fused_mm_loss(sums: DataFrame, state_pi: DataFrame, joint_p: DataFrame, n: int, dims: int = 2, p_scale: float = 1.0,
+                  realmin: float = REALMIN, degree: DataFrame | None = None, laplace: float = 0.0) -> tuple[float, float]:
+    """(Z, loss) of an iteration's block-pair pass: no join of the edges, but where one is below the floor."""
+    z, loss = blocks.fused_scalars(sums, n, False, realmin, realmin)
+    if loss is None:
+        edges = mm_edge_frame(joint_p, state_pi, dims, realmin)
+        loss = float(mm_loss(edges, z, p_scale, realmin).first()["loss"] or 0.0)
+    if laplace != 0.0:
+        loss += float(laplacian_penalty(sums, state_pi, degree, laplace, p_scale).first()["penalty"] or 0.0)
+    return z, loss
+
+
 def mm_loss(edges: DataFrame, z, p_scale=1.0, realmin: float = REALMIN,
             lpi: DataFrame | None = None, pi: DataFrame | None = None, laplace: float = 0.0) -> DataFrame:
     """One row: Σ_P p ln(max(p, realmin) / max(QZ/Z, realmin)) (NaN terms → 0)

@@ -274,9 +274,11 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
             loss_every: int = 0, report_every: int = 100, checkpoint_every: int = 1, lookahead: str = "stored",
             position_scale: float = 2.0, trajectory_path: str | None = None, trajectory_every: int = 0,
             metrics_path: str | None = None, run_id: str | None = None, start: DataFrame | None = None,
-            joint: DataFrame | None = None, n: int | None = None, state_path: str | None = None) -> RunResult:
+            joint: DataFrame | None = None, n: int | None = None, state_path: str | None = None,
+            theta: float | None = None) -> RunResult:
     """Multiple-maps t-SNE.  Returns all maps and their weights
-    (``state(id, map, y*, iy*, w)``); π = softmax(−w) per point."""
+    (``state(id, map, y*, iy*, w)``); π = softmax(−w) per point.  With ``theta`` the sums over all
+    pairs come from weighted cells (``multimap.mm_cell_pairs``) instead of the block pairs."""
     t0 = time.time()
     spark = vectors.sparkSession
     result = RunResult(run_id or uuid.uuid4().hex[:12], None)
@@ -291,23 +293,26 @@ def mm_tsne(vectors: DataFrame, dims: int = 2, no_maps: int = 15, max_iterations
     step = _Stepper(spark, result.run_id, checkpoint_every, state_path)
     first, state = step.begin(state)
     _resumed(result, first, state, trajectory_path, trajectory_every, dims)
-    nb, kedges = _keyed_edges(spark, joint, n, no_maps)
+    nb, kedges = _keyed_edges(spark, joint, n, no_maps) if theta is None else (None, None)
     lam = params.laplace
     degree = reliable_checkpoint(affinity.affinity_degree(joint)) if lam != 0.0 else None
     for it in range(first + 1, max_iterations + 1):
         scale = params.zoom_value if it <= params.early_exaggeration else 1.0
         sp = multimap.with_proportions(state.select("id", "map", *_d("y", dims), *_d("iy", dims), "w")).persist(StorageLevel.MEMORY_AND_DISK)
-        sums = blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin
-                                 ).persist(StorageLevel.MEMORY_AND_DISK)
-        z, fused_loss = blocks.fused_scalars(sums, n, False, params.realmin, params.realmin)
+        by_cells = theta is not None
+        sums = multimap.mm_cell_pass(sp, joint, dims, n, theta, scale, params.realmin) if by_cells else \
+            blocks.fused_pass(sp, kedges, nb, dims, False, scale, params.realmin)
+        sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
         loss = None
-        if loss_every and (it % loss_every == 0 or it == max_iterations):
-            loss = fused_loss
-            if loss is None:  # an edge hits the floor
-                edges = multimap.mm_edge_frame(joint, sp, dims, params.realmin)
-                loss = float(multimap.mm_loss(edges, z, scale, params.realmin).first()["loss"] or 0.0)
-            if lam != 0.0:
-                loss += float(multimap.laplacian_penalty(sums, sp, degree, lam, scale).first()["penalty"] or 0.0)
+        if loss_every and (it % loss_every == 0 or it == max_iterations) and not by_cells:
+            z, loss = multimap.fused_mm_loss(sums, sp, joint, n, dims, scale, params.realmin, degree, lam)
+        else:
+            z = float(multimap.mm_total(sums, n, params.realmin).first()["z"])
+            if loss_every and (it % loss_every == 0 or it == max_iterations):
+                loss = float(multimap.mm_loss(multimap.mm_edge_frame(joint, sp, dims, params.realmin), z, scale, params.realmin).first()["loss"] or 0.0)
+                if lam != 0.0:
+                    loss += float(multimap.laplacian_penalty(sums, sp, degree, lam, scale).first()["penalty"] or 0.0)
+        if loss is not None:
             result.metrics.append((it, "loss", loss))
         if report_every and it % report_every == 0:
             tq = metrics.topk_by_q(sp, params.K, dims, n, n_maps=no_maps)

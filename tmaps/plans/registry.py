@@ -108,6 +108,15 @@ def q_column_summary(spark, sf):
                      rnd("variance", 8).alias("variance"), F.col("nnz").cast("bigint").alias("nnz"))
 
 
+@register("row_slice", O.with_() + f"SELECT id, label, {O.rnd('v[1]', 9)} AS v_first FROM vec WHERE id IN "
+          "(SELECT doc_id FROM documents WHERE lang = 'de') OR id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q_row_slice(spark, sf):
+    """The vectors whose ids a list names: German and toxic documents, some in both lists."""
+    v = Inputs(spark, sf).vectors()
+    ids = src.table(spark, sf, "documents").where("lang = 'de'").select("doc_id").union(src.table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+    return metrics.slice_rows(v, ids, "doc_id").select("id", "label", rnd(F.get("v", 0), 9).alias("v_first"))
+
+
 @register("bounding_box", O.with_("st1") +
           "SELECT map, " + ", ".join(f"{O.rnd(f'{f}({c})', 9)} AS {f}_{c}" for c in ("y1", "y2") for f in ("min", "max"))
           + " FROM st1 GROUP BY map")
@@ -560,6 +569,16 @@ def q_mm_kernel(spark, sf):
     return m.sums.select("id", "map", rnd("a", 6).alias("qq_sum"), rnd("s", 6).alias("s"))
 
 
+@register("mm_cell_kernel", O.with_("mpq") +
+          f"SELECT i AS id, map, {O.rnd('sum(qq)', 6)} AS qq_sum, {O.rnd('sum(pi_j * num)', 6)} AS s, {O.rnd('sum(qq * num * (y1_i - y1_j))', 6)} AS r1, "
+          f"{O.rnd('sum(qq * num * (y2_i - y2_j))', 6)} AS r2 FROM mpq GROUP BY i, map")
+def q_mm_cell_kernel(spark, sf):
+    """The all-pairs sums of every map from weighted cells that are opened to the last."""
+    m = _MM(spark, sf)
+    sums = multimap.mm_cell_pairs(m.sp, 2, m.n, 1e-12)
+    return sums.select("id", "map", rnd("a", 6).alias("qq_sum"), *[rnd(c, 6).alias(c) for c in ("s", "r1", "r2")])
+
+
 @register("mm_kernel_total", O.with_("zm") + f"SELECT {O.rnd('z', 4)} AS z FROM zm")
 def q_mm_kernel_total(spark, sf):
     m = _MM(spark, sf)
@@ -619,9 +638,14 @@ def q_laplacian_smooth(spark, sf):
                             "0.1 * (SELECT sum(s.pi * l.lpi) FROM pim s JOIN lpi l ON s.id = l.id AND s.map = l.map)", 9)
           + " AS loss")
 def q_mm_loss(spark, sf):
-    m = _MM(spark, sf)
-    lpi = multimap.laplacian_smooth(m.joint, m.sp)
-    return multimap.mm_loss(m.edges, m.z, 1.0, 1e-12, lpi, m.sp, 0.1).select(rnd("loss", 9).alias("loss"))
+    from tmaps.operators import blocks
+    from tmaps.plans import jobs
+    m = _MM(spark, sf)  # as in the job: the loss parts of the fused pass
+    nb, edges = jobs._keyed_edges(spark, m.joint, m.n, m.maps)
+    sums = checkpoint(blocks.fused_pass(m.sp, edges, nb, 2, False, 1.0))
+    _, loss = multimap.fused_mm_loss(sums, m.sp, m.joint, m.n)
+    penalty = multimap.laplacian_penalty(sums, m.sp, affinity.affinity_degree(m.joint), 0.1)
+    return penalty.select(rnd(F.col("penalty") + F.lit(loss), 9).alias("loss"))
 
 
 @register("mm_update", O.with_(*_mm_tables(), extra=[_EM, _MMG, _MMW,
