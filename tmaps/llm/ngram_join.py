@@ -3,11 +3,11 @@
 A document's set is its distinct shingles (runs of ``words`` words, hashed to 64 bits); two
 sets link from a similarity of ``percent`` per cent on (50 to 99). The global order of
 shingles is their hash order. The order is cut into K fragments, so a set is cut into K
-segments. Two sets that link differ in at most H = (size of the smaller) *
-(100 - percent) / percent shingles, so with K > H some segment is the same in both:
-documents that share no segment cannot link. Sizes fall into classes (half as much again
-each, below 90 per cent a third), with one K for a class; a document shows its segments for
-its own class, and for the class below where a partner may be of that class.
+segments. Two sets that link differ in at most H = (both sizes) * (100 - percent) /
+(100 + percent) shingles, so with K > H some segment is the same in both: documents that share
+no segment cannot link. Sizes fall into classes (half as much again each, below 90 per cent
+100 / percent as much), with one K for a class, by the larger of two sets; a document shows
+its segments for its own class, and for the class above where a partner may be of that class.
 
 1. Every document gives its size and a 128-bit sum of its set. Equal sets are one class from
    here on. The hashes of the segments of the texts that a task reads are sorted and cut by
@@ -53,7 +53,7 @@ from tmaps.llm.components import components
 WORDS = 3
 PERCENT = 90
 LAST_ID = (1 << 63) - 1
-BLOCK_SHINGLES, BLOCK_DOCS = 250_000, 1024
+BLOCK_SHINGLES, BLOCK_DOCS = 500_000, 1024
 FRAGMENT_COLUMNS = 4096
 SMALL = 3  # segments of fewer shingles say little
 SLACK_FROM = 8
@@ -73,8 +73,8 @@ def size_classes(percent: int = PERCENT, limit: int = 1 << 40) -> np.ndarray:
         raise ValueError("percent must be from 50 to 99")
     out = [-(-percent // (100 - percent))]
     while out[-1] < limit:
-        more = -(-out[-1] * 3 // 2) if percent >= 90 else -(-out[-1] * 4 // 3)
-        out.append(max(more, -(-out[-1] * 100 // percent)))
+        more = -(-out[-1] * 3 // 2) if percent >= 90 else 0
+        out.append(max(more, out[-1] + 1, -(-out[-1] * 100 // percent)))
     return np.array(out, dtype=np.int64)
 
 
@@ -116,10 +116,9 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     if n < classes[0]:
         return np.zeros(0, np.uint64)
     own = int(np.searchsorted(classes, n, side="right")) - 1
-    below = own > 0 and -(-n * percent // 100) < classes[own]
-    for c in (own, own - 1) if below else (own,):
-        most = int(classes[c + 1] - 1) * (100 - percent) // percent
-        slack = -(-(most + 1) // (10 if percent >= 90 else 3)) if most >= SLACK_FROM else 0
+    for c in (own, own + 1) if n * 100 // percent >= classes[own + 1] else (own,):
+        most = 2 * int(classes[c + 1] - 1) * (100 - percent) // (100 + percent)
+        slack = -(-(most + 1) // (10 if percent >= 90 else 2)) if most >= SLACK_FROM else 0
         k = most + 1 + slack
         salt = np.arange(k, dtype=np.uint64) * _C[2] + np.array([c], np.uint64) * _C[3]
         size, h = cut(shingles, k)
