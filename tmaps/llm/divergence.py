@@ -44,12 +44,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmaps.llm.common import flat, pieces, stored
+from tmaps.session import drop_table, scratch_path
 
 # bytes of terms: letters, lower-cased, and those of characters past ASCII; 0 for the others
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
 _LETTER[ord("a"):ord("z") + 1] = _LETTER[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 LEAST_DOCS = 30
 SCALE, ADDED = 1_000_000_000, 5
 TOP_TERMS = 50
@@ -195,10 +196,15 @@ def _aggregate(batch: pa.Table, known: pa.Table) -> pa.Table:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, term, docs, sources, counts) of every batch, lang and term."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    batches = stored(docs.select(text("text"), text("lang"), text("source")).mapInArrow(_count, BATCH), "batches")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "batches")
+    docs.select(text("text"), text("lang"), text("source")).mapInArrow(_count, BATCH).write.parquet(path)
+    batches = spark.read.schema(BATCH).parquet(path)
     pairs = batches.select(F.col("batch").alias("of"), F.posexplode("chunks").alias("pos", "chunk"))
     known = pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_known, KNOWN)
-    return stored(batches.drop("chunks").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(_aggregate, COUNTED), "terms")
+    out = stored(batches.drop("chunks").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(_aggregate, COUNTED), "terms")
+    drop_table(spark, path)  # the batches are counted
+    return out
 
 
 def _share(count: Column) -> Column:
@@ -212,7 +218,8 @@ def _share(count: Column) -> Column:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (``pair``, ``term``), item, value and rank."""
     seen = term_counts(docs)
-    kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term")
+    # written first: its size decides whether the join has to move what was seen
+    kept = stored(seen.groupBy("lang", "term").agg(F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term"), "kept")
     counts = stored(seen.join(kept, ["lang", "term"]).select("lang", "term", F.inline(F.arrays_zip("sources", "counts")))
                     .groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum("counts").alias("n")), "counts")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
