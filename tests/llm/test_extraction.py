@@ -96,3 +96,24 @@ def test_null_long_and_odd_pages(spark):
 def test_density_is_lower_for_links():
     text = X.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div>" + "<p><a href=x>some linked words that go on</a></p>" * 30 + "</div>")
     assert text == f"{LONG}\n\n{LONG}"
+
+
+MARKS = ["id=disqus_thread", "class=user-comments", "id=reader-comments", "class=fb-comments", "class=comment-thread", "class=notice", "class=site-notice",
+         "class=gdpr-message", "class='share'", "class=alert-message"]
+LINKED = ["class=related-posts", "class=share-buttons"]
+
+
+@pytest.mark.parametrize("mark", MARKS + LINKED)
+@pytest.mark.parametrize("inside", [True, False])
+def test_boxes_of_comments_and_notices(mark, inside):
+    words = "<a href=x>One more of our stories</a> <a href=y>and another</a>" if mark in LINKED else "Some words that are not of the article, by a reader."
+    box = f"<div {mark}><p>{words}</p></div>"
+    html = f"<body><article><h1>T</h1><p>{LONG}</p>{box if inside else ''}<p>{LONG}</p></article>{'' if inside else box}</body>"
+    assert X.main_text(html) == f"T\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("kept", ["<section id=discussion>{}</section>", "<div class='comments-enabled body'><p>{}</p><p>{}</p><p>{}</p></div>", "<h2 id=notice>{}</h2>",
+                                  "<section id=comment-on-results><p>{}</p></section>", "<p class=notice-period>{}</p>", "<div class=notice-period>{}</div>"])
+def test_subjects_and_wrappers_stay(kept):
+    html = "<body><article><h1>T</h1>" + kept.replace("{}", LONG) + f"<p>{LONG}</p></article></body>"
+    assert X.main_text(html) == "T\n\n" + "\n\n".join([LONG] * (kept.count("{}") + 1))

@@ -16,8 +16,10 @@ taken whole. Readers' comments are no articles, whatever their element.
 What is marked as something else is left out before the counts: scripts and styles, menus,
 page headers and footers, sidebars, forms, adverts, comments (by element, role, or a whole
 class or id). A class or id is a hint: headings and paragraphs are never left out for it,
-nor what holds most of the page's unlinked text (unless it names readers' comments); words
-that name subjects as well ("related", "discussion") count only for what is mostly links.
+nor what holds most of the page's unlinked text (unless it names readers' comments and
+nothing else); words that name subjects as well ("related", "discussion") count only for
+what is mostly links, but some of them ("notice", "share") mark a ``div`` that has them as its
+class. A name with "comment" or "disqus" in it marks comments whatever its other words are.
 
 Inside a block, white space is one space; blocks are joined by an empty line. ``br`` is
 white space. A tag cut off by the end of the page is no text.
@@ -59,9 +61,14 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisement
 # words that name subjects too: what they mark goes only if most of it is links
 HINT_WORDS = frozenset("aside foot respond responses discussion notice notices notification alert promotion promoted subscribe"
                        " subscription share sharing social related recommended recommendations widget form search copyright".split())
+# as the class of a plain box these name what it is, not what it is about
+BOX_WORDS = frozenset("notice notices notification alert share sharing social related recommended promotion subscribe search".split())
+BOXES = frozenset(["div", "ul", "span"])
+PART_WORDS = frozenset("comment comments disqus".split())
 # a class such as "ad-box" says no more than "ad"
 NEUTRAL_WORDS = frozenset("top bottom left right main site page global primary secondary box block bar wrapper wrap container inner"
-                          " outer area list links section item items unit slot row col column panel post article entry".split())
+                          " outer area list links section item items unit slot row col column panel post article entry posts articles entries"
+                          " button buttons icon icons message messages text user reader site".split())
 KEPT = frozenset("html body main h1 h2 h3 h4 h5 h6 p".split())  # never left out for a class or id
 # a start tag of the first closes an open one of the second, up to the third
 CLOSES = {
@@ -81,8 +88,8 @@ P_SCOPE = frozenset("button table td th caption object applet html".split())
 NEEDED = frozenset(["article", "main"])
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split())
 
-# how surely an element is something else: by a word that may be a subject, by a word, as
-# readers' comments, or by its name, its role or being hidden
+# how surely an element is something else: by a word that may be a subject, by a word (also
+# for comments beside other words), as readers' comments, or by its name, its role or being hidden
 HINT, WORD, COMMENT, SURE = 1, 2, 3, 4
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z)|/?[a-zA-Z][^>]*\Z)", re.S)
@@ -92,15 +99,16 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 @lru_cache(65536)
-def named(token: str, subject: bool) -> int:
-    """What a whole class or id says; the id of a section is its subject."""
+def named(token: str, subject: bool, box: bool = False) -> int:
+    """What a whole class or id says; the id of a section is its subject, the class of a
+    plain box is not."""
     words = [w.rstrip("0123456789") for w in _WORD.findall(_CAMEL.sub(" ", token).lower())]
     said = [w for w in words if w and w not in NEUTRAL_WORDS]
     if not said or not all(w in COMMENT_WORDS or w in DROPPED_WORDS or w in HINT_WORDS for w in said):
-        return 0
+        return WORD if not subject and any(w in PART_WORDS for w in said) else 0
     if any(w in COMMENT_WORDS for w in said):
         return COMMENT
-    return WORD if not subject and any(w in DROPPED_WORDS for w in said) else HINT
+    return WORD if not subject and any(w in DROPPED_WORDS or box and w in BOX_WORDS for w in said) else HINT
 
 
 class Page:
@@ -182,7 +190,7 @@ class Page:
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key in ("class", "id"):
                 if name not in KEPT:
-                    said = max((named(x, key == "id" and name == "section") for x in value.split()), default=0)
+                    said = max((named(x, key == "id" and name == "section", key == "class" and name in BOXES) for x in value.split()), default=0)
                     mark = max(mark, said if name != "article" or said == COMMENT else 0)
             elif key == "role":
                 if value.strip().lower() == "comment":
