@@ -11,7 +11,12 @@ but the last return the columns of ``documents``.
   group stays;
 * packing: the pieces of what is left, with their places in sequences.
 
-An empty table gives an empty result in every stage.
+Defined cases: a null or empty text is scored by its marks in toxicity, has no letter and so goes
+at language_id, as do texts without a letter; null lang, source and n_chars are kept as they are; a
+null doc_id ranks last, so its row stays only where it is alone in its group; very long texts
+are read whole; of rows that repeat a doc_id and its text one stays (exact_dedup), of ties the
+smallest doc_id; further columns come along whatever their names (the stages' own names
+cannot clash); an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
