@@ -60,11 +60,21 @@ def test_maps_need_not_be_numbered_from_0(spark):
 
 
 def test_line_search_never_takes_a_rising_step():
-    released = []
-    assert lbfgs.line_search(lambda t: (1.0 + t, lambda: released.append(t)), 1.0, -1.0) == (None, None)
-    assert len(released) == lbfgs.LINE_TRIES
-    t, found = lbfgs.line_search(lambda t: (float("nan") if t > 0.1 else 1.0 - t, lambda: None), 1.0, -1.0)
-    assert t == 0.0625 and found[0] < 1.0
+    asked = []
+    assert lbfgs.wolfe_search(lambda ts: asked.append(ts) or [(1.0 + t, 1.0) for t in ts], 1.0, -1.0) is None
+    assert len(asked) == lbfgs.ROUNDS
+    t = lbfgs.wolfe_search(lambda ts: [(float("nan"), float("nan")) if t > 0.1 else (1.0 - t, -1.0) for t in ts], 1.0, -1.0, rounds=4)
+    assert 0 < t <= 0.1
+
+
+def test_line_search_meets_the_strong_wolfe_conditions():
+    for shift, curve in ((1.0, 1.0), (40.0, 1.0), (0.001, 1.0), (3.0, 0.01)):
+        loss = lambda t: curve * (t - shift) ** 2 + 0.1 * curve * shift ** 2 * np.sin(5 * t / shift)
+        slope = lambda t: 2 * curve * (t - shift) + 0.5 * curve * shift * np.cos(5 * t / shift)
+        rounds = []
+        t = lbfgs.wolfe_search(lambda ts: rounds.append(ts) or [(loss(x), slope(x)) for x in ts], loss(0), slope(0))
+        assert loss(t) <= loss(0) + lbfgs.ARMIJO * t * slope(0) and abs(slope(t)) <= -lbfgs.WOLFE * slope(0)
+        assert len(rounds) <= 8
 
 
 def test_pairs_without_curvature_are_left_out():
@@ -81,6 +91,56 @@ def test_lbfgs_never_rises_over_20_iterations(spark):
     res = lbfgs.tsne_lbfgs(v, max_iterations=10, perplexity=5.0, seed=3, convergence_tol=0.0)
     loss = [x for _, m, x in res.metrics if m == "kl"]
     assert len(loss) > 10 and all(b <= a for k, (a, b) in enumerate(zip(loss, loss[1:])) if k != 9)
+    passes = [x for _, m, x in res.metrics if m == "passes"]
+    assert sum(passes) / len(passes) < 2.5  # all-pairs passes a step
+    assert np.mean([x for _, m, x in res.metrics if m == "wolfe"]) > 0.8
+
+
+def _unrolled_lbfgs(y, p, p_scale, steps, m_max=10):
+    """The same solver on whole matrices."""
+    n = len(y)
+
+    def value(y):
+        diff = y[:, None, :] - y[None, :, :]
+        num = 1 / (1 + (diff ** 2).sum(-1))
+        np.fill_diagonal(num, 0)
+        q, pp = num / num.sum(), p * p_scale
+        at = pp > 0
+        f = (pp[at] * np.log(pp[at] / np.maximum(q[at], 1e-12))).sum()
+        return f, 4 * (((pp - q) * num)[:, :, None] * diff).sum(1)
+    f, g = value(y)
+    pairs = []
+    for _ in range(steps):
+        q, alphas = g.copy(), []
+        for s, r in reversed(pairs):
+            a = (s * q).sum() / (s * r).sum()
+            alphas.append(a)
+            q -= a * r
+        q *= (pairs[-1][0] * pairs[-1][1]).sum() / (pairs[-1][1] ** 2).sum() if pairs else 1 / np.sqrt((g ** 2).sum())
+        for (s, r), a in zip(pairs, reversed(alphas)):
+            q += s * (a - (r * q).sum() / (s * r).sum())
+        d, slope = -q, -(g * q).sum()
+        t = lbfgs.wolfe_search(lambda ts: [(v[0], (v[1] * d).sum()) for v in (value(y + x * d) for x in ts)], f, slope)
+        f_new, g_new = value(y + t * d)
+        pairs = (pairs + [(t * d, g_new - g)])[-m_max:]
+        y, f, g = y + t * d, f_new, g_new
+    return y
+
+
+def test_lbfgs_positions_against_the_solver_on_whole_matrices(spark):
+    rng = np.random.default_rng(4)
+    n, steps = 30, 3
+    a = rng.random((n, n)) * (rng.random((n, n)) < 0.4)
+    p = np.triu(a, 1) + np.triu(a, 1).T
+    p /= p.sum()
+    y = rng.normal(size=(n, 2))
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(n)], "id bigint, v array<double>")
+    joint = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n) if p[i, j] > 0], "i bigint, j bigint, p double")
+    start = spark.createDataFrame([(i, *map(float, y[i])) for i in range(n)], "id bigint, y1 double, y2 double")
+    res = lbfgs.tsne_lbfgs(v, max_iterations=steps, convergence_tol=0.0, joint=joint, n=n, start=start)
+    want = _unrolled_lbfgs(_unrolled_lbfgs(y, p, 4.0, steps), p, 1.0, steps)
+    got = np.array([[r.y1, r.y2] for r in res.state.orderBy("id").collect()])
+    assert np.abs(got - want).max() < 1e-6 * np.abs(want).max()
 
 
 def test_short_schedule_passes_both_changes(spark):

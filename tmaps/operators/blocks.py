@@ -474,7 +474,7 @@ def fused_kernel(dims: int, single: bool, p_scale: float, realmin: float = REALM
             out_lp, out_ps, out_qm = [], [], []
             for m, diff, num, pii, pij in per:
                 first = m == umaps[0]
-                if first and single:
+                if single:  # every map for itself
                     with np.errstate(divide="ignore", invalid="ignore"):
                         out_lp.append(np.where(p > 0, p * np.log(p / num), 0.0))
                     out_ps.append(p)

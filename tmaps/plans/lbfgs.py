@@ -7,9 +7,10 @@ two-loop recursion needs are entries of the Gram matrix of
 the recursion then runs on those (2m+1)² scalars on the driver and yields the
 search direction as coefficients of a linear combination of state columns
 (Chen, Wang, Zhou — "Large-scale L-BFGS using MapReduce", NIPS 2014).
-Line search is backtracking (Armijo) on the exact KL cost; a step that does not
-lower it is never taken (steepest descent is tried, then the phase ends); phase 1 uses P × 4,
-phase 2 the plain P, starting from the phase-1 result (as the reference).
+The line search wants the strong Wolfe conditions on the exact KL cost. ``TRIALS`` step lengths
+are evaluated at once, as so many maps of one block pass: it gives the loss and the slope of each.
+A step that does not lower the cost is never taken (steepest descent is tried, then the phase
+ends); phase 1 uses P × 4, phase 2 the plain P, starting from the phase-1 result (as the reference).
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from tmaps.plans.jobs import RunResult, _keyed_edges, _start, affinities, init_m
 from tmaps.session import checkpoint, drop_table, scratch_path
 
 CURVATURE = 1e-10
-LINE_TRIES = 40
+TRIALS, ROUNDS = 4, 10
+ARMIJO, WOLFE = 1e-4, 0.9
 
 def _d(prefix, dims):
     return [f"{prefix}{k}" for k in range(1, dims + 1)]
@@ -95,22 +97,60 @@ def _usable(G: np.ndarray, m: int) -> list[int]:
             and G[i, m + i] > CURVATURE * np.sqrt(G[i, i] * G[m + i, m + i]) and G[m + i, m + i] > 0]
 
 
-def line_search(evaluate, f: float, slope: float, c1: float = 1e-4, tries: int = LINE_TRIES):
-    """Armijo backtracking along a descent direction: ``(t, result)`` of the first step
-    that lowers the loss enough, halving from t = 1, or ``(None, None)``.  ``evaluate(t)``
-    returns ``(loss, release, …)``; rejected steps are released."""
-    t = 1.0
-    for _ in range(tries):
-        found = evaluate(t)
-        if np.isfinite(found[0]) and found[0] <= f + c1 * t * slope:
-            return t, found
-        found[1]()
-        t *= 0.5
-    return None, None
+def wolfe_search(evaluate, f: float, slope: float, c1: float = ARMIJO, c2: float = WOLFE, rounds: int = ROUNDS) -> float | None:
+    """A step length along a descent direction that meets the strong Wolfe conditions, of several
+    the one of least loss; if the rounds find none, the best that lowers the loss enough, or
+    None.  ``evaluate(steps)`` gives ``(loss, slope)`` of each.
+
+    A round looks at TRIALS steps.  The first place where the loss stops falling (too little
+    below ``f``, above the step before it, or rising there) ends an interval that holds
+    such a step, and the next round parts it; while there is none, steps are doubled."""
+    known, best = {0.0: (f, slope)}, None
+    steps = [2.0 ** k for k in range(2 - TRIALS, 2)]
+    for _ in range(rounds):
+        known.update(zip(steps, evaluate(steps)))
+        enough = {t: v for t, v in known.items() if t > 0 and np.isfinite(v[0]) and v[0] <= f + c1 * t * slope}
+        if enough:
+            best = min(enough, key=lambda t: enough[t][0])
+        good = {t: v for t, v in enough.items() if abs(v[1]) <= -c2 * slope}
+        if good:
+            return min(good, key=lambda t: good[t][0])
+        at = sorted(known)
+        low = high = None
+        for a, b in zip(at, at[1:]):
+            if b not in enough or known[b][0] >= known[a][0] or known[b][1] >= 0:
+                low, high = a, b
+                break
+        if low is None:
+            steps = [at[-1] * 2.0 ** k for k in range(1, TRIALS + 1)]
+        else:
+            steps = [low + (high - low) * k / (TRIALS + 1) for k in range(1, TRIALS + 1)]
+    return best
+
+
+def _trials(base: DataFrame, steps: list[float], joint: DataFrame, n: int, dims: int, p_scale: float, edges) -> tuple[DataFrame, list[tuple[float, float, float]]]:
+    """The sums of one block pass over the positions of every step (a step is a map), and
+    ``(loss, slope, Z)`` of each."""
+    nb, kedges = edges
+    tries = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(float(t)).alias("t")) for m, t in enumerate(steps)])).alias("try")
+    at = base.select("id", *_d("y", dims), *_d("_dir", dims), tries)
+    at = at.select("id", F.col("try.m").alias("map"), *[(F.col(f"y{k}") + F.col("try.t") * F.col(f"_dir{k}")).alias(f"y{k}") for k in range(1, dims + 1)], F.lit(1.0).alias("pi"))
+    sums = blocks.fused_pass(at, kedges, nb, dims, True, p_scale).persist(StorageLevel.MEMORY_AND_DISK)
+    dot = lambda x: sum((F.col(f"{x}{k}") * F.col(f"_dir{k}") for k in range(1, dims + 1)), F.lit(0.0))
+    rows = sums.join(base.select("id", *_d("_dir", dims)), "id").groupBy("map").agg(
+        F.sum("a").alias("z"), F.sum("lp").alias("lp"), F.sum("ps").alias("ps"), F.min("qmin").alias("qmin"), F.sum(dot("e")).alias("e"), F.sum(dot("r")).alias("r")).collect()
+    out = [None] * len(steps)
+    for r in rows:  # one row a step
+        z = r["z"] or 1.0
+        loss = r["lp"] + r["ps"] * np.log(z) if z > 0 and np.isfinite(z) else np.nan
+        if not r["qmin"] / z >= kernel.Q_FLOOR and np.isfinite(z):  # an edge hits the floor
+            loss = float(kernel.kl_loss(joint, at.where(F.col("map") == r["map"]), z, dims, p_scale).first()["loss"] or 0.0)
+        out[r["map"]] = (float(loss), float(4.0 * (r["e"] - r["r"] / z)), float(z))
+    return sums, out
 
 
 def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float, max_iterations: int,
-           m_max: int, tol: float, result: RunResult, it0: int, edges, c1: float = 1e-4):
+           m_max: int, tol: float, result: RunResult, it0: int, edges):
     ys = state.select("id", "map", *_d("y", dims))
     f, g, sums = _value_and_grad(ys, joint, n, dims, p_scale, edges)
     state = checkpoint(ys.join(g, "id"))
@@ -142,19 +182,28 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
                                            *[f"{x}{h}_{k}" for h in hist for x in "sr" for k in range(1, dims + 1)],
                                            *[d.alias(f"_dir{k}") for k, d in enumerate(dcol, 1)]))
 
-            def evaluate(t):
-                cand = checkpoint(base.select("id", "map", *[(F.col(f"y{k}") + F.lit(t) * F.col(f"_dir{k}")).alias(f"y{k}")
-                                                             for k in range(1, dims + 1)]))
-                f_new, g_new, held = _value_and_grad(cand, joint, n, dims, p_scale, edges)
-                return f_new, held.unpersist, cand, g_new
+            tried, passes = {}, []
+
+            def evaluate(steps):
+                sums, values = _trials(base, steps, joint, n, dims, p_scale, edges)
+                passes.append(sums)
+                tried.update({t: (sums, m, *v) for m, (t, v) in enumerate(zip(steps, values))})
+                return [v[:2] for v in values]
 
-            t, found = line_search(evaluate, f, slope, c1)
+            t = wolfe_search(evaluate, f, slope)
             if t is not None:
                 break
+            for sums in passes:
+                sums.unpersist()
             hist = []
         if t is None:
             break  # no step lowers the loss: the point stays
-        f_new, release, cand, g_new = found
+        sums, place, f_new, slope_new, z = tried[t]
+        cand = base.select("id", "map", *[(F.col(f"y{k}") + F.lit(t) * F.col(f"_dir{k}")).alias(f"y{k}") for k in range(1, dims + 1)])
+        g_new = sums.where(F.col("map") == place).select(
+            "id", *[(F.lit(4.0) * (F.col(f"e{k}") - F.col(f"r{k}") / F.lit(z))).alias(f"g{k}") for k in range(1, dims + 1)])
+        result.metrics.append((it, "passes", float(len(passes))))
+        result.metrics.append((it, "wolfe", float(f_new <= f + ARMIJO * t * slope and abs(slope_new) <= -WOLFE * slope)))
         slot, next_slot = next_slot, next_slot + 1
         keep = hist[-(m_max - 1):] if m_max > 1 else []
         cols = [F.col("id"), F.col("map")]
@@ -168,7 +217,8 @@ def _phase(state: DataFrame, joint: DataFrame, n: int, dims: int, p_scale: float
         path = scratch_path(base.sparkSession, "lbfgs")
         joined.select(*cols).write.parquet(path)
         state = base.sparkSession.read.parquet(path)
-        release()
+        for sums in passes:
+            sums.unpersist()
         if held:
             drop_table(base.sparkSession, held)
         held = path
