@@ -155,3 +155,16 @@ def test_plan_sizes_do_not_grow_with_the_iterations(spark):
     res = jobs.tsne_exact(v, max_iterations=6, perplexity=5.0, loss_every=0, report_every=0,
                           callback=lambda it, state, loss: sizes.append(int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))))
     assert res.state.count() == 60 and max(sizes) < 1_000_000
+
+
+def test_positions_that_are_no_numbers_stop_the_run(spark):
+    import pytest
+    v = load_vectors(spark, SF).where("id < 40")
+    joint = jobs.affinities(v, 5.0)[0]
+    bad = jobs.init_map(v).withColumn("y1", F.when(F.col("id") == 3, F.lit(float("nan"))).otherwise(F.col("y1")))
+    with pytest.raises(ValueError, match="iteration 0: 1 positions"):
+        jobs.tsne_exact(v, max_iterations=2, joint=joint, n=40, start=bad)
+    joint = joint.withColumn("p", F.when((F.col("i") == 1), F.lit(float("nan"))).otherwise(F.col("p")))
+    for every in (1, 2):  # by the write of a table, and in between
+        with pytest.raises(ValueError, match="iteration 1: "):
+            jobs.tsne_exact(v, max_iterations=3, joint=joint, n=40, loss_every=0, report_every=0, checkpoint_every=every)

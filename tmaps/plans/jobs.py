@@ -17,12 +17,14 @@ of an iteration are written before its state, and again replace their own partit
 from __future__ import annotations
 
 import math
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tmaps.functions.columns import gaussian_col
@@ -97,15 +99,26 @@ class _Stepper:
         return (done[-1], self.spark.read.parquet(f"{self.folder}/iteration-{done[-1]}")) if done else None
 
     def commit(self, df: DataFrame, iteration: int) -> DataFrame:
-        if iteration % self.every == 0:
-            path = f"{self.folder}/iteration-{iteration}"
-            df.write.mode("overwrite").parquet(path)
+        """The state, written (or persisted); positions that are no numbers, which the write
+        itself counts, stop the run."""
+        seen = Observation()
+        position = [F.col(c) for c in df.columns if re.fullmatch(r"y\d+", c)]
+        finite = reduce(lambda x, y: x & y, [~F.isnan(c) & (F.abs(c) < float("inf")) for c in position])
+        watched = df.observe(seen, F.count_if(~F.coalesce(finite, F.lit(False))).alias("bad"))
+        path = f"{self.folder}/iteration-{iteration}" if iteration % self.every == 0 else None
+        if path:
+            watched.write.mode("overwrite").parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
-            for old in committed(self.spark, self.folder, "iteration-")[:-2]:  # this one and the one before stay
-                drop_table(self.spark, f"{self.folder}/iteration-{old}")
         else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out = watched.persist(StorageLevel.MEMORY_AND_DISK)
             out.count()
+        if seen.get["bad"]:
+            if path:
+                drop_table(self.spark, path)
+            raise ValueError(f"iteration {iteration}: {seen.get['bad']} positions are not finite")
+        if path:
+            for old in committed(self.spark, self.folder, "iteration-")[:-2]:  # this one and the one before stay
+                drop_table(self.spark, f"{self.folder}/iteration-{old}")
         if self.prev is not None:
             self.prev.unpersist()
         self.prev = out
