@@ -75,16 +75,20 @@ def test_many_flushes_and_ranges(docs_of, rows_of, monkeypatch):
     assert rows_of(J.jaccard_components(docs_of(rows))) == brute(rows)
 
 
-def test_sizes_of_fragments_bound_the_difference():
+def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 60), dtype=np.uint64)]))
-        x, y = (np.frombuffer(J.fragment_sizes(s), "<u2").astype(int) for s in (a, b))
-        assert x.sum() == len(a) and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+        x = J.unfold([J.bitmap(a), J.bitmap(b)])
+        apart = int(J.differing_bits(x[:1], x[1:])[0, 0])
+        assert apart == (x[0] != x[1]).sum() <= len(np.setxor1d(a, b))
         both, common = len(a) + len(b), len(np.intersect1d(a, b))
         if 100 * common >= 80 * (both - common):
-            assert np.abs(x - y).sum() <= both + 2 * (-80 * both // 180)
+            assert apart <= both + 2 * (-80 * both // 180)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)) for _ in "ab")
+    x = J.unfold([J.bitmap(a), J.bitmap(b)])
+    assert (x[0] != x[1]).sum() > 2 * 1000 // 9 * 1.5  # sets of nothing in common stand well apart
 
 
 def test_packed_hashes_come_back():

@@ -14,9 +14,11 @@ its segments for its own class, and for the class above where a partner may be o
    ranges into packed lists, each hash once: those that meet in a task are tied there.
 2. A range's lists are merged, and segments that different sets share tie them into candidate
    clusters. Segments stand in packed lists of some five bytes each, not in rows.
-3. Clusters are parted by the sizes of ``SIZES`` fragments of the order: two sets differ in at
-   least the sum of the differences of these sizes, so pairs whose sum is over what a link
-   allows are none. A set's sizes are some hundred bytes, so this goes before its text moves.
+3. Clusters are parted by bitmaps: the order is cut into two to four fragments for every shingle
+   of a set, and a bit says that a fragment holds one. Two sets differ in at least as many shingles
+   as their bitmaps in bits; pairs with more than a link allows are none. A bitmap is some
+   bits a shingle, so this goes before its text moves; bits in common are counted
+   fragment by fragment and summed for each pair, too.
 4. The members' texts are gathered by cluster, in blocks of bounded size (and, where
    a cluster is larger, by neighbouring sizes and pairs of blocks). There the overlaps are
    counted fragment by fragment of the order and summed for each pair, exactly. A block
@@ -59,7 +61,7 @@ SMALL = 3  # segments of fewer shingles say little
 SLACK_FROM = 8
 FILTER_BITS = 1 << 26  # 8 MB, whatever the corpus
 CUTS = 6
-SIZES = 64
+LEAST_BITS = 64
 FLUSH_SIGNATURES = 2_000_000  # that a task holds at once
 RANGE_BYTES = 16 << 20  # of text behind one range of hashes
 _C = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
@@ -147,7 +149,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-SHOWN = "kind int, node long, doc_id long, n long, f1 long, f2 long, sizes binary, range int, hashes binary, owners binary"
+SHOWN = "kind int, node long, doc_id long, n long, f1 long, f2 long, bitmap binary, range int, hashes binary, owners binary"
 SET, TIE, LIST = range(3)  # kinds of rows: a document's set; two nodes (node, doc_id); a packed list
 
 
@@ -166,11 +168,21 @@ def unpack_hashes(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", count=1), steps.view("<u8").ravel()]), dtype=np.uint64)
 
 
-def fragment_sizes(shingles: np.ndarray) -> bytes:
-    """How many of a set's shingles stand in each of SIZES fragments (65,535 at most: cut
-    numbers differ by no more than the full ones)."""
-    cuts = np.arange(SIZES, dtype=np.uint64) << np.uint64(64 - SIZES.bit_length() + 1)
-    return np.minimum(np.diff(np.append(np.searchsorted(shingles, cuts), len(shingles))), 65535).astype("<u2").tobytes()
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Which fragments of the order hold one of the set's shingles: 2 to 4 fragments a shingle."""
+    power = max(LEAST_BITS.bit_length() - 1, (2 * len(shingles)).bit_length())
+    bits = np.zeros(1 << power, np.uint8)
+    bits[(shingles >> np.uint64(64 - power)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unfold(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 0 and 1, of the least width among them (fragments of finer cuts are joined)."""
+    width = min(map(len, maps))
+    out = np.zeros((len(maps), width * 8), np.uint8)
+    for k, m in enumerate(maps):
+        out[k] = np.unpackbits(np.frombuffer(m, np.uint8)).reshape(width * 8, -1).max(axis=1)
+    return out
 
 
 def _least_owner(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +203,7 @@ def _least_owner(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _empty(kind: int, count: int) -> dict:
     nulls = lambda t: pa.nulls(count, t)
     return {"kind": pa.array(np.full(count, kind, np.int32)), "node": nulls(pa.int64()), "doc_id": nulls(pa.int64()), "n": nulls(pa.int64()),
-            "f1": nulls(pa.int64()), "f2": nulls(pa.int64()), "sizes": nulls(pa.binary()), "range": nulls(pa.int32()), "hashes": nulls(pa.binary()), "owners": nulls(pa.binary())}
+            "f1": nulls(pa.int64()), "f2": nulls(pa.int64()), "bitmap": nulls(pa.binary()), "range": nulls(pa.int32()), "hashes": nulls(pa.binary()), "owners": nulls(pa.binary())}
 
 
 def _describe(words: int, percent: int, ranges: int, bits: int):
@@ -217,10 +229,10 @@ def _describe(words: int, percent: int, ranges: int, bits: int):
         powers = Powers()
         base, held, number, total, seen = TaskContext.get().partitionId() << 40, [], 0, 0, set()
         for b in pieces(batches, "text", 1 << 20):
-            size, f1, f2, sizes = [], [], [], []
+            size, f1, f2, maps = [], [], [], []
             for s in shingle_sets(*flat(b.column("text")), powers, words):
                 size.append(len(s))
-                sizes.append(fragment_sizes(s))
+                maps.append(bitmap(s))
                 f1.append(mix64(s).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ _C[3]).sum(dtype=np.uint64))
                 if len(s) and (f1[-1], f2[-1]) not in seen:  # equal sets show their segments once
@@ -228,7 +240,7 @@ def _describe(words: int, percent: int, ranges: int, bits: int):
                     held.append((number + len(size) - 1, signatures(s, percent)))
                     total += len(held[-1][1])
             yield pa.RecordBatch.from_pydict({
-                **_empty(SET, b.num_rows), "node": pa.array(base + number + np.arange(b.num_rows)), "doc_id": b.column("doc_id"), "n": pa.array(size, pa.int64()), "sizes": pa.array(sizes, pa.binary()),
+                **_empty(SET, b.num_rows), "node": pa.array(base + number + np.arange(b.num_rows)), "doc_id": b.column("doc_id"), "n": pa.array(size, pa.int64()), "bitmap": pa.array(maps, pa.binary()),
                 **{c: pa.array(np.array(x, np.uint64).view(np.int64)) for c, x in (("f1", f1), ("f2", f2))}})
             number += b.num_rows
             if total >= FLUSH_SIGNATURES or number >= 1 << 23:
@@ -320,16 +332,29 @@ def least_reached(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.n
     return ids[moved], by_rank[label[moved]]
 
 
-def _near_sizes(percent: int):
-    """Possible links of a block, by the sizes of the sets' fragments."""
+def differing_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of x and rows of y differ, from their common bits in each fragment."""
+    common = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, x.shape[1], FRAGMENT_COLUMNS):
+        common += x[:, lo:lo + FRAGMENT_COLUMNS].astype(np.float32) @ y[:, lo:lo + FRAGMENT_COLUMNS].astype(np.float32).T
+    return x.sum(axis=1, dtype=np.int64)[:, None] + y.sum(axis=1, dtype=np.int64)[None, :] - 2 * common.astype(np.int64)
+
+
+def _near(percent: int):
+    """Possible links of a pair of blocks, by the sets' bitmaps and sizes."""
     def kernel(group: pa.Table) -> pa.Table:
-        ids, n = np.asarray(group["doc_id"].combine_chunks()), np.asarray(group["n"].combine_chunks())
-        sizes = np.frombuffer(b"".join(group["sizes"].to_pylist()), "<u2").reshape(-1, SIZES).astype(np.int32)
-        apart = np.zeros((len(ids), len(ids)), np.int32)
-        for k in range(SIZES):
-            apart += np.abs(sizes[:, k][:, None] - sizes[:, k][None, :])
-        both = n[:, None] + n[None, :]
-        a, b = least_reached(ids, apart <= both + 2 * (-percent * both // (100 + percent)))
+        group = group.combine_chunks()
+        ids, n, mine = (np.asarray(group[c].combine_chunks()) for c in ("doc_id", "n", "mine"))
+        bits = unfold(group["bitmap"].to_pylist())
+        left = np.flatnonzero(mine == group["one"][0].as_py())
+        right = np.flatnonzero(mine == group["two"][0].as_py())
+        small, both = np.minimum(n[left][:, None], n[right][None, :]), n[left][:, None] + n[right][None, :]
+        near = differing_bits(bits[left], bits[right]) <= both + 2 * (-percent * both // (100 + percent))
+        near &= 100 * small >= percent * (both - small)
+        linked = np.eye(len(ids), dtype=bool)
+        linked[np.ix_(left, right)] |= near
+        linked |= linked.T
+        a, b = least_reached(ids, linked)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return kernel
 
@@ -343,22 +368,23 @@ def _links(words: int, percent: int):
     return kernel
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, percent: int, by_bitmap: bool = False) -> DataFrame:
     """Members (rep, f1, n, root, further columns) to blocks (root, band, one, two): a whole
     cluster; if too large, documents of neighbouring sizes; and if still too large, every
-    pair of blocks."""
-    some = lambda n, count: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.ceil(count / BLOCK_DOCS)).cast("int")
-    sized = members.groupBy("root").agg(some(F.sum("n"), F.count("*")).alias("blocks"))
+    pair of blocks.  By bitmaps sizes are always neighbouring, blocks are bounded by documents
+    only, and a block also meets itself."""
+    some = F.ceil(F.count("*") / BLOCK_DOCS) if by_bitmap else F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS))
+    sized = members.groupBy("root").agg(some.cast("int").alias("blocks"))
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 0.01)).cast("int")  # links reach the next band at most
-    spread = members.join(sized, "root").withColumn(
-        "band", F.explode(F.when(F.col("blocks") > 1, F.array(band, band - 1)).otherwise(F.array(F.lit(-2)))))
-    again = spread.groupBy("root", "band").agg(some(F.sum("n"), F.count("*")).alias("blocks"))
+    apart = F.lit(True) if by_bitmap else F.col("blocks") > 1
+    spread = members.join(sized, "root").withColumn("band", F.explode(F.when(apart, F.array(band, band - 1)).otherwise(F.array(F.lit(-2)))))
+    again = spread.groupBy("root", "band").agg(some.cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     return (spread.drop("blocks").join(again, ["root", "band"]).withColumn("mine", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .where("blocks = 1 or other <> mine")
+            .where(F.lit(by_bitmap) | F.expr("blocks = 1 or other <> mine"))
             .withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other"))
-            .withColumnRenamed("rep", "doc_id").drop("mine", "other", "blocks"))
+            .withColumnRenamed("rep", "doc_id").drop("other", "blocks"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -369,26 +395,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # chance meetings of cut hashes stay few at any size (and would only join clusters)
     bits = max(32, min(64, 2 * math.ceil(math.log2(volume / 8 + 2)) - 8))
     seen = stored(numbered.mapInArrow(_describe(words, percent, ranges, bits), SHOWN), "sets")
-    rows = seen.where(F.col("kind") == SET).select("node", "doc_id", "n", "f1", "f2", "sizes")
+    rows = seen.where(F.col("kind") == SET).select("node", "doc_id", "n", "f1", "f2", "bitmap")
     key = ["f1", "f2", "n"]
-    classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sizes").alias("sizes")), "classes")
-    rows = rows.drop("sizes")
+    classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
+    rows = rows.drop("bitmap")
     merged = (seen.where(F.col("kind") == LIST).select("range", "node", "hashes", "owners")
               .groupBy("range").applyInArrow(_merge, "a long, b long"))
     met = merged.union(seen.where(F.col("kind") == TIE).select("node", "doc_id"))
     of = lambda c: rows.select(F.col("node").alias(c), F.col("f1").alias(f"f_{c}"))
     ties = met.join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select("f_a", "f_b").distinct()
     clusters = components(ties)
-    tied = stored(classes.join(clusters, classes["f1"] == clusters["node"]).select("rep", "f1", "n", "sizes", "root"), "tied")
-    near = (_blocks(tied, percent).groupBy("root", "band", "one", "two").applyInArrow(_near_sizes(percent), "a long, b long"))
+    tied = stored(classes.join(clusters, classes["f1"] == clusters["node"]).select("rep", "f1", "n", "bitmap", "root"), "tied")
+    # numbered partitions are not merged where rows are few: comparing costs more than they weigh
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = (_blocks(tied, percent, True).select("root", "band", "one", "two", "doc_id", "n", "mine", "bitmap")
+            .repartition(parts, "root", "band", "one", "two").groupBy("root", "band", "one", "two").applyInArrow(_near(percent), "a long, b long"))
     parted = components(near).withColumnRenamed("node", "rep")
-    members = stored(tied.drop("root", "sizes").join(parted, "rep"), "members")
+    members = stored(tied.drop("root", "bitmap").join(parted, "rep"), "members")
     wanted = id_filter(members.select(F.col("rep").alias("doc_id")))
     texts = numbered.mapInArrow(_gather(wanted, words), "doc_id long, f1 long, text string").dropDuplicates(["doc_id", "f1"])
     links = (texts.join(_blocks(members, percent), ["doc_id", "f1"]).select("root", "band", "one", "two", "doc_id", "text")
              .groupBy("root", "band", "one", "two").applyInArrow(_links(words, percent), "a long, b long"))
     linked = components(links).withColumnRenamed("node", "rep")
-    tops = classes.drop("sizes").join(linked, "rep", "left").select(*(F.col(c).alias(f"of_{c}") for c in key), F.coalesce("root", "rep").alias("top"))
+    tops = classes.drop("bitmap").join(linked, "rep", "left").select(*(F.col(c).alias(f"of_{c}") for c in key), F.coalesce("root", "rep").alias("top"))
     out = rows.join(tops, [F.col(c) == F.col(f"of_{c}") for c in key], "left")
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
