@@ -86,11 +86,11 @@ def test_pairs_without_curvature_are_left_out():
     assert np.isfinite(lbfgs._direction(G[np.ix_(rows, rows)], 1)).all()
 
 
-def test_lbfgs_never_rises_over_20_iterations(spark):
+def test_lbfgs_never_rises_over_both_phases(spark):
     v = load_vectors(spark, SF).where("id < 40")
-    res = lbfgs.tsne_lbfgs(v, max_iterations=10, perplexity=5.0, seed=3, convergence_tol=0.0)
+    res = lbfgs.tsne_lbfgs(v, max_iterations=6, perplexity=5.0, seed=3, convergence_tol=0.0)
     loss = [x for _, m, x in res.metrics if m == "kl"]
-    assert len(loss) > 10 and all(b <= a for k, (a, b) in enumerate(zip(loss, loss[1:])) if k != 9)
+    assert len(loss) > 6 and all(b <= a for k, (a, b) in enumerate(zip(loss, loss[1:])) if k != 5)
     passes = [x for _, m, x in res.metrics if m == "passes"]
     assert sum(passes) / len(passes) < 2.5  # all-pairs passes a step
     assert np.mean([x for _, m, x in res.metrics if m == "wolfe"]) > 0.8
