@@ -70,17 +70,15 @@ def made(n, sources, seed=1):
 
 @pytest.mark.parametrize("n,sources,fanout,levels", [
     (200, ["a", "a", "b", "c", None, ""], 3, 1),  # many blocks: the exchange has four rounds
-    (167, ["hot"] * 30 + ["a", "é", "z"], 3, 1),
     (90, [f"s{k}" for k in range(40)], 3, 1),  # the tree of the sources has blocks too
     (120, ["a", "b"], 2, 2),
-    (60, ["a", "b", None], 3, 7),
 ])
 def test_against_whole_lists(spark, n, sources, fanout, levels):
     rows = made(n, sources)
     assert got(spark, rows, fanout, levels) == brute(rows, fanout)
 
 
-@pytest.mark.parametrize("n", [1, 3, 10, 28])
+@pytest.mark.parametrize("n", [1, 28])
 def test_ragged_ends(spark, n):
     rows = [(k, f"text\n{k}", "en", "s", k) for k in range(n)]
     assert got(spark, rows, 3, 1) == brute(rows)
