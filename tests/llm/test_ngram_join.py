@@ -149,6 +149,41 @@ def test_linked_sets_show_a_common_segment_at_80():
     assert seen > 500
 
 
+def test_linked_sets_show_a_common_segment_whatever_is_common():
+    rng, seen = random.Random(10), 0
+    for _ in range(1500):
+        percent, n = rng.choice([80, 90]), rng.choice([rng.randint(9, 40), rng.randint(9, 400), rng.randint(9, 1500)])
+        a = [rng.getrandbits(64) for _ in range(n)]
+        most = n * (100 - percent) // 100
+        gone = rng.randint(0, most)
+        b = a[gone:] + [rng.getrandbits(64) for _ in range(rng.randint(0, most - gone))]
+        x, y = set(a), set(b)
+        common = np.array(sorted(rng.sample(sorted(x | y), rng.randint(1, len(x | y)))), np.uint64)
+        if 100 * len(x & y) >= percent * len(x | y):
+            seen += 1
+            assert len(np.intersect1d(*(J.signatures(np.array(sorted(s), np.uint64), percent, common) for s in (x, y))))
+    assert seen > 500
+
+
+def test_texts_around_one_passage_are_not_tied(docs_of, monkeypatch):
+    """A third of each text is a passage that all hold: no two link, and hardly any two are candidates."""
+    rng = random.Random(13)
+    passage = " ".join("p%d" % i for i in range(40))
+    rows = [(i, passage + " " + " ".join("w%d" % rng.randrange(10 ** 6) for _ in range(80))) for i in range(300)]
+    rows += [(1000, rows[0][1] + " more")]
+    sizes = {}
+
+    def stored(df, name, real=J.stored):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs_of(rows), 5, 80).collect()}
+    assert got == {**{i: i for i in range(300)}, 1000: 0}
+    assert sizes["tied"] < 30
+
+
 def test_shingles_of_whole_texts():
     rng = random.Random(2)
     texts = [None, "", "a", "A b", "a B c", "x" * 10000] + [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -26,6 +26,10 @@ its segments for its own class, and for the class above where a partner may be o
    near copies gives links in proportion to n, not to its pairs.
 5. Links of classes become components.
 
+Shingles that many texts hold (told from a bounded sample) would tie strangers: the order is cut
+without them first, into the same K fragments. Sets that are left with too few others go on to
+the cuts of whole sets, so a link never hangs on the sample.
+
 Segments of few shingles say little: up to E of them are not shown (K is larger by E).
 Where more than E are empty, the others are shown, and so are those of the next, independent
 cut: sets that have only empty segments in common there both go on to it. A short document's
@@ -64,6 +68,8 @@ CUTS = 6
 LEAST_BITS = 64
 FLUSH_SIGNATURES = 2_000_000  # that a task holds at once
 RANGE_BYTES = 16 << 20  # of text behind one range of hashes
+SAMPLE_BYTES = 64 << 20  # of text, from which the common shingles are told
+COMMON_FROM, COMMON_MOST = 3, 1 << 18  # texts of the sample that hold one; how many at most
 _C = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -112,17 +118,30 @@ def cut(shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(at), total[at[1:]] - total[at[:-1]]
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the segments to show: sets that link have one in common."""
+def signatures(shingles: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the segments to show: sets that link have one in common. Shingles in ``common``
+    (ascending) are a fragment of their own, which is not shown, while the others fill theirs."""
     n, out, classes = len(shingles), [], size_classes(percent)
     if n < classes[0]:
         return np.zeros(0, np.uint64)
+    rare = None
+    if common is not None and len(common):
+        rare = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
     own = int(np.searchsorted(classes, n, side="right")) - 1
     for c in (own, own + 1) if n * 100 // percent >= classes[own + 1] else (own,):
         most = 2 * int(classes[c + 1] - 1) * (100 - percent) // (100 + percent)
         slack = -(-(most + 1) // (10 if percent >= 90 else 2)) if most >= SLACK_FROM else 0
         k = most + 1 + slack
         salt = np.arange(k, dtype=np.uint64) * _C[2] + np.array([c], np.uint64) * _C[3]
+        if rare is not None:
+            # the same pigeonholes without the common shingles; sets that have only segments in
+            # common here that are not shown both go on to the cuts of whole sets
+            size, h = cut(rare, k)
+            floor = SMALL if most < SLACK_FROM else 1
+            least = next((x for x in range(SMALL, floor - 1, -1) if int((size < x).sum()) <= slack), 0)
+            out.append(mix64(h + salt + _C[1])[size >= (least or floor)])
+            if least:
+                continue
         size, h = cut(shingles, k)
         sign = mix64(h + salt)
         if most < SLACK_FROM:
@@ -206,7 +225,25 @@ def _empty(kind: int, count: int) -> dict:
             "f1": nulls(pa.int64()), "f2": nulls(pa.int64()), "bitmap": nulls(pa.binary()), "range": nulls(pa.int32()), "hashes": nulls(pa.binary()), "owners": nulls(pa.binary())}
 
 
-def _describe(words: int, percent: int, ranges: int, bits: int):
+def _common(numbered: DataFrame, words: int, volume: int) -> np.ndarray:
+    """Shingles that several texts of a sample hold, ascending: a bounded choice, by which the order
+    of shingles is cut. Any choice gives the same links; a good one ties fewer sets to strangers."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen = Powers(), set()
+        for b in pieces(batches, "text", 1 << 20):
+            for s in shingle_sets(*flat(b.column("text")), powers, words):
+                whole = mix64(s).sum(dtype=np.uint64)
+                if whole not in seen:  # equal sets of a task count once
+                    seen.add(whole)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
+    every = max(1, math.ceil(volume / SAMPLE_BYTES))
+    held = numbered.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(kernel, "h long")
+    held = held.groupBy("h").count().where(F.col("count") >= COMMON_FROM)
+    rows = held.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toArrow()  # at most COMMON_MOST numbers
+    return np.sort(np.asarray(rows["h"].combine_chunks()).view(np.uint64))
+
+
+def _describe(words: int, percent: int, ranges: int, bits: int, common: np.ndarray):
     """Rows of SHOWN. A node is a document's place: partition, flush and number there; the
     owners of a packed list are numbers of its flush, and its node is that of number 0."""
     def flush(held: list, base: int) -> Iterator[pa.RecordBatch]:
@@ -237,7 +274,7 @@ def _describe(words: int, percent: int, ranges: int, bits: int):
                 f2.append(mix64(s ^ _C[3]).sum(dtype=np.uint64))
                 if len(s) and (f1[-1], f2[-1]) not in seen:  # equal sets show their segments once
                     seen.add((f1[-1], f2[-1]))
-                    held.append((number + len(size) - 1, signatures(s, percent)))
+                    held.append((number + len(size) - 1, signatures(s, percent, common)))
                     total += len(held[-1][1])
             yield pa.RecordBatch.from_pydict({
                 **_empty(SET, b.num_rows), "node": pa.array(base + number + np.arange(b.num_rows)), "doc_id": b.column("doc_id"), "n": pa.array(size, pa.int64()), "bitmap": pa.array(maps, pa.binary()),
@@ -394,7 +431,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ranges = max(1, math.ceil(volume / RANGE_BYTES))
     # chance meetings of cut hashes stay few at any size (and would only join clusters)
     bits = max(32, min(64, 2 * math.ceil(math.log2(volume / 8 + 2)) - 8))
-    seen = stored(numbered.mapInArrow(_describe(words, percent, ranges, bits), SHOWN), "sets")
+    common = _common(numbered, words, volume)
+    seen = stored(numbered.mapInArrow(_describe(words, percent, ranges, bits, common), SHOWN), "sets")
     rows = seen.where(F.col("kind") == SET).select("node", "doc_id", "n", "f1", "f2", "bitmap")
     key = ["f1", "f2", "n"]
     classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
