@@ -142,3 +142,35 @@ def test_work_of_the_walk_grows_less_than_with_the_square(spark):
         reach = cells._reach(at.where("block"), upper, at.where("small"), facts["deepest"], 0.5, 2)
         rows.append(reach.count() / n)
     assert rows[1] < 2 * rows[0]  # four times as many a point with all pairs
+
+
+def test_walk_that_opens_all_is_the_plain_sum(monkeypatch):
+    """Without accepted cells the walk is a sum over points, also for copies and for points that lie
+    closer than cells that may be accepted whole."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(300, 2)) * 4
+    y[50:60], y[60:80] = y[50], y[40] + rng.normal(size=(20, 2)) * 1e-9
+    pi = rng.random(300) + 0.1
+    low, wide = y.min(axis=0), np.ptp(y, axis=0)
+    t = (y - low) / wide
+    c = cells._index(t, np.full(300, 1))
+    r2 = float(((wide / 2) ** 2).sum())
+    rows = [(False, 0, 0, 0, 0, 300.0, pi.sum(), *(pi[:, None] * y).sum(axis=0), 0.0, 0.0, False, r2 * 4)]
+    for a in (0, 1):
+        for b in (0, 1):
+            at = (c == (a, b)).all(axis=1)
+            rows.append((False, 1, 1, a, b, float(at.sum()), pi[at].sum(), *(pi[at][:, None] * y[at]).sum(axis=0), 0.0, 0.0, False, r2))
+    rows += [(True, 1, -1, *c[k], 1.0, pi[k], *y[k], *t[k], False, r2) for k in range(300)]
+    near = pa.table([pa.array(x) for x in zip(*rows)], names=["point", "level", "top", "c1", "c2", "cnt", "mass", "s1", "s2", "t1", "t2", "final", "r2"])
+    points = pa.table({"id": np.arange(300), "map": pa.array(np.zeros(300, np.int32)), "pi": pi, "y1": y[:, 0], "y2": y[:, 1], "t1": t[:, 0], "t2": t[:, 1]})
+    diff = y[:, None] - y[None]
+    num = 1 / (1 + (diff ** 2).sum(axis=2))
+    np.fill_diagonal(num, 0)
+    calls = []
+    monkeypatch.setattr(cells, "_tile_sums", lambda *a, real=cells._tile_sums: calls.append(len(a[2])) or real(*a))
+    got = cells._walk(1e-12, 2)(points, near).to_pandas()
+    assert np.allclose(got["sum_q"], num @ pi, rtol=1e-10)
+    assert np.allclose(got[["n1", "n2"]], np.einsum("ij,j,ijk->ik", num ** 2, pi, diff), atol=1e-9)
+    assert calls and calls[0] > 150
