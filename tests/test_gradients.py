@@ -147,3 +147,51 @@ def test_halo_pass_equals_the_edge_joins(spark):
     assert plan.count("Exchange hashpartitioning") == 2
     with pytest.raises(Exception, match="no position"):
         kernel.halo_pass(edges, needed, st.where("id <> 3"), 2).collect()
+
+
+def _counted(monkeypatch, tmp_path, name):
+    """Every run of a kernel leaves a file."""
+    import uuid
+
+    from tmaps.operators import blocks
+    real = getattr(blocks, name)
+
+    def kernel(*of):
+        inner = real(*of)
+
+        def one(t):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return inner(t)
+
+        def two(t, more):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return inner(t, more)
+        return one if name == "map_sums_kernel" else two
+    monkeypatch.setattr(blocks, name, kernel)
+    return lambda: len(list(tmp_path.iterdir()))
+
+
+def _small(spark):
+    from tmaps.operators import blocks
+    state = spark.range(200).selectExpr("id", "cast(0 as int) as map", "sin(id) as y1", "cos(3 * id) as y2")
+    joint = spark.range(200).selectExpr("id as i", "(id + 1) % 200 as j", "1 / 400D as p")
+    joint = joint.union(joint.selectExpr("j", "i", "p"))
+    nb = blocks.map_blocks(200, 1, blocks.default_min_groups(spark))
+    return state, joint, nb * (nb + 1) // 2
+
+
+def test_gradient_evaluates_each_block_pair_once(spark, monkeypatch, tmp_path):
+    from tmaps.operators import kernel
+    state, joint, pairs = _small(spark)
+    runs = _counted(monkeypatch, tmp_path, "map_sums_kernel")
+    assert len(kernel.tsne_gradient(joint, state, n=200)[0].collect()) == 200
+    assert runs() == pairs
+
+
+def test_iteration_evaluates_each_block_pair_once(spark, monkeypatch, tmp_path):
+    from tmaps.plans import jobs
+    state, joint, pairs = _small(spark)
+    vectors = state.selectExpr("id", "array(y1, y2) as v")
+    runs = _counted(monkeypatch, tmp_path, "fused_kernel")
+    jobs.tsne_exact(vectors, max_iterations=2, loss_every=1, report_every=0, start=state, joint=joint, n=200)
+    assert runs() == 2 * pairs
