@@ -74,3 +74,46 @@ def test_later_candidates_meet_the_bound(monkeypatch):
             best = np.lexsort((ids, np.round(want[row], 12)))[:7]
             assert np.allclose(v[r == row], -want[row][best] if by_kernel else want[row][best])
         assert len(r) == 350 and len(calls) < 10
+
+
+def _search(n=3000):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 16))
+    x[:40] = x[40]  # copies
+    x[50:60] = 1e4 + 1e-4 * x[50:60]  # near ones, far from the rest
+    x[70] = np.nan
+    role = np.tile([True, False], n)
+    t = pa.table({"_row": role, "id": np.repeat(np.arange(n), 2), "v": pa.array(np.repeat(x, 2, axis=0).tolist(), pa.list_(pa.float64()))})
+    return x, t
+
+
+def test_screened_neighbours_are_the_exact_ones():
+    x, t = _search()
+    out = blocks.directed_knn_kernel(20, 512)(t).to_pandas().sort_values(["i", "d2", "j"])
+    assert 70 not in set(out["i"]) | set(out["j"])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for i, group in out.groupby("i"):
+        at = np.lexsort((np.arange(len(x)), np.where(np.isnan(d[i]), np.inf, d[i])))[:20]
+        assert list(group["j"]) == list(at)
+        assert np.allclose(group["d2"], d[i, at], rtol=1e-9)
+
+
+def test_few_pairs_are_computed_in_double_precision(monkeypatch):
+    _, t = _search()
+    done = []
+    monkeypatch.setattr(blocks, "sq_dist", lambda a, b, real=blocks.sq_dist: done.append(len(a) * len(b)) or real(a, b))
+    blocks.directed_knn_kernel(20, 512)(t)
+    assert sum(done) < 3000 * 3000 / 10  # before: every pair
+
+
+def test_sums_of_near_points_need_no_matrix_of_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    y, w = rng.normal(size=(300, 2)) * 5 + 1e3, rng.random(300)
+    products = blocks._tile_sums(y, w, y[:90], w[:90], False)
+    monkeypatch.setattr(blocks, "PRODUCT_EXTENT", -1.0)
+    calls = []
+    monkeypatch.setattr(blocks, "_product_sums", lambda *a: calls.append(a))
+    for got, want in zip(products, blocks._tile_sums(y, w, y[:90], w[:90], False)):
+        assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
+    assert not calls
