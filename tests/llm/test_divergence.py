@@ -109,3 +109,33 @@ def test_tokens_are_those_of_the_pattern():
 
 def test_empty_table(spark):
     assert got(spark, [], 1) == []
+
+
+def test_a_batch_is_counted_in_parts(monkeypatch):
+    """A batch's documents are counted some at a time, whatever their number (before: all at once)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tmaps.llm import divergence
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a-b", "b", "c", "ddd", "x1y", "7"], rng.integers(0, 9))) for _ in range(90)]
+    langs, sources = rng.choice(["de", "en"], 90).tolist(), rng.choice(["p", "q", "r"], 90).tolist()
+    chunks, many, doc, times = divergence.chunk_counts(pa.array(texts))
+    steps = doc.copy()
+    steps[1:] -= doc[:-1]
+    first = (np.cumsum(many) - many)[many > 0]
+    steps[first] = doc[first]
+    batch = pa.table({"langs": [langs], "sources": [sources], **{c: pa.array([divergence._pack(x)], pa.binary()) for c, x in (("many", many), ("steps", steps), ("times", times))}})
+    known = pa.Table.from_batches([divergence._pack_terms(pa.table({"of": np.zeros(len(chunks), np.int64), "pos": np.arange(len(chunks), dtype=np.int32), "chunk": chunks}))])
+    want = {}
+    for text, lang, source in zip(texts, langs, sources):
+        words = [w for chunk in text.split() for w in divergence.tokenize(pa.array([chunk]))[1].to_pylist()]
+        for w in set(words):
+            n, by = want.setdefault((lang, w), (0, {}))
+            want[lang, w] = n + 1, {**by, source: by.get(source, 0) + words.count(w)}
+    largest, sums = [], divergence._sums
+    monkeypatch.setattr(divergence, "_sums", lambda key, values: largest.append(len(key)) or sums(key, values))
+    monkeypatch.setattr(divergence, "POSTINGS", 30, raising=False)
+    got = {(r["lang"], r["term"]): (r["docs"], dict(zip(r["sources"], r["counts"]))) for r in divergence._aggregate(batch, known).to_pylist()}
+    assert got == want
+    assert max(largest[:-2]) <= 60  # the last two sum what the parts have

@@ -56,6 +56,7 @@ SCALE, ADDED = 1_000_000_000, 5
 TOP_TERMS = 50
 BATCH = "batch long, langs array<string>, sources array<string>, chunks array<string>, many binary, steps binary, times binary"
 KNOWN = "of long, pos array<int>, many array<int>, terms string"
+POSTINGS = 400_000  # of a batch that are counted at once
 KNOWN_ROWS = 400_000  # that a task packs at once
 COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
@@ -71,26 +72,37 @@ def _unpack(data: bytes) -> np.ndarray:
 def chunk_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct chunks, documents of each, those documents ascending, occurrences there)."""
     words = pc.ascii_split_whitespace(texts)
-    coded = words.flatten().dictionary_encode()
     size = np.diff(np.asarray(words.offsets))
-    code, doc = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(texts)), size)
-    key, times = np.unique(code * max(len(texts), 1) + doc, return_counts=True)
-    code, doc = np.divmod(key, max(len(texts), 1))
-    return coded.dictionary, np.bincount(code, minlength=len(coded.dictionary)), doc, times
+    coded = words.flatten().dictionary_encode()
+    del words  # a batch's words weigh more than what is kept of them
+    chunks, key, n = coded.dictionary, np.asarray(coded.indices).astype(np.int64), max(len(texts), 1)
+    del coded
+    key *= n
+    key += np.repeat(np.arange(len(texts)), size)
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    code, doc = np.divmod(key[first], n)
+    return chunks, np.bincount(code, minlength=len(chunks)), doc, times
+
+
+def _counted(b: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    chunks, many, doc, times = chunk_counts(b.column("text"))
+    steps = doc.copy()
+    steps[1:] -= doc[:-1]
+    first = (np.cumsum(many) - many)[many > 0]
+    steps[first] = doc[first]
+    one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (b.column("lang"), b.column("source"), chunks)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), *one, *(pa.array([_pack(x)], pa.binary()) for x in (many, steps, times))],
+        names=["batch", "langs", "sources", "chunks", "many", "steps", "times"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for b in pieces(batches, "text", BATCH_BYTES):
-        chunks, many, doc, times = chunk_counts(b.column("text"))
-        steps = doc.copy()
-        steps[1:] -= doc[:-1]
-        first = (np.cumsum(many) - many)[many > 0]
-        steps[first] = doc[first]
-        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (b.column("lang"), b.column("source"), chunks)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *one, *(pa.array([_pack(x)], pa.binary()) for x in (many, steps, times))],
-            names=["batch", "langs", "sources", "chunks", "many", "steps", "times"])
+        yield _counted(b, number)
+        pa.default_memory_pool().release_unused()
         number += 1
 
 
@@ -168,24 +180,32 @@ def _aggregate(batch: pa.Table, known: pa.Table) -> pa.Table:
     held[place] = size
     begin = np.zeros(len(many), np.int64)
     begin[place] = np.cumsum(size) - size
-    steps, times = (_unpack(batch.column(c)[0].as_py()) for c in ("steps", "times"))
-    run = np.cumsum(steps)
+    run = np.cumsum(_unpack(batch.column("steps")[0].as_py()))
+    times = _unpack(batch.column("times")[0].as_py()).astype(np.int32)
     first = np.cumsum(many) - many
     before = np.where(first > 0, run[np.maximum(first - 1, 0)], 0) if len(run) else first
-    doc = run - np.repeat(before, many)
-    # a posting for each term of its chunk
-    chunk = np.repeat(np.arange(len(many)), many)
-    more = held[chunk]
-    ends = np.cumsum(more)
-    of = np.repeat(begin[chunk] - (ends - more), more) + np.arange(int(more.sum()))
-    width = max(len(terms), 1)
-    key, n = _sums(np.repeat(doc, more) * width + term[of], np.repeat(times, more))
-    doc, term = np.divmod(key, width)
+    doc = (run - np.repeat(before, many)).astype(np.int32)
+    chunk = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    del run
     (lang, langs), (source, sources) = (_codes(batch.column(c).combine_chunks().flatten()) for c in ("langs", "sources"))
-    wide = max(len(sources), 1)
-    key, count = _sums((lang[doc] * width + term) * wide + source[doc], n)
+    width, wide = max(len(terms), 1), max(len(sources), 1)
+    found = []
+    # a posting for each term of its chunk, some documents at a time: work space does not grow with the batch
+    parts = max(1, -(-len(doc) // POSTINGS))
+    of_part = doc.astype(np.int64) * parts // max(len(lang), 1)
+    for k in range(parts):
+        some = np.flatnonzero(of_part == k)
+        more = held[chunk[some]]
+        ends = np.cumsum(more)
+        of = np.repeat(begin[chunk[some]] - (ends - more), more) + np.arange(int(more.sum()))
+        key, n = _sums(np.repeat(doc[some].astype(np.int64), more) * width + term[of], np.repeat(times[some].astype(np.int64), more))
+        in_doc, its = np.divmod(key, width)
+        kind = lang[in_doc] * width + its
+        found.append((*_sums(kind * wide + source[in_doc], n), *_sums(kind, np.ones(len(kind), np.int64))))
+    keys, counts, kinds, docs = (np.concatenate(x) for x in zip(*found))
+    key, count = _sums(keys, counts)
     group, by = np.divmod(key, wide)
-    kinds, docs = _sums(lang[doc] * width + term, np.ones(len(doc), np.int64))
+    kinds, docs = _sums(kinds, docs)
     cuts = np.append(np.searchsorted(group, kinds), len(group)).astype(np.int32)
     return pa.table({
         "lang": langs.take(pa.array(kinds // width)), "term": terms.take(pa.array(kinds % width)), "docs": pa.array(docs, pa.int64()),
