@@ -207,3 +207,14 @@ def test_filter_and_empty_table(docs_of):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == [(1, "a b c"), (3, None), (4, None)]
     assert J.jaccard_components(docs_of([])).count() == 0
+
+
+def test_copies_that_meet_in_many_ranges_are_tied_once(spark):
+    import numpy as np
+
+    from tmaps.llm import ngram_join as N
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(words[:400 - k])) for k in range(4)], "doc_id long, text string").repartition(4, "doc_id")
+    seen = docs.mapInArrow(N._describe(3, 90, 16, 64, np.zeros(0, np.uint64)), N.SHOWN)
+    met = [tuple(r) for r in N._met(seen).collect()]
+    assert met and len(met) == len(set(met))  # before: a row for each range

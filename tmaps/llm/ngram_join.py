@@ -296,6 +296,13 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ties[:, 0]), "b": pa.array(ties[:, 1])})
 
 
+def _met(seen: DataFrame) -> DataFrame:
+    """Ties of nodes, each once: copies meet in every range, and with the corpus the ranges grow too."""
+    merged = (seen.where(F.col("kind") == LIST).select("range", "node", "hashes", "owners")
+              .groupBy("range").applyInArrow(_merge, "a long, b long"))
+    return merged.union(seen.where(F.col("kind") == TIE).select("node", "doc_id")).distinct()
+
+
 def _gather(wanted: bytes, words: int):
     """The texts of the wanted ids, with the sums of their sets."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,9 +444,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     key = ["f1", "f2", "n"]
     classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
     rows = rows.drop("bitmap")
-    merged = (seen.where(F.col("kind") == LIST).select("range", "node", "hashes", "owners")
-              .groupBy("range").applyInArrow(_merge, "a long, b long"))
-    met = merged.union(seen.where(F.col("kind") == TIE).select("node", "doc_id"))
+    met = _met(seen)
     of = lambda c: rows.select(F.col("node").alias(c), F.col("f1").alias(f"f_{c}"))
     ties = met.join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select("f_a", "f_b").distinct()
     clusters = components(ties)
