@@ -139,3 +139,26 @@ def test_a_batch_is_counted_in_parts(monkeypatch):
     got = {(r["lang"], r["term"]): (r["docs"], dict(zip(r["sources"], r["counts"]))) for r in divergence._aggregate(batch, known).to_pylist()}
     assert got == want
     assert max(largest[:-2]) <= 60  # the last two sum what the parts have
+
+
+def test_many_sources_and_terms_in_small_groups(spark, monkeypatch):
+    """Blocks of sources and buckets of terms, some of them without a term or a source."""
+    monkeypatch.setattr(divergence, "GROUP_TERMS", 3)
+    monkeypatch.setattr(divergence, "GROUP_SOURCES", 2)
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("abcdefghij"[:4 + k % 7], k=6)), rng.choice(["en", "de"]), f"s{k % 9}", 0) for k in range(90)]
+    rows += [(100, None, "en", "without", 0), (101, "zz", "de", "rare", 0), (102, None, "fr", "alone", 0), (103, "", "it", "x", 0), (104, "q", "it", None, 0)]
+    assert got(spark, rows, 4) == brute(rows, 4)
+
+
+def test_pairs_of_sources_are_summed_in_their_groups(spark):
+    """A group gives one row for two sources (before: a join gave one for every term that they share)."""
+    found = divergence._gaps((pa.scalar("en"), pa.scalar(0), pa.scalar(0), pa.scalar(0)),
+                             pa.table({"source": ["x", "y", "z"] + ["x"] * 50 + ["y"] * 50, "blk": pa.array([0] * 103, pa.int32()),
+                                       "term": [None] * 3 + [f"t{k}" for k in range(50)] * 2, "p": [1, 2, 4] + [7] * 50 + [9] * 50})).to_pylist()
+    assert [(r["a"], r["b"], r["gap"] + 50 * r["apart"]) for r in found] == [("x", "y", 100), ("x", "z", 150), ("y", "z", 250)]
+    rows = [(k, " ".join("t" + chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)), "en", f"s{k % 6}", 0) for k in range(12)]
+    shares = spark.createDataFrame([("en", s, f"t{k}", 3) for s in "xyz" for k in range(40)], "lang string, source string, term string, p long")
+    groups = spark.createDataFrame([("en", s, 40, 1) for s in "xyz"], "lang string, source string, v long, z long")
+    assert {tuple(r) for r in divergence.source_gaps(shares, groups).select("a", "b", "value").collect()} == {(a, b, 0) for a in "xyz" for b in "xyz" if a != b}
+    assert got(spark, rows, 1) == brute(rows, 1)

@@ -13,17 +13,20 @@ tokenized, not texts.
 3. Join back. The terms return to the batches of their chunks, packed by batch.
 4. Aggregate. A batch meets the terms of its chunks and counts, for each language and term,
    distinct documents (through whichever chunks) and, by source, occurrences. Those are
-   summed by term; terms in at least ``LEAST_DOCS`` documents of a language are kept.
+   summed by term, side by side; terms in at least ``LEAST_DOCS`` documents of a language are kept.
 
 A group's distribution over the kept terms V of its language is smoothed and scaled to
 integers: p = 1 + floor(SCALE * (count + 5) / (N + 5 V)). Two sources differ by the sum of
 |p - q| over V; a source's own terms are those with p above the language's q.
 
-The sum over V is taken over terms that occur: with z the value of a count of 0, and A(i, j)
-the sum of |p_i - z_j| over the terms of i,
+A language's terms are dealt into buckets and its sources into blocks. A group is a bucket and a
+pair of blocks: it holds each of its sources with z, the value of a count of 0, and the values of
+the terms that occur there, and sums |p - q| for every two of them. What occurs in neither block
+differs by |z - z'| a term, so with m the group's terms,
 
-    f(i, j) = A(i, j) + A(j, i) + (V - n_i - n_j) |z_i - z_j|
-              + sum over terms of both (|p_i - p_j| - |p_i - z_j| - |p_j - z_i| + |z_i - z_j|).
+    f = V |z - z'| + sum over groups of (sum over the m terms of |p - q| - m |z - z'|).
+
+A group gives one row for two sources, whatever terms they share.
 
 Defined cases: null text, lang and source are empty ones; every row is a document, also one
 that repeats an id or a text; groups without terms, languages without kept terms (all f are
@@ -58,6 +61,8 @@ BATCH = "batch long, langs array<string>, sources array<string>, chunks array<st
 KNOWN = "of long, pos array<int>, many array<int>, terms string"
 POSTINGS = 400_000  # of a batch that are counted at once
 KNOWN_ROWS = 400_000  # that a task packs at once
+GROUP_TERMS, GROUP_SOURCES = 512, 128  # of a bucket of terms and of a block of sources, about
+GAPS = "lang string, a string, b string, gap long, apart long"
 COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
@@ -227,52 +232,81 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _share(count: Column) -> Column:
+def _share(count: Column, n_all: str = "n_all") -> Column:
     """p of a count, exactly: products may pass 64 bits."""
     wide = lambda c: c.cast("decimal(38,0)")
     product = (F.lit(SCALE).cast("decimal(10,0)") * (count + ADDED).cast("decimal(20,0)")).cast("decimal(38,0)")
-    total = wide(F.col("n_all") + ADDED * F.col("v"))
+    total = wide(F.col(n_all) + ADDED * F.col("v"))
     return F.call_function("div", product, F.nullif(total, wide(F.lit(0)))) + 1
 
 
+def _gaps(key: tuple, group: pa.Table) -> pa.Table:
+    """Of every two sources of a bucket of terms: the sum of |p - q| - |z - z'| over its terms, and |z - z'|."""
+    every = group.filter(pc.is_null(group.column("term")))
+    terms = group.filter(pc.is_valid(group.column("term")))
+    names = every.column("source").combine_chunks()
+    z, blk = every.column("p").to_numpy(), every.column("blk").to_numpy()
+    column, distinct = _codes(terms.column("term").combine_chunks())
+    value = np.repeat(z[:, None], len(distinct), axis=1)
+    value[pc.index_in(terms.column("source").combine_chunks(), names).to_numpy(zero_copy_only=False), column] = terms.column("p").to_numpy()
+    one, two = np.flatnonzero(blk == key[2].as_py()), np.flatnonzero(blk == key[3].as_py())
+    left, right, gap = [], [], []
+    for n, x in enumerate(one):
+        others = two[n + 1:] if key[2] == key[3] else two
+        left.append(np.full(len(others), x))
+        right.append(others)
+        gap.append(np.abs(value[others] - value[x]).sum(axis=1))
+    left, right, gap = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right, gap))
+    apart = np.abs(z[left] - z[right])
+    return pa.table({"lang": pa.array([key[0].as_py()] * len(left), pa.string()), "a": names.take(pa.array(left)), "b": names.take(pa.array(right)),
+                     "gap": gap - len(distinct) * apart, "apart": apart})
+
+
+def source_gaps(shares: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, a, b, value): the sum of |p - q| over the kept terms for every two sources of a language, both ways.
+
+    ``shares(lang, source, term, p)`` has the terms that occur, ``groups(lang, source, v, z)`` every source."""
+    size = groups.groupBy("lang").agg(F.ceil(F.greatest(F.first("v"), F.lit(1)) / GROUP_TERMS).cast("int").alias("buckets"),
+                                      F.ceil(F.count("*") / GROUP_SOURCES).cast("int").alias("blocks"))
+    bucket = F.pmod(F.xxhash64("term"), "buckets").cast("int")
+    every = (groups.join(size, "lang").select("lang", "source", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"),
+                                              F.lit(None).cast("string").alias("term"), F.col("z").alias("p"), "blocks"))
+    rows = shares.join(size, "lang").select("lang", "source", bucket.alias("bucket"), "term", "p", "blocks").unionByName(every)
+    blk = F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("blk")
+    pairs = (rows.select("lang", "source", "bucket", "term", "p", blk, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+             .withColumn("lo", F.least("blk", "o")).withColumn("hi", F.greatest("blk", "o")).drop("o"))
+    found = (pairs.groupBy("lang", "bucket", "lo", "hi").applyInArrow(_gaps, GAPS)
+             .groupBy("lang", "a", "b").agg(F.sum("gap").alias("gap"), F.max("apart").alias("apart"))
+             .join(groups.groupBy("lang").agg(F.first("v").alias("v")), "lang")
+             .select("lang", "a", "b", (F.col("gap") + F.col("v") * F.col("apart")).alias("value")))
+    return found.select("lang", "value", F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+
+
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (``pair``, ``term``), item, value and rank."""
     seen = term_counts(docs)
-    # written first: its size decides whether the join has to move what was seen
-    kept = stored(seen.groupBy("lang", "term").agg(F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term"), "kept")
-    counts = stored(seen.join(kept, ["lang", "term"]).select("lang", "term", F.inline(F.arrays_zip("sources", "counts")))
-                    .groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum("counts").alias("n")), "counts")
+    # of each term its documents, as those of no source, and its occurrences by source
+    term = Window.partitionBy("lang", "term")
+    mine = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("source"), F.col("docs").alias("n"))),
+                    F.transform(F.arrays_zip("sources", "counts"), lambda x: F.struct(x["sources"].alias("source"), x["counts"].alias("n"))))
+    summed = seen.repartition("lang", "term").select("lang", "term", F.inline(mine)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    whole = summed.withColumn("d", F.max(F.when(F.col("source").isNull(), F.col("n"))).over(term)).withColumn("n_term", F.sum("n").over(term) - F.col("d"))
+    counts = stored(whole.where((F.col("d") >= least_docs) & F.col("source").isNotNull()).drop("d"), "counts")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     v = counts.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("n_all"))
-    here = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"), F.count("*").alias("held"))
+    here = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    groups = stored(docs.select(empty("lang"), empty("source")).distinct().join(v.select("lang", "v"), "lang", "left").join(here, ["lang", "source"], "left")
-                    .select("lang", "source", zero("v"), zero("n_all"), zero("held")).withColumn("z", F.coalesce(_share(F.lit(0)), F.lit(0))), "groups")
-    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n")).alias("p"), "z")
+    groups = stored(docs.select(empty("lang"), empty("source")).distinct().join(v.withColumnRenamed("n_all", "n_lang"), "lang", "left").join(here, ["lang", "source"], "left")
+                    .select("lang", "source", zero("v"), zero("n_all"), zero("n_lang")).withColumn("z", F.coalesce(_share(F.lit(0)), F.lit(0)).cast("long")), "groups")
+    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n")).cast("long").alias("p"),
+                                                            _share(F.col("n_term"), "n_lang").cast("long").alias("q"))
 
     # a source's own terms
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(v, "lang").select("lang", "term", _share(F.col("n")).alias("q"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    terms = (shares.join(whole, ["lang", "term"]).where("p > q")
-             .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    terms = (shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
 
     # pairs of sources of a language
-    one = shares.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
-    two = shares.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
-    gap = lambda x, y: F.abs(F.col(x) - F.col(y))
-    both = (one.join(two, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b")
-            .agg(F.sum(gap("pa", "pb") - gap("pa", "zb") - gap("pb", "za") + gap("za", "zb")).alias("shared")))
-    both = both.union(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    other = groups.select("lang", F.col("source").alias("b"), F.col("z").alias("zb"), F.col("held").alias("held_b"))
-    away = (shares.groupBy("lang", F.col("source").alias("a"), "p").agg(F.count("*").alias("times")).join(other, "lang").where("a <> b")
-            .groupBy("lang", "a", "b").agg(F.sum(gap("p", "zb") * F.col("times")).alias("alone")))
-    away = stored(away, "away")
-    back = away.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("alone").alias("back"))
-    key, nil = ["lang", "a", "b"], lambda c: F.coalesce(F.col(c), F.lit(0))
-    pairs = (groups.withColumnRenamed("source", "a").join(other, "lang").where("a <> b")
-             .join(away, key, "left").join(back, key, "left").join(both, key, "left")
-             .select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"),
-                     (nil("alone") + nil("back") + nil("shared") + (F.col("v") - F.col("held") - F.col("held_b")) * gap("z", "zb")).cast("long").alias("value"))
+    pairs = (source_gaps(shares, groups).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
              .withColumn("rank", F.row_number().over(order)))
     return pairs.unionByName(terms).select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")
