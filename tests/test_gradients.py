@@ -195,3 +195,21 @@ def test_iteration_evaluates_each_block_pair_once(spark, monkeypatch, tmp_path):
     runs = _counted(monkeypatch, tmp_path, "fused_kernel")
     jobs.tsne_exact(vectors, max_iterations=2, loss_every=1, report_every=0, start=state, joint=joint, n=200)
     assert runs() == 2 * pairs
+
+
+def test_edge_pass_is_the_frame_summed(spark):
+    """Edge sums by block pair, without an edge's two joins: points of repeated ids, unlike numbers of rows, absent ends."""
+    rows = [(i, m, *map(float, RNG.normal(size=2)), float(RNG.normal())) for i in range(30) for m in range(MAPS)]
+    rows += [(i, m, *map(float, RNG.normal(size=2)), float(RNG.normal())) for i in (3, 4) for m in range(MAPS)]  # ids that repeat
+    rows += [(5, 0, 0.5, 0.25, 0.0), (None, 0, 1.0, 1.0, 1.0)]
+    sp = multimap.with_proportions(spark.createDataFrame(rows, "id bigint, map int, y1 double, y2 double, w double"))
+    edges = [(i, j, float(RNG.uniform(1e-4, 1e-2))) for i in range(32) for j in range(32) if i != j and (i + j) % 3]
+    joint = spark.createDataFrame([*edges, (None, 1, 0.1), (2, None, 0.1)], "i bigint, j bigint, p double")
+    rows_of = lambda df: {(r["id"], r["map"]): (r["t"], r["e1"], r["e2"]) for r in df.collect() if r["t"] is not None and r["map"] is not None}
+    want = rows_of(multimap.mm_edge_sums(multimap.mm_edge_frame(joint, sp)))
+    found = multimap.mm_edge_pass(joint, sp, 2, 30, MAPS)
+    got = rows_of(found)
+    assert want and got.keys() == want.keys()
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, rel=1e-9, abs=1e-14)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
