@@ -162,3 +162,25 @@ def test_pairs_of_sources_are_summed_in_their_groups(spark):
     groups = spark.createDataFrame([("en", s, 40, 1) for s in "xyz"], "lang string, source string, v long, z long")
     assert {tuple(r) for r in divergence.source_gaps(shares, groups).select("a", "b", "value").collect()} == {(a, b, 0) for a in "xyz" for b in "xyz" if a != b}
     assert got(spark, rows, 1) == brute(rows, 1)
+
+
+def test_rare_terms_share_packed_rows():
+    """A batch gives a row for a bucket and language (before: one with lists of its own for every term), and its sums are those of the rows."""
+    rng = random.Random(11)
+    rows = [{"lang": rng.choice(["en", "de", ""]), "term": f"t{k}é", "docs": rng.randint(1, 9), "sources": rng.sample(["a", "", "ç", "d"], n := rng.randint(1, 4)), "counts": [rng.randint(1, 2**31 - 9) for _ in range(n)]}
+            for k in range(600)]
+    rows += [{**r, "docs": r["docs"] + 1, "lang": "en", "sources": ["new"], "counts": [5]} for r in rows[:90]]
+    schema = pa.schema({"lang": pa.string(), "term": pa.string(), "docs": pa.int64(), "sources": pa.list_(pa.string()), "counts": pa.list_(pa.int64())})
+    parts = [divergence._pack_counts(pa.Table.from_pylist(x, schema), 16) for x in (rows[:300], rows[300:], [])]
+    assert [p.num_rows <= 16 * 3 for p in parts] == [True] * 3 and parts[2].num_rows == 0 and parts[2].schema == parts[0].schema
+    docs, held = Counter(), Counter()
+    for r in rows:
+        docs[r["lang"], r["term"]] += r["docs"]
+        for s, n in zip(r["sources"], r["counts"]):
+            held[r["lang"], r["term"], s] += n
+    whole, found = pa.concat_tables(parts), []
+    for k in set(whole.column("bucket").to_pylist()):
+        found += divergence._sum_counts(6)(whole.filter(pa.compute.equal(whole.column("bucket"), k))).to_pylist()
+    kept = {k for k, n in docs.items() if n >= 6}
+    assert {(r["lang"], r["term"], r["source"]): r["n"] for r in found} == {k: n for k, n in held.items() if k[:2] in kept} and len(found) == len({k for k in held if k[:2] in kept})
+    assert all(r["n_term"] == sum(n for k, n in held.items() if k[:2] == (r["lang"], r["term"])) for r in found)

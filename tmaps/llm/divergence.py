@@ -12,8 +12,11 @@ tokenized, not texts.
    commonest chunk is one row a batch.
 3. Join back. The terms return to the batches of their chunks, packed by batch.
 4. Aggregate. A batch meets the terms of its chunks and counts, for each language and term,
-   distinct documents (through whichever chunks) and, by source, occurrences. Those are
-   summed by term, side by side; terms in at least ``LEAST_DOCS`` documents of a language are kept.
+   distinct documents (through whichever chunks) and, by source, occurrences.
+5. Sum. The terms of a batch are dealt into buckets by a hash and packed, a row for each language
+   and bucket: most terms are rare, and a row of its own would weigh many times a term's counts.
+   A bucket's rows meet and are summed by term; terms in at least ``LEAST_DOCS`` documents of a
+   language are kept.
 
 A group's distribution over the kept terms V of its language is smoothed and scaled to
 integers: p = 1 + floor(SCALE * (count + 5) / (N + 5 V)). Two sources differ by the sum of
@@ -46,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import flat, pieces, stored
+from tmaps.llm.common import Powers, flat, pieces, span_hash, stored
 from tmaps.session import drop_table, scratch_path
 
 # bytes of terms: letters, lower-cased, and those of characters past ASCII; 0 for the others
@@ -63,7 +66,10 @@ POSTINGS = 400_000  # of a batch that are counted at once
 KNOWN_ROWS = 400_000  # that a task packs at once
 GROUP_TERMS, GROUP_SOURCES = 512, 128  # of a bucket of terms and of a block of sources, about
 GAPS = "lang string, a string, b string, gap long, apart long"
-COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
+BUCKETS = 4096  # of terms to be summed, at least
+HASHED = 1 << 16  # terms at once
+COUNTED = "bucket int, lang string, terms string, docs array<int>, many array<int>, sources array<string>, places array<int>, counts array<int>"
+SUMMED = "lang string, source string, term string, n long, n_term long"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -218,16 +224,85 @@ def _aggregate(batch: pa.Table, known: pa.Table) -> pa.Table:
         "counts": pa.ListArray.from_arrays(pa.array(cuts), pa.array(count, pa.int64()))})
 
 
+def _lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+
+
+def _bucket(terms: pa.Array, buckets: int) -> np.ndarray:
+    powers, out = Powers(), []
+    for lo in range(0, len(terms), HASHED):
+        data, off = flat(terms[lo:lo + HASHED])
+        out.append(span_hash(data, off[:-1], off[1:], powers, lower=False) % np.uint64(buckets))
+    return np.concatenate([np.zeros(0, np.uint64), *out]).astype(np.int64)
+
+
+def _pack_counts(rows: pa.Table, buckets: int) -> pa.Table:
+    """Rows (lang, term, docs, sources, counts) of a batch, packed by bucket and language; a source is a place in its row's ``sources``."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in zip(
+            ["bucket", "lang", "terms", "docs", "many", "sources", "places", "counts"],
+            [pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())])})
+    (lang, langs), terms = _codes(rows.column("lang").combine_chunks()), rows.column("term").combine_chunks()
+    key = _bucket(terms, buckets) * len(langs) + lang
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    cuts = np.append(first, len(key))
+    # the sources and counts of each term, in the new order
+    held = rows.column("sources").combine_chunks()
+    begin, size = np.asarray(held.offsets)[:-1][order].astype(np.int64), np.diff(np.asarray(held.offsets))[order].astype(np.int64)
+    ends = np.cumsum(size)
+    each = np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))
+    source, names = _codes(held.values)
+    spread = np.append(0, ends)[cuts]
+    row = np.repeat(np.arange(len(first)), np.diff(spread))
+    used, place = np.unique(row * max(len(names), 1) + source[each], return_inverse=True)
+    of = np.searchsorted(used, np.arange(len(first) + 1) * max(len(names), 1))
+    ints = lambda x: pa.array(x.astype(np.int32))  # noqa: E731  a batch's counts are less than its bytes
+    return pa.table({
+        "bucket": ints(key[first] // len(langs)), "lang": langs.take(pa.array(key[first] % len(langs))),
+        "terms": pc.binary_join(_lists(cuts, terms.take(pa.array(order))), " "),
+        "docs": _lists(cuts, ints(rows.column("docs").to_numpy()[order])), "many": _lists(cuts, ints(size)),
+        "sources": _lists(of, names.take(pa.array(used % max(len(names), 1)))), "places": _lists(spread, ints(place - of[row])),
+        "counts": _lists(spread, ints(rows.column("counts").combine_chunks().values.to_numpy()[each]))})
+
+
+def _sum_counts(least_docs: int):
+    """Of a bucket's packed rows: occurrences by source, and in all, of each term in at least ``least_docs`` documents of its language."""
+    def kernel(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = lambda c: group.column(c).combine_chunks()
+        inside = lambda c: column(c).flatten().to_numpy().astype(np.int64)
+        lang, langs = _codes(column("lang"))
+        term, terms = _codes(pc.split_pattern(column("terms"), " ").flatten())
+        key = np.repeat(lang, pc.list_value_length(column("docs")).to_numpy()) * len(terms) + term
+        kinds, docs = _sums(key, inside("docs"))
+        kinds = kinds[docs >= least_docs]
+        source, sources = _codes(column("sources").flatten())
+        names = pc.list_value_length(column("sources")).to_numpy().astype(np.int64)
+        base = np.repeat(np.cumsum(names) - names, pc.list_value_length(column("places")).to_numpy())
+        kind, source, n = np.repeat(key, inside("many")), source[base + inside("places")], inside("counts")
+        some = np.isin(kind, kinds)
+        (both, n), (kinds, n_term) = _sums(kind[some] * len(sources) + source[some], n[some]), _sums(kind[some], n[some])
+        kind, source = np.divmod(both, len(sources))
+        return pa.table({"lang": langs.take(pa.array(kind // len(terms))), "source": sources.take(pa.array(source)), "term": terms.take(pa.array(kind % len(terms))),
+                         "n": n, "n_term": n_term[np.searchsorted(kinds, kind)]})
+    return kernel
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs, sources, counts) of every batch, lang and term."""
+    """Packed (bucket, lang, terms, docs, many, sources, places, counts) of every batch."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     spark = docs.sparkSession
     path = scratch_path(spark, "batches")
     docs.select(text("text"), text("lang"), text("source")).mapInArrow(_count, BATCH).write.parquet(path)
     batches = spark.read.schema(BATCH).parquet(path)
     pairs = batches.select(F.col("batch").alias("of"), F.posexplode("chunks").alias("pos", "chunk"))
+    buckets = max(BUCKETS, batches.count())  # a bucket holds no more than about a batch's terms
+    packed = lambda batch, known: _pack_counts(_aggregate(batch, known), buckets)
     known = pairs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_known, KNOWN)
-    out = stored(batches.drop("chunks").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(_aggregate, COUNTED), "terms")
+    out = stored(batches.drop("chunks").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(packed, COUNTED), "terms")
     drop_table(spark, path)  # the batches are counted
     return out
 
@@ -284,14 +359,7 @@ def source_gaps(shares: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (``pair``, ``term``), item, value and rank."""
-    seen = term_counts(docs)
-    # of each term its documents, as those of no source, and its occurrences by source
-    term = Window.partitionBy("lang", "term")
-    mine = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("source"), F.col("docs").alias("n"))),
-                    F.transform(F.arrays_zip("sources", "counts"), lambda x: F.struct(x["sources"].alias("source"), x["counts"].alias("n"))))
-    summed = seen.repartition("lang", "term").select("lang", "term", F.inline(mine)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    whole = summed.withColumn("d", F.max(F.when(F.col("source").isNull(), F.col("n"))).over(term)).withColumn("n_term", F.sum("n").over(term) - F.col("d"))
-    counts = stored(whole.where((F.col("d") >= least_docs) & F.col("source").isNotNull()).drop("d"), "counts")
+    counts = stored(term_counts(docs).groupBy("bucket").applyInArrow(_sum_counts(least_docs), SUMMED), "counts")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     v = counts.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("n_all"))
     here = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
