@@ -62,3 +62,15 @@ def test_filter_keeps_columns_and_one_row(docs_of):
 def test_empty_table(docs_of):
     assert X.exact_groups(docs_of([])).count() == 0
     assert X.dedup(docs_of([])).count() == 0
+
+
+def test_a_round_reads_the_candidates_as_a_table(spark, docs_of, rows_of, monkeypatch):
+    """The candidates are found once and written (before: in five places of each round's plan, which the driver kept planning anew)."""
+    from tmaps.llm import exact_dedup
+    plans, stored = {}, exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df, name: (plans.setdefault(name, []).append(df.inputFiles()), stored(df, name))[1])
+    docs = docs_of([(1, "a b"), (2, "a\n b"), (3, "c"), (None, "a b"), (None, "d"), (4, None), (5, "")])
+    kept = exact_dedup.dedup(docs)
+    assert rows_of(kept.select("doc_id", "text")) == sorted([(1, "a b"), (3, "c"), (None, "d"), (4, None)], key=repr)
+    assert len(plans["candidates"]) == 1 and plans["compared"]
+    assert not any("/fingerprints-" in f for files in plans["compared"] for f in files)

@@ -35,6 +35,7 @@ CHUNK_BYTES = 1 << 16
 HUGE_BYTES = 1 << 22
 PART_ROWS = 500
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id while rows are compared
+KEY = ["f1", "f2", "n_bytes"]
 
 
 def normalised(text: np.ndarray) -> np.ndarray:
@@ -142,14 +143,15 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
     return small.unionByName(summed.drop("row"))
 
 
-def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYTES, primes=PRIMES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    key = ["f1", "f2", "n_bytes"]
+def compared(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYTES, primes=PRIMES) -> DataFrame:
+    """The fingerprint of every document, with the smallest id (rep; null: alone) of its text's group and keep_id."""
+    key = KEY
     fp = stored(fingerprints(docs, chunk, huge, primes), "fingerprints")
     many = fp.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     # a group of many rows is compared in parts, each beside a copy of the group's first text
     many = many.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")).drop("n")
-    rest = fp.distinct().join(many, key)  # in this order Spark can split a hot group
+    # in this order Spark can split a hot group; written, as five places of a round's plan read it
+    rest = stored(fp.distinct().join(many, key), "candidates")
     # the candidates' texts, found again by id and paired with their own digest
     text = _rows(docs).join(rest.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("norm", _norm("text"))
     text = text.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
@@ -168,7 +170,12 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
         rest = same.where("not same").drop("same", "rep")
         if rest.isEmpty():
             break
-    out = fp.join(done, [*key, "sha", "doc_id"], "left").withColumn("keep_id", F.coalesce("rep", "doc_id"))
+    return fp.join(done, [*key, "sha", "doc_id"], "left").withColumn("keep_id", F.coalesce("rep", "doc_id"))
+
+
+def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYTES, primes=PRIMES) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    key, out = KEY, compared(docs, chunk, huge, primes)
     sizes = (out.where("rep is not null").groupBy(*key, F.col("keep_id").alias("of")).agg(F.count("*").alias("size")))
     sizes = sizes.select(*(F.col(c).alias(f"of_{c}") for c in key), "of", "size")
     out = out.join(sizes, [F.col(c) == F.col(f"of_{c}") for c in key] + [F.col("rep") == F.col("of")], "left")
@@ -181,8 +188,8 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with their columns."""
     number, digest = own("id", "sha")
-    keep = exact_groups(docs).where("kept").select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias(number), F.col("text_sha256").alias(digest))
+    # LAST_ID stands for a null id, which stays only where its text is alone or all its group's ids are null
+    keep = compared(docs).where("doc_id = keep_id").select(F.col("doc_id").alias(number), F.lower(F.hex("sha")).alias(digest))
     mine = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
                              digest: F.sha2(_norm(F.coalesce("text", F.lit(""))), 256)})
     return mine.join(keep, [number, digest], "left_semi").dropDuplicates([number, digest]).drop(number, digest)
