@@ -117,3 +117,65 @@ def test_sums_of_near_points_need_no_matrix_of_differences(monkeypatch):
     for got, want in zip(products, blocks._tile_sums(y, w, y[:90], w[:90], False)):
         assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
     assert not calls
+
+
+def _whole_qz(y, pi, meet):
+    total = np.full(meet.shape, blocks.REALMIN)
+    for m in range(len(y)):
+        with np.errstate(invalid="ignore"):
+            d = y[m][:, None] - y[m][None]
+            total += pi[m][:, None] * pi[m][None] * (1.0 / (1.0 + (d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1])))
+    return np.where(meet & np.isfinite(total), total, -np.inf)
+
+
+def test_best_kernels_over_tiles_match_whole_matrices(monkeypatch):
+    monkeypatch.setattr(blocks, "TOPQ_TILE", 64)
+    rng = np.random.default_rng(4)
+
+    def copies(y, pi):
+        y[:, ::3], pi[:, ::3] = y[:, :1], pi[:, :1]
+
+    def gaps(y, pi):
+        y[0, 5], y[2, 8, 1], pi[1, 9] = np.nan, np.inf, np.nan
+
+    def lone(y, pi):
+        pi[:] = np.where(pi < 0.7, 0.0, 1e-200)
+        pi[0] = 1.0
+
+    changes = [lambda y, pi: None, lambda y, pi: y.__imul__(1e-5), lambda y, pi: y.__imul__(30.0), lambda y, pi: y.__imul__(1e7),
+               lambda y, pi: y[:, ::50].__imul__(1e4), copies, gaps, lone]
+    for change in changes:
+        for n, same, k in ((300, False, 1), (210, True, 4), (90, True, 80), (5, False, 3)):
+            t, y, pi, meet = _pair(rng, max(n, 10), 3, same)
+            change(y, pi)
+            for name, x in (("y1", y[:, :, 0]), ("y2", y[:, :, 1]), ("pi", pi)):
+                t = t.set_column(t.column_names.index(name), name, pa.array(x.ravel()))
+            qz = _whole_qz(y, pi, meet)
+            order = np.lexsort((np.broadcast_to(np.arange(len(qz)), qz.shape), -qz), axis=1)[:, :k]
+            want = [(i, j, qz[i, j]) for i in range(len(qz)) for j in order[i] if qz[i, j] > -np.inf]
+            got = blocks.topq_kernel(2, k)(t).to_pandas().sort_values(["i", "qz", "j"], ascending=[True, False, True])
+            assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_few_pairs_of_maps_go_by_differences(monkeypatch):
+    monkeypatch.setattr(blocks, "TOPQ_TILE", 128)
+    done = []
+    monkeypatch.setattr(blocks._MapSide, "qz", lambda self, i, *a, real=blocks._MapSide.qz: done.append(len(i)) or real(self, i, *a))
+    t, *_ = _pair(np.random.default_rng(5), 2000, 3)
+    blocks.topq_kernel(2, 1)(t)
+    assert sum(done) < 1000 * 1000 / 10  # before: every pair of every map
+
+
+def test_copies_of_map_rows_do_not_grow_with_the_square(spark, monkeypatch):
+    from tmaps.operators import metrics
+    rng = np.random.default_rng(6)
+    y, pi = rng.normal(size=(3, 400, 2)), rng.dirichlet(np.ones(3), 400).T
+    st = spark.createDataFrame([(i, m, *map(float, y[m, i]), float(pi[m, i])) for i in range(400) for m in range(3)],
+                               "id bigint, map int, y1 double, y2 double, pi double")
+    copies = []
+    monkeypatch.setattr(blocks, "replicate_pairs", lambda df, nb, real=blocks.replicate_pairs: copies.append(nb) or real(df, nb))
+    got = sorted(tuple(r) for r in metrics.topk_by_q(st, 2, n=200_000, n_maps=3).collect())  # blocks as for 200,000 points
+    assert copies[0] <= 16  # before: 587 copies of every row
+    qz = _whole_qz(y, pi, ~np.eye(400, dtype=bool))
+    order = np.lexsort((np.broadcast_to(np.arange(400), qz.shape), -qz), axis=1)
+    assert got == sorted((i, int(order[i, r]), r + 1) for i in range(400) for r in range(2))
