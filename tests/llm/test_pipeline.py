@@ -51,3 +51,43 @@ def test_near_copies_of_five_words_and_80_per_cent_go(spark, docs_of):
     base = ["w%d" % i for i in range(200)]
     docs = docs_of([(1, " ".join(base)), (2, " ".join(base + ["x%d" % i for i in range(30)])), (3, " ".join(base[:100] + ["y%d" % i for i in range(100)]))])
     assert sorted(r.doc_id for r in dict(P.STAGES)["ngram_jaccard"](spark, docs, SF).collect()) == [1, 3]
+
+
+def test_a_worker_lets_go_of_what_its_kernels_freed():
+    import os
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    import pytest
+    from tmaps.llm import common
+    root = os.path.dirname(os.path.abspath(P.__file__))
+    code = """
+import numpy as np, pyarrow as pa
+from tmaps.llm import common
+
+def held():
+    return sum(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+
+def kernel(batches):
+    for b in batches:
+        many = [np.ones(2000) for _ in range(8000)]
+        kept.append(many[-1])  # above all others: they are freed, and stay with the process
+        del many
+        yield b
+
+for run in (kernel, common.brief(kernel)):
+    kept, start = [], held()
+    assert sum(b.num_rows for b in run(iter([pa.record_batch({"a": [1, 2]})]))) == 2
+    print(held() - start)
+"""
+    if common._TRIM is None or not os.path.exists("/proc/self/status"):
+        pytest.skip("no trimming here")
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root, "GLIBC_TUNABLES": "glibc.malloc.mmap_threshold=1000000000:glibc.malloc.trim_threshold=1000000000"},
+                         capture_output=True, text=True, check=True).stdout.split()
+    assert float(out[0]) > 60  # MB, as before
+    assert float(out[1]) < -40
+    calls = []
+    group = common.brief_group(lambda t: calls.append(t.num_rows) or t)
+    assert group(pa.table({"a": range(3)})).num_rows == 3 and group(pa.table({"a": range(500)})).num_rows == 500
+    assert calls == [3, 500]

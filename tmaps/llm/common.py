@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,36 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             start = stop
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # of the GNU library
+MANY_ROWS = 256
+
+
+def let_go() -> None:
+    """Gives freed memory back to the system. A Python worker lives on from stage to stage, beside the
+    executor's own memory, and else keeps what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def brief(kernel: Callable) -> Callable:
+    """The kernel of batches; at its end the worker lets go of what it freed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        let_go()
+    return run
+
+
+def brief_group(kernel: Callable) -> Callable:
+    """The kernel of a group; after a group of many rows the worker lets go of what it freed."""
+    def run(group: pa.Table) -> pa.Table:
+        out = kernel(group)
+        if group.num_rows >= MANY_ROWS:
+            let_go()
+        return out
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and odd multipliers)."""
     x = x.astype(np.uint64, copy=True)

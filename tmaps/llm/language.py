@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import Powers, flat, held_out, mix64, pieces, span_hash
+from tmaps.llm.common import Powers, brief, flat, held_out, mix64, pieces, span_hash
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -311,4 +311,4 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         for b in pieces(batches, "text", PIECE_BYTES):
             lang, score = predict(model, b.column("text"), powers)
             yield b.filter(pa.array((np.array(lang) != UNKNOWN) & (score >= least)))
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(brief(kernel), docs.schema)

@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import Powers, flat, mix64, own, pieces, span_hash, stored, word_spans
+from tmaps.llm.common import Powers, brief, brief_group, flat, mix64, own, pieces, span_hash, stored, word_spans
 from tmaps.llm.components import components
 
 WORDS = 3
@@ -237,7 +237,7 @@ def _common(numbered: DataFrame, words: int, volume: int) -> np.ndarray:
                     seen.add(whole)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
     every = max(1, math.ceil(volume / SAMPLE_BYTES))
-    held = numbered.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(kernel, "h long")
+    held = numbered.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(brief(kernel), "h long")
     held = held.groupBy("h").count().where(F.col("count") >= COMMON_FROM)
     rows = held.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toArrow()  # at most COMMON_MOST numbers
     return np.sort(np.asarray(rows["h"].combine_chunks()).view(np.uint64))
@@ -439,7 +439,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # chance meetings of cut hashes stay few at any size (and would only join clusters)
     bits = max(32, min(64, 2 * math.ceil(math.log2(volume / 8 + 2)) - 8))
     common = _common(numbered, words, volume)
-    seen = stored(numbered.mapInArrow(_describe(words, percent, ranges, bits, common), SHOWN), "sets")
+    seen = stored(numbered.mapInArrow(brief(_describe(words, percent, ranges, bits, common)), SHOWN), "sets")
     rows = seen.where(F.col("kind") == SET).select("node", "doc_id", "n", "f1", "f2", "bitmap")
     key = ["f1", "f2", "n"]
     classes = stored(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
@@ -452,13 +452,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # numbered partitions are not merged where rows are few: comparing costs more than they weigh
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = (_blocks(tied, percent, True).select("root", "band", "one", "two", "doc_id", "n", "mine", "bitmap")
-            .repartition(parts, "root", "band", "one", "two").groupBy("root", "band", "one", "two").applyInArrow(_near(percent), "a long, b long"))
+            .repartition(parts, "root", "band", "one", "two").groupBy("root", "band", "one", "two").applyInArrow(brief_group(_near(percent)), "a long, b long"))
     parted = components(near).withColumnRenamed("node", "rep")
     members = stored(tied.drop("root", "bitmap").join(parted, "rep"), "members")
     wanted = id_filter(members.select(F.col("rep").alias("doc_id")))
-    texts = numbered.mapInArrow(_gather(wanted, words), "doc_id long, f1 long, text string").dropDuplicates(["doc_id", "f1"])
+    texts = numbered.mapInArrow(brief(_gather(wanted, words)), "doc_id long, f1 long, text string").dropDuplicates(["doc_id", "f1"])
     links = (texts.join(_blocks(members, percent), ["doc_id", "f1"]).select("root", "band", "one", "two", "doc_id", "text")
-             .groupBy("root", "band", "one", "two").applyInArrow(_links(words, percent), "a long, b long"))
+             .groupBy("root", "band", "one", "two").applyInArrow(brief_group(_links(words, percent)), "a long, b long"))
     linked = components(links).withColumnRenamed("node", "rep")
     tops = classes.drop("bitmap").join(linked, "rep", "left").select(*(F.col(c).alias(f"of_{c}") for c in key), F.coalesce("root", "rep").alias("top"))
     out = rows.join(tops, [F.col(c) == F.col(f"of_{c}") for c in key], "left")

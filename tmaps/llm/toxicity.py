@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmaps.llm.common import held_out, mix64, pieces
+from tmaps.llm.common import brief, held_out, mix64, pieces
 
 ORDERS = (4, 5, 6)
 BITS = 21
@@ -202,4 +202,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             row, bucket = grams([t or "" for t in b.column("text").to_pylist()], wanted)
             z = np.bincount(row, weight[bucket], minlength=b.num_rows) + model.bias
             yield b.filter(pa.array(z < limit))
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(brief(kernel), docs.schema)
